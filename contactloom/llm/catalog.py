@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contactloom.llm import decontaminate
+from contactloom.llm import dac, decontaminate, packing
 
-_MODULES = [decontaminate]
+_MODULES = [decontaminate, dac, packing]
 
 
 def queries() -> dict:

@@ -15,8 +15,8 @@ import pyarrow as pa
 #: Bytes of text that one step looks at; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -26,7 +26,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def byte_class(predicate) -> np.ndarray:
     """A table of 256 booleans, from a predicate over lower-cased byte values."""
-    return np.array([bool(predicate(int(_LOWER[b]))) for b in range(256)])
+    return np.array([bool(predicate(int(LOWER[b]))) for b in range(256)])
 
 
 #: Words of letters, digits and everything beyond ASCII.
@@ -98,7 +98,7 @@ class Words:
         return k < len(self.offsets) and self.offsets[k] == at
 
     def _segment(self, at: int, to: int, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        part = _LOWER[self.raw[at:to]]
+        part = LOWER[self.raw[at:to]]
         word = inside[part]
         begins = word.copy()
         begins[1:] &= ~word[:-1]
@@ -136,4 +136,4 @@ class Words:
 
     def lowered(self, start: int, end: int) -> bytes:
         """The words from ``start`` to ``end``, lower-cased, with a blank between."""
-        return b" ".join(_LOWER[self.raw[a:b]].tobytes() for a, b in zip(self.start[start:end], self.end[start:end]))
+        return b" ".join(LOWER[self.raw[a:b]].tobytes() for a, b in zip(self.start[start:end], self.end[start:end]))
