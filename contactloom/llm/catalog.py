@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contactloom.llm import dac, decontaminate, packing
+from contactloom.llm import dac, decontaminate, jaccard, packing
 
-_MODULES = [decontaminate, dac, packing]
+_MODULES = [decontaminate, jaccard, dac, packing]
 
 
 def queries() -> dict:
