@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contactloom.llm import dac, decontaminate, jaccard, packing
+from contactloom.llm import dac, decontaminate, jaccard, packing, quality, toxicity
 
-_MODULES = [decontaminate, jaccard, dac, packing]
+_MODULES = [quality, decontaminate, jaccard, dac, toxicity, packing]
 
 
 def queries() -> dict:

@@ -33,9 +33,9 @@ from contactloom.llm.tokens import END_ID, encoder
 
 MAGIC = b"DACTOK1\n"
 RANK_EVERY = 512
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 #: Bytes of text that are tokenized at a time.
-TEXT_SLICE = 4 << 20
+TEXT_SLICE = 1 << 20
 _HEAD = struct.Struct("<8sQQI")
 
 

@@ -16,7 +16,7 @@ from contactloom.llm.textblocks import LOWER, text_bytes
 
 END_ID = 1
 #: A task forgets its words when their number or their bytes pass this.
-_MOST_WORDS, _MOST_BYTES = 400_000, 32 << 20
+_MOST_WORDS, _MOST_BYTES = 150_000, 16 << 20
 _MARK = "\x01"
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
