@@ -91,56 +91,64 @@ class _Lookup:
                     x += 1
 
 
-def _scan(shared, spans: bool):
+class _Judged:
+    """The hit words of some texts, and what is counted of them."""
+
+    def __init__(self, lookup: _Lookup, texts: pa.Array):
+        self.words = words = Words(texts, ALNUM)
+        covered = np.zeros(len(words.hash) + 1, np.int64)
+        self.items: dict[int, set[str]] = {}
+        for w, length, which in lookup.hits(words):
+            covered[w] += 1
+            covered[w + length] -= 1
+            self.items.setdefault(int(words.doc[w]), set()).update(which)
+        self.hit = np.cumsum(covered[:-1]) > 0
+        sums = np.concatenate([[0], np.cumsum(self.hit)])
+        self.n_words, self.n_hit = words.counts(), sums[words.first[1:]] - sums[words.first[:-1]]
+        self.contaminated = (self.n_hit > 0) & (ONE_IN * self.n_hit >= self.n_words)
+
+    def without_hits(self, text: str | None, row: int) -> str | None:
+        """The text without its hit words and what stands between them."""
+        if not self.n_hit[row]:
+            return text
+        words, raw, base = self.words, text.encode(), int(self.words.offsets[row])
+        out, at, inside = [], 0, False
+        for k in range(int(words.first[row]), int(words.first[row + 1])):
+            if self.hit[k] and not inside:
+                out.append(raw[at : int(words.start[k]) - base])
+            if not self.hit[k] and inside:
+                at = int(words.start[k]) - base
+            inside = bool(self.hit[k])
+        return (b"".join(out) + (b"" if inside else raw[at:])).decode()
+
+
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _Lookup(shared.value)
         for part in slices(batches, "text"):
-            words = Words(part.column("text"), ALNUM)
-            covered = np.zeros(len(words.hash) + 1, np.int64)
-            items: dict[int, set[str]] = {}
-            for w, length, which in lookup.hits(words):
-                covered[w] += 1
-                covered[w + length] -= 1
-                items.setdefault(int(words.doc[w]), set()).update(which)
-            hit = np.cumsum(covered[:-1]) > 0
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            n_words, n_hit = words.counts(), sums[words.first[1:]] - sums[words.first[:-1]]
-            named = [sorted(items.get(k, ())) for k in range(part.num_rows)]
-            columns = [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))]
-            names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-            if spans:
-                columns.append(pa.array([_without(part.column("text")[k].as_py(), words, k, hit) if n_hit[k] else part.column("text")[k].as_py() for k in range(part.num_rows)], pa.string()))
-                names.append("text")
-            yield pa.record_batch(columns, names)
+            found = _Judged(lookup, part.column("text"))
+            named = [sorted(found.items.get(k, ())) for k in range(part.num_rows)]
+            columns = [pa.array(found.n_words, pa.int64()), pa.array(found.n_hit, pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]), pa.array(found.contaminated)]
+            yield pa.record_batch([part.column("doc_id"), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return run
 
 
-def _without(text: str, words: Words, row: int, hit: np.ndarray) -> str:
-    """The text without its hit words and what stands between them."""
-    raw, base = text.encode(), int(words.offsets[row])
-    out, at, inside = [], 0, False
-    for k in range(int(words.first[row]), int(words.first[row + 1])):
-        if hit[k] and not inside:
-            out.append(raw[at : int(words.start[k]) - base])
-        if not hit[k] and inside:
-            at = int(words.start[k]) - base
-        inside = bool(hit[k])
-    return (b"".join(out) + (b"" if inside else raw[at:])).decode()
+def _window_set(benchmark: DataFrame, size: int, item_col: str, text_col: str, most: int):
+    """The windows, and their broadcast rows if their measured size is at most ``most``."""
+    grams = ngram_set(benchmark, size, item_col, text_col)
+    measured = grams.agg(F.sum(F.octet_length("words") + F.octet_length("item_id") + 64).alias("n")).first()["n"] or 0
+    if measured > most:
+        return grams, None
+    return grams, benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["length"], bytes(r["words"])) for r in grams.collect()])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES, clean_text: bool = False) -> DataFrame:
-    """One report row a document; with ``clean_text`` also its text without the hit spans."""
-    grams = ngram_set(benchmark, size, item_col, item_text_col)
-    measured = grams.agg(F.sum(F.octet_length("words") + F.octet_length("item_id") + 64).alias("n")).first()["n"] or 0
+def scan(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """One report row a document."""
+    grams, shared = _window_set(benchmark, size, item_col, item_text_col, max_broadcast_bytes)
     texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_REPORT}"
-    if measured > max_broadcast_bytes:
-        if clean_text:
-            raise ValueError("spans are only cut out with a window set that can be broadcast; raise max_broadcast_bytes or use mode='documents'")
-        return _joined(texts, grams, kind)
-    shared = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["length"], bytes(r["words"])) for r in grams.collect()])
-    return texts.mapInArrow(_scan(shared, clean_text), kind + (", text string" if clean_text else ""))
+    return texts.mapInArrow(_scan(shared), kind) if shared else _joined(texts, grams, kind)
 
 
 def _hashed_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +193,34 @@ def _joined(texts: DataFrame, grams: DataFrame, kind: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")).to(texts.sparkSession.createDataFrame([], kind).schema)
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", **options) -> DataFrame:
+def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", size: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """The documents with all their columns: without the contaminated ones, or (``mode='spans'``) with the hit words cut out of every text."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is 'documents' or 'spans', not {mode!r}")
-    doc_col, text_col = options.pop("doc_col", "doc_id"), options.pop("text_col", "text")
-    packed = docs.select(F.struct("*").alias("doc_id"), F.col(text_col).alias("text"))
-    report = scan(packed, benchmark, clean_text=mode == "spans", **options)
-    if mode == "documents":
-        return report.where("NOT contaminated").select("doc_id.*")
-    return report.select(*(F.col("text") if c == text_col else F.col(f"doc_id.`{c}`").alias(c) for c in docs.columns))
+    grams, shared = _window_set(benchmark, size, item_col, item_text_col, max_broadcast_bytes)
+    text = F.col(f"`{text_col}`")
+    if shared is None:
+        if mode == "spans":
+            raise ValueError("spans are only cut out with a window set that can be broadcast; raise max_broadcast_bytes or use mode='documents'")
+        # contamination follows from the text alone, so its digest is the key
+        report = _joined(docs.select(F.sha2(text, 256).alias("doc_id"), text.alias("text")), grams, f"doc_id string, {_REPORT}")
+        bad = report.where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
+        return docs.join(bad, F.sha2(text, 256) == bad["_digest"], "left_anti")
+
+    def judged(texts: Iterator[pa.Array], give) -> Iterator[pa.Array]:
+        lookup = _Lookup(shared.value)
+        for some in texts:
+            yield pa.concat_arrays([give(_Judged(lookup, part.column("text")), part.column("text")) for part in slices([pa.record_batch([some], ["text"])], "text")] or [give(_Judged(lookup, some), some)])
+
+    @F.arrow_udf("boolean")
+    def contaminated(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from judged(texts, lambda found, _: pa.array(found.contaminated, pa.bool_()))
+
+    @F.arrow_udf("string")
+    def cleaned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from judged(texts, lambda found, own: pa.array([found.without_hits(x, k) for k, x in enumerate(own.to_pylist())], pa.string()))
+
+    return docs.where(~contaminated(text)) if mode == "documents" else docs.withColumn(text_col, cleaned(text))
 
 
 QUERY = "op2_benchmark_decontamination"

@@ -180,13 +180,14 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", most: i
     return FactorisationMachine().fit(stats[order], buckets.flatten().to_numpy().astype(np.int64)[place], value[place], np.concatenate([[0], np.cumsum(size)]), y[order], found.column("weight").to_numpy()[order])
 
 
+def _scores(machine: FactorisationMachine | None, texts: pa.Array) -> np.ndarray:
+    return machine.score(len(texts), *machine.join(*features(texts))) if machine else np.full(len(texts), 0.5)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = shared.value
         for part in slices(batches, "text"):
-            n = part.num_rows
-            score = machine.score(n, *machine.join(*features(part.column("text")))) if machine else np.full(n, 0.5)
-            yield pa.record_batch([part.column("doc_id"), pa.array(score)], ["doc_id", "score"])
+            yield pa.record_batch([part.column("doc_id"), pa.array(_scores(shared.value, part.column("text")))], ["doc_id", "score"])
 
     return run
 
@@ -199,10 +200,15 @@ def score(docs: DataFrame, machine: FactorisationMachine | None, *, doc_col: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text_col: str = "text", **options) -> DataFrame:
-    """The documents, with all their columns, that score ``threshold`` or more."""
-    machine = train(docs, labels, text_col=text_col, **options)
-    packed = docs.select(F.struct("*").alias("doc_id"), F.col(text_col).alias("text"))
-    return score(packed, machine).where(F.col("score") >= threshold).select("doc_id.*")
+    """The documents, with all their columns, that score ``threshold`` or more; only their texts go to Python."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col, **options))
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in texts:
+            yield pa.concat_arrays([pa.array(_scores(shared.value, part.column("text"))) for part in slices([pa.record_batch([some], ["text"])], "text")] or [pa.array([], pa.float64())])
+
+    return docs.where(scored(F.col(f"`{text_col}`")) >= threshold)
 
 
 QUERY = "op1_quality_classifier"
