@@ -13,43 +13,55 @@ from contactloom.functions.text import collapse_blanks, ellipsized, let, text_or
 LINK_TEXT = 160
 
 
+def _kind(p: Column) -> Column:
+    host, kind = urls.plain_host(p), F.lit(None).cast("string")
+    return let(host, lambda h: _first(h, kind, dims.CRAWL_SOCIAL.items()))
+
+
+def _first(host: Column, found: Column, domains) -> Column:
+    for domain, name in domains:
+        found = F.when(urls.domain_matches(host, domain), F.lit(name)).otherwise(found)
+    return found
+
+
 def crawl_kind(url: Column) -> Column:
     """The network of a link when crawling, or null."""
-    host, kind = urls.host_for_url(url), F.lit(None).cast("string")
-    for domain, name in dims.CRAWL_SOCIAL.items():
-        kind = F.when(urls.domain_matches(host, domain), F.lit(name)).otherwise(kind)
-    return kind
+    return urls.with_parts(url, _kind)
 
 
 def clean_social_url(url: Column) -> Column:
     """The profile's URL, or null where the link is none: a front page, a post, a share action."""
-    path = urls.path(url)
-    first = F.lower(F.regexp_extract(path, "^/*([^/]*)", 1))
-    base = F.concat(urls.scheme(url), F.lit("://"), urls.authority(url))
-    own_id = urls.parameter(url, "id")
 
-    def of(kind: Column) -> Column:
+    def of(p: Column) -> Column:
+        first = F.lower(F.regexp_extract(p["path"], "^/*([^/]*)", 1))
+        return let(F.struct(_kind(p).alias("kind"), first.alias("first"), F.concat(p["scheme"], F.lit("://"), p["authority"]).alias("base")), lambda k: cleaned(p, k["kind"], k["first"], k["base"]))
+
+    def cleaned(p: Column, kind: Column, first: Column, base: Column) -> Column:
         shared = F.lit(False)
         for name, segments in dims.CRAWL_SHARE_PATHS.items():
             shared = shared | (kind == name) & first.isin(segments)
-        profile = F.when(F.coalesce(own_id, F.lit("")) != "", F.concat(base, F.lit("/profile.php?id="), own_id))
+        profile = let(urls.value_of(p, "id"), lambda i: F.when(text_or_empty(i) != "", F.concat(base, F.lit("/profile.php?id="), i)))
         return (
-            F.when(kind.isNull() | ~urls.is_web_url(url) | (first == "") | shared, None)
+            F.when(kind.isNull() | ~urls.is_web(p) | (first == "") | shared, None)
             .when(kind == "instagram", F.when(~first.isin(dims.INSTAGRAM_CONTENT), F.concat(base, F.lit("/"), first)))
             .when((kind == "facebook") & (first == "profile.php"), profile)
-            .otherwise(F.regexp_replace(F.concat(base, path), "/+$", ""))
+            .otherwise(F.regexp_replace(F.concat(base, p["path"]), "/+$", ""))
         )
 
-    return let(crawl_kind(url), of)
+    return urls.with_parts(url, of)
+
+
+_NETWORKS = [*((d, "other") for d in dims.OTHER_NETWORKS), *((d, name) for name, domains in dims.PLATFORM_DOMAINS.items() for d in domains)]
+
+
+def _platform(p: Column) -> Column:
+    found = let(urls.plain_host(p), lambda h: _first(h, F.lit(None).cast("string"), _NETWORKS))
+    return F.when(p["scheme"] == "whatsapp", F.lit("whatsapp")).when(urls.is_web(p), found)
 
 
 def platform(url: Column) -> Column:
     """The network of a link when capturing, ``other`` for the lesser ones, or null."""
-    host = urls.host_for_url(url)
-    found = F.when(urls.any_domain(host, dims.OTHER_NETWORKS), F.lit("other"))
-    for name, domains in dims.PLATFORM_DOMAINS.items():
-        found = F.when(urls.any_domain(host, domains), F.lit(name)).otherwise(found)
-    return F.when(urls.scheme(url) == "whatsapp", F.lit("whatsapp")).when(urls.is_web_url(url), found)
+    return urls.with_parts(url, _platform)
 
 
 def is_share_control(described: Column) -> Column:
@@ -57,68 +69,87 @@ def is_share_control(described: Column) -> Column:
     return F.lower(text_or_empty(described)).rlike(dims.SHARE_WORDS)
 
 
-def is_redirect(url: Column) -> Column:
-    host, path = urls.host_for_url(url), F.lower(urls.path(url))
+def _is_redirect(p: Column, host: Column, path: Column) -> Column:
     found = host.isin(dims.REDIRECT_HOSTS)
     for domain, starts in dims.REDIRECT_PATHS.items():
         found = found | urls.domain_matches(host, domain) & path.isin(starts)
-    target = F.exists(urls.parameters(url), lambda p: F.lower(F.substring_index(p, "=", 1)).isin(dims.REDIRECT_TARGETS))
-    return found | F.exists(F.split(path, "/"), lambda s: s.isin(dims.REDIRECT_SEGMENTS)) & target
+    target = p["query"].rlike(f"(?i)(?:^|&)(?:{'|'.join(dims.REDIRECT_TARGETS)})(?:=|&|$)")
+    return found | path.rlike(f"(?:^|/)(?:{'|'.join(dims.REDIRECT_SEGMENTS)})(?:/|$)") & target
 
 
-def is_login(url: Column) -> Column:
-    path = F.lower(urls.path(url))
-    has = lambda n: urls.parameter(url, n).isNotNull()
-    return path.rlike("(?:^|/)accounts/login(?:/|$)") | F.exists(F.split(path, "/"), lambda s: s.isin(dims.LOGIN_SEGMENTS)) | F.startswith(urls.hostname(url), F.lit("oauth.")) | (has("client_id") & (has("redirect_uri") | has("response_type")))
+def _is_login(p: Column, path: Column) -> Column:
+    named = path.rlike(f"(?:^|/)(?:accounts/login|{'|'.join(dims.LOGIN_SEGMENTS)})(?:/|$)")
+    asks = p["query"].rlike("(?:^|&)client_id=") & p["query"].rlike("(?:^|&)(?:redirect_uri|response_type)=")
+    return named | F.startswith(p["hostname"], F.lit("oauth.")) | asks
 
 
-def is_share_action(url: Column) -> Column:
-    kind, path, found = platform(url), F.lower(urls.path(url)), F.lit(False)
+def _is_share(kind: Column, path: Column) -> Column:
+    found = F.lit(False)
     for name, starts in dims.SHARE_ACTIONS.items():
-        pattern = "^(?:" + "|".join(s.replace(".", r"\.") for s in starts) + ")(?:/|$)"
-        found = found | (F.coalesce(kind == name, F.lit(False)) & path.rlike(pattern))
+        found = found | ((kind == name) & path.rlike("^(?:" + "|".join(s.replace(".", r"\.") for s in starts) + ")(?:/|$)"))
     return found
 
 
-def is_empty_profile(url: Column) -> Column:
-    kind, path = F.coalesce(platform(url), F.lit("")), F.lower(urls.path(url))
-    bare = path.rlike("^/*$")
-    facebook = (kind == "facebook") & path.rlike(r"^/profile\.php/?$") & (F.coalesce(urls.parameter(url, "id"), F.lit("")) == "")
-    return F.when(kind == "whatsapp", ~phones.has_whatsapp_recipient(url)).otherwise((kind != "") & bare | facebook)
+def _is_empty(p: Column, kind: Column, path: Column) -> Column:
+    facebook = (kind == "facebook") & path.rlike(r"^/profile\.php/?$") & ~p["query"].rlike("(?:^|&)id=[^&]")
+    return F.when(kind == "whatsapp", ~phones.recipient_of(p)).otherwise((kind != "") & path.rlike("^/*$") | facebook)
+
+
+def _excluded(p: Column, page_key: Column) -> Column:
+    seen = F.struct(urls.plain_host(p).alias("host"), F.lower(p["path"]).alias("path"), text_or_empty(_platform(p)).alias("kind"), urls.key_of(p).alias("key"))
+    return let(seen, lambda k: ~(urls.is_web(p) | (p["scheme"] == "whatsapp")) | (k["key"] != "") & (k["key"] == page_key) | _is_redirect(p, k["host"], k["path"]) | _is_login(p, k["path"]) | _is_share(k["kind"], k["path"]) | _is_empty(p, k["kind"], k["path"]))
 
 
 def is_excluded(url: Column, page: Column) -> Column:
-    """Links that are neither profiles nor other sites worth keeping."""
-    return (text_or_empty(url) == "") | ~(urls.is_web_url(url) | (urls.scheme(url) == "whatsapp")) | urls.is_current_page(url, page) | is_redirect(url) | is_login(url) | is_share_action(url) | is_empty_profile(url)
+    """Links that are neither profiles nor other sites worth keeping: redirects, log-ins, share actions, empty profiles, the page itself."""
+    return let(urls.comparable_url(page), lambda key: urls.with_parts(url, lambda p: _excluded(p, key)))
 
 
-def clean_link_text(text: Column) -> Column:
-    return ellipsized(collapse_blanks(text_or_empty(text)), LINK_TEXT)
+def judged(anchors: Column, page: Column) -> Column:
+    """Anchors (url, href, text, described) with their platform, whether they are left out, and how they are shown and told apart."""
 
+    def of(a: Column, key: Column) -> Column:
+        def seen(p: Column) -> Column:
+            web = urls.is_web(p)
+            return F.struct(
+                a["href"].alias("href"), a["text"].alias("text"), _platform(p).alias("platform"), p["hostname"].alias("hostname"),
+                (_excluded(p, key) | (text_or_empty(a["url"]) == "")).alias("excluded"), is_share_control(a["described"]).alias("shares"), web.alias("web"),
+                F.when(web, urls.http_of(p)).otherwise(a["url"]).alias("url"), F.when(web, urls.key_of(p)).otherwise(a["url"]).alias("key"),
+            )
 
-def link_key(url: Column) -> Column:
-    return F.when(urls.is_web_url(url), urls.comparable_url(url)).otherwise(url)
+        return urls.with_parts(a["url"], seen)
 
+    return let(urls.comparable_url(page), lambda key: F.transform(anchors, lambda a: of(a, key)))
 
-def social_links(anchors: Column, page: Column) -> Column:
-    """(platform, url) of anchors (url, text, described), first wins."""
-    own = F.filter(anchors, lambda a: platform(a["url"]).isNotNull() & ~is_share_control(a["described"]) & ~is_excluded(a["url"], page))
-    each = F.transform(own, lambda a: F.struct(platform(a["url"]).alias("platform"), F.when(urls.is_web_url(a["url"]), urls.normalized_http(a["url"])).otherwise(a["url"]).alias("url")))
-    return distinct_by(each, lambda s: link_key(s["url"]))
+
+def clean_link_text(text: Column) -> Column:
+    return ellipsized(collapse_blanks(text_or_empty(text)), LINK_TEXT)
 
 
-def external_links(anchors: Column, page: Column) -> Column:
-    """(url, text, type) of anchors to other hosts that are no network."""
-    own = F.filter(anchors, lambda a: urls.is_web_url(a["url"]) & ~F.startswith(text_or_empty(a["href"]), F.lit("#")) & platform(a["url"]).isNull() & ~is_excluded(a["url"], page) & (urls.hostname(a["url"]) != urls.hostname(page)))
-    each = F.transform(own, lambda a: F.struct(urls.normalized_http(a["url"]).alias("url"), clean_link_text(a["text"]).alias("text"), F.lit("website").alias("type")))
-    return fold_by(F.filter(each, lambda e: e["url"] != ""), lambda e: urls.comparable_url(e["url"]), nonempty_text)
+def social_links(links: Column) -> Column:
+    """(platform, url) of judged anchors, first wins."""
+    own = F.filter(links, lambda a: a["platform"].isNotNull() & ~a["shares"] & ~a["excluded"])
+    return F.transform(distinct_by(own, lambda a: a["key"]), lambda a: F.struct(a["platform"], a["url"]))
+
+
+def external_links(links: Column, page: Column) -> Column:
+    """(url, text, type) of judged anchors to other hosts that are no network."""
+    host = urls.hostname(page)
+    own = let(host, lambda h: F.filter(links, lambda a: a["web"] & ~F.startswith(text_or_empty(a["href"]), F.lit("#")) & a["platform"].isNull() & ~a["excluded"] & (a["hostname"] != h)))
+    each = F.transform(own, lambda a: F.struct(a["url"], clean_link_text(a["text"]).alias("text"), F.lit("website").alias("type"), a["key"].alias("key")))
+    return F.transform(fold_by(F.filter(each, lambda e: e["url"] != ""), lambda e: e["key"], nonempty_text), lambda e: e.dropFields("key"))
 
 
 def contact_links(anchors: Column, page: Column, limit: int, strict: bool = True) -> Column:
     """Up to ``limit`` links of the same host that speak of contact. Not strict: a limit of 0 still gives one."""
-    shown = lambda a: F.concat(F.lower(urls.path(a["url"])), F.lit(" "), F.lower(text_or_empty(a["text"])))
-    own = F.filter(anchors, lambda a: urls.is_web_url(a["url"]) & (urls.host_for_url(a["url"]) == urls.host_for_url(page)) & shown(a).rlike("|".join(dims.CONTACT_TERMS)))
-    found = F.array_distinct(F.transform(own, lambda a: F.regexp_replace(a["url"], r"[?#].*$", "")))
+
+    def own(host: Column) -> Column:
+        def speaks(a: Column) -> Column:
+            return urls.with_parts(a["url"], lambda p: urls.is_web(p) & (urls.plain_host(p) == host) & F.concat(F.lower(p["path"]), F.lit(" "), F.lower(text_or_empty(a["text"]))).rlike("|".join(dims.CONTACT_TERMS)))
+
+        return F.filter(anchors, speaks)
+
+    found = F.array_distinct(F.transform(let(urls.host_for_url(page), own), lambda a: F.regexp_replace(a["url"], r"[?#].*$", "")))
     return F.slice(F.filter(found, lambda u: u != page), F.lit(1), F.lit(limit if strict else max(limit, 1)))
 
 

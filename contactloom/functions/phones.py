@@ -153,23 +153,33 @@ def normalized_phones(values: Column) -> Column:
     return fold_by(F.filter(each, lambda p: p["normalized"] != ""), lambda p: p["normalized"], stronger_metadata)
 
 
+def _is_whatsapp(p: Column) -> Column:
+    return (p["scheme"] == "whatsapp") | let(urls.plain_host(p), lambda h: urls.any_domain(h, dims.PLATFORM_DOMAINS["whatsapp"]))
+
+
 def is_whatsapp_url(url: Column) -> Column:
-    return urls.scheme(url).isin("whatsapp") | urls.any_domain(urls.host_for_url(url), dims.PLATFORM_DOMAINS["whatsapp"])
+    return urls.with_parts(url, _is_whatsapp)
 
 
 def whatsapp_number(url: Column) -> Column:
     """The digits that a WhatsApp link is for, 8 to 15 of them, or empty."""
-    first = F.regexp_extract(urls.path(url), "^/*([^/]*)", 1)
-    asked = F.coalesce(urls.parameter(url, "phone"), urls.parameter(url, "number"))
-    named = F.coalesce(asked, F.when(urls.domain_matches(urls.host_for_url(url), "wa.me"), percent_decoded(first)), F.lit(""))
-    found = F.regexp_replace(digits(named), "^00", "")
-    return F.when(is_whatsapp_url(url) & found.rlike("^[0-9]{8,15}$"), found).otherwise("")
+
+    def of(p: Column) -> Column:
+        first = F.regexp_extract(p["path"], "^/*([^/]*)", 1)
+        named = F.coalesce(urls.value_of(p, "phone"), urls.value_of(p, "number"), F.when(urls.domain_matches(urls.plain_host(p), "wa.me"), percent_decoded(first)), F.lit(""))
+        return let(F.regexp_replace(digits(named), "^00", ""), lambda d: F.when(_is_whatsapp(p) & d.rlike("^[0-9]{8,15}$"), d).otherwise(""))
+
+    return urls.with_parts(url, of)
+
+
+def recipient_of(p: Column) -> Column:
+    named = F.concat_ws(" ", urls.value_of(p, "phone"), urls.value_of(p, "number"), p["path"])
+    return _is_whatsapp(p) & F.regexp_replace(ascii_digits(named), r"[\s+()-]", "").rlike("[0-9]{8,15}")
 
 
 def has_whatsapp_recipient(url: Column) -> Column:
     """Any run of eight digits, in a parameter or the path."""
-    named = F.concat_ws(" ", urls.parameter(url, "phone"), urls.parameter(url, "number"), urls.path(url))
-    return is_whatsapp_url(url) & F.regexp_replace(ascii_digits(named), r"[\s+()-]", "").rlike("[0-9]{8,15}")
+    return urls.with_parts(url, recipient_of)
 
 
 def whatsapp_numbers_in(value: Column) -> Column:
@@ -181,10 +191,13 @@ def whatsapp_numbers_in(value: Column) -> Column:
 def calling_number(value: Column) -> Column:
     """``+digits`` where the international form is known, else empty."""
     v = utrim(text_or_empty(value))
-    from_link = F.coalesce(urls.parameter(v, "phone"), F.regexp_extract(urls.path(v), "^/*([^/]*)", 1))
-    d = digits(F.when(urls.is_web_url(v), from_link).otherwise(v))
-    known = (country_of_digits(d) != "") & (d != "")
-    return F.when(F.startswith(v, F.lit("+")), F.concat(F.lit("+"), d)).when(F.startswith(d, F.lit("00")), F.concat(F.lit("+"), F.substr(d, F.lit(3)))).when(known, F.concat(F.lit("+"), d)).otherwise("")
+    from_link = urls.with_parts(v, lambda p: F.coalesce(urls.value_of(p, "phone"), F.regexp_extract(p["path"], "^/*([^/]*)", 1)))
+
+    def of(d: Column) -> Column:
+        known = (country_of_digits(d) != "") & (d != "")
+        return F.when(F.startswith(v, F.lit("+")), F.concat(F.lit("+"), d)).when(F.startswith(d, F.lit("00")), F.concat(F.lit("+"), F.substr(d, F.lit(3)))).when(known, F.concat(F.lit("+"), d)).otherwise("")
+
+    return let(digits(F.when(urls.is_web_url(v), from_link).otherwise(v)), of)
 
 
 def country_of_digits(d: Column) -> Column:

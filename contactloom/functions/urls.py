@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -13,71 +13,83 @@ from pyspark.sql import types as T
 from contactloom.dims import TLD_COUNTRY, TRACKING_PARAMETERS
 from contactloom.functions.text import let, nonempty_distinct, text_or_empty, utrim
 
-_SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_CUT = "\x01"
 
 
-def _part(url: Column, group: int) -> Column:
-    return text_or_empty(F.regexp_extract(url, _SPLIT, group))
+def with_parts(url: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(parts)``: scheme, authority, path and query of a URL, its host name and port, taken apart once."""
 
+    def of_split(s: Column) -> Column:
+        bare = F.regexp_replace(s[1], "^.*@", "")
+        return F.struct(
+            F.lower(s[0]).alias("scheme"), s[1].alias("authority"), s[2].alias("path"), s[3].alias("query"),
+            F.lower(F.regexp_replace(bare, ":[0-9]*$", "")).alias("hostname"), F.regexp_extract(bare, r":([^\]:]*)$", 1).alias("port"),
+        )
 
-def scheme(url: Column) -> Column:
-    return F.lower(_part(url, 1))
+    cut = F.split(F.regexp_replace(F.replace(text_or_empty(url), F.lit(_CUT), F.lit("")), _SPLIT, _CUT.join(("$1", "$2", "$3", "$4"))), _CUT, -1)
+    return let(let(cut, of_split), then)
 
 
-def authority(url: Column) -> Column:
-    return _part(url, 2)
+def _part(name: str) -> Callable[[Column], Column]:
+    return lambda url: with_parts(url, lambda p: p[name])
 
 
-def path(url: Column) -> Column:
-    return _part(url, 3)
+scheme, authority, path, query_string, hostname, port = map(_part, ("scheme", "authority", "path", "query", "hostname", "port"))
 
 
-def query_string(url: Column) -> Column:
-    """The query without its question mark."""
-    return F.regexp_replace(_part(url, 4), r"^\?", "")
-
-
-def hostname(url: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(authority(url), "^.*@", ""), ":[0-9]*$", ""))
-
-
-def port(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(authority(url), "^.*@", ""), r":([^\]:]*)$", 1)
+def plain_host(p: Column) -> Column:
+    """Of parts: the host without dots at its end and one leading ``www.``."""
+    return F.regexp_replace(F.regexp_replace(p["hostname"], r"\.+$", ""), r"^www\.", "")
 
 
 def host_for_url(url: Column) -> Column:
-    """The host without dots at its end and one leading ``www.``."""
-    return F.regexp_replace(F.regexp_replace(hostname(url), r"\.+$", ""), r"^www\.", "")
+    return with_parts(url, plain_host)
 
 
 def is_web_url(url: Column) -> Column:
     return text_or_empty(url).rlike("(?i)^https?://")
 
 
+def is_web(p: Column) -> Column:
+    return p["scheme"].isin("http", "https") & (p["hostname"] != "")
+
+
 def url_problem(value: Column) -> Column:
     """Why a seed is no URL to visit, or null; the first rule that it breaks."""
-    number = F.try_to_number(port(value), F.lit("9999999999"))
-    broken_port = (port(value) != "") & ~port(value).rlike("^[0-9]{1,10}$")
-    return (
-        F.when(value.rlike(r"(?U)\s"), "contains whitespace")
-        .when(broken_port | authority(value).rlike(r"^\[[^\]]*$"), "is malformed")
-        .when(~scheme(value).isin("http", "https"), "must use http or https")
-        .when(hostname(value) == "", "has no host")
-        .when(F.contains(authority(value), F.lit("@")), "must not contain credentials")
-        .when(F.coalesce((number < 1) | (number > 65535), F.lit(False)), "has an invalid port")
-    )
+
+    def of(p: Column) -> Column:
+        number = F.try_to_number(p["port"], F.lit("9999999999"))
+        broken_port = (p["port"] != "") & ~p["port"].rlike("^[0-9]{1,10}$")
+        return (
+            F.when(value.rlike(r"(?U)\s"), "contains whitespace")
+            .when(broken_port | p["authority"].rlike(r"^\[[^\]]*$"), "is malformed")
+            .when(~p["scheme"].isin("http", "https"), "must use http or https")
+            .when(p["hostname"] == "", "has no host")
+            .when(F.contains(p["authority"], F.lit("@")), "must not contain credentials")
+            .when(F.coalesce((number < 1) | (number > 65535), F.lit(False)), "has an invalid port")
+        )
+
+    return with_parts(value, of)
+
+
+def pairs_of(p: Column) -> Column:
+    """Of parts: the non-empty name=value pairs of the query."""
+    return F.filter(F.split(p["query"], "&"), lambda x: x != "")
 
 
 def parameters(url: Column) -> Column:
-    """The non-empty name=value pairs of the query."""
-    return F.filter(F.split(query_string(url), "&"), lambda p: p != "")
+    return with_parts(url, pairs_of)
+
+
+def value_of(p: Column, *names: str) -> Column:
+    """Of parts: the decoded value of the first parameter of one of the names; null without one."""
+    found = F.get(F.filter(F.split(p["query"], "&"), lambda x: F.substring_index(x, "=", 1).isin(*names)), F.lit(0))
+    return let(F.regexp_replace(found, "^[^=]*=?", ""), lambda v: F.coalesce(F.try_url_decode(v), v))
 
 
 def parameter(url: Column, name: str) -> Column:
-    """The first value of a parameter, decoded; null without it."""
-    found = F.filter(parameters(url), lambda p: F.substring_index(p, "=", 1) == name)
-    value = F.regexp_replace(F.get(found, F.lit(0)), "^[^=]*=?", "")
-    return F.coalesce(F.try_url_decode(value), value)
+    return with_parts(url, lambda p: value_of(p, name))
 
 
 def is_tracking(pair: Column) -> Column:
@@ -85,43 +97,50 @@ def is_tracking(pair: Column) -> Column:
     return F.startswith(name, F.lit("utm_")) | name.isin(TRACKING_PARAMETERS)
 
 
-def _origin(url: Column) -> Column:
-    shown = F.when((scheme(url) == "http") & (port(url) == "80") | (scheme(url) == "https") & (port(url) == "443") | (port(url) == ""), F.lit("")).otherwise(F.concat(F.lit(":"), port(url)))
-    return F.concat(scheme(url), F.lit("://"), hostname(url), shown)
+def origin(p: Column) -> Column:
+    usual = (p["port"] == "") | (F.concat(p["scheme"], p["port"])).isin("http80", "https443")
+    return F.concat(p["scheme"], F.lit("://"), p["hostname"], F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"])))
 
 
-def _search(pairs: Column) -> Column:
-    return F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+def _shown(p: Column, path_: Column, pairs: Column) -> Column:
+    search = let(pairs, lambda x: F.when(F.size(x) > 0, F.concat(F.lit("?"), F.array_join(x, "&"))).otherwise(""))
+    return F.when(is_web(p), F.concat(origin(p), path_, search)).otherwise("")
 
 
-def _kept(url: Column) -> Column:
-    return F.filter(parameters(url), lambda p: ~is_tracking(p))
+def _kept(p: Column) -> Column:
+    return F.filter(F.split(p["query"], "&"), lambda x: (x != "") & ~is_tracking(x))
+
+
+def http_of(p: Column) -> Column:
+    return _shown(p, F.when(p["path"] == "", "/").otherwise(p["path"]), _kept(p))
 
 
 def normalized_http(url: Column) -> Column:
     """An absolute http(s) URL without fragment and tracking parameters; else empty."""
-    shown = F.when(path(url) == "", F.lit("/")).otherwise(path(url))
-    return F.when(is_web_url(url) & (hostname(url) != ""), F.concat(_origin(url), shown, _search(_kept(url)))).otherwise("")
+    return with_parts(url, http_of)
 
 
 def normalized_url(url: Column) -> Column:
     """``normalized_http`` without the slash that ends the path."""
-    clean = utrim(url)
-    return F.when(is_web_url(clean) & (hostname(clean) != ""), F.concat(_origin(clean), F.regexp_replace(path(clean), "/$", ""), _search(_kept(clean)))).otherwise("")
+    return with_parts(utrim(url), lambda p: _shown(p, F.regexp_replace(p["path"], "/$", ""), _kept(p)))
 
 
 def normalized_urls(urls: Column) -> Column:
     return nonempty_distinct(F.transform(urls, normalized_url))
 
 
+def key_of(p: Column) -> Column:
+    by_name = F.transform(F.array_sort(F.transform(_kept(p), lambda x, k: F.struct(F.substring_index(x, "=", 1), k, x.alias("x")))), lambda y: y["x"])
+    return _shown(p, F.regexp_replace(p["path"], "/+$", ""), by_name)
+
+
 def comparable_url(url: Column) -> Column:
     """The key under which links are the same: sorted parameters, no slashes at the path's end."""
-    pairs = F.array_sort(_kept(url), lambda a, b: F.when(F.substring_index(a, "=", 1) < F.substring_index(b, "=", 1), -1).when(F.substring_index(a, "=", 1) > F.substring_index(b, "=", 1), 1).otherwise(0))
-    return F.when(is_web_url(url) & (hostname(url) != ""), F.concat(_origin(url), F.regexp_replace(path(url), "/+$", ""), _search(pairs))).otherwise("")
+    return with_parts(url, key_of)
 
 
 def is_current_page(url: Column, page: Column) -> Column:
-    return (comparable_url(url) != "") & (comparable_url(url) == comparable_url(page))
+    return let(comparable_url(url), lambda k: (k != "") & (k == comparable_url(page)))
 
 
 def domain_matches(host: Column, domain: str) -> Column:

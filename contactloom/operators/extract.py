@@ -133,7 +133,7 @@ def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_c
     page, url = F.col("page"), F.col(url_col)
     rows = parse_pages(pages.where(urls.is_web_url(url)), url_col=url_col, html_col=html_col)
     whatsapp = F.col("whatsapp_found")
-    found = rows.withColumn("whatsapp_found", page_whatsapp(page)).withColumn("links", anchors(page))
+    found = rows.withColumn("whatsapp_found", page_whatsapp(page)).withColumn("links", links.judged(anchors(page), url))
     return found.select(
         F.sha2(url, 256).alias("id"),
         utrim(page["title"]).alias("page_title"),
@@ -144,7 +144,7 @@ def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_c
         phones.distinct_candidates(F.concat(page_phones(page), whatsapp)).alias("phones"),
         phones.distinct_candidates(whatsapp).alias("whatsapp"),
         page_emails(page).alias("emails"),
-        links.social_links(F.col("links"), url).alias("social_links"),
+        links.social_links(F.col("links")).alias("social_links"),
         links.external_links(F.col("links"), url).alias("external_links"),
     )
 
