@@ -185,7 +185,8 @@ def _blocks(spark, path: str) -> DataFrame:
         bases.append((part, total))
         total += n
     at = spark.createDataFrame(bases, "part int, part_base long")
-    return blocks.join(at, "part").select((F.col("part_base") + F.col("ids_before")).alias("base"), "data")
+    # one row a part, and no more parts than spark.sql.shuffle.partitions: the blocks stay where they are
+    return blocks.join(F.broadcast(at), "part").select((F.col("part_base") + F.col("ids_before")).alias("base"), "data")
 
 
 def read(spark, path: str) -> DataFrame:
