@@ -24,7 +24,7 @@ def with_parts(url: Column, then: Callable[[Column], Column]) -> Column:
         bare = F.regexp_replace(s[1], "^.*@", "")
         return F.struct(
             F.lower(s[0]).alias("scheme"), s[1].alias("authority"), s[2].alias("path"), s[3].alias("query"),
-            F.lower(F.regexp_replace(bare, ":[0-9]*$", "")).alias("hostname"), F.regexp_extract(bare, r":([^\]:]*)$", 1).alias("port"),
+            F.when(bare.rlike(r"^\[[^\]]*$"), "").otherwise(F.lower(F.regexp_replace(bare, ":[0-9]*$", ""))).alias("hostname"), F.regexp_extract(bare, r":([^\]:]*)$", 1).alias("port"),
         )
 
     cut = F.split(F.regexp_replace(F.replace(text_or_empty(url), F.lit(_CUT), F.lit("")), _SPLIT, _CUT.join(("$1", "$2", "$3", "$4"))), _CUT, -1)
