@@ -36,6 +36,8 @@ RANK_EVERY = 512
 BLOCK_IDS = 1 << 18
 #: Bytes of text that are tokenized at a time.
 TEXT_SLICE = 1 << 20
+#: Words, and bytes of them, whose ids a task remembers.
+MOST_WORDS, MOST_BYTES = 600_000, 32 << 20
 _HEAD = struct.Struct("<8sQQI")
 
 
@@ -119,7 +121,7 @@ def _encode(path: str | None, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, coder = TaskContext.get().partitionId(), encoder(path, end_id)
+        part, coder = TaskContext.get().partitionId(), encoder(path, end_id, MOST_WORDS, MOST_BYTES)
         docs: list = []
         held: list[np.ndarray] = []
         sizes: list[np.ndarray] = []

@@ -16,7 +16,7 @@ from contactloom.llm.textblocks import LOWER, text_bytes
 
 END_ID = 1
 #: A task forgets its words when their number or their bytes pass this.
-_MOST_WORDS, _MOST_BYTES = 150_000, 16 << 20
+MOST_WORDS, MOST_BYTES = 150_000, 16 << 20
 _MARK = "\x01"
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
@@ -30,13 +30,14 @@ def default_path() -> str:
 class Encoder:
     """``encode(texts)``: the ids of all texts, each text's end id included, and n + 1 offsets."""
 
-    def __init__(self, path: str | None = None, end_id: int = END_ID):
+    def __init__(self, path: str | None = None, end_id: int = END_ID, most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.end_id = Tokenizer.from_file(path or default_path()), end_id
+        self.most_words, self.most_bytes = most_words, most_bytes
         self.count = np.arange(1 << 20)
         # words of these letters are what the normalizer makes of them, and one piece for the splitter: both can be left out
         self.letters = Tokenizer.from_file(path or default_path())
@@ -90,7 +91,7 @@ class Encoder:
         return np.asarray([i for x in coded for i in x], np.int32), np.asarray([len(x) for x in coded], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.words) > _MOST_WORDS or self.bytes > _MOST_BYTES:
+        if len(self.words) > self.most_words or self.bytes > self.most_bytes:
             self._forget()
         split = pc.ascii_split_whitespace(self._simpler(texts))
         ends = split.offsets.to_numpy()
@@ -129,9 +130,9 @@ class Encoder:
 _encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str | None = None, end_id: int = END_ID) -> Encoder:
+def encoder(path: str | None = None, end_id: int = END_ID, most_words: int = MOST_WORDS, most_bytes: int = MOST_BYTES) -> Encoder:
     """One for each worker process."""
-    key = (path, end_id)
+    key = (path, end_id, most_words, most_bytes)
     if key not in _encoders:
-        _encoders[key] = Encoder(path, end_id)
+        _encoders[key] = Encoder(*key)
     return _encoders[key]
