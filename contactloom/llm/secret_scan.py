@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives taken out by a random forest.
 
 Everything is a DataFrame expression. One pattern finds candidates: what is assigned to a
-name such as ``password``, the forms of well-known providers, private key headers and long
+name such as ``password`` (a quoted value up to its closing quote, what follows ``Bearer`` or
+``Basic``), the forms of well-known providers, private keys from header to end and long
 hexadecimal runs. Each candidate gets ``FEATURES``: length, character transitions, dictionary
 coverage, the path and the neighbouring words. The forest is trained by Spark on labelled
 findings and turned into one expression over those features, so that a text's candidates are
@@ -39,18 +40,35 @@ _PROVIDERS = (
     r"AIza[0-9A-Za-z_-]{35}",
     r"sk_(?:live|test)_[0-9A-Za-z]{16,}",
     r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
     r"[0-9a-f]{32,}\b",
 )
+_DASHES = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: A private key from BEGIN to END; without an END, its header lines and what is base64 behind them. Possessive: such loops don't recurse.
+_PEM = rf"-----BEGIN {_DASHES}(?:(?:[^-]|-(?!----))*+-----END {_DASHES}|(?:\s*+[A-Za-z-]{{3,20}}: [^\r\n\\]*+(?:\\n|\s)++)*+(?:(?:\\[nr]|[\s\"'+])*+[A-Za-z0-9+/]{{16,}}+={{0,2}}+)*+(?:(?:\\n|\r?\n)[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=\s*(?:\\n|[\"'`]|$)|\s*\n))?+)"
+_SCHEME = r"(?:(?i:bearer|basic)\s{1,3})?"
 _WORDS = "password passwd secret token example sample placeholder changeme change your here test demo dummy fake none null true false value string default user admin name key config config env environ process get set self this var param input load file path data json yaml home lib src bin usr etc opt main index http https www com org net required optional empty undefined insert replace todo xxxx abc the and for with from".split()
+_PHRASE = "correct horse battery staple window river dragon monkey summer garden silver purple coffee guitar winter orange lantern rocket velvet marble pencil thunder island copper walnut harbor tunnel magnet pepper saddle bicycle castle feather granite helmet jungle kettle ladder meadow needle".split()
 _HARMLESS = "sha1|sha256|sha512|md5|commit|checksum|hash|digest|integrity|etag|revision|uuid|guid|build|blob|example|sample|placeholder|dummy|fake|e\\.g"
+#: Words of sentences; a passphrase has few of them.
+_PROSE = "a|an|and|are|as|at|be|by|can|do|does|enter|field|for|from|has|have|here|if|in|invalid|is|it|must|no|not|of|on|or|please|required|that|the|this|to|was|we|will|with|you|your"
+_QUOTES = "\"'`"
 _TEST_PATHS = "test|spec|example|sample|fixture|mock|demo|docs?/|\\.lock|\\.md"
 
-#: Group 1: an assignment up to its value, 2: the value; 3: what stands for itself.
-PATTERN = rf"((?i:{_NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}}[\"'`]?)([^\s\"'`<>,;]{{6,}})|\b({'|'.join(_PROVIDERS)})"
+
+
+def _quoted(q: str) -> str:
+    """An opening quote, and a value up to its closing one: in its line, or wrapped if its first line is several words."""
+    inside = r"|(?<=\w)'(?=\w)" if q == "'" else ""
+    in_line = rf"(?:\\.|[^\\{q}\r\n]{inside}){{6,}}+(?={q})"
+    wrapped = rf"(?=[^\r\n{q}]*[^\s{q}] +[^\s{q}])(?:[^\\{q}=:\r\n]|\r?\n(?!\s*\n){inside}){{6,}}+(?={q})"
+    return rf"((?:{q}{{3}}|{q}){_SCHEME})({_PEM}|{in_line}|{wrapped})"
+
+
+#: Group 1: an assignment; then an opening quote and a scheme (2, 4, 6; 8: neither needed), each followed by the value; 10: what stands for itself.
+PATTERN = rf"((?i:{_NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}})(?:{'|'.join(map(_quoted, _QUOTES))}|([\"'`]?{_SCHEME})({_PEM}|[^\s\"'`<>,;]{{6,}}))|(\b(?:{'|'.join(_PROVIDERS)})|{_PEM})"
 _A, _B, _C = "\x01", "\x02", "\x03"
 
-FEATURES = ["length", "transitions", "distinct", "digits", "upper", "symbols", "dictionary", "letters_in_a_row", "hexadecimal", "path_like", "test_path", "named", "harmless_near", "provider"]
+FEATURES = ["length", "transitions", "distinct", "digits", "upper", "symbols", "dictionary", "letters_in_a_row", "hexadecimal", "path_like", "test_path", "named", "harmless_near", "provider", "prose"]
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -81,9 +99,10 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         flag(value.rlike("^[0-9a-fA-F]{12,}$")),
         flag(value.rlike(r"[/\\$(){}\[\]]|\.[A-Za-z]{2,5}$|^\w+\.\w+")),
         flag(F.lower(path).rlike(_TEST_PATHS)),
-        flag(F.lower(F.right(before, F.lit(32))).rlike(rf"(?:{_NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}}[\"'`]?$")),
+        flag(F.lower(F.right(before, F.lit(32))).rlike(rf"(?:{_NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|={{1,3}}|:)\s{{0,3}}[\"'`]{{0,3}}{_SCHEME}$")),
         flag(near.rlike(rf"(?:^|[^a-z])(?:{_HARMLESS})(?:[^a-z]|$)")),
-        flag(value.rlike("^(?:" + "|".join(_PROVIDERS[:-1]) + ")")),
+        flag(value.rlike("^(?:" + "|".join((*_PROVIDERS[:-1], f"-----BEGIN {_DASHES}")) + ")")),
+        F.regexp_count(low, F.lit(rf"(?<![^\s])(?:{_PROSE})(?![a-z0-9])")) / F.greatest(F.regexp_count(low, F.lit(r"\S+")), F.lit(1)),
     )
 
 
@@ -100,6 +119,11 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
     word = lambda salt: pick(_WORDS, salt)
     common = lambda salt: pick(["window", "river", "dragon", "monkey", "summer", "garden", "silver", "purple", "coffee", "guitar", "winter", "orange"], salt)
     random_hex, sha = F.substr(hexes("a"), F.lit(1), 12 + F.pmod(length, F.lit(29))), F.substr(hexes("a"), F.lit(1), F.lit(40))
+    body = F.regexp_replace(F.concat(*(F.regexp_replace(F.base64(F.unhex(hexes(f"k{j}"))), "[=]", "") for j in range(8))), "(.{64})", "$1\n")
+    pem_kind = pick(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "], "pk")
+    pem = lambda inside: F.concat(F.lit("-----BEGIN "), pem_kind, F.lit("PRIVATE KEY-----\n"), inside, F.lit("\n-----END "), pem_kind, F.lit("PRIVATE KEY-----"))
+    phrase_word = lambda salt: pick(_PHRASE, salt)
+    sentence = pick(["Please enter the {} for this {}", "the {} is not valid", "Your {} must have a {}", "no {} was found in {}", "this is the {} of your {}", "{} is required to {}", "We will send you a {}", "invalid {} or {}"], "v")
     good = [
         random_hex,
         sha,
@@ -109,6 +133,8 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
         F.concat(F.lit("AKIA"), F.substr(F.rpad(capital, 40, "Q7"), F.lit(1), F.lit(16))),
         F.concat(F.lit("ghp_"), F.substr(F.regexp_replace(F.concat(base, hexes("e")), "[^A-Za-z0-9]", ""), F.lit(1), F.lit(36))),
         F.concat(F.lit("sk_live_"), F.substr(F.regexp_replace(F.concat(base, hexes("e")), "[^A-Za-z0-9]", ""), F.lit(1), F.lit(24))),
+        F.concat(F.concat_ws(" ", phrase_word("p1"), phrase_word("p2"), phrase_word("p3"), F.when(length % 3 > 0, phrase_word("p4")), F.when(length % 5 > 2, phrase_word("p5"))), pick(["", "", "7", " 42", "!"], "pe")),
+        pem(F.when(length % 4 > 0, body).otherwise(F.left(body, F.lit(130)))),
     ]
     bad = [
         F.concat(word("w1"), pick(["_", "-", ""], "j1"), word("w2"), pick(["_", "-", ""], "j2"), word("w3")),
@@ -119,16 +145,19 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
         F.concat(common("w1"), pick(["ing", "ed", "ly", "ation", "er"], "x"), pick(["", ".", ":", ")"], "p")),
         sha,  # what tells it from a secret is what stands around it
         F.concat_ws("-", F.substr(hexes("a"), F.lit(1), F.lit(8)), F.substr(hexes("a"), F.lit(9), F.lit(4)), F.substr(hexes("a"), F.lit(13), F.lit(4)), F.substr(hexes("a"), F.lit(17), F.lit(12))),
+        F.regexp_replace(F.regexp_replace(sentence, "\\{\\}$", common("w1")), "\\{\\}", word("w2")),
+        F.when(length % 2 == 0, F.concat(F.lit("-----BEGIN "), pem_kind, F.lit("PRIVATE KEY-----"))).otherwise(pem(pick(["...", "<your key here>", "YOUR PRIVATE KEY", "xxxxxxxxxxxxxxxx", "key data"], "d"))),
     ]
     choose = lambda options: F.element_at(F.array(*options), (F.pmod(F.col("id") / 2, F.lit(len(options))) + 1).cast("int"))
     label = (F.col("id") % 2).cast("int")
-    kind = F.pmod((F.col("id") / 2).cast("int"), F.lit(8))
-    opening = pick(['token = "', "password=", "api_key: '", "SECRET_KEY = '", 'auth_token: "', 'client_secret="', "pwd: "], "o")
+    kind = F.pmod((F.col("id") / 2).cast("int"), F.lit(len(good)))
+    opening = pick(['token = "', "password=", "api_key: '", "SECRET_KEY = '", 'auth_token: "', 'client_secret="', "pwd: ", "Authorization: Bearer ", "Authorization: Basic "], "o")
+    quoted = pick(['passphrase = "', "password: '", 'PASSWORD="', "secret = `", 'token: "'], "o")
     stray = pick(["and the ", "see ", "with ", "in line "], "t")
     harmless = pick(["commit ", "sha256: ", "checksum = ", "md5 ", "revision ", "digest: sha512 ", "etag: ", "example token = "], "h")
-    rows = spark.range(0, n, 1, 4).select("id", label.alias("label"), kind.alias("kind"), F.when(label == 1, choose(good)).otherwise(choose(bad)).alias("value"), opening.alias("opening"), stray.alias("stray"), harmless.alias("harmless"), pick(["src/app.py", "config/prod.yaml", "", "", "lib/client.js", ".env"], "f").alias("plain_path"), pick(["tests/test_auth.py", "docs/example.md", "yarn.lock", "spec/fixtures/a.json", "src/app.py", ""], "g").alias("test_path"))
-    provider = F.col("kind") >= 5
-    before = F.when((F.col("label") == 1) & provider & (F.xxhash64("id") % 2 == 0), F.col("stray")).when(F.col("label") == 1, F.concat("stray", "opening")).when((F.col("kind") == 6) | (F.col("kind") == 7), F.when(F.xxhash64("id") % 3 == 0, F.col("stray")).otherwise(F.col("harmless"))).otherwise(F.concat("stray", "opening"))
+    rows = spark.range(0, n, 1, 4).select("id", label.alias("label"), kind.alias("kind"), F.when(label == 1, choose(good)).otherwise(choose(bad)).alias("value"), F.when(kind == 8, quoted).otherwise(opening).alias("opening"), stray.alias("stray"), harmless.alias("harmless"), pick(["src/app.py", "config/prod.yaml", "", "", "lib/client.js", ".env"], "f").alias("plain_path"), pick(["tests/test_auth.py", "docs/example.md", "yarn.lock", "spec/fixtures/a.json", "src/app.py", ""], "g").alias("test_path"))
+    provider = F.col("kind").isin(5, 6, 7, 9)
+    before = F.when((F.col("label") == 1) & provider & (F.xxhash64("id") % 2 == 0), F.col("stray")).when(F.col("label") == 1, F.concat("stray", "opening")).when((F.col("kind") == 6) | (F.col("kind") == 7) | (F.col("kind") == 9) & (F.xxhash64("id") % 2 == 0), F.when(F.xxhash64("id") % 3 == 0, F.col("stray")).otherwise(F.col("harmless"))).otherwise(F.concat("stray", "opening"))
     path = F.when((F.col("label") == 1) | (F.xxhash64("id", F.lit("q")) % 2 == 0), F.col("plain_path")).otherwise(F.col("test_path"))
     return rows.select("value", before.alias("before"), F.lit(" and more").alias("after"), path.alias("path"), "label")
 
@@ -182,7 +211,7 @@ def train(findings: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 7
 def _marked(text: Column) -> Column:
     """The text with a mark before and after each candidate."""
     clean = F.when(F.contains(text, F.lit(_A)) | F.contains(text, F.lit(_B)), F.translate(text, _A + _B, _C * 2)).otherwise(text)
-    return F.regexp_replace(clean, PATTERN, f"$1{_A}$2$3{_B}")
+    return F.regexp_replace(clean, PATTERN, f"$1$2$4$6$8{_A}$3$5$7$9$10{_B}")
 
 
 def _judged(text: Column, path: Column, forest: Forest, then: Callable[[Column, Column], Column]) -> Column:
