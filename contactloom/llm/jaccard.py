@@ -71,11 +71,11 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))
 
 
-def _slim(size: int):
+def _slim(size: int, keys: tuple[str, ...] = ("doc_id",)):
     def run(batches):
         for part in slices(batches, "text"):
             sets = list(_sets(part, size))
-            yield pa.record_batch([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.int64())], ["doc_id", "n", "sid"])
+            yield pa.record_batch([*map(part.column, keys), pa.array([len(x) for x in sets], pa.int64()), pa.array([_fingerprint(x) for x in sets], pa.int64())], [*keys, "n", "sid"])
 
     return run
 
@@ -226,13 +226,21 @@ def similar_groups(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCE
     return slim.where("n > 0").join(of, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents with all their columns, one of each component: that of the least doc_id."""
-    doc_col = options.get("doc_col", "doc_id")
-    groups = similar_groups(docs, **options)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs[doc_col].cast("long").eqNullSafe(first["_kept"]), "left_semi")
-    return kept
+def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
+    """The documents with all their columns, one row of each component: that of the least doc_id, null ids last.
+
+    Of rows with that id in one component, any texts, one stays. Rows without shingles link with
+    nothing and stay, but of those that repeat both id (null too) and text one stays.
+    """
+    tagged = materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
+    texts = tagged.select(F.col(doc_col).cast("long").alias("doc_id"), F.col("_row").alias("row"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    slim = materialized(texts.mapInArrow(_slim(size, ("doc_id", "row", "digest")), "doc_id long, row long, digest long, n long, sid long"), "slim")
+    roots = components(links(texts.where("text IS NOT NULL").select("text"), size=size, percent=percent, table_bits=table_bits))
+    least = slim.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "row")).alias("first"))
+    chosen = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
+    none = slim.where("n = 0").groupBy("doc_id", "digest").agg(F.min("row").alias("_row"))
+    kept = chosen.select(F.col("first.row").alias("_row")).unionByName(none.select("_row"))
+    return tagged.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 QUERY = "op4_jaccard_join"
