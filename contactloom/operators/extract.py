@@ -175,7 +175,10 @@ def jsonld_text(page: Column) -> Column:
 
 
 def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", default_country: str = "", order_col: str = "page_id", url_col: str = "url", html_col: str = "html", error_col: str | None = None) -> DataFrame:
-    """One flat lead a host, of all its pages in the order of ``order_col``. ``as_of`` is the date's text."""
+    """One flat lead a host, of all its pages in the order of ``order_col``. ``as_of`` is the date's text.
+
+    A value that many pages repeat, an error too, counts once, at its first place; a host's row gathers its distinct values only.
+    """
     url, page = F.col(url_col), F.col("page")
     rows = parse_pages(pages.withColumn("_host", urls.host_for_url(url)).where("_host <> ''"), url_col=url_col, html_col=html_col)
     hrefs = F.transform(F.filter(page["elements"], lambda e: (e["tag"] == "a") & (attribute(e, "href") != "")), lambda e: F.struct(attribute(e, "href").alias("href"), e["url"].alias("url")))
@@ -194,12 +197,35 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
         emails.crawled_emails(page["text"], F.transform(hrefs, lambda h: h["href"])).alias("_mail"),
         F.filter(F.transform(hrefs, lambda h: F.struct(links.crawl_kind(h["url"]).alias("kind"), links.clean_social_url(h["url"]).alias("url"))), lambda s: s["url"].isNotNull()).alias("_social"),
     )
-    parts = ["_seq", "_url", "_error", "_wa", "_tel", "_mail", "_social"]
-    hosts = each.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct(*parts))).alias("p"))
-    joined = lambda name: F.flatten(F.transform("p", lambda x: x[name]))
-    from contactloom.functions.folds import distinct_by
-
-    lists = hosts.select("_host", F.col("p")[0]["_url"].alias("url"), F.array_join(F.filter(F.transform("p", lambda x: x["_error"]), lambda x: x.isNotNull()), " ").alias("error"), F.array_distinct(F.concat(joined("_wa"), joined("_tel"))).alias("numbers"), F.array_distinct(joined("_mail")).alias("mail"), distinct_by(joined("_social"), lambda s: s["url"]).alias("social"))
+    # the first place of each of a host's values, then only those are gathered; WhatsApp numbers are before all others
+    none = F.lit(None).cast("string")
+
+    def entries(kind: str, part: int, values: Column, value, more, key) -> Column:
+        return F.transform(values, lambda x, k: F.struct(F.lit(kind).alias("kind"), value(x).alias("value"), key(x).alias("key"), F.lit(part).alias("part"), k.alias("at"), more(x).alias("more")))
+
+    nothing = lambda _: none
+    number = (lambda n: n["e164"], lambda n: n["region"], lambda n: n["region"])
+    every = F.concat(
+        entries("page", 0, F.array("_url"), nothing, nothing, nothing),
+        entries("error", 0, F.filter(F.array("_error"), lambda x: x.isNotNull()), lambda x: x, nothing, nothing),
+        entries("number", 0, F.col("_wa"), *number),
+        entries("number", 1, F.col("_tel"), *number),
+        entries("mail", 0, F.col("_mail"), lambda x: x, nothing, nothing),
+        entries("social", 0, F.col("_social"), lambda s: s["url"], lambda s: s["kind"], nothing),
+    )
+    exploded = each.select("_host", "_seq", "_url", F.explode(every).alias("v")).select("_host", "_seq", "_url", "v.*")
+    first = exploded.groupBy("_host", "kind", "value", "key").agg(F.min(F.struct("part", "_seq", "_url", "at", "more")).alias("first"))
+    hosts = first.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct("kind", "first", "value"))).alias("p"))
+    own = lambda kind: F.filter("p", lambda x: x["kind"] == kind)
+    values = lambda kind: F.transform(own(kind), lambda x: x["value"])
+    lists = hosts.select(
+        "_host",
+        own("page")[0]["first"]["_url"].alias("url"),
+        F.array_join(values("error"), " ").alias("error"),
+        F.transform(own("number"), lambda x: F.struct(x["value"].alias("e164"), x["first"]["more"].alias("region"))).alias("numbers"),
+        values("mail").alias("mail"),
+        F.transform(own("social"), lambda x: F.struct(x["first"]["more"].alias("kind"), x["value"].alias("url"))).alias("social"),
+    )
     first_social = F.coalesce(F.get(F.filter("social", lambda s: s["kind"] == "instagram"), F.lit(0))["url"], F.get("social", F.lit(0))["url"], F.lit(""))
     with_first = lists.withColumn("social_url", first_social)
     rest = lambda values: F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))

@@ -6,6 +6,8 @@ order of ``seq`` before the join, so a batch does what its rows would have done
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +52,42 @@ def merged_lead(old: Column, new: Column, now: Column) -> Column:
     return F.struct(*(fields[f].alias(f) for f in LEAD_FIELDS))
 
 
+#: The lists of a lead: what tells their elements apart in ``merged_lead``'s folds. Of elements alike in all of it, later ones change nothing.
+_LISTS: dict[str, Callable[[Column], tuple[Column, ...]]] = {
+    "phones": lambda p: (p["normalized"], p["source"], (text_or_empty(p["context"]) == "").cast("string")),
+    "whatsapp": lambda p: (p["normalized"], p["source"], (text_or_empty(p["context"]) == "").cast("string")),
+    "emails": lambda e: (emails.email_key(e),),
+    "social_links": lambda s: (s["url"], (s["platform"] == "other").cast("string")),
+    "external_links": lambda e: (e["url"], (text_or_empty(e["text"]) == "").cast("string")),
+}
+
+
+def _combined(batch: DataFrame, kind: str) -> DataFrame:
+    """(source_url, n, first, all) of each key: ``all`` does in one merge what its rows would do in turn; no key's rows are gathered."""
+    types = dict(batch.dtypes)
+    nothing = {f: F.lit(None).cast(types[f].removeprefix("array<").removesuffix(">")) for f in _LISTS}
+
+    def entries(f: str) -> Column:
+        def one(x: Column, at: Column) -> Column:
+            keys = [k.cast("string") for k in _LISTS[f](x)] + [F.lit(None).cast("string")] * 2
+            return F.struct(F.lit(f).alias("list"), *(k.alias(f"k{j}") for j, k in enumerate(keys[:3])), at.alias("at"), F.struct(*((x if g == f else nothing[g]).alias(g) for g in _LISTS)).alias("value"))
+
+        return F.transform(F.coalesce(f, F.array().cast(types[f])), one)
+
+    exploded = batch.select("source_url", "seq", F.explode(F.concat(*map(entries, _LISTS))).alias("v")).select("source_url", "seq", "v.*")
+    firsts = exploded.groupBy("source_url", "list", "k0", "k1", "k2").agg(F.min(F.struct("seq", "at", "value")).alias("x"))
+    gathered = firsts.groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("list", "x"))).alias("found"))
+    last = lambda c: F.max(F.when(text_or_empty(F.col(c)) != "", F.struct("seq", c)))[c]
+    time = _time(F.col("captured_at"))
+    captured = F.coalesce(F.min(F.when(time.isNotNull(), F.struct(time.alias("t"), "seq", "captured_at")))["captured_at"], F.max(F.struct("seq", "captured_at"))["captured_at"])
+    lead = F.struct(*LEAD_FIELDS).cast(kind).alias("lead")
+    whole = batch.groupBy("source_url").agg(F.count("*").alias("n"), F.min(F.struct("seq", lead)).alias("first"), last("page_title").alias("title"), last("hostname").alias("host"), captured.alias("captured"))
+    of = lambda f: F.coalesce(F.transform(F.filter("found", lambda x: x["list"] == f), lambda x: x["x"]["value"][f]), F.array().cast(types[f]))
+    fields = {"page_title": F.col("title"), "hostname": F.col("host"), "captured_at": F.col("captured"), **{f: of(f) for f in _LISTS}}
+    both = whole.join(gathered, "source_url", "left")
+    return both.select("source_url", "n", "first", F.struct(*(fields.get(f, F.col(f"first.lead.{f}")).alias(f) for f in LEAD_FIELDS)).cast(kind).alias("all"))
+
+
 def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str) -> DataFrame:
     """The store after a batch (both with ``seq``), with ``status``: kept, added, duplicate, replaced or merged.
 
@@ -60,19 +98,27 @@ def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str)
     lead = lambda: F.struct(*LEAD_FIELDS)
     kind = "struct<" + LEAD.replace(", ", ",").replace(" ", ":") + ">"
     batch = incoming.where(utrim("source_url") != "").withColumn("source_url", utrim("source_url"))
-    # an upsert's rows of one key are one capture's repeats: few
-    grouped = batch.groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("seq", lead().cast(kind).alias("lead")))).alias("rows"))
-
-    def fold(rows: Column, start: Column) -> Column:
-        step = {"reject": lambda kept, _: kept, "replace": lambda kept, r: r["lead"].withField("id", kept["id"]), "merge": lambda kept, r: merged_lead(kept, r["lead"], F.lit(now)).cast(kind)}[on_duplicate]
-        return F.aggregate(rows, start, step)
-
-    new = grouped.select(F.col("source_url").alias("key"), "rows", F.col("rows")[0]["seq"].alias("first_seq"))
+    # one row a key before the join, whatever the batch repeats
+    row = F.struct("seq", lead().cast(kind).alias("lead"))
+    first = F.min(row).alias("first")
+    if on_duplicate == "reject":
+        grouped = batch.groupBy("source_url").agg(first)
+        alone, onto = F.col("first.lead"), F.col("old")
+    elif on_duplicate == "replace":
+        grouped = batch.groupBy("source_url").agg(first, F.max(row).alias("last"))
+        alone, onto = (F.col("last.lead").withField("id", kept["id"]) for kept in (F.col("first.lead"), F.col("old")))
+    else:
+        grouped = _combined(batch, kind)
+        start = F.col("first.lead")
+        for f in _LISTS:
+            start = start.withField(f, F.array().cast(dict(batch.dtypes)[f]))
+        merge = lambda kept: merged_lead(kept, F.col("all"), F.lit(now)).cast(kind)
+        alone, onto = F.when(F.col("n") == 1, F.col("first.lead")).otherwise(merge(start)), merge(F.col("old"))
+    new = grouped.withColumnRenamed("source_url", "key").withColumn("first_seq", F.col("first.seq"))
     old = current.select(F.col("source_url").alias("old_key"), F.col("seq").alias("old_seq"), lead().cast(kind).alias("old"))
     both = old.join(new, F.col("old_key") == F.col("key"), "full_outer")
-    others = F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))
-    result = F.when(F.col("rows").isNull(), F.col("old")).when(F.col("old").isNull(), fold(others, F.col("rows")[0]["lead"])).otherwise(fold(F.col("rows"), F.col("old")))
-    status = F.when(F.col("rows").isNull(), "kept").when(F.col("old").isNull(), "added").otherwise({"reject": "duplicate", "replace": "replaced", "merge": "merged"}[on_duplicate])
+    result = F.when(F.col("key").isNull(), F.col("old")).when(F.col("old").isNull(), alone).otherwise(onto)
+    status = F.when(F.col("key").isNull(), "kept").when(F.col("old").isNull(), "added").otherwise({"reject": "duplicate", "replace": "replaced", "merge": "merged"}[on_duplicate])
     top = current.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))  # one number
     placed = both.crossJoin(F.broadcast(top)).select(result.alias("lead"), F.coalesce("old_seq", F.col("top") + F.col("first_seq")).alias("seq"), status.alias("status"))
     return placed.select("lead.*", "seq", "status")
