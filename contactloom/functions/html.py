@@ -6,6 +6,7 @@ which everything else is a Column expression.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -24,8 +25,11 @@ _STRING = T.StringType()
 ELEMENT = T.StructType().add("tag", _STRING).add("attributes", T.MapType(_STRING, _STRING)).add("text", _STRING).add("url", _STRING)
 PAGE = T.StructType().add("title", _STRING).add("text", _STRING).add("lines", _STRING).add("elements", T.ArrayType(ELEMENT)).add("jsonld", T.ArrayType(_STRING))
 _ARROW = pa.struct([("title", pa.string()), ("text", pa.string()), ("lines", pa.string()), ("elements", pa.list_(pa.struct([("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("url", pa.string())]))), ("jsonld", pa.list_(pa.string()))])
-#: Characters of text that an element keeps; rules look at less.
-_MOST = 4000
+#: Elements whose texts rules read, by a name or value among their attributes or by tag or role; these texts are whole.
+_READ = re.compile("contact|phone|email|whatsapp|joinchat|wa\\.me|wa-number", re.I)
+_READ_TAGS = {"a", "button", "address", "footer"}
+#: Characters of text that any other element keeps; no rule reads it.
+_UNREAD = 4000
 
 
 class _Reader(HTMLParser):
@@ -34,7 +38,9 @@ class _Reader(HTMLParser):
         self.base, self.silent, self.in_title, self.in_jsonld = base, [], False, False
         self.title, self.words, self.jsonld = [], [], []
         self.elements: list[dict] = []
-        self.open: list[tuple[str, dict | None, list[str]]] = []
+        self.open: list[tuple[str, dict | None, int]] = []
+        # one text of all elements; each has its start and end in it, so nesting costs nothing here
+        self.pieces, self.at, self.spans = [], 0, []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         found = {k: v or "" for k, v in attrs}
@@ -56,7 +62,7 @@ class _Reader(HTMLParser):
             element = {"tag": tag, "attributes": list(found.items()), "text": "", "url": url}
             self.elements.append(element)
         if tag not in _VOID:
-            self.open.append((tag, element, []))
+            self.open.append((tag, element, self.at))
 
     def handle_endtag(self, tag: str) -> None:
         self.words.append("\n")
@@ -71,12 +77,15 @@ class _Reader(HTMLParser):
                 break
 
     def _close(self) -> None:
-        _, element, words = self.open.pop()
-        text = "".join(words)[:_MOST]
+        tag, element, start = self.open.pop()
         if element is not None:
-            element["text"] = " ".join(text.split())
-        if self.open:
-            self.open[-1][2].append(text + " ")
+            read = tag in _READ_TAGS or any(_READ.search(x) or (k, x.lower()) == ("role", "button") for k, v in element["attributes"] for x in (k, v))
+            self.spans.append((element, start, self.at if read else min(self.at, start + _UNREAD)))
+        self._piece(" ")
+
+    def _piece(self, text: str) -> None:
+        self.pieces.append(text)
+        self.at += len(text)
 
     def handle_data(self, data: str) -> None:
         if self.in_jsonld:
@@ -86,12 +95,14 @@ class _Reader(HTMLParser):
         if self.in_title:
             self.title.append(data)
         self.words.append(data)
-        if self.open:
-            self.open[-1][2].append(data)
+        self._piece(data)
 
     def result(self) -> dict:
         while self.open:
             self._close()
+        buffer = "".join(self.pieces)
+        for element, start, end in self.spans:
+            element["text"] = " ".join(buffer[start:end].split())
         whole = "".join(self.words)
         lines = "\n".join(x for x in (" ".join(y.split()) for y in whole.split("\n")) if x)
         return {"title": " ".join("".join(self.title).split()), "text": " ".join(whole.split()), "lines": lines, "elements": self.elements, "jsonld": self.jsonld}
