@@ -2,7 +2,7 @@ r"""Chat formatting: layouts told by a fingerprint of their field paths, one rev
 
 A record's nested field paths, sorted, are its schema; their hash is its fingerprint, and each
 fingerprint in ``LAYOUTS`` selects a declarative mapping to canonical turns (conv_id, turn,
-role, text). JSON records are told row by row, tables of turns once by their columns.
+role, text). JSON records are told row by row; a table, whose rows share their paths, once.
 A record of an unknown layout gives no turns and is reported by ``unknown``.
 
 ``format_turns`` writes each turn as
@@ -138,25 +138,44 @@ def unknown(records: DataFrame, *, json_col: str = "record") -> DataFrame:
     return told.where(~F.coalesce(F.col("_print").isin(list(known.values())), F.lit(False))).drop("_print")
 
 
-# Tables whose rows are turns: columns, and which of them are conversation, turn, role and text.
-TURN_TABLES = {
-    fingerprint(["conv_id", "turn", "role", "text"]): ("conv_id", "turn", "role", "text"),
-    fingerprint(["conversation_id", "index", "role", "content"]): ("conversation_id", "index", "role", "content"),
-    fingerprint(["thread", "position", "speaker", "message"]): ("thread", "position", "speaker", "message"),
-}
+# Tables whose rows are turns: columns, in the order of conversation, turn, role and text.
+TURN_TABLES = [
+    ("conv_id", "turn", "role", "text"),
+    ("conversation_id", "index", "role", "content"),
+    ("thread", "position", "speaker", "message"),
+]
+_CANONICAL = ("conv_id", "turn", "role", "text")
 
 
-def turns_of_table(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) of a table of turns, or of records with nested columns; a known layout's columns may stand among others."""
-    names = set(rows.columns)
-    for columns in TURN_TABLES.values():
-        if names >= set(columns) and TURN_TABLES[fingerprint(list(columns))] == columns:
-            return rows.select(*(F.col(f"`{c}`").alias(a) for c, a in zip(columns, ("conv_id", "turn", "role", "text"))))
-    paths = schema_paths(T.StructType([f for f in rows.schema if f.name != "conv_id"]))
-    told = {fingerprint(p): m for p, m in LAYOUTS.values()}.get(fingerprint(paths))
+def _mappings() -> dict[str, tuple[list[str], tuple | list]]:
+    """By fingerprint: the field paths of a table's layout, and its columns (a turn a row) or its mapping (a record a row)."""
+    found: dict[str, tuple[list[str], tuple | list]] = {fingerprint(list(columns)): (list(columns), columns) for columns in TURN_TABLES}
+    return found | {fingerprint(["conv_id", *paths]): (["conv_id", *paths], mapping) for paths, mapping in LAYOUTS.values()}
+
+
+def layout_of(paths: list[str]) -> tuple | list:
+    """The mapping that the fingerprint of a table's field paths selects.
+
+    Paths that no layout knows are left out first. Where the rest is no layout as a whole, because columns of
+    another one stand there as well, it is the fingerprint of those of the largest layout that is whole, the first of equals.
+    """
+    known = _mappings()
+    spoken_of = {p for own, _ in known.values() for p in own}
+    told = known.get(fingerprint([p for p in paths if p in spoken_of]))
+    if told is None:
+        parts = sorted(([p for p in paths if p in own] for own, _ in known.values()), key=len, reverse=True)
+        told = next((known[x] for x in map(fingerprint, parts) if x in known), None)
     if told is None:
         raise ValueError(f"no layout has the columns {sorted(paths)}")
-    each = rows.select("conv_id", F.posexplode(_mapped(F.struct(*(c for c in rows.columns if c != "conv_id")), told)).alias("turn", "one"))
+    return told[1]
+
+
+def turns_of_table(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, role, text) of a table of turns, or of records with nested columns, by the fingerprint of its field paths; further columns are left out."""
+    told = layout_of(schema_paths(rows.schema))
+    if isinstance(told, tuple):
+        return rows.select(*(F.col(f"`{c}`").alias(a) for c, a in zip(told, _CANONICAL)))
+    each = rows.select("conv_id", F.posexplode(_mapped(F.struct(*(F.col(f"`{c}`") for c in rows.columns if c != "conv_id")), told)).alias("turn", "one"))
     return each.select("conv_id", F.col("turn").cast("long").alias("turn"), "one.role", "one.text")
 
 

@@ -2,8 +2,10 @@
 
 ``ngram_set`` turns the benchmark into windows. If the set's measured size is under
 ``max_broadcast_bytes`` each task gets it as a hash table, looks every window of its
-documents up, verifies each hit word for word, and no row is shuffled. A larger set is
-joined instead, on two independent 64-bit hashes of the window.
+documents up, verifies each hit word for word, and no row is shuffled. Of a larger set each
+task gets a bit table of the windows' hashes, of a bounded size; the few windows that pass it
+are joined with the set on their very words, and the hits are joined back to the documents'
+rows, which are written with row tags first. Both ways give the same results.
 
 Defined cases: a null or empty text has no words and is never contaminated; a null
 item id or an item without words counts for nothing; repeated items count once; repeated
@@ -18,16 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.textblocks import ALNUM, Words, mix, slices
+from contactloom.llm.bits import bit_table, bits_for, passes
+from contactloom.llm.shared import materialized
+from contactloom.llm.textblocks import ALNUM, Words, slices
 
 WINDOW = 13
 #: Up to this size the window set is broadcast.
 MAX_BROADCAST_BYTES = 32 << 20
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
+#: Tasks that a window, however many documents hold it, is dealt over in the join.
+SALT = 16
 
 _REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -107,19 +113,18 @@ class _Judged:
         self.n_words, self.n_hit = words.counts(), sums[words.first[1:]] - sums[words.first[:-1]]
         self.contaminated = (self.n_hit > 0) & (ONE_IN * self.n_hit >= self.n_words)
 
-    def without_hits(self, text: str | None, row: int) -> str | None:
-        """The text without its hit words and what stands between them."""
-        if not self.n_hit[row]:
-            return text
-        words, raw, base = self.words, text.encode(), int(self.words.offsets[row])
-        out, at, inside = [], 0, False
-        for k in range(int(words.first[row]), int(words.first[row + 1])):
-            if self.hit[k] and not inside:
-                out.append(raw[at : int(words.start[k]) - base])
-            if not self.hit[k] and inside:
-                at = int(words.start[k]) - base
-            inside = bool(self.hit[k])
-        return (b"".join(out) + (b"" if inside else raw[at:])).decode()
+
+def _without(words: Words, hit: np.ndarray, text: str, row: int) -> str:
+    """The text without its hit words and what stands between them."""
+    raw, base = text.encode(), int(words.offsets[row])
+    out, at, inside = [], 0, False
+    for k in range(int(words.first[row]), int(words.first[row + 1])):
+        if hit[k] and not inside:
+            out.append(raw[at : int(words.start[k]) - base])
+        if not hit[k] and inside:
+            at = int(words.start[k]) - base
+        inside = bool(hit[k])
+    return (b"".join(out) + (b"" if inside else raw[at:])).decode()
 
 
 def _scan(shared):
@@ -148,49 +153,70 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, doc_col:
     grams, shared = _window_set(benchmark, size, item_col, item_text_col, max_broadcast_bytes)
     texts = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_REPORT}"
-    return texts.mapInArrow(_scan(shared), kind) if shared else _joined(texts, grams, kind)
+    if shared:
+        return texts.mapInArrow(_scan(shared), kind)
+    tagged = _tagged(texts)
+    found = tagged.select(F.col("_row").alias("row"), "doc_id").join(_joined(tagged.select(F.col("_row").alias("row"), "text"), grams), "row")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
 
 
-def _hashed_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for length in sorted(set(batch.column("length").to_pylist())):
             part = batch.filter(pa.compute.equal(batch.column("length"), length))
             words = Words(part.column("words").cast(pa.string()), ALNUM)
-            yield pa.record_batch([part.column("item_id"), part.column("length"), *(pa.array(words.windows(length, s)[::length].view(np.int64)) for s in (0, 7))], ["item_id", "length", "h1", "h2"])
+            yield pa.record_batch([pa.array(words.windows(length)[::length].view(np.int64))], ["key"])
 
 
-def _hashed_docs(lengths: list[int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
-        from pyspark import TaskContext
+def _possible(lengths: list[int], shared):
+    """The windows that pass the bit table, with their words."""
 
-        task = TaskContext.get().partitionId() << 40
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             words = Words(part.column("text"), ALNUM)
-            rows = pa.array(np.arange(row, row + part.num_rows) + task)
-            row += part.num_rows
-            # one row of length 0 stands for the document itself
-            yield pa.record_batch([rows, part.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(np.zeros(part.num_rows, np.int32)), pa.array(mix(np.arange(part.num_rows, dtype=np.uint64)).view(np.int64)), pa.nulls(part.num_rows, pa.int64())], ["row", "doc_id", "at", "length", "h1", "h2"])
             for length in lengths:
-                h1, h2 = words.windows(length), words.windows(length, 7)
-                at = np.flatnonzero(words.doc[: len(h1)] == words.doc[length - 1 :][: len(h1)])
+                found = words.windows(length)
+                at = np.flatnonzero(passes(shared.value, found.view(np.int64)))
+                at = at[words.doc[at] == words.doc[at + length - 1]]
                 doc = words.doc[at]
-                yield pa.record_batch([rows.take(pa.array(doc)), part.column("doc_id").take(pa.array(doc)), pa.array(at - words.first[doc]), pa.array(np.full(len(at), length, np.int32)), pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64))], ["row", "doc_id", "at", "length", "h1", "h2"])
+                yield pa.record_batch([part.column("row").take(pa.array(doc)), pa.array(at - words.first[doc]), pa.array(np.full(len(at), length, np.int32)), pa.array([words.lowered(k, k + length) for k in at.tolist()], pa.binary())], ["row", "at", "length", "words"])
 
     return run
 
 
-def _joined(texts: DataFrame, grams: DataFrame, kind: str) -> DataFrame:
-    """The same report by a shuffled join, for window sets that must not be broadcast."""
-    items = grams.mapInArrow(_hashed_items, "item_id string, length int, h1 long, h2 long").groupBy("length", "h1", "h2").agg(F.collect_set("item_id").alias("items"))
-    lengths = sorted(r["length"] for r in grams.select("length").distinct().collect())
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    windows = texts.mapInArrow(_hashed_docs(lengths), f"row long, doc_id {id_type}, at long, length int, h1 long, h2 long")
-    found = windows.join(items, ["length", "h1", "h2"], "left").where("length = 0 OR items IS NOT NULL")
-    spread = found.withColumn("word", F.explode_outer(F.when(F.col("length") > 0, F.sequence("at", F.col("at") + F.col("length") - 1))))
-    words = spread.groupBy("row", "word").agg(F.first("doc_id").alias("doc_id"), F.max(F.when(F.col("length") == 0, F.col("at"))).alias("n_words"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-    docs = words.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.count("word").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return docs.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")).to(texts.sparkSession.createDataFrame([], kind).schema)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        yield pa.record_batch([part.column("row"), pa.array(Words(part.column("text"), ALNUM).counts(), pa.int64())], ["row", "n_words"])
+
+
+def _joined(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(row, n_words, n_hit, items, hits) of texts (row, text), by a join; ``hits``: (at, length) of the windows that occur, in order.
+
+    ``texts`` must give the same rows whenever it is read.
+    """
+    n, lengths = grams.count(), sorted(r["length"] for r in grams.select("length").distinct().collect())
+    table = texts.sparkSession.sparkContext.broadcast(bit_table(grams.select("length", "words").mapInArrow(_hashes, "key long"), bits_for(n)))
+    possible = texts.mapInArrow(_possible(lengths, table), "row long, at long, length int, words binary")
+    # the words decide, not their hash; only windows that occur are dealt over SALT tasks each
+    occurs = possible.select("words").distinct().join(grams, "words").select("words", "item_id", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    found = possible.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int")).join(occurs, ["words", "salt"])
+    places = found.groupBy("row", "at", "length").agg(F.lit(1).alias("one")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "length"))).alias("hits"))
+    items = found.select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+    end = lambda x: x["at"] + x["length"]
+    covered = F.aggregate("hits", start, lambda s, x: F.struct(F.greatest(s["end"], end(x)).alias("end"), (s["n"] + F.greatest(F.lit(0), end(x) - F.greatest(s["end"], x["at"]))).alias("n")), lambda s: s["n"])
+    counted = texts.mapInArrow(_counted, "row long, n_words long")
+    whole = counted.join(places.join(items, "row"), "row", "left")
+    return whole.select("row", "n_words", F.coalesce(covered, F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "hits")
+
+
+def _contaminated() -> Column:
+    return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    """The rows with ``_row``, written: a task that runs again reads the same numbers."""
+    return materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", size: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -200,12 +226,28 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", si
     grams, shared = _window_set(benchmark, size, item_col, item_text_col, max_broadcast_bytes)
     text = F.col(f"`{text_col}`")
     if shared is None:
-        if mode == "spans":
-            raise ValueError("spans are only cut out with a window set that can be broadcast; raise max_broadcast_bytes or use mode='documents'")
-        # contamination follows from the text alone, so its digest is the key
-        report = _joined(docs.select(F.sha2(text, 256).alias("doc_id"), text.alias("text")), grams, f"doc_id string, {_REPORT}")
-        bad = report.where("contaminated").select(F.col("doc_id").alias("_digest")).distinct()
-        return docs.join(bad, F.sha2(text, 256) == bad["_digest"], "left_anti")
+        tagged = _tagged(docs)
+        found = _joined(tagged.select(F.col("_row").alias("row"), text.alias("text")), grams)
+        if mode == "documents":
+            return tagged.join(found.where(_contaminated()).select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+
+        @F.arrow_udf("string")
+        def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for texts, hits in columns:
+                out = []
+                for one, places in zip(texts.to_pylist(), hits.to_pylist()):
+                    words = Words(pa.array([one]), ALNUM)
+                    hit = np.zeros(len(words.hash), bool)
+                    for place in places:
+                        hit[place["at"] : place["at"] + place["length"]] = True
+                    out.append(_without(words, hit, one, 0))
+                yield pa.array(out, pa.string())
+
+        # only texts with hits go to Python
+        hits = found.where("n_hit > 0").select(F.col("row").alias("_row"), F.col("hits").alias("_hits"))
+        both = tagged.join(hits, "_row", "left")
+        bare = both.where("_hits IS NULL").select(*docs.columns)
+        return bare.unionByName(both.where("_hits IS NOT NULL").withColumn(text_col, cut(text, F.col("_hits"))).select(*docs.columns))
 
     def judged(texts: Iterator[pa.Array], give) -> Iterator[pa.Array]:
         lookup = _Lookup(shared.value)
@@ -218,7 +260,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", si
 
     @F.arrow_udf("string")
     def cleaned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from judged(texts, lambda found, own: pa.array([found.without_hits(x, k) for k, x in enumerate(own.to_pylist())], pa.string()))
+        yield from judged(texts, lambda found, own: pa.array([_without(found.words, found.hit, x, k) if found.n_hit[k] else x for k, x in enumerate(own.to_pylist())], pa.string()))
 
     return docs.where(~contaminated(text)) if mode == "documents" else docs.withColumn(text_col, cleaned(text))
 

@@ -8,8 +8,8 @@ connected component. The steps, none of which makes all pairs of a group:
 2. *Filter.* The first l elements that similar sets have in common, in any fixed order,
    lie in each one's first |x| - ceil(0.8 |x|) + l elements. Those, by hash order and with
    l = |x| / 10, are counted; a set of which fewer than l (of the smallest possible
-   partner) occur in another set has no partner. Bit tables of a fixed size, made from the
-   counts, keep most shingles from being shuffled; what passes them is joined exactly.
+   partner) occur in another set has no partner. Bit tables, whose size follows the counts up
+   to 32 MiB, keep most shingles from being shuffled; what passes them is joined exactly.
 3. *Index.* The remaining sets' shingles are ordered from rare to frequent. Shingles of one
    set only match nothing and come first; the prefix of the others is the index: lists of
    (set, size, position).
@@ -19,8 +19,9 @@ connected component. The steps, none of which makes all pairs of a group:
    are skipped as a whole if they are of one component, if their sizes differ too much, or
    if what stands after their positions cannot reach the overlap. What remains gets its
    answers from the pivot's: with |x & p| and |y & p| known, |x & y| is at most the lesser
-   of both plus the lesser of what x and y share outside p. Only pairs above that bound are
-   compared.
+   of both plus the lesser of what x and y share outside p, which skips most pairs. Of those
+   above that bound, a set that is highly similar to the pivot derives its answers from the
+   pivot's by their short differences alone; only the others are compared whole.
 
 Defined cases: null and empty texts have no shingles and link with nothing; fewer than five
 words are one shingle; repeated rows each get their component; other columns are ignored;
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.bits import bit_table, bits_for, passes
 from contactloom.llm.components import components
 from contactloom.llm.shared import materialized
 from contactloom.llm.textblocks import NONSPACE, Words, mix, slices
@@ -43,8 +45,6 @@ from contactloom.llm.textblocks import NONSPACE, Words, mix, slices
 SHINGLE = 5
 #: Two sets are similar from so many hundredths of their union on.
 PERCENT = 80
-#: Size of a bit table; fuller tables only let more rows through to the join behind them.
-TABLE_BITS = 24
 
 
 def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -89,11 +89,6 @@ def _first_shared(n: int) -> int:
     return max(1, n // 10)
 
 
-def _passes(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.int64((len(table) << 6) - 1)
-    return (table[at >> np.int64(6)] >> (at & np.int64(63)) & np.int64(1)).astype(bool)
-
-
 def _distinct(size: int, most: int, choose):
     """Rows of ``choose(set, id)`` for the sets that the task hasn't met yet; it remembers ``most`` of them."""
 
@@ -118,28 +113,18 @@ def _distinct(size: int, most: int, choose):
 def _probe(percent: int, shared=None):
     def choose(found: np.ndarray, sid: int) -> np.ndarray:
         probe = found[: len(found) - _least(len(found), percent) + _first_shared(len(found))]
-        return probe if shared is None else probe[_passes(shared.value, probe)]
+        return probe if shared is None else probe[passes(shared.value, probe)]
 
     return choose
 
 
 def _alive(shared):
     def choose(found: np.ndarray, sid: int) -> np.ndarray | None:
-        return found if _passes(shared.value, np.array([sid]))[0] else None
+        return found if passes(shared.value, np.array([sid]))[0] else None
 
     return choose
 
 
-def _bit_table(keys: DataFrame, bits: int) -> np.ndarray:
-    """2 ** ``bits`` bits with those of the keys' low bits set; only these words, a fixed number, come to the driver."""
-    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
-    words = keys.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = words.toArrow()
-    table = np.zeros(1 << (bits - 6), np.int64)
-    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return table
-
-
 def _similar(overlap: Column, n: Column, m: Column, percent: int) -> Column:
     return 100 * overlap >= percent * (n + m - overlap)
 
@@ -155,7 +140,20 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", F.size(F.array_intersect("t_x", "t_y")).cast("long").alias("overlap"))
 
 
-def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, table_bits: int = TABLE_BITS) -> DataFrame:
+def _derived(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The same for pairs (x, y, pivot, o_y) whose x is similar to the pivot, from ``o_y``, the answer of pivot and y.
+
+    |x & y| = |p & y| + |(x less p) & y| - |(p less x) & y|, and the differences of similar sets are short.
+    """
+    own = sets.select(F.col("sid").alias("x"), F.col("n").alias("n_x"), F.col("tokens").alias("t_x"))
+    pivot = sets.select(F.col("sid").alias("pivot"), F.col("tokens").alias("t_p"))
+    steps = pairs.select("x", "pivot").distinct().join(own, "x").join(pivot, "pivot").select("x", "pivot", "n_x", F.array_except("t_x", "t_p").alias("more"), F.array_except("t_p", "t_x").alias("less"))
+    other = sets.select(F.col("sid").alias("y"), F.col("n").alias("n_y"), F.col("tokens").alias("t_y"))
+    of_y = lambda c: F.size(F.array_intersect(c, "t_y"))
+    return pairs.join(steps, ["x", "pivot"]).join(other, "y").select("x", "y", "n_x", "n_y", (F.col("o_y") + of_y("more") - of_y("less")).cast("long").alias("overlap"))
+
+
+def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between the ids of different sets; enough of them to connect all that are similar."""
     spark = texts.sparkSession
     share = spark.sparkContext.broadcast
@@ -163,13 +161,13 @@ def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, tabl
     met = 1 << 20
     probes = texts.mapInArrow(_distinct(size, met, _probe(percent)), kind).select("sid", F.explode("tokens").alias("token"))
     shared = materialized(probes.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo <> hi").select("token"), "shared")
-    table = share(_bit_table(shared.select(F.col("token").alias("key")), table_bits))
+    table = share(bit_table(shared.select(F.col("token").alias("key")), bits_for(shared.count())))
     again = texts.mapInArrow(_distinct(size, met, _probe(percent, table)), kind).select("sid", "n", F.explode("tokens").alias("token"))
     partner = F.greatest(F.lit(1), F.floor(F.ceil(percent * F.col("n") / 100) / 10))  # _first_shared of the smallest partner
     # tasks may have met the same set: count its shingles once
     alive = again.join(shared, "token").groupBy("sid", "token").agg(F.max("n").alias("n")).groupBy("sid").agg(F.count("*").alias("found"), F.max("n").alias("n")).where(F.col("found") >= partner).select("sid")
     alive = materialized(alive, "alive")
-    near = share(_bit_table(alive.select(F.col("sid").alias("key")), table_bits))
+    near = share(bit_table(alive.select(F.col("sid").alias("key")), bits_for(alive.count())))
     sets = texts.mapInArrow(_distinct(size, met, _alive(near)), kind).join(alive, "sid", "left_semi")
     sets = materialized(sets.groupBy("sid", "n").agg(F.first("tokens").alias("tokens")), "sets")
 
@@ -189,8 +187,9 @@ def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, tabl
     first = known.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = materialized(components(first), "first")
 
-    entries = index.join(pivots.select("token", "pivot"), "token").where("sid <> pivot").join(known.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), "overlap"), ["pivot", "sid"], "left")
-    entries = entries.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "s", (F.col("n") - F.col("pos")).alias("rest"), "overlap", F.coalesce("root", "sid").alias("comp"))
+    seen = known.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), "overlap", linked.alias("near"))
+    entries = index.join(pivots.select("token", "pivot"), "token").where("sid <> pivot").join(seen, ["pivot", "sid"], "left")
+    entries = entries.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "s", (F.col("n") - F.col("pos")).alias("rest"), "pivot", "overlap", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("root", "sid").alias("comp"))
     entries = entries.withColumn("size_block", F.floor(F.log("n") / F.log(F.lit(100 / percent)))).withColumn("rest_block", F.floor(F.log2(F.col("rest") + 1)))
     mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     entries = materialized(entries.join(mixed, "token", "left_semi"), "entries")
@@ -206,17 +205,22 @@ def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, tabl
     ours = entries.join(kept.withColumnsRenamed({f"{c}_l": c for c in ("comp", "size_block", "rest_block")}), ["token", "comp", "size_block", "rest_block"])
     through = F.coalesce(F.least(l["overlap"], r["overlap"]) + F.least(l["s"] - l["overlap"], r["s"] - r["overlap"]), l["s"])
     meets = (l["token"] == r["token"]) & (F.col("l.comp_r") == r["comp"]) & (F.col("l.size_block_r") == r["size_block"]) & (F.col("l.rest_block_r") == r["rest_block"])
-    pairs = ours.alias("l").join(entries.alias("r"), meets & _sizes_fit(l["n"], r["n"], percent) & possible & reach(through)).select(l["sid"].alias("x"), r["sid"].alias("y")).distinct()
-    second = _overlaps(pairs, sets).where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # of each pair, x is the one that is similar to the pivot, if one is: its answers then follow from the pivot's
+    turned = F.when(l["near"], F.struct(l["sid"].alias("x"), r["sid"].alias("y"), r["overlap"].alias("o_y"))).otherwise(F.struct(r["sid"].alias("x"), l["sid"].alias("y"), l["overlap"].alias("o_y")))
+    met_pairs = ours.alias("l").join(entries.alias("r"), meets & _sizes_fit(l["n"], r["n"], percent) & possible & reach(through)).select((l["near"] | r["near"]).alias("near"), l["pivot"].alias("pivot"), turned.alias("p")).select((F.col("near") & F.col("p.o_y").isNotNull()).alias("derived"), "pivot", "p.*")
+    pairs = met_pairs.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.max(F.struct("derived", "x", "y", "pivot", "o_y")).alias("p")).select("p.*")
+    pairs = materialized(pairs, "pairs")
+    overlaps = _derived(pairs.where("derived"), sets).unionByName(_overlaps(pairs.where("NOT derived").select("x", "y"), sets))
+    second = overlaps.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     return materialized(first.unionByName(second), "links")
 
 
-def similar_groups(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
+def similar_groups(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     slim = materialized(texts.mapInArrow(_slim(size), "doc_id long, n long, sid long"), "slim")
     known = texts.where("text IS NOT NULL").select("text")
-    edges = links(known, size=size, percent=percent, table_bits=table_bits)
+    edges = links(known, size=size, percent=percent)
     least = slim.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least"))
     roots = components(edges).select(F.col("node").alias("sid"), "root")
     member = least.join(roots, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
@@ -226,7 +230,7 @@ def similar_groups(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCE
     return slim.where("n > 0").join(of, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(none)
 
 
-def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text", table_bits: int = TABLE_BITS) -> DataFrame:
+def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one row of each component: that of the least doc_id, null ids last.
 
     Of rows with that id in one component, any texts, one stays. Rows without shingles link with
@@ -235,7 +239,7 @@ def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT,
     tagged = materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
     texts = tagged.select(F.col(doc_col).cast("long").alias("doc_id"), F.col("_row").alias("row"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     slim = materialized(texts.mapInArrow(_slim(size, ("doc_id", "row", "digest")), "doc_id long, row long, digest long, n long, sid long"), "slim")
-    roots = components(links(texts.where("text IS NOT NULL").select("text"), size=size, percent=percent, table_bits=table_bits))
+    roots = components(links(texts.where("text IS NOT NULL").select("text"), size=size, percent=percent))
     least = slim.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "row")).alias("first"))
     chosen = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
     none = slim.where("n = 0").groupBy("doc_id", "digest").agg(F.min("row").alias("_row"))

@@ -8,6 +8,9 @@ coverage, the path and the neighbouring words. The forest is trained by Spark on
 findings and turned into one expression over those features, so that a text's candidates are
 judged inside its row: nothing is exploded, joined or shuffled, however hot a source is.
 
+The path is a column of the table where there is one, else the file that the candidate's own line
+names before it.
+
 ``labelled_findings`` makes a training table by rule, of a fixed size, from digests and fixed
 word lists; ``train`` takes any table of the same columns instead.
 
@@ -52,6 +55,9 @@ _HARMLESS = "sha1|sha256|sha512|md5|commit|checksum|hash|digest|integrity|etag|r
 #: Words of sentences; a passphrase has few of them.
 _PROSE = "a|an|and|are|as|at|be|by|can|do|does|enter|field|for|from|has|have|here|if|in|invalid|is|it|must|no|not|of|on|or|please|required|that|the|this|to|was|we|will|with|you|your"
 _QUOTES = "\"'`"
+#: Addresses and host names: words inside them say nothing about what stands beside them.
+_PLACES = r"[\w.+-]+@[\w.-]+|(?:[\w-]+\.)+(?:com|org|net|edu|gov|[a-z]{2})(?![a-z0-9])|https?://\S+"
+_FILE = r"(?i)([\w./-]*[\w-]\.(?:c|cfg|conf|cpp|env|go|ini|java|js|json|lock|md|php|properties|py|rb|rs|sh|toml|ts|txt|xml|ya?ml))(?![\w-])[^\n]*\z"
 _TEST_PATHS = "test|spec|example|sample|fixture|mock|demo|docs?/|\\.lock|\\.md"
 
 
@@ -84,7 +90,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
     """The doubles of ``FEATURES``, in that order."""
     size = F.greatest(F.length(value), F.lit(1))
     low = F.lower(value)
-    near = F.lower(F.concat(before, F.lit(" "), after))
+    near = F.regexp_replace(F.lower(F.concat(before, F.lit(" "), after)), _PLACES, " ")
     flag = lambda x: x.cast("double")
     changes = "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
     return F.array(
@@ -131,7 +137,7 @@ def labelled_findings(spark: SparkSession, n: int = 4800) -> DataFrame:
         F.substr(base, F.lit(1), 12 + F.pmod(length, F.lit(31))),
         F.concat(F.initcap(common("w1")), F.substr(hexes("d"), F.lit(1), F.lit(4)), pick(["!", "#", "$7", "_9"], "s")),
         F.concat(F.lit("AKIA"), F.substr(F.rpad(capital, 40, "Q7"), F.lit(1), F.lit(16))),
-        F.concat(F.lit("ghp_"), F.substr(F.regexp_replace(F.concat(base, hexes("e")), "[^A-Za-z0-9]", ""), F.lit(1), F.lit(36))),
+        F.concat(F.lit("ghp_"), F.substr(F.when(length % 2 == 0, hexes("e")).otherwise(F.regexp_replace(F.concat(base, hexes("e")), "[^A-Za-z0-9]", "")), F.lit(1), F.lit(36))),
         F.concat(F.lit("sk_live_"), F.substr(F.regexp_replace(F.concat(base, hexes("e")), "[^A-Za-z0-9]", ""), F.lit(1), F.lit(24))),
         F.concat(F.concat_ws(" ", phrase_word("p1"), phrase_word("p2"), phrase_word("p3"), F.when(length % 3 > 0, phrase_word("p4")), F.when(length % 5 > 2, phrase_word("p5"))), pick(["", "", "7", " 42", "!"], "pe")),
         pem(F.when(length % 4 > 0, body).otherwise(F.left(body, F.lit(130)))),
@@ -219,7 +225,10 @@ def _judged(text: Column, path: Column, forest: Forest, then: Callable[[Column,
 
     def judge(pieces: Column) -> Column:
         def one(k: Column) -> Column:
-            row = features(pieces[k], F.right(pieces[k - 1], F.lit(NEAR)), F.left(pieces[k + 1], F.lit(NEAR)), path)
+            before = F.right(pieces[k - 1], F.lit(NEAR))
+            # where the table names no path, the file that the line names before the candidate
+            place = F.when(path != "", path).otherwise(F.regexp_extract(before, _FILE, 1))
+            row = features(pieces[k], before, F.left(pieces[k + 1], F.lit(NEAR)), place)
             return _let(row, lambda x: F.struct(k.alias("k"), forest.votes(x).alias("score")))
 
         return _let(F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), one), lambda found: then(pieces, found))

@@ -105,7 +105,7 @@ class NoisyOr:
 
     @staticmethod
     def documents(n: int, doc: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+        return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n)) + 0.0
 
     def scores(self, p: np.ndarray) -> np.ndarray:
         """Probabilities, shifted; 0 stays 0."""

@@ -4,8 +4,10 @@ import hashlib
 import json
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,11 +63,14 @@ def test_decontamination(spark, docs, bound):
     kept = decontaminate.remove(docs, bench, max_broadcast_bytes=bound)
     assert kept.columns == docs.columns
     assert kept.count() == sum(not r["contaminated"] for r in found)
-    if bound:
-        spans = decontaminate.remove(docs, bench, mode="spans")
-        assert decontaminate.scan(spans, bench).where("n_hit > 0").count() == 0 and spans.count() == docs.count()
-    assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0
-    assert decontaminate.scan(empty(docs), bench).count() == 0
+    spans = decontaminate.remove(docs, bench, mode="spans", max_broadcast_bytes=bound)
+    assert spans.columns == docs.columns
+    assert decontaminate.scan(spans, bench).where("n_hit > 0").count() == 0 and spans.count() == docs.count()
+    cut = {r["doc_id"]: r["text"] for r in spans.collect()}
+    assert cut[11].split() == TEXTS[11].split()[:60] + TEXTS[11].split()[90:] and (cut[7], cut[6], cut[4]) == ("", None, TEXTS[4])
+    assert decontaminate.scan(docs, bench.limit(0), max_broadcast_bytes=bound - 1).where("contaminated").count() == 0
+    assert decontaminate.scan(empty(docs), bench, max_broadcast_bytes=bound).count() == 0
+    assert decontaminate.remove(empty(docs), bench, mode="spans", max_broadcast_bytes=bound).count() == 0
 
 
 def test_jaccard(spark, docs):
@@ -88,11 +93,11 @@ def test_jaccard(spark, docs):
             if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 x, y = sorted((find(a), find(b)))
                 group[y] = x
-    got = sorted(tuple(r) for r in jaccard.similar_groups(known, table_bits=12).select("doc_id", "n_shingles", "component_id").collect())
+    got = sorted(tuple(r) for r in jaccard.similar_groups(known).select("doc_id", "n_shingles", "component_id").collect())
     assert got == sorted((d, len(s), find(d)) for d, s in rows)
-    kept = jaccard.one_of_each(known, table_bits=12)
+    kept = jaccard.one_of_each(known)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {find(d) for d, _ in rows}
-    assert jaccard.similar_groups(empty(docs), table_bits=12).count() == 0
+    assert jaccard.similar_groups(empty(docs)).count() == 0
 
 
 def test_near_chain(spark):
@@ -105,7 +110,7 @@ def test_near_chain(spark):
         texts.append(" ".join(v))
     strangers = [prose(100) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts + strangers)), "doc_id long, text string")
-    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df, table_bits=16).collect()}
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(df).collect()}
     assert {found[k] for k in range(25)} == {0} and all(found[25 + k] == 25 + k for k in range(20))
 
 
@@ -164,6 +169,21 @@ def test_layouts(spark):
     assert chat.unknown(df).count() == len(odd)
 
 
+def test_tables_of_other_layouts(spark):
+    """The fingerprint of a table's paths selects its mapping, whatever other columns stand there; repeats and empty tables too."""
+    turn = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a")], "thread long, position long, speaker string, message string")
+    assert [tuple(r) for r in chat.turns_of_table(turn.withColumn("prompt", F.lit("p")).withColumn("odd", F.lit(1))).collect()] == [(1, 0, "user", "a")] * 2
+    records = spark.createDataFrame([(7, "q", "r"), (7, "q", "r"), (8, None, "")], "conv_id long, prompt string, response string").withColumn("note", F.lit("n"))
+    got = sorted((r["conv_id"], r["turn"], r["role"], r["text"] or "") for r in chat.turns_of_table(records).collect())
+    assert got == sorted([(7, 0, "user", "q"), (7, 1, "assistant", "r")] * 2 + [(8, 0, "user", ""), (8, 1, "assistant", "")])
+    nested = spark.createDataFrame([(1, [("user", "x"), ("gpt", "y")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert [tuple(r) for r in chat.turns_of_table(nested).collect()] == [(1, 0, "user", "x"), (1, 1, "assistant", "y")]
+    assert chat.turns_of_table(nested.limit(0)).count() == 0
+    assert chat.turns_of_json(spark.createDataFrame([], "conv_id long, record string")).count() == 0
+    with pytest.raises(ValueError, match="no layout"):
+        chat.turns_of_table(spark.createDataFrame([(1,)], "conv_id long"))
+
+
 def test_warc(spark, tmp_path):
     page = "<html lang='en'><title>A &amp; B</title><script>x='<p>'</script><style>p{}</style><!-- no --><body><p>One<br>two &lt;3</p><a href='/x#y'>l</a><a href='http://[bad'>m</a><script>unclosed"
     pages = spark.createDataFrame([(1, "https://x.com/a", page), (2, None, None), (3, "https://y.com", ""), (3, "https://y.com", ""), (4, "u", "<" * 3000 + "a<a <script" * 500)], "page_id long, url string, html string")
@@ -188,6 +208,60 @@ def test_warc(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+class PlainPage(HTMLParser):
+    """A page's text, title and links by an HTML parser, for pages without traps."""
+
+    BLOCKS = "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split()
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.silent, self.links, self.titles, self.titled = [], 0, [], [], False
+        self.feed(page)
+        self.close()
+        lines = ["".join(x).strip() for x in " ".join(re.split("[ \t\r\f\v\xa0]+", "".join(self.out))).split("\n")]
+        self.text = "\n".join(x for x in lines if x)
+
+    def handle_starttag(self, tag, attrs):
+        self.out += ["\n"] if tag in self.BLOCKS else []
+        self.silent += tag in ("script", "style")
+        self.titled = tag == "title"
+        if tag == "a" and dict(attrs).get("href"):
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        self.out += ["\n"] if tag in self.BLOCKS else []
+        self.silent -= tag in ("script", "style")
+        self.titled = False
+
+    def handle_data(self, data):
+        self.out += [] if self.silent else [data]
+        self.titles += [data] if self.titled else []
+
+
+def test_warc_against_a_parser(spark, sf_dir):
+    """Every page of the table: both records rebuilt with the standard library's HTML parser."""
+    from urllib.parse import urljoin
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("record_id", F.lit("own")).withColumn("block", F.lit(1)).withColumn("key", F.lit("k"))
+    got = {(r["page_id"], r["record_type"]): r for r in warc.derive(warc.responses(pages), "page_id").collect()}
+    rows = pages.collect()
+    assert len(got) == 2 * len(rows) > 0
+    for r in rows:
+        plain = PlainPage(r["html"])
+        text, facts = got[r["page_id"], "conversion"], got[r["page_id"], "metadata"]
+        assert text["record"].split("\r\n\r\n", 1)[1] == plain.text
+        fields = [x.split(": ", 1) for x in facts["record"].split("\r\n\r\n", 1)[1].split("\r\n") if x]
+        assert [v for k, v in fields if k == "outlink"] == list(dict.fromkeys(urljoin(r["url"], " ".join(x.split())) for x in plain.links if not x.startswith("#")))
+        assert [v for k, v in fields if k == "title"] == [" ".join("".join(plain.titles).split())]
+        body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(r['html'].encode())}\r\n\r\n{r['html']}".encode()
+        for x in (text, facts):
+            assert (x["source_block_digest"], x["source_payload_digest"]) == (warc.digest(body), warc.digest(r["html"].encode()))
+            assert f"WARC-Refers-To: {x['refers_to']}\r\n" in x["record"] and x["target_uri"] == r["url"]
+    long = spark.createDataFrame([(1, "https://x.com/", "<p>" + "word &amp; " * 300_000 + "</p>")], "page_id long, url string, html string")
+    text = warc.derive(warc.responses(long)).where("record_type = 'conversion'").first()
+    assert text["record"].split("\r\n\r\n", 1)[1] == ("word & " * 300_000).strip()
+
+
 def plain_ids(text):
     from tokenizers import Tokenizer
 
@@ -242,7 +316,7 @@ def test_packing(spark, docs):
     assert sum(r["length"] for r in got if r["doc_id"] is not None) == sum(len(x) for _, x in want)
     used = sum(r["length"] for r in got)
     shown = sum(n if n & (n - 1) == 0 else 2048 for n in (sum(r["length"] for r in p) for p in by.values()))
-    assert shown >= used
+    assert used <= shown <= 1.05 * used + 2048  # little padding: nothing but the ends of blocks
     assert packing.pack(empty(docs)).count() == 0
 
 
@@ -292,6 +366,38 @@ def test_secrets(spark, docs):
     assert len(found) == 900 and all(hashlib.sha256(rows[r["doc_id"]][0][r["start"] : r["start"] + r["length"]].encode()).hexdigest() == r["value_sha256"] for r in found)
 
 
+def test_candidates_by_construction(spark):
+    """Texts put together from parts whose places are known: every candidate is found where it was put, and nothing else."""
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    rng = np.random.default_rng(21)
+    hexes = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows, want, planted = [], set(), set()
+    for k in range(120):
+        text = ""
+        for _ in range(rng.integers(1, 30)):
+            text += prose(int(rng.integers(1, 20))) + rng.choice(["\n", ". ", " — ", " user@mail.example.com ", " see https://example.org/x "])
+            kind = rng.integers(6)
+            value = hexes(40) if kind < 3 else "AKIA" + "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16)) if kind == 3 else "ghp_" + hexes(36)
+            head, tail = [('token = "', '"'), ("password=", " "), ("api_key: '", "'"), ("", " "), ("", "\n"), (None, None)][kind]
+            if head is None:
+                continue
+            want.add((k, len(text + head), hashlib.sha256(value.encode()).hexdigest()))
+            planted.add((k, len(text + head)))
+            text += head + value + tail + " "
+        rows.append((k, text))
+    found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)), forest).collect()
+    assert {(r["doc_id"], r["start"], r["value_sha256"]) for r in found} == want and len(found) == len(want)
+    assert {(r["doc_id"], r["start"]) for r in found if r["secret"]} == planted  # addresses and hosts beside them change nothing
+
+
+def test_file_named_before(spark):
+    """Without a path column, the file that the line names is the path."""
+    forest = secret_scan.train(secret_scan.labelled_findings(spark))
+    seen = spark.createDataFrame([("tests/test_auth.py: ",), ("src/app.py: ",), ("no file ",)], "b string").select("b", F.regexp_extract("b", secret_scan._FILE, 1).alias("f"))
+    assert {r["b"]: r["f"] for r in seen.collect()} == {"tests/test_auth.py: ": "tests/test_auth.py", "src/app.py: ": "src/app.py", "no file ": ""}
+    assert secret_scan.scan(spark.createDataFrame([(1, 'x token = "' + "a1" * 20 + '"', "spec/x")], "doc_id long, text string, path string"), forest, path_col="path").count() == 1
+
+
 def test_harmless_digests(spark):
     forest = secret_scan.train(secret_scan.labelled_findings(spark))
     sha = hashlib.sha1(b"z").hexdigest()
@@ -303,25 +409,103 @@ def test_harmless_digests(spark):
 
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_classifiers(spark, docs, module):
-    sf = "/root/testdata/sf0.01"
-    label, limit = ("quality", 0.3) if module is quality else ("toxic", 0.5)
+    sf = "/root/testdata/sf0.1"
+    label = "quality" if module is quality else "toxic"
     every, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = module.train(every, labels)
-    scored = module.score(every, model)
-    assert scored.count() == every.count()
-    held = scored.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).join(labels, "doc_id").toPandas()
-    assert ((held["score"] >= limit) == (held[label] == 1)).mean() > 0.85
+    known = every.join(labels, "doc_id", "left_semi")
+    model = module.train(known, labels)
+    held = module.score(known, model).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).join(labels, "doc_id").toPandas()
+    y, said = held[label] == 1, held["score"] >= module.THRESHOLD
+    # far above what a constant gives, whichever it says
+    assert (said & y).sum() >= 0.85 * y.sum() and (said & y).sum() >= 0.85 * said.sum()
+    rank = held["score"].rank()
+    assert (rank[y].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (~y).sum()) > 0.96
     found = module.score(docs, model).collect()
     assert len(found) == docs.count() and all(0 <= r["score"] <= 1 for r in found)
     assert module.train(every, labels.limit(0)) is None
     assert module.score(docs, None).count() == docs.count() and module.score(empty(docs), model).count() == 0
     if module is quality:
-        kept = quality.keep_good(docs.withColumn("doc_id", F.col("doc_id")), labels.limit(0))
-        assert kept.columns == docs.columns and kept.count() == docs.count()
-    else:
-        bad = toxicity.offending(every, model)
-        toxic = {r["doc_id"] for r in scored.where("score >= 0.5").collect()}
-        assert {r["doc_id"] for r in bad.collect()} <= toxic
+        for metadata in ((), ("words", "lang", "score")):
+            kept = quality.keep_good(docs, labels.limit(0), metadata=metadata)
+            assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
+def test_quality_metadata(spark):
+    """Numbers, missing ones and names tell classes apart whose texts don't."""
+    rows = [(k, "same words here", 10.0 if k % 2 else (None, float("nan"), float("inf"))[k % 3], f"kind{k % 2}", k % 2) for k in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, size double, kind string, quality int")
+    labels = table.select("doc_id", "quality")
+    for metadata in (("size",), ("kind",), ("size", "kind")):
+        model = quality.train(table, labels, metadata=metadata)
+        got = quality.score(table, model, metadata=metadata).collect()
+        assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in got)
+    kept = quality.keep_good(table, labels, metadata=("kind",), threshold=0.5)
+    assert {r["doc_id"] % 2 for r in kept.collect()} == {1} and kept.columns == table.columns
+
+
+def test_samples_count_an_id_once(spark):
+    from contactloom.llm.learning import labelled_sample
+
+    docs = spark.createDataFrame([(1, "b"), *[(1, "a")] * 500, (2, "c"), (3, None), (4, "x" * 100), (None, "d"), (6, "e")], "doc_id long, text string").withColumn("label", F.lit(9))
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (4, 0), (6, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
+    found = labelled_sample(docs, labels, "toxic", 100, row_bytes=50).collect()
+    held = {k for k in (1, 2) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert sorted((r["text"], r["label"]) for r in found) == sorted((t, y) for k, t, y in ((1, "a", 1), (2, "c", 0)) if k not in held)
+
+
+def plain_toxicity(model, text):
+    """Sentence scores and the text's, word by word."""
+    raw = "".join(chr(b + 32) if 65 <= b <= 90 else chr(b) for b in (text or "").encode())  # a character a byte
+    sentences, words = [], []
+    for piece in re.findall(r"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+", raw):
+        if re.match(r"[a-z0-9\x80-\xff]", piece):
+            words.append(piece.encode("latin-1"))
+        elif re.search(r"[.!?\n]", piece) and words:
+            sentences.append(words)
+            words = []
+    sentences += [words] if words else []
+    odds = []
+    for words in sentences:
+        alone = toxicity.Sentences(pa.array([" ".join(w.decode("utf-8", "replace") for w in words)]))
+        z = model.bias + sum(model.w[b] for b in set(alone.bucket.tolist()))
+        odds.append(1 / (1 + np.exp(-z)))
+    whole = 1 - np.prod([1 - p for p in odds]) if odds else 0.0
+    lift = lambda p: p / max(1 - p, 1e-12) * (1 - model.limit) / model.limit
+    shift = lambda p: lift(p) / (1 + lift(p))
+    return [shift(p) for p in odds], shift(whole)
+
+
+def test_noisy_or_and_places(spark):
+    """Scores and places against a plain loop, on made-up labels: some words are bad, and stand anywhere."""
+    rng = np.random.default_rng(11)
+    bad = ["nastyword", "vileness", "scornful", "ärgernisse"]
+    rows = []
+    for k in range(600):
+        sentences = [" ".join(rng.choice(WORDS, 6)) for _ in range(rng.integers(1, 6))]
+        if k % 4 == 0:
+            at = int(rng.integers(len(sentences)))
+            sentences[at] += " " + bad[k % 3 if k % 5 else 3] + ("x" if k % 7 == 0 else "")
+        rows.append((k, ". ".join(sentences) + rng.choice([".", "!", "", "\n"]), k % 4 == 0))
+    table = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(y)) for k, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train(table, labels)
+    more = spark.createDataFrame([(1000, None), (1001, ""), (1002, "?!. ."), (1003, "Nastyword! " * 3000), (1004, "quiet words. " * 3000), (1004, "nastyWORD"), (None, "vileness")], "doc_id long, text string").withColumn("score", F.lit(1))
+    every = table.withColumn("score", F.lit(1)).unionByName(more)
+    texts = sorted((str(r["doc_id"]), r["text"] or "") for r in every.collect())
+    scores = sorted((str(r["doc_id"]), r["score"]) for r in toxicity.score(every, model).collect())
+    want = sorted((d, plain_toxicity(model, t)[1]) for d, t in texts)
+    assert [d for d, _ in scores] == [d for d, _ in want] and np.allclose([s for _, s in scores], [s for _, s in want], atol=1e-9)
+    wrong = sum((s >= 0.5) != (int(d) % 4 == 0) for d, s in scores if d != "None" and int(d) < 1000)
+    assert wrong <= 3
+    places = []
+    for d, t in texts:
+        each, whole = plain_toxicity(model, t)
+        found = [k for k, s in enumerate(each) if s >= 0.5] or ([int(np.argmax(each))] if whole >= 0.5 else [])
+        places += [(d, k) for k in found]
+    got = toxicity.offending(every, model).collect()
+    assert sorted((str(r["doc_id"]), r["sentence"]) for r in got) == sorted(places)
+    assert any("nastyword" in r["text"].lower() for r in got if r["doc_id"] == 1003)
+    assert toxicity.offending(every.limit(0), model).count() == 0 and toxicity.offending(every, None).count() == 0
 
 
 def test_machine_identity():

@@ -16,15 +16,15 @@ def test_one_row_of_each(spark):
     rows += [(5, NEAR_A, "x"), (None, A, "x")]
     rows += [(6, "", "x"), (6, "", "x"), (7, "", "x"), (8, None, "x"), (None, None, "x"), (None, None, "x"), (1, " ", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, other string").repartition(3)
-    kept = jaccard.one_of_each(docs, table_bits=12)
+    kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     got = sorted((str(r["doc_id"]), (r["text"] or "-").split(" ")[0]) for r in kept.collect())
     assert got == sorted([("1", "alpha0"), ("3", "beta0"), ("0", "gamma0"), ("None", "delta0"), ("6", "-"), ("7", "-"), ("8", "-"), ("None", "-"), ("1", "")])
-    again = jaccard.one_of_each(kept, table_bits=12)
+    again = jaccard.one_of_each(kept)
     assert again.count() == kept.count()
-    assert jaccard.one_of_each(docs.limit(0), table_bits=12).count() == 0
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_other_names(spark):
     docs = spark.createDataFrame([("2", A), ("1", A), ("1", A)], "id string, body string")
-    assert [r["id"] for r in jaccard.one_of_each(docs, doc_col="id", text_col="body", table_bits=12).collect()] == ["1"]
+    assert [r["id"] for r in jaccard.one_of_each(docs, doc_col="id", text_col="body").collect()] == ["1"]

@@ -13,7 +13,7 @@ def test_stages(spark, sf_dir, tmp_path):
         kept.append(docs)
     for before, after in zip(kept, kept[1:4]):
         assert after.columns == columns and {r[0] for r in after.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
-    groups = jaccard.similar_groups(kept[0], table_bits=16)
+    groups = jaccard.similar_groups(kept[0])
     assert kept[1].count() == groups.select("component_id").distinct().count()
     reports = decontaminate.scan(kept[1], spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     assert kept[2].count() == reports.where("NOT contaminated").count() > 0
