@@ -1,10 +1,15 @@
-"""``python -m contactloom seeds.txt -o out``: crawl a seed list into flat leads, and resume."""
+"""``python -m contactloom seeds.txt -o out``: crawl a seed list into flat leads, and resume.
+
+The seeds are asked in rounds, in the order of the list, and each round's leads are saved before the next one
+begins: a run that is stopped has lost one round at the most, and the next run asks only for the rest.
+"""
 
 from __future__ import annotations
 
 import argparse
 import datetime
 import sys
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +38,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-bytes", type=_positive, default=2_000_000)
     p.add_argument("--limit", type=_positive)
     p.add_argument("--source", default="google dorks")
-    p.add_argument("--default-country", default="")
+    p.add_argument("--default-country", default="EG")
+    p.add_argument("--round", type=_positive, default=600, help="hosts that are asked before their leads are saved")
     p.add_argument("--user-agent", default=CrawlConfig.user_agent)
     p.add_argument("--ignore-robots", action="store_true")
     p.add_argument("--refresh", action="store_true", help="ask every host again")
@@ -69,20 +75,30 @@ def run(spark: SparkSession, args: argparse.Namespace, **options) -> int:
         todo = seeds
     else:
         todo = store.retry_pending(seeds, history) if args.retry_errors else store.pending(seeds, history)
+    if todo.limit(1).count() == 0:
+        print("Nothing to crawl; all selected domains are in the output.")
+        return 0
     config = CrawlConfig(args.concurrency, args.timeout, args.delay, args.max_pages, args.max_bytes, not args.ignore_robots, user_agent=args.user_agent)
-    landing = f"{args.output.rstrip('/')}.pages"
-    crawl(todo, config, **options).write.mode("overwrite").parquet(landing)
-    pages = spark.read.parquet(landing).withColumn("url", F.col("page_url"))
-    leads = extract.crawled(pages, as_of=args.date or datetime.date.today().isoformat(), source=args.source, default_country=args.default_country, order_col="page_no", error_col="error")
+    base = args.output.rstrip("/")
+    # what this run asks for stays the same while its output grows
+    plan = f"{base}.run-{uuid.uuid4().hex}"
+    store.numbered(todo.select("line_no", "url", "host"), "line_no", "index").withColumn("round", F.floor((F.col("index") - 1) / args.round).cast("int")).write.parquet(f"{plan}/targets")
+    targets = spark.read.parquet(f"{plan}/targets")
+    rounds = (targets.agg(F.max("round").alias("last")).first()["last"] or 0) + 1
+    # leads that replace others go to a folder of their own until all are there; the old ones stay as they are until then
+    replaces = args.refresh or args.retry_errors
+    out = f"{plan}/leads" if replaces else args.output
+    for k in range(rounds):
+        crawl(targets.where(F.col("round") == k), config, **options).write.parquet(f"{plan}/pages-{k:06d}")
+        pages = spark.read.parquet(f"{plan}/pages-{k:06d}")
+        leads = extract.crawled(pages, as_of=args.date or datetime.date.today().isoformat(), source=args.source, default_country=args.default_country, order_col="page_no", url_col="page_url", host_col="host", website_col="seed_url", error_col="error")
+        _csv(leads, out, "append")
+        print(f"[{min((k + 1) * args.round, targets.count())}/{targets.count()}] saved", file=sys.stderr)
     if args.refresh:
-        _csv(leads, args.output, "overwrite")
+        _csv(read_history(spark, out), args.output, "overwrite")
     elif args.retry_errors:
-        # the new rows are safe in a folder of their own before the old ones go
-        kept = f"{args.output.rstrip('/')}.new"
-        _csv(store.replaced(history, leads), kept, "overwrite")
-        _csv(read_history(spark, kept), args.output, "overwrite")
-    else:
-        _csv(leads, args.output, "append")
+        _csv(store.replaced(history, read_history(spark, out)), f"{plan}/all", "overwrite")
+        _csv(read_history(spark, f"{plan}/all"), args.output, "overwrite")
     return 0
 
 

@@ -6,33 +6,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactloom.functions.folds import distinct_by
-from contactloom.functions.text import let, nonempty_distinct, percent_decoded, utrim
+from contactloom.functions.text import BLANK, WORD_ENDS, WORD_STARTS, first_fields, let, nonempty_distinct, percent_decoded, utrim
 
-ADDRESS = r"(?i)[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,63}|xn--[a-z0-9-]{1,59})"
-#: The crawler's wider form: Unicode word characters count.
-CRAWLED = r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"
+# The characters of a local part when capturing and when crawling, a captured address's host, and its last label [E1, E2].
+LOCAL = r"a-z0-9.!#$%&'*+/=?^_`{|}~-"
+CRAWLED_LOCAL = r"\w.!#$%&'*+/=?^`{|}~-"
+HOST = "[a-z0-9](?:[a-z0-9.-]{0,61}[a-z0-9])?"
+TOP = "(?:[a-z]{2,63}|xn--[a-z0-9-]{2,59})"
+
+
+def _from_the_start(local: str) -> str:
+    """A run of such characters from its start, or from the end of the last match: a long run is looked at once."""
+    return rf"(?:\G|(?<![{local}]))[{local}]+"
+
+
+ADDRESS = rf"(?i){_from_the_start(LOCAL)}@{HOST}\.{TOP}"
+CRAWLED = rf"(?U){_from_the_start(CRAWLED_LOCAL)}@[\w-]+(?:\.[\w-]+)+"
+
+
+def _spelt(word: str) -> str:
+    return rf"(?:\[{word}\]|\({word}\)|{WORD_STARTS}{word}{WORD_ENDS})"
+
+
+_SPELT = rf"(?i)({_from_the_start(LOCAL)}){BLANK}*{_spelt('at')}{BLANK}*([a-z0-9.-]+){BLANK}*{_spelt('dot')}{BLANK}*([a-z]{{2,63}})"
 
 
 def revealed(text: Column) -> Column:
-    """``name [at] host [dot] tld`` and its like as addresses."""
-    name, part = r"([a-z0-9._%+-]+)", r"([a-z0-9-]+(?:\.[a-z0-9-]+)*)"
-    for at, dot in ((r"\s*\[\s*at\s*\]\s*", r"\s*\[\s*dot\s*\]\s*"), (r"\s*\(\s*at\s*\)\s*", r"\s*\(\s*dot\s*\)\s*"), (r"\s+at\s+", r"\s+dot\s+")):
-        text = F.regexp_replace(text, rf"(?i){name}{at}{part}{dot}([a-z]{{2,63}})", "$1@$2.$3")
-    return text
+    """``name [at] host [dot] tld`` and its like as addresses; only texts that hold both words are searched."""
+    low = F.lower(text)
+    return F.when(F.contains(low, F.lit("dot")) & F.contains(low, F.lit("at")), F.regexp_replace(text, _SPELT, "$1@$2.$3")).otherwise(text)
 
 
 def _split(value: Column) -> tuple[Column, Column]:
     """What stands before and after the last @."""
-    return F.regexp_extract(value, "^(.*)@([^@]*)$", 1), F.regexp_extract(value, "^(.*)@([^@]*)$", 2)
+    return F.regexp_extract(value, "(?s)^(.*)@([^@]*)$", 1), F.regexp_extract(value, "(?s)^(.*)@([^@]*)$", 2)
 
 
 def extracted_email(value: Column) -> Column:
     """An address found in a text: wrappers off, domain in lower case; empty if it can't be one."""
-    bare = F.regexp_replace(utrim(value), r"^[<(\[{\"'.,;:]+|[>)\]}\"'.,;:]+$", "")
+    bare = F.regexp_replace(utrim(value), r"^[<(\"'\[]+|[>)\"',.;:\]]+$", "")
 
     def checked(v: Column) -> Column:
         local, domain = _split(v)
-        bad = (F.length(v) > 254) | (F.length(local) > 64) | (local == "") | (domain == "") | v.rlike(r"\.\.") | local.rlike(r"^\.|\.$") | domain.rlike(r"^\.|\.$")
+        bad = (local == "") | (F.length(v) > 254) | (F.length(local) > 64) | v.rlike(r"\.\.") | local.rlike(r"^\.|\.$")
         return F.when(bad, F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain)))
 
     return let(bare, checked)
@@ -45,20 +61,25 @@ def distinct_emails(values: Column) -> Column:
 
 def emails_in(text: Column) -> Column:
     """Addresses in a text, as found."""
-    return F.regexp_extract_all(revealed(text), F.lit(ADDRESS), F.lit(0))
+    return let(revealed(text), lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_extract_all(t, F.lit(ADDRESS), F.lit(0))).otherwise(F.array().cast("array<string>")))
+
+
+def mailto_texts(hrefs: Column) -> Column:
+    """What mailto hrefs name, several each, decoded."""
+    named = F.transform(F.filter(F.transform(hrefs, utrim), lambda h: h.rlike("(?i)^mailto:")), lambda h: percent_decoded(first_fields(F.substr(h, F.lit(8)), "?#")))
+    return F.flatten(F.transform(named, lambda x: F.split(x, "[;,]")))
 
 
-def captured_emails(texts: Column, mailto: Column) -> Column:
-    """Addresses of texts in order, then of mailto hrefs (several each), normalized."""
-    listed = F.flatten(F.transform(mailto, lambda h: F.split(percent_decoded(F.regexp_replace(F.regexp_replace(h, "(?i)^mailto:", ""), r"\?.*$", "")), "[;,]")))
-    return distinct_emails(F.transform(F.concat(F.flatten(F.transform(texts, emails_in)), listed), extracted_email))
+def captured_emails(texts: Column) -> Column:
+    """Addresses of texts in their order, normalized."""
+    return distinct_emails(F.transform(F.flatten(F.transform(texts, emails_in)), extracted_email))
 
 
-def crawled_emails(text: Column, mailto: Column) -> Column:
-    """mailto hrefs first, then the text's, in lower case."""
-    hrefs = F.transform(F.filter(mailto, lambda h: F.startswith(h, F.lit("mailto:"))), lambda h: F.substring_index(percent_decoded(F.substr(h, F.lit(8))), "?", 1))
-    found = F.concat(hrefs, F.regexp_extract_all(text, F.lit(CRAWLED), F.lit(0)))
-    return nonempty_distinct(F.transform(found, lambda x: F.lower(F.regexp_replace(utrim(x), "^[.,;:]+|[.,;:]+$", ""))))
+def crawled_emails(text: Column, hrefs: Column) -> Column:
+    """Those of mailto hrefs first, then the text's, in lower case."""
+    named = F.transform(F.filter(hrefs, lambda h: F.startswith(h, F.lit("mailto:"))), lambda h: F.substring_index(percent_decoded(F.substr(h, F.lit(8))), "?", 1))
+    found = F.flatten(F.transform(F.concat(named, F.array(text)), lambda t: F.when(F.contains(t, F.lit("@")), F.regexp_extract_all(t, F.lit(CRAWLED), F.lit(0))).otherwise(F.array().cast("array<string>"))))
+    return nonempty_distinct(F.transform(found, lambda x: F.regexp_replace(F.lower(x), "^[.,;:]+|[.,;:]+$", "")))
 
 
 def normalized_email(value: Column) -> Column:
@@ -66,7 +87,7 @@ def normalized_email(value: Column) -> Column:
 
     def checked(v: Column) -> Column:
         local, domain = _split(v)
-        bad = (local == "") | ~F.contains(domain, F.lit(".")) | v.rlike(r"\.\.|(?U)\s") | local.rlike(r"^\.|\.$") | domain.rlike(r"^\.|\.$")
+        bad = (local == "") | ~F.contains(domain, F.lit(".")) | v.rlike(r"\.\.") | local.rlike(r"^\.|\.$")
         return F.when(bad, F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain)))
 
     return let(utrim(value), checked)

@@ -12,19 +12,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from contactloom.dims import SOURCE_PRIORITY
-from contactloom.functions.text import let
+from contactloom.functions.text import constants, let
 
 
 def fold_by(values: Column, key: Callable[[Column], Column], step: Callable[[Column, Column], Column]) -> Column:
-    """For each key in first-seen order: its first element, changed by ``step(kept, next)``."""
+    """For each key in first-seen order: its first element, changed by ``step(kept, next)``.
 
-    def of_keyed(keyed: Column) -> Column:
-        def one(k: Column) -> Column:
-            return let(F.transform(F.filter(keyed, lambda x: x["k"].eqNullSafe(k)), lambda x: x["v"]), lambda own: F.aggregate(F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), own[0], step))
+    Elements are sorted by key and place, so that each key's are neighbours and the work grows with n log n.
+    """
 
-        return F.transform(F.array_distinct(F.transform(keyed, lambda x: x["k"])), one)
+    def folded(own: Column) -> Column:
+        rest = F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0)))
+        return F.struct(own[0]["at"].alias("at"), F.aggregate(rest, own[0]["v"], lambda kept, x: step(kept, x["v"])).alias("v"))
 
-    return let(F.transform(values, lambda x: F.struct(key(x).alias("k"), x.alias("v"))), of_keyed)
+    def of_sorted(s: Column) -> Column:
+        begins = F.filter(F.transform(s, lambda _, k: k), lambda k: (k == 0) | (s[k]["k"] != s[F.greatest(k - 1, F.lit(0))]["k"]))
+        runs = let(begins, lambda b: F.transform(b, lambda k, j: folded(F.slice(s, k + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - k))))
+        return F.transform(F.array_sort(runs), lambda x: x["v"])
+
+    keyed = F.transform(values, lambda x, k: F.struct(F.coalesce(key(x), F.lit("")).alias("k"), k.alias("at"), x.alias("v")))
+    return let(F.array_sort(keyed), of_sorted)
 
 
 def distinct_by(values: Column, key: Callable[[Column], Column]) -> Column:
@@ -33,8 +40,7 @@ def distinct_by(values: Column, key: Callable[[Column], Column]) -> Column:
 
 
 def priority(source: Column) -> Column:
-    table = F.create_map(*[x for k, v in SOURCE_PRIORITY.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(table, F.coalesce(source, F.lit(""))), F.lit(0))
+    return F.coalesce(F.try_element_at(constants(SOURCE_PRIORITY), F.coalesce(source, F.lit(""))), F.lit(0))
 
 
 def _empty(value: Column) -> Column:
@@ -46,17 +52,12 @@ def stronger_or_fuller(kept: Column, new: Column) -> Column:
     return F.when((priority(new["source"]) > priority(kept["source"])) | _empty(kept["context"]) & ~_empty(new["context"]), new).otherwise(kept)
 
 
-def stronger_metadata(kept: Column, new: Column) -> Column:
-    """The same rule where only context and source follow, and the first raw form stays."""
-    better = (priority(new["source"]) > priority(kept["source"])) | _empty(kept["context"]) & ~_empty(new["context"])
-    return F.when(better, kept.withField("context", new["context"]).withField("source", new["source"])).otherwise(kept)
-
-
 def backfilled(kept: Column, new: Column) -> Column:
-    """The stronger source wins, and what it lacks is filled from the other."""
+    """The number of the stronger source wins, as it was written, and its context or source, if it lacks one, is the other's."""
     better = priority(new["source"]) > priority(kept["source"])
-    take = lambda f: F.when(better & ~_empty(new[f]), new[f]).when(_empty(kept[f]), new[f]).otherwise(kept[f])
-    return kept.withField("context", take("context")).withField("source", take("source"))
+    own, other = F.when(better, new).otherwise(kept), F.when(better, kept).otherwise(new)
+    filled = lambda f: F.when(_empty(own[f]) & ~_empty(other[f]), other[f]).otherwise(own[f])
+    return own.withField("context", filled("context")).withField("source", filled("source"))
 
 
 def specific_platform(kept: Column, new: Column) -> Column:
@@ -65,8 +66,8 @@ def specific_platform(kept: Column, new: Column) -> Column:
 
 
 def nonempty_text(kept: Column, new: Column) -> Column:
-    """A later text fills an empty one, in place."""
-    return F.when(_empty(kept["text"]) & ~_empty(new["text"]), kept.withField("text", new["text"])).otherwise(kept)
+    """A later link with a text takes the place of one without."""
+    return F.when(_empty(kept["text"]) & ~_empty(new["text"]), new).otherwise(kept)
 
 
 def without(values: Column, others: Column, key: Callable[[Column], Column], other_key: Callable[[Column], Column]) -> Column:

@@ -6,30 +6,52 @@ which everything else is a Column expression.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from contactloom.dims import SETTINGS_ATTRIBUTES
+from contactloom.functions.urls import canonical
+
 _SILENT = {"script", "style", "template", "noscript"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Tags whose elements are kept, and attributes that make any element kept.
 _TAGS = {"a", "button", "address", "footer", "meta"}
 _MARKS = ("data-", "aria-label", "role", "onclick", "id", "class")
+#: Elements whose texts rules read, by tag, role, or a name or value among their attributes. Theirs are whole; other kept elements have none.
+_READ_TAGS = {"a", "button", "address", "footer"}
+_READ = re.compile("contact|phone|mobile|number|email|whats|joinchat|wa\\.me|wa-number|data-settings", re.I)
 
 _STRING = T.StringType()
-ELEMENT = T.StructType().add("tag", _STRING).add("attributes", T.MapType(_STRING, _STRING)).add("text", _STRING).add("url", _STRING)
+SETTING = T.StructType().add("key", _STRING).add("value", _STRING)
+ELEMENT = T.StructType().add("tag", _STRING).add("attributes", T.MapType(_STRING, _STRING)).add("text", _STRING).add("url", _STRING).add("settings", T.ArrayType(SETTING))
 PAGE = T.StructType().add("title", _STRING).add("text", _STRING).add("lines", _STRING).add("elements", T.ArrayType(ELEMENT)).add("jsonld", T.ArrayType(_STRING))
-_ARROW = pa.struct([("title", pa.string()), ("text", pa.string()), ("lines", pa.string()), ("elements", pa.list_(pa.struct([("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("url", pa.string())]))), ("jsonld", pa.list_(pa.string()))])
-#: Elements whose texts rules read, by a name or value among their attributes or by tag or role; these texts are whole.
-_READ = re.compile("contact|phone|email|whatsapp|joinchat|wa\\.me|wa-number", re.I)
-_READ_TAGS = {"a", "button", "address", "footer"}
-#: Characters of text that any other element keeps; no rule reads it.
-_UNREAD = 4000
+_SETTINGS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+_ELEMENT = pa.struct([("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("url", pa.string()), ("settings", _SETTINGS)])
+_ARROW = pa.struct([("title", pa.string()), ("text", pa.string()), ("lines", pa.string()), ("elements", pa.list_(_ELEMENT)), ("jsonld", pa.list_(pa.string()))])
+
+
+def settings_of(value: str) -> list[dict] | None:
+    """The scalars of a widget's JSON settings with the key that each stands under (lists pass theirs on); null if it is no JSON."""
+    try:
+        left = [("", json.loads(value, parse_float=str))]
+    except (ValueError, RecursionError):
+        return None
+    found = []
+    while left:
+        key, x = left.pop()
+        if isinstance(x, dict):
+            left += reversed(x.items())
+        elif isinstance(x, list):
+            left += [(key, y) for y in reversed(x)]
+        elif x is not None:
+            found.append({"key": key, "value": str(x).lower() if isinstance(x, bool) else str(x)})
+    return found
 
 
 class _Reader(HTMLParser):
@@ -53,13 +75,9 @@ class _Reader(HTMLParser):
         self.in_title = tag == "title" or self.in_title and tag != "body"
         element = None
         if tag in _TAGS or any(k.startswith(_MARKS[0]) or k in _MARKS[1:] for k in found):
-            url = None
-            if found.get("href"):
-                try:
-                    url = urljoin(self.base, found["href"].strip())
-                except ValueError:
-                    url = None
-            element = {"tag": tag, "attributes": list(found.items()), "text": "", "url": url}
+            url = canonical(self.base, found["href"]) if found.get("href") else None
+            settings = [settings_of(found[k]) for k in SETTINGS_ATTRIBUTES if found.get(k)]
+            element = {"tag": tag, "attributes": list(found.items()), "text": "", "url": url, "settings": sum(filter(None, settings), []) if any(x is not None for x in settings) else None}
             self.elements.append(element)
         if tag not in _VOID:
             self.open.append((tag, element, self.at))
@@ -79,8 +97,8 @@ class _Reader(HTMLParser):
     def _close(self) -> None:
         tag, element, start = self.open.pop()
         if element is not None:
-            read = tag in _READ_TAGS or any(_READ.search(x) or (k, x.lower()) == ("role", "button") for k, v in element["attributes"] for x in (k, v))
-            self.spans.append((element, start, self.at if read else min(self.at, start + _UNREAD)))
+            if tag in _READ_TAGS or any(_READ.search(x) or (k, x.lower()) == ("role", "button") for k, v in element["attributes"] for x in (k, v)):
+                self.spans.append((element, start, self.at))
         self._piece(" ")
 
     def _piece(self, text: str) -> None:

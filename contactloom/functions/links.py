@@ -8,20 +8,13 @@ from pyspark.sql import functions as F
 from contactloom import dims
 from contactloom.functions import phones, urls
 from contactloom.functions.folds import distinct_by, fold_by, nonempty_text, specific_platform, without
-from contactloom.functions.text import collapse_blanks, ellipsized, let, text_or_empty
+from contactloom.functions.text import collapse_blanks, constants, ellipsized, let, text_or_empty, utrim, whole_words
 
 LINK_TEXT = 160
 
 
 def _kind(p: Column) -> Column:
-    host, kind = urls.plain_host(p), F.lit(None).cast("string")
-    return let(host, lambda h: _first(h, kind, dims.CRAWL_SOCIAL.items()))
-
-
-def _first(host: Column, found: Column, domains) -> Column:
-    for domain, name in domains:
-        found = F.when(urls.domain_matches(host, domain), F.lit(name)).otherwise(found)
-    return found
+    return urls.by_domain(urls.plain_host(p), dims.CRAWL_SOCIAL)
 
 
 def crawl_kind(url: Column) -> Column:
@@ -37,26 +30,24 @@ def clean_social_url(url: Column) -> Column:
         return let(F.struct(_kind(p).alias("kind"), first.alias("first"), F.concat(p["scheme"], F.lit("://"), p["authority"]).alias("base")), lambda k: cleaned(p, k["kind"], k["first"], k["base"]))
 
     def cleaned(p: Column, kind: Column, first: Column, base: Column) -> Column:
-        shared = F.lit(False)
-        for name, segments in dims.CRAWL_SHARE_PATHS.items():
-            shared = shared | (kind == name) & first.isin(segments)
-        profile = let(urls.value_of(p, "id"), lambda i: F.when(text_or_empty(i) != "", F.concat(base, F.lit("/profile.php?id="), i)))
+        shared = F.concat(kind, F.lit("/"), first).isin([f"{name}/{x}" for name, segments in dims.CRAWL_SHARE_PATHS.items() for x in segments])
+        bare = F.regexp_replace(p["path"], "/+$", "")
+        profile = let(urls.value_of(p, "id"), lambda i: F.when(text_or_empty(i) != "", F.concat(base, p["path"], F.lit("?id="), F.url_encode(i))))
         return (
             F.when(kind.isNull() | ~urls.is_web(p) | (first == "") | shared, None)
             .when(kind == "instagram", F.when(~first.isin(dims.INSTAGRAM_CONTENT), F.concat(base, F.lit("/"), first)))
-            .when((kind == "facebook") & (first == "profile.php"), profile)
-            .otherwise(F.regexp_replace(F.concat(base, p["path"]), "/+$", ""))
+            .when((kind == "facebook") & F.endswith(F.lower(p["path"]), F.lit("/profile.php")), profile)
+            .otherwise(F.concat(base, bare))
         )
 
     return urls.with_parts(url, of)
 
 
-_NETWORKS = [*((d, "other") for d in dims.OTHER_NETWORKS), *((d, name) for name, domains in dims.PLATFORM_DOMAINS.items() for d in domains)]
+_NETWORKS = {d: name for name, domains in dims.PLATFORM_DOMAINS.items() for d in domains} | dict.fromkeys(dims.OTHER_NETWORKS, "other")
 
 
 def _platform(p: Column) -> Column:
-    found = let(urls.plain_host(p), lambda h: _first(h, F.lit(None).cast("string"), _NETWORKS))
-    return F.when(p["scheme"] == "whatsapp", F.lit("whatsapp")).when(urls.is_web(p), found)
+    return F.when(p["scheme"] == "whatsapp", F.lit("whatsapp")).when(urls.is_web(p), urls.by_domain(p["hostname"], _NETWORKS))
 
 
 def platform(url: Column) -> Column:
@@ -66,37 +57,39 @@ def platform(url: Column) -> Column:
 
 def is_share_control(described: Column) -> Column:
     """``described``: class, id, label, title and text of an element."""
-    return F.lower(text_or_empty(described)).rlike(dims.SHARE_WORDS)
+    return text_or_empty(described).rlike(whole_words(dims.SHARE_WORDS)) | text_or_empty(described).rlike("|".join(dims.SHARE_WORDS_AR))
+
+
+def _any_of(words: list[str]) -> str:
+    return "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")"
 
 
 def _is_redirect(p: Column, host: Column, path: Column) -> Column:
-    found = host.isin(dims.REDIRECT_HOSTS)
-    for domain, starts in dims.REDIRECT_PATHS.items():
-        found = found | urls.domain_matches(host, domain) & path.isin(starts)
-    target = p["query"].rlike(f"(?i)(?:^|&)(?:{'|'.join(dims.REDIRECT_TARGETS)})(?:=|&|$)")
-    return found | path.rlike(f"(?:^|/)(?:{'|'.join(dims.REDIRECT_SEGMENTS)})(?:/|$)") & target
+    known = "|".join(rf"(?:^|\.){_any_of([domain])}{_any_of(paths)}/*\z" for domain, paths in dims.REDIRECT_PATHS.items())
+    target = p["query"].rlike(f"(?:^|&){_any_of(dims.REDIRECT_TARGETS)}(?:=|&|$)")
+    return host.isin(dims.REDIRECT_HOSTS) | F.concat(host, path).rlike(known) | path.rlike(f"/{_any_of(dims.REDIRECT_SEGMENTS)}(?:/|$)") & target
 
 
 def _is_login(p: Column, path: Column) -> Column:
-    named = path.rlike(f"(?:^|/)(?:accounts/login|{'|'.join(dims.LOGIN_SEGMENTS)})(?:/|$)")
+    named = path.rlike(f"(?:^|/)(?:{'|'.join(dims.LOGIN_SEGMENTS)})(?:/|$)")
     asks = p["query"].rlike("(?:^|&)client_id=") & p["query"].rlike("(?:^|&)(?:redirect_uri|response_type)=")
     return named | F.startswith(p["hostname"], F.lit("oauth.")) | asks
 
 
 def _is_share(kind: Column, path: Column) -> Column:
-    found = F.lit(False)
-    for name, starts in dims.SHARE_ACTIONS.items():
-        found = found | ((kind == name) & path.rlike("^(?:" + "|".join(s.replace(".", r"\.") for s in starts) + ")(?:/|$)"))
-    return found
+    known = "|".join(f"{name}{_any_of(starts)}" for name, starts in dims.SHARE_ACTIONS.items())
+    return F.concat(kind, path).rlike(f"^(?:{known})(?:/|$)")
 
 
 def _is_empty(p: Column, kind: Column, path: Column) -> Column:
     facebook = (kind == "facebook") & path.rlike(r"^/profile\.php/?$") & ~p["query"].rlike("(?:^|&)id=[^&]")
-    return F.when(kind == "whatsapp", ~phones.recipient_of(p)).otherwise((kind != "") & path.rlike("^/*$") | facebook)
+    asks = (p["scheme"] == "whatsapp") | urls.domain_matches(p["hostname"], "wa.me") | path.rlike("^/send(?:/|$)")
+    empty = urls.is_web(p) & path.rlike("^/*$") | facebook
+    return (kind != "") & F.when((kind == "whatsapp") & asks, empty | ~phones.recipient_of(p)).otherwise(empty)
 
 
 def _excluded(p: Column, page_key: Column) -> Column:
-    seen = F.struct(urls.plain_host(p).alias("host"), F.lower(p["path"]).alias("path"), text_or_empty(_platform(p)).alias("kind"), urls.key_of(p).alias("key"))
+    seen = F.struct(p["hostname"].alias("host"), F.lower(p["path"]).alias("path"), text_or_empty(_platform(p)).alias("kind"), urls.key_of(p).alias("key"))
     return let(seen, lambda k: ~(urls.is_web(p) | (p["scheme"] == "whatsapp")) | (k["key"] != "") & (k["key"] == page_key) | _is_redirect(p, k["host"], k["path"]) | _is_login(p, k["path"]) | _is_share(k["kind"], k["path"]) | _is_empty(p, k["kind"], k["path"]))
 
 
@@ -106,12 +99,13 @@ def is_excluded(url: Column, page: Column) -> Column:
 
 
 def judged(anchors: Column, page: Column) -> Column:
-    """Anchors (url, href, text, described) with their platform, whether they are left out, and how they are shown and told apart."""
+    """Anchors (url, href, text, described, context) with their platform, whether they are left out, and how they are shown and told apart."""
 
     def of(a: Column, key: Column) -> Column:
         def seen(p: Column) -> Column:
             web = urls.is_web(p)
             return F.struct(
+                a["context"].alias("context"),
                 a["href"].alias("href"), a["text"].alias("text"), _platform(p).alias("platform"), p["hostname"].alias("hostname"),
                 (_excluded(p, key) | (text_or_empty(a["url"]) == "")).alias("excluded"), is_share_control(a["described"]).alias("shares"), web.alias("web"),
                 F.when(web, urls.http_of(p)).otherwise(a["url"]).alias("url"), F.when(web, urls.key_of(p)).otherwise(a["url"]).alias("key"),
@@ -132,10 +126,15 @@ def social_links(links: Column) -> Column:
     return F.transform(distinct_by(own, lambda a: a["key"]), lambda a: F.struct(a["platform"], a["url"]))
 
 
+def whatsapp_links(links: Column) -> Column:
+    """The URLs of judged anchors that lead to a WhatsApp number or chat, each once."""
+    return F.array_distinct(F.transform(F.filter(links, lambda a: (a["platform"] == "whatsapp") & ~a["shares"] & ~a["excluded"]), lambda a: a["url"]))
+
+
 def external_links(links: Column, page: Column) -> Column:
     """(url, text, type) of judged anchors to other hosts that are no network."""
     host = urls.hostname(page)
-    own = let(host, lambda h: F.filter(links, lambda a: a["web"] & ~F.startswith(text_or_empty(a["href"]), F.lit("#")) & a["platform"].isNull() & ~a["excluded"] & (a["hostname"] != h)))
+    own = let(host, lambda h: F.filter(links, lambda a: a["web"] & ~a["shares"] & ~F.startswith(text_or_empty(a["href"]), F.lit("#")) & a["platform"].isNull() & ~a["excluded"] & (a["hostname"] != h)))
     each = F.transform(own, lambda a: F.struct(a["url"], clean_link_text(a["text"]).alias("text"), F.lit("website").alias("type"), a["key"].alias("key")))
     return F.transform(fold_by(F.filter(each, lambda e: e["url"] != ""), lambda e: e["key"], nonempty_text), lambda e: e.dropFields("key"))
 
@@ -178,9 +177,20 @@ def external_without_social(external: Column, social: Column) -> Column:
 
 
 def social_line(link: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in dims.PLATFORM_LABELS.items() for x in pair])
-    return F.concat(F.coalesce(F.try_element_at(labels, link["platform"]), F.lit("Other")), F.lit(": "), link["url"])
+    """``Network: url``; empty without a URL."""
+    labels = constants(dims.PLATFORM_LABELS)
+    name, url = F.lower(utrim(text_or_empty(link["platform"]))), utrim(text_or_empty(link["url"]))
+    label = F.coalesce(F.try_element_at(labels, name), F.nullif(F.concat(F.upper(F.left(name, F.lit(1))), F.substr(name, F.lit(2))), F.lit("")), F.lit("Social"))
+    return F.when(url != "", F.concat(label, F.lit(": "), url)).otherwise("")
+
+
+def plain_social_line(link: Column) -> Column:
+    """``network: url`` as they are stored, or the URL alone."""
+    name, url = utrim(text_or_empty(link["platform"])), utrim(text_or_empty(link["url"]))
+    return F.when(name != "", F.concat(name, F.lit(": "), url)).otherwise(url)
 
 
 def external_line(link: Column) -> Column:
-    return F.when(text_or_empty(link["text"]) != "", F.concat(link["text"], F.lit(": "), link["url"])).otherwise(link["url"])
+    """``text: url``, or the URL alone where the text is empty or says the same."""
+    text, url = utrim(text_or_empty(link["text"])), utrim(text_or_empty(link["url"]))
+    return F.when((text != "") & (text != url), F.concat(text, F.lit(": "), url)).otherwise(url)

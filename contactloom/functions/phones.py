@@ -9,21 +9,27 @@ from pyspark.sql import functions as F
 
 from contactloom import dims
 from contactloom.functions import urls
-from contactloom.functions.folds import fold_by, stronger_metadata, stronger_or_fuller
-from contactloom.functions.text import any_word, ascii_digits, collapse_blanks, digits, ellipsized, let, percent_decoded, text_or_empty, utrim
+from contactloom.functions.folds import fold_by, stronger_or_fuller
+from contactloom.functions.text import BLANK, ascii_digits, collapse_blanks, constants, digits, ellipsized, first_fields, first_nonempty, let, percent_decoded, spaced, text_or_empty, utrim, whole_words
 
-CANDIDATE = r"(?:\+|00)?[ \t\x{A0}().-]*[0-9](?:[ \t\x{A0}().-]*[0-9]){6,18}"
+_BETWEEN = r"[ \t\x{A0}().-]"
+CANDIDATE = rf"(?:\+|00)?[0-9](?:{_BETWEEN}*[0-9]){{6,18}}"
 #: Characters of the line on each side of a number that are its context; its most characters; those of a stored one.
 NEAR, CONTEXT, STORED_CONTEXT = 90, 180, 200
+_CANDIDATES = "array<struct<raw:string,context:string,source:string>>"
 
 _EGYPT_PLAN = rf"(?:1[0125][0-9]{{8}}|2[0-9]{{8}}|3[0-9]{{7}}|(?:{'|'.join(dims.EGYPT_AREA_CODES)})[0-9]{{7}})"
 
 
+def _bare(value: Column) -> Column:
+    """Decoded, without scheme and parameters."""
+    return first_fields(F.regexp_replace(percent_decoded(ascii_digits(text_or_empty(value))), "(?i)^tel:", ""), ";?")
+
+
 def cleaned_phone(value: Column) -> Column:
     """A number without its scheme, parameters, marks and edges."""
-    plain = F.regexp_replace(percent_decoded(ascii_digits(text_or_empty(value))), "(?i)^\\s*tel:", "")
-    plain = F.regexp_replace(F.regexp_replace(plain, "[;?].*$", ""), r"[\x{200E}\x{200F}\x{202A}-\x{202E}\x{2066}-\x{2069}]", "")
-    return F.regexp_replace(collapse_blanks(plain), r"^[^0-9+(]+|[^0-9)]+$", "")
+    plain = F.regexp_replace(_bare(value), r"[\x{200E}\x{200F}\x{202A}-\x{202E}]", "")
+    return utrim(F.regexp_replace(F.regexp_replace(plain, r"[ \t\x{A0}]+", " "), r"^[^0-9+]+|[^0-9)]+$", ""))
 
 
 def phone_key(value: Column) -> Column:
@@ -32,7 +38,7 @@ def phone_key(value: Column) -> Column:
 
 
 def cleaned_context(value: Column, most: int = CONTEXT) -> Column:
-    return ellipsized(F.regexp_replace(collapse_blanks(text_or_empty(value)), r"^[\s:;,.|·–—-]+|[\s:;,.|·–—-]+$", ""), most)
+    return ellipsized(utrim(F.regexp_replace(collapse_blanks(text_or_empty(value)), r"^[\s,;:|–—-]+|[\s,;:|–—-]+$", "")), most)
 
 
 def candidate(raw: Column, context: Column, source: Column) -> Column:
@@ -40,61 +46,87 @@ def candidate(raw: Column, context: Column, source: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    day = F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-    return y.rlike("^(?:19[0-9]{2}|20[0-9]{2}|2100)$") & m.rlike("^[0-9]{1,2}$") & d.rlike("^[0-9]{1,2}$") & day.isNotNull()
+    """Whether three numbers, as text, are a day of 1900 to 2100."""
+    year, month, day = (x.try_cast("int") for x in (y, m, d))
+    last = F.day(F.last_day(F.make_date(year, month, F.lit(1))))
+    # the parts are checked before a date is made of them
+    return F.when(F.coalesce(year.between(1900, 2100) & month.between(1, 12) & day.between(1, 31), F.lit(False)), day <= last).otherwise(False)
 
 
 def looks_like_date(value: Column) -> Column:
-    """Three runs of digits that form a calendar day, a range of years, or a day of eight digits."""
+    """Three runs of digits that form a calendar day, two years, or a day of eight digits."""
+    plain = ascii_digits(value)
+    day = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
+    none = F.array().cast("array<struct<y:string,m:string,d:string>>")
 
     def any_three(g: Column) -> Column:
         at = F.when(F.size(g) >= 3, F.sequence(F.lit(0), F.size(g) - 3)).otherwise(F.array().cast("array<int>"))
         a, b, c = (lambda i: g[i]), (lambda i: g[i + 1]), (lambda i: g[i + 2])
-        return F.exists(at, lambda i: _date(a(i), b(i), c(i)) | _date(c(i), b(i), a(i)) | _date(c(i), a(i), b(i)))
+        return F.flatten(F.transform(at, lambda i: F.array(day(a(i), b(i), c(i)), day(c(i), b(i), a(i)), day(c(i), a(i), b(i)))))
+
+    def eight(d: Column) -> Column:
+        cut = lambda a, n: F.substr(d, F.lit(a), F.lit(n))
+        return F.when(F.length(d) == 8, F.array(day(cut(1, 4), cut(5, 2), cut(7, 2)), day(cut(5, 4), cut(3, 2), cut(1, 2)), day(cut(5, 4), cut(1, 2), cut(3, 2)))).otherwise(none)
+
+    years = utrim(plain).rlike(r"^(?:19|20)[0-9]{2}[ \t.-]+(?:19|20)[0-9]{2}$")
+    read = F.concat(let(phone_key(value), eight), let(F.regexp_extract_all(plain, F.lit("[0-9]+"), F.lit(0)), any_three))
+    return years | F.exists(read, lambda x: _date(x["y"], x["m"], x["d"]))
 
-    whole = digits(value)
-    compact = value.rlike(r"^\s*[0-9]{8}\s*$")
-    cut = lambda a, n: F.substr(whole, F.lit(a), F.lit(n))
-    days = _date(cut(1, 4), cut(5, 2), cut(7, 2)) | _date(cut(5, 4), cut(3, 2), cut(1, 2)) | _date(cut(5, 4), cut(1, 2), cut(3, 2))
-    years = value.rlike(r"^\s*(?:19|20)[0-9]{2}\s*[-–—]\s*(?:19|20)[0-9]{2}\s*$")
-    return years | (compact & days) | let(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), any_three)
 
+def _suffixed(things: list[str], suffixes: list[str], needed: bool) -> str:
+    return rf"(?:{'|'.join(things)}){BLANK}*(?:{'|'.join(suffixes)}){'' if needed else '?'}"
 
-def _cue(text: Column, words: list[str], arabic: list[str]) -> Column:
-    return any_word(text, words) | text.rlike("|".join(arabic))
+
+_WHATSAPP = r"whats(?:[\s-]|\x{A0})*app"
+_PHONE_CUE = [whole_words([_WHATSAPP if x == "whatsapp" else x for x in dims.PHONE_CUES]), "|".join(map(spaced, dims.PHONE_CUES_AR))]
+_NON_PHONE_CUE = [
+    whole_words([_suffixed(dims.NUMBERED_THINGS, dims.NUMBERED_SUFFIXES, False), _suffixed(dims.NUMBERED_PAGES, dims.NUMBERED_PAGE_SUFFIXES, True), _suffixed(dims.COUNTED_THINGS, dims.COUNTED_SUFFIXES, False), *map(spaced, dims.OTHER_NON_PHONES)]),
+    "|".join([*(spaced(f"{word} (?:{'|'.join(of)})") for word, of in dims.NUMBERED_THINGS_AR.items()), *map(spaced, dims.OTHER_NON_PHONES_AR)]),
+]
+_PRICE_CUE = [f"[{dims.PRICE_SIGNS}]|{'|'.join(dims.PRICE_CUES_AR)}", whole_words(dims.PRICE_CUES)]
+#: A mention of WhatsApp, in English or Arabic.
+MENTION = f"(?:{_WHATSAPP}|{spaced(dims.PHONE_CUES_AR[-1])})"
+
+
+def _any(text: Column, patterns: list[str]) -> Column:
+    return text.rlike(patterns[0]) | text.rlike(patterns[1])
 
 
 def phone_cue(text: Column) -> Column:
-    return _cue(text, dims.PHONE_CUES, dims.PHONE_CUES_AR)
+    return _any(text, _PHONE_CUE)
 
 
 def non_phone_cue(text: Column) -> Column:
-    return _cue(text, dims.NON_PHONE_CUES, dims.NON_PHONE_CUES_AR)
+    return _any(text, _NON_PHONE_CUE)
 
 
 def price_cue(text: Column) -> Column:
-    return text.rlike(dims.PRICE_CUES[0]) | _cue(text, dims.PRICE_CUES[1:], dims.PRICE_CUES_AR)
+    return _any(text, _PRICE_CUE)
 
 
 def egyptian_shape(value: Column) -> Column:
-    return F.regexp_replace(digits(value), "^00", "").rlike("^(?:01[0125][0-9]{8}|201[0125][0-9]{8}|0[2-9][0-9]{7,8}|20[2-9][0-9]{7,8})$")
+    return phone_key(value).rlike("^(?:01[0125][0-9]{8}|201[0125][0-9]{8}|0[2-9][0-9]{7,8}|20[2-9][0-9]{7,8})$")
 
 
 def is_likely_phone(value: Column, context: Column, explicit: Column) -> Column:
     """The rules in order; the first that applies decides. ``explicit``: the markup says that it is a number."""
     around = text_or_empty(context)
-    whole = F.regexp_replace(digits(value), "^00", "")
-    return (
-        F.when(~F.length(whole).between(8, 15), False)
-        .when(whole.rlike(r"^([0-9])\1*$") | looks_like_date(value), False)
-        .when(price_cue(around), False)
-        .when(explicit, True)
-        .when(non_phone_cue(around) & ~phone_cue(around), False)
-        .when(egyptian_shape(value), True)
-        .when(utrim(value).rlike(r"^(?:\+|00)"), True)
-        .when(phone_cue(around), True)
-        .otherwise(value.rlike(r"[\s()\x{A0}-]"))
-    )
+
+    def judged(v: Column) -> Column:
+        return let(
+            F.struct(v.alias("v"), phone_key(v).alias("d")),
+            lambda x: F.when(~F.length(x["d"]).between(8, 15), False)
+            .when(x["d"].rlike(r"^([0-9])\1+$") | looks_like_date(x["v"]), False)
+            .when(price_cue(around), False)
+            .when(explicit, True)
+            .when(non_phone_cue(around), False)
+            .when(egyptian_shape(x["v"]), True)
+            .when(x["v"].rlike(r"^(?:\+|00)"), True)
+            .when(phone_cue(around), True)
+            .otherwise(x["v"].rlike("[ ()-]")),
+        )
+
+    return let(cleaned_phone(value), judged)
 
 
 _A, _B = "\x01", "\x02"
@@ -107,19 +139,29 @@ def matches(text: Column, then: Callable[[Column, Column], Column]) -> Column:
 
     def found(pieces: Column) -> Column:
         def one(k: Column) -> Column:
-            before = F.right(F.regexp_extract(pieces[k - 1], r"[^\n]*\z", 0), F.lit(NEAR))
-            after = F.left(F.regexp_extract(pieces[k + 1], r"^[^\n]*", 0), F.lit(NEAR))
-            return then(utrim(pieces[k]), cleaned_context(F.concat(before, F.lit(" "), after)))
+            # other candidates nearby are text like any other; every second piece has 7 characters or more
+            many = 2 * NEAR // 7 + 2
+            first = F.greatest(k - many, F.lit(0))
+            before = F.right(F.array_join(F.slice(pieces, first + 1, k - first), ""), F.lit(NEAR))
+            after = F.left(F.array_join(F.slice(pieces, k + 2, F.lit(many)), ""), F.lit(NEAR))
+            return then(utrim(pieces[k]), cleaned_context(F.concat(F.regexp_extract(before, r"[^\n\r]*\z", 0), F.lit(" "), F.regexp_extract(after, r"^[^\n\r]*", 0))))
 
         return F.transform(F.when(F.size(pieces) > 2, F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2))).otherwise(F.array().cast("array<int>")), one)
 
     return let(F.split(marked, f"[{_A}{_B}]", -1), found)
 
 
+def candidates_of(text: Column, source: Column, explicit: Column, context: Column) -> Column:
+    """The likely numbers of a text as candidates; ``context``, unless it is empty, takes the place of what stands around them."""
+    given = cleaned_context(context)
+    each = matches(text, lambda raw, around: candidate(cleaned_phone(raw), first_nonempty(given, around), source))
+    # most texts have too few digits in a row for a number
+    some = ascii_digits(text_or_empty(text)).rlike(CANDIDATE)
+    return F.when(some, F.filter(each, lambda c: is_likely_phone(c["raw"], c["context"], explicit))).otherwise(F.array().cast(_CANDIDATES))
+
+
 def candidates_in(text: Column, source: str, explicit: bool = False, context: Column | None = None) -> Column:
-    """The likely numbers of a text as candidates; ``context`` takes the place of what stands around them."""
-    each = matches(text, lambda raw, around: candidate(cleaned_phone(raw), context if context is not None else around, F.lit(source)))
-    return F.filter(each, lambda c: is_likely_phone(c["raw"], c["context"], F.lit(explicit)))
+    return candidates_of(text, F.lit(source), F.lit(explicit), F.lit("") if context is None else context)
 
 
 def distinct_candidates(values: Column) -> Column:
@@ -129,80 +171,96 @@ def distinct_candidates(values: Column) -> Column:
 
 def normalized_number(value: Column, source: Column | None = None) -> Column:
     """``+`` and digits where the country is known, else the digits."""
-    plain = F.regexp_replace(percent_decoded(ascii_digits(text_or_empty(value))), "(?i)^\\s*tel:", "")
-    shown = utrim(F.regexp_replace(plain, "[;?].*$", ""))
+    shown = F.regexp_replace(_bare(utrim(text_or_empty(value))), "[^0-9+]", "")
     is_link = F.lit(False) if source is None else text_or_empty(source) == "whatsapp-link"
 
-    def named(d: Column) -> Column:
-        return (
-            F.when(d == "", "")
-            .when(d.rlike(f"^0{_EGYPT_PLAN}$"), F.concat(F.lit("+20"), F.substr(d, F.lit(2))))
-            .when(d.rlike(f"^20{_EGYPT_PLAN}$"), F.concat(F.lit("+"), d))
-            .when(is_link & ~F.startswith(d, F.lit("0")) & (F.length(d) >= 8), F.concat(F.lit("+"), d))
-            .when(F.startswith(d, F.lit("00")), F.concat(F.lit("+"), F.substr(d, F.lit(3))))
-            .when(F.startswith(shown, F.lit("+")), F.concat(F.lit("+"), d))
-            .otherwise(d)
+    def named(v: Column) -> Column:
+        return let(
+            F.struct(v.alias("v"), F.regexp_replace(v, r"\+", "").alias("d")),
+            lambda x: F.when(x["d"] == "", "")
+            .when(x["d"].rlike(f"^0{_EGYPT_PLAN}$"), F.concat(F.lit("+20"), F.substr(x["d"], F.lit(2))))
+            .when(x["d"].rlike(f"^20{_EGYPT_PLAN}$"), F.concat(F.lit("+"), x["d"]))
+            .when(is_link & ~F.startswith(x["d"], F.lit("0")) & (F.length(x["d"]) >= 8), F.concat(F.lit("+"), x["d"]))
+            .when(F.startswith(x["v"], F.lit("00")) & (F.length(x["d"]) > 2), F.concat(F.lit("+"), F.substr(x["d"], F.lit(3))))
+            .when(F.startswith(x["v"], F.lit("+")), F.concat(F.lit("+"), x["d"]))
+            .otherwise(x["d"]),
         )
 
-    return let(digits(shown), named)
+    return let(shown, named)
+
+
+def number_identity(phone: Column) -> Column:
+    """Under which stored numbers are the same; empty for one without digits."""
+    return F.when(text_or_empty(phone["normalized"]) != "", phone["normalized"]).otherwise(normalized_number(phone["raw"]))
 
 
 def normalized_phones(values: Column) -> Column:
     """Stored phones (raw, normalized, context, source) of candidates, one a number; empty context and source are null."""
-    each = F.transform(values, lambda c: F.struct(text_or_empty(c["raw"]).alias("raw"), normalized_number(c["raw"], c["source"]).alias("normalized"), F.nullif(cleaned_context(c["context"], STORED_CONTEXT), F.lit("")).alias("context"), F.nullif(text_or_empty(c["source"]), F.lit("")).alias("source")))
-    return fold_by(F.filter(each, lambda p: p["normalized"] != ""), lambda p: p["normalized"], stronger_metadata)
+    context = lambda c: F.left(collapse_blanks(text_or_empty(c["context"])), F.lit(STORED_CONTEXT))
+    each = F.transform(values, lambda c: F.struct(utrim(text_or_empty(c["raw"])).alias("raw"), normalized_number(c["raw"], c["source"]).alias("normalized"), F.nullif(context(c), F.lit("")).alias("context"), F.nullif(utrim(text_or_empty(c["source"])), F.lit("")).alias("source")))
+    return fold_by(F.filter(each, lambda p: p["normalized"] != ""), lambda p: p["normalized"], stronger_or_fuller)
 
 
 def _is_whatsapp(p: Column) -> Column:
-    return (p["scheme"] == "whatsapp") | let(urls.plain_host(p), lambda h: urls.any_domain(h, dims.PLATFORM_DOMAINS["whatsapp"]))
+    return (p["scheme"] == "whatsapp") | urls.is_web(p) & let(p["hostname"], lambda h: urls.any_domain(h, dims.PLATFORM_DOMAINS["whatsapp"]))
 
 
 def is_whatsapp_url(url: Column) -> Column:
     return urls.with_parts(url, _is_whatsapp)
 
 
-def whatsapp_number(url: Column) -> Column:
-    """The digits that a WhatsApp link is for, 8 to 15 of them, or empty."""
+def _recipient(p: Column) -> Column:
+    """The digits of a link's number: of a parameter, else, for wa.me, of the path's first part."""
+    first = F.regexp_extract(p["path"], "^/*([^/]*)", 1)
+    given = F.coalesce(urls.value_of(p, "phone"), urls.value_of(p, "number"), F.lit(""))
+    named = F.when(given != "", given).when(urls.domain_matches(p["hostname"], "wa.me"), first).otherwise("")
+    return F.regexp_replace(named, "[^0-9]", "")
 
-    def of(p: Column) -> Column:
-        first = F.regexp_extract(p["path"], "^/*([^/]*)", 1)
-        named = F.coalesce(urls.value_of(p, "phone"), urls.value_of(p, "number"), F.when(urls.domain_matches(urls.plain_host(p), "wa.me"), percent_decoded(first)), F.lit(""))
-        return let(F.regexp_replace(digits(named), "^00", ""), lambda d: F.when(_is_whatsapp(p) & d.rlike("^[0-9]{8,15}$"), d).otherwise(""))
 
-    return urls.with_parts(url, of)
+def whatsapp_number(url: Column) -> Column:
+    """The digits that a WhatsApp link is for, 8 to 15 of them, or empty."""
+    return urls.with_parts(url, lambda p: let(F.regexp_replace(_recipient(p), "^00", ""), lambda d: F.when(_is_whatsapp(p) & d.rlike("^[0-9]{8,15}$"), d).otherwise("")))
 
 
 def recipient_of(p: Column) -> Column:
-    named = F.concat_ws(" ", urls.value_of(p, "phone"), urls.value_of(p, "number"), p["path"])
-    return _is_whatsapp(p) & F.regexp_replace(ascii_digits(named), r"[\s+()-]", "").rlike("[0-9]{8,15}")
+    return F.length(_recipient(p)) >= 8
 
 
 def has_whatsapp_recipient(url: Column) -> Column:
-    """Any run of eight digits, in a parameter or the path."""
+    """Eight digits or more, in a parameter or, for wa.me, the path."""
     return urls.with_parts(url, recipient_of)
 
 
 def whatsapp_numbers_in(value: Column) -> Column:
     """Numbers of the WhatsApp links inside an attribute's value."""
-    links = F.regexp_extract_all(F.replace(value, F.lit("\\/"), F.lit("/")), F.lit(r"(?i)(?:https?://(?:wa\.me/|(?:api|web)\.whatsapp\.com/)|whatsapp://)[^\s\"'<>\\]*"), F.lit(0))
-    return F.filter(F.transform(links, whatsapp_number), lambda x: x != "")
+    found = F.regexp_extract_all(F.replace(value, F.lit("\\/"), F.lit("/")), F.lit(r"(?i)(?:https?://)?(?:wa\.me/|(?:api|web)\.whatsapp\.com/)[^\s\"'<>]+|whatsapp://[^\s\"'<>]+"), F.lit(0))
+    absolute = F.transform(found, lambda u: F.when(u.rlike(r"(?i)^wa\.me/"), F.concat(F.lit("https://"), u)).otherwise(u))
+    return F.filter(F.transform(absolute, whatsapp_number), lambda x: x != "")
+
+
+def whatsapp_value(href: Column) -> Column:
+    """What a WhatsApp link names when crawling, as it is written there, or empty."""
+    named = lambda p: F.coalesce(urls.value_of(p, "phone"), F.lit(""))
+    wa_me = lambda p: urls.domain_matches(p["hostname"], "wa.me")
+    return urls.with_parts(href, lambda p: F.when(wa_me(p), F.regexp_replace(p["path"], "^/+|/+$", "")).when(urls.domain_matches(p["hostname"], "whatsapp.com") | (p["scheme"] == "whatsapp"), named(p)).otherwise(""))
 
 
 def calling_number(value: Column) -> Column:
     """``+digits`` where the international form is known, else empty."""
     v = utrim(text_or_empty(value))
-    from_link = urls.with_parts(v, lambda p: F.coalesce(urls.value_of(p, "phone"), F.regexp_extract(p["path"], "^/*([^/]*)", 1)))
+    path = lambda p: F.when(p["hostname"] == "wa.me", F.regexp_extract(p["path"], "^/*([^/]*)", 1))
+    linked = F.regexp_replace(urls.with_parts(v, lambda p: first_nonempty(urls.value_of(p, "phone"), path(p))), "[^0-9]", "")
 
     def of(d: Column) -> Column:
-        known = (country_of_digits(d) != "") & (d != "")
-        return F.when(F.startswith(v, F.lit("+")), F.concat(F.lit("+"), d)).when(F.startswith(d, F.lit("00")), F.concat(F.lit("+"), F.substr(d, F.lit(3)))).when(known, F.concat(F.lit("+"), d)).otherwise("")
+        return F.when(F.startswith(d, F.lit("+")), d).when(F.startswith(d, F.lit("00")), F.concat(F.lit("+"), F.substr(d, F.lit(3)))).when(country_of_digits(d) != "", F.concat(F.lit("+"), d)).otherwise("")
 
-    return let(digits(F.when(urls.is_web_url(v), from_link).otherwise(v)), of)
+    from_link = let(linked, lambda d: F.when(d != "", F.concat(F.lit("+"), F.regexp_replace(d, "^00", ""))).otherwise(""))
+    return F.when(v.rlike("(?i)^https?:"), from_link).otherwise(let(F.regexp_replace(v, "[^0-9+]", ""), of))
 
 
 def country_of_digits(d: Column) -> Column:
     """The country of a calling code; no code is a prefix of another."""
-    table = F.create_map(*[F.lit(x) for pair in dims.CALLING_CODES.items() for x in pair])
+    table = constants(dims.CALLING_CODES)
     return F.coalesce(F.try_element_at(table, F.left(d, F.lit(3))), F.try_element_at(table, F.left(d, F.lit(2))), F.lit(""))
 
 
@@ -212,27 +270,63 @@ def unanimous_country(values: Column) -> Column:
     return F.when(F.size(found) == 1, found[0]).otherwise("")
 
 
-# Numbers of these countries' plans, without the calling code: shortest and longest. A valid number is one of such a length;
-# countries with a pattern of their own are checked against it.
-NATIONAL_LENGTHS = {"EG": (8, 10), "SA": (8, 9), "AE": (8, 9), "KW": (8, 8), "QA": (8, 8), "BH": (8, 8), "OM": (8, 8), "JO": (8, 9), "LB": (7, 8), "IQ": (8, 10), "MA": (9, 9), "DZ": (8, 9), "TN": (8, 8), "GB": (9, 10), "FR": (9, 9), "DE": (6, 11), "TR": (10, 10), "IN": (10, 10)}
+# Numbers of these countries' plans, without the calling code: shortest and longest. A valid number is one of such a length; one of
+# another country has 7 to 15 digits with its code. Egypt's, and those of calling code 1, are checked against a pattern of their own.
+NATIONAL_LENGTHS = {
+    "SA": (8, 9), "AE": (8, 9), "KW": (8, 8), "QA": (8, 8), "BH": (8, 8), "OM": (8, 8), "JO": (8, 9), "LB": (7, 8), "IQ": (8, 10), "MA": (9, 9), "DZ": (8, 9), "TN": (8, 8),
+    "LY": (8, 9), "SD": (9, 9), "SY": (8, 9), "YE": (7, 9), "PS": (8, 9), "IL": (8, 9), "TR": (10, 10), "IR": (10, 10), "IN": (10, 10), "PK": (9, 10), "CN": (9, 11),
+    "JP": (9, 10), "KR": (8, 10), "GB": (9, 10), "FR": (9, 9), "DE": (6, 11), "ES": (9, 9), "IT": (6, 11), "NL": (9, 9), "BE": (8, 9), "CH": (9, 9), "PL": (9, 9), "RU": (10, 10),
+    "AU": (9, 9), "BR": (10, 11), "MX": (10, 10),
+}
+_NANP = "[2-9][0-8][0-9][2-9][0-9]{6}"
+_NANP_COUNTRIES = dict.fromkeys(dims.CANADA_AREA_CODES, "CA") | dims.ISLAND_AREA_CODES
+_ALL_CODES = dims.CALLING_CODES | dims.MORE_CALLING_CODES
 
 
 def valid_number(value: Column, region: str) -> Column:
-    """(e164, region) of a number as written in a region, or null; approximate where the plan is known by its lengths alone."""
-    codes = {v: k for k, v in dims.CALLING_CODES.items()}
-    own = codes.get(region, "")
-    v = F.regexp_replace(percent_decoded(ascii_digits(text_or_empty(value))), "(?i)^\\s*tel:", "")
-    v = utrim(F.regexp_replace(v, "[&?].*$", ""))
-    d = digits(v)
-    full = F.when(F.startswith(v, F.lit("+")), d).when(F.startswith(d, F.lit("00")), F.substr(d, F.lit(3))).when(F.lit(own != ""), F.concat(F.lit(own), F.regexp_replace(d, "^0", ""))).otherwise("")
+    """(e164, region) of a number as written in a region, or null; ``region`` may be empty, for numbers with their country's code alone.
+
+    Approximate where a plan is known by its lengths alone; a number whose code is not in the tables is kept, with an empty region.
+    """
+    own = {v: k for k, v in _ALL_CODES.items()}.get(region, "")
+    table = constants(_ALL_CODES)
+    written = first_fields(F.regexp_replace(utrim(percent_decoded(ascii_digits(text_or_empty(value)))), "(?i)^tel:", ""), "&?")
+
+    def fits_own(n: Column) -> Column:
+        return n.rlike(f"^{_EGYPT_PLAN}$") if region == "EG" else n.rlike(f"^{_NANP}$") if own == "1" else F.length(n).between(*NATIONAL_LENGTHS.get(region, (4, 14)))
+
+    def national(d: Column) -> Column:
+        """A number without a sign: the region's, with or without its trunk prefix 0, or with the region's code."""
+        bare = F.regexp_replace(d, "^0", "")
+        coded = F.substr(d, F.lit(len(own) + 1))
+        return F.when(F.lit(own == ""), "").when(fits_own(bare), F.concat(F.lit(own), bare)).when(F.startswith(d, F.lit(own)) & fits_own(coded), d).otherwise("")
+
+    def full(x: Column) -> Column:
+        plus = F.startswith(x["v"], F.lit("+"))
+        return F.when(plus, x["d"]).when(F.startswith(x["v"], F.lit("00")) & (F.length(x["d"]) >= 10), F.substr(x["d"], F.lit(3))).otherwise(national(x["d"]))
 
     def checked(n: Column) -> Column:
-        country = country_of_digits(n)
-        national = F.when(F.try_element_at(F.create_map(*[x for k in dims.CALLING_CODES for x in (F.lit(k), F.lit(True))]), F.left(n, F.lit(3))).isNotNull(), F.substr(n, F.lit(4))).otherwise(F.substr(n, F.lit(3)))
-        fits = F.lit(False)
-        for iso, (a, b) in NATIONAL_LENGTHS.items():
-            fits = F.when(country == iso, F.length(national).between(a, b)).otherwise(fits)
-        fits = F.when(country == "EG", national.rlike(f"^{_EGYPT_PLAN}$")).when(country.isin(list(NATIONAL_LENGTHS)), fits).otherwise(F.length(n).between(8, 15))
-        return F.when((country != "") & fits, F.struct(F.concat(F.lit("+"), n).alias("e164"), country.alias("region")))
-
-    return let(full, checked)
+        sized = lambda k: F.struct(F.try_element_at(table, F.left(n, F.lit(k))).alias("iso"), F.substr(n, F.lit(k + 1)).alias("rest"))
+        one = F.when(n.rlike("^[17]"), sized(1)).when(n.rlike("^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"), sized(2)).otherwise(sized(3))
+
+        def judged(c: Column) -> Column:
+            iso = F.when(c["iso"] == "US", F.coalesce(F.try_element_at(constants(_NANP_COUNTRIES), F.left(c["rest"], F.lit(3))), F.lit("US"))).when((c["iso"] == "RU") & c["rest"].rlike("^[67]"), "KZ").otherwise(text_or_empty(c["iso"]))
+            least, most = (F.try_element_at(constants({k: x[j] for k, x in NATIONAL_LENGTHS.items()}), text_or_empty(c["iso"])) for j in (0, 1))
+            fits = F.length(n).between(7, 15) & F.length(c["rest"]).between(F.coalesce(least, F.lit(0)), F.coalesce(most, F.lit(15)))
+            fits = F.when(c["iso"] == "EG", c["rest"].rlike(f"^{_EGYPT_PLAN}$")).when(c["iso"] == "US", c["rest"].rlike(f"^{_NANP}$")).otherwise(fits)
+            return F.when(fits & n.rlike("^[1-9]"), F.struct(F.concat(F.lit("+"), n).alias("e164"), iso.alias("region")))
+
+        return let(one, judged)
+
+    return let(F.struct(written.alias("v"), digits(written).alias("d")), lambda x: let(full(x), checked))
+
+
+# A number in running text: no letter, digit, percent or currency sign touches it; it isn't cut short for that.
+_EDGE = r"[A-Za-z\x{C0}-\x{24F}0-9%$€£¥]"
+IN_TEXT = rf"(?:(?<!{_EDGE})|(?=\+))(?>(?:\+{_BETWEEN}*)?[0-9](?:{_BETWEEN}*[0-9]){{6,18}})(?!{_EDGE})"
+
+
+def numbers_in(text: Column) -> Column:
+    """What may be a number in running text, but for dates and years; ``valid_number`` judges it."""
+    plain = ascii_digits(text_or_empty(text))
+    return F.filter(F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0)), lambda v: ~looks_like_date(v))

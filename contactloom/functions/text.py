@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Blanks, as one class of a pattern, and the ends of whole ASCII words.
+BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+WORD_STARTS, WORD_ENDS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
 
@@ -23,6 +26,17 @@ def utrim(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
 
 
+def constants(pairs: dict[str, str | int]) -> Column:
+    """A map of fixed values, parsed at once."""
+    shown = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{shown(k)}, {shown(v)}" for k, v in pairs.items()) + ")")
+
+
+def first_fields(text: Column, cut: str) -> Column:
+    """What stands before the first character of a class."""
+    return F.regexp_extract(text, rf"\A[^{cut}]*", 0)
+
+
 def collapse_blanks(value: Column) -> Column:
     return utrim(F.regexp_replace(value, r"(?U)\s+", " "))
 
@@ -54,6 +68,11 @@ def nonempty_distinct(values: Column) -> Column:
     return F.array_distinct(F.filter(values, lambda x: x.isNotNull() & (x != "")))
 
 
-def any_word(value: Column, words: list[str]) -> Column:
-    """Whether one of the patterns stands there between characters that are no ASCII letters, digits or underscores."""
-    return value.rlike(rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(words)})(?![A-Za-z0-9_])")
+def spaced(words: str) -> str:
+    """A pattern of words in which a blank stands for any number of blanks."""
+    return words.replace(" ", BLANK + "*")
+
+
+def whole_words(patterns: list[str]) -> str:
+    """A pattern of any of some patterns between characters that are no ASCII letters, digits or underscores, in any case."""
+    return f"(?i){WORD_STARTS}(?:{'|'.join(patterns)}){WORD_ENDS}"

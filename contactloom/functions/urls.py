@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit, urlunsplit
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.dims import TLD_COUNTRY, TRACKING_PARAMETERS
-from contactloom.functions.text import let, nonempty_distinct, text_or_empty, utrim
+from contactloom.functions.text import constants, let, nonempty_distinct, text_or_empty, utrim
 
 _SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _CUT = "\x01"
@@ -121,8 +121,8 @@ def normalized_http(url: Column) -> Column:
 
 
 def normalized_url(url: Column) -> Column:
-    """``normalized_http`` without the slash that ends the path."""
-    return with_parts(utrim(url), lambda p: _shown(p, F.regexp_replace(p["path"], "/$", ""), _kept(p)))
+    """``normalized_http`` without the slashes that end the path; without a path, or if it has none at its end, without one that ends the query."""
+    return with_parts(utrim(url), lambda p: let(F.regexp_replace(p["path"], "/+$", ""), lambda path: let(_shown(p, path, _kept(p)), lambda u: F.when(path == "", u).otherwise(F.regexp_replace(u, "/$", "")))))
 
 
 def normalized_urls(urls: Column) -> Column:
@@ -131,7 +131,8 @@ def normalized_urls(urls: Column) -> Column:
 
 def key_of(p: Column) -> Column:
     by_name = F.transform(F.array_sort(F.transform(_kept(p), lambda x, k: F.struct(F.substring_index(x, "=", 1), k, x.alias("x")))), lambda y: y["x"])
-    return _shown(p, F.regexp_replace(p["path"], "/+$", ""), by_name)
+    path = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/+$", "")).otherwise("/")
+    return _shown(p, path, by_name)
 
 
 def comparable_url(url: Column) -> Column:
@@ -147,17 +148,22 @@ def domain_matches(host: Column, domain: str) -> Column:
     return (host == domain) | F.endswith(host, F.lit("." + domain))
 
 
+def _of_domains(domains) -> str:
+    return r"(?:^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + r")\z"
+
+
 def any_domain(host: Column, domains: list[str]) -> Column:
-    found = F.lit(False)
-    for d in domains:
-        found = found | domain_matches(host, d)
-    return found
+    return host.rlike(_of_domains(domains))
+
+
+def by_domain(host: Column, names: dict[str, str]) -> Column:
+    """The name of the domain that a host is or belongs to, or null; none of the domains belongs to another."""
+    return F.try_element_at(constants(names), F.regexp_extract(host, _of_domains(names), 1))
 
 
 def country_of_host(host: Column) -> Column:
     """The country of the host's last label, or empty."""
-    table = F.create_map(*[F.lit(x) for pair in TLD_COUNTRY.items() for x in pair])
-    return text_or_empty(F.try_element_at(table, F.substring_index(host, ".", -1)))
+    return text_or_empty(F.try_element_at(constants(TLD_COUNTRY), F.substring_index(host, ".", -1)))
 
 
 def lead_domain(host: Column, source_url: Column) -> Column:
@@ -165,15 +171,31 @@ def lead_domain(host: Column, source_url: Column) -> Column:
     return let(own, lambda o: F.when(o != "", o).otherwise(F.regexp_replace(hostname(text_or_empty(source_url)), r"^www\.", "")))
 
 
-@F.arrow_udf(T.StringType())
-def resolved(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """href against the page's URL; a malformed href gives null."""
+def canonical(base: str, href: str) -> str | None:
+    """href against a page's URL as browsers write it: host in lower case and ASCII, no dot segments; null if it is malformed."""
+    try:
+        found = urljoin(base, href.strip())
+        parts = urlsplit(found)
+        if parts.scheme not in ("http", "https") or not parts.hostname:
+            return found
+        host = parts.hostname if parts.hostname.isascii() else parts.hostname.encode("idna").decode()
+        authority = parts.netloc.rpartition("@")[0] + ("@" if "@" in parts.netloc else "") + (f"[{host}]" if ":" in host else host) + (f":{parts.port}" if parts.port else "")
+        kept: list[str] = []
+        segments = parts.path.split("/")[1:]
+        for k, x in enumerate(segments):
+            if x == "..":
+                kept[-1:] = []
+            if x in (".", ".."):
+                kept += [""] if k == len(segments) - 1 else []
+            else:
+                kept.append(x)
+        return urlunsplit((parts.scheme, authority, "/" + "/".join(kept) if segments else "", parts.query, parts.fragment))
+    except ValueError:  # UnicodeError is one
+        return None
 
-    def join(base: str | None, href: str | None) -> str | None:
-        try:
-            return None if href is None else urljoin(base or "", href.strip())
-        except ValueError:
-            return None
 
+@F.arrow_udf(T.StringType())
+def resolved(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """(base, href) -> ``canonical``; a null href gives null."""
     for bases, hrefs in parts:
-        yield pa.array([join(a, b) for a, b in zip(bases.to_pylist(), hrefs.to_pylist())], pa.string())
+        yield pa.array([None if b is None else canonical(a or "", b) for a, b in zip(bases.to_pylist(), hrefs.to_pylist())], pa.string())

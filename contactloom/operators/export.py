@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import links, phones, urls
 from contactloom.functions.text import first_nonempty, nonempty_distinct, text_or_empty, utrim
-from contactloom.schemas import EXPORT_FIELDS, LEAD_FIELDS
+from contactloom.operators.store import cleared, numbered
+from contactloom.schemas import EXPORT_FIELDS, EXTERNAL, PHONE, SOCIAL
 
 SOURCE = "chrome extension"
-BOM = "﻿"
-HEADER = "SITR LEAD COLLECTION"
+BOM = "\ufeff"
+#: Title of a text document, and how its file's name begins.
+TITLE, PREFIX = "LEAD COLLECTION", "leads"
 RULE = "=" * 50
 
 
+class NothingToExport(ValueError):
+    """The store is empty: no file is written."""
+
+
 def phone_value(p: Column) -> Column:
     return first_nonempty(text_or_empty(p["normalized"]), text_or_empty(p["raw"]))
 
 
 def phone_both(p: Column) -> Column:
-    """``raw (normalized)``, or the one that there is."""
+    """``raw (normalized)``, or the one that there is, for a single lead."""
     both = (text_or_empty(p["raw"]) != "") & (text_or_empty(p["normalized"]) != "") & (p["raw"] != p["normalized"])
     return F.when(both, F.concat(p["raw"], F.lit(" ("), p["normalized"], F.lit(")"))).otherwise(phone_value(p))
 
@@ -30,8 +36,10 @@ def phone_provenance(p: Column) -> Column:
     return F.when(facts != "", F.concat(phone_value(p), F.lit(" ("), facts, F.lit(")")))
 
 
-def iso_seconds(value: Column) -> Column:
-    return text_or_empty(F.date_format(F.try_to_timestamp(value), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+def iso_seconds(value: Column, otherwise: Column) -> Column:
+    """A time to the second; ``otherwise`` in place of one that can't be read. The session's time zone is UTC."""
+    shown = lambda v: F.date_format(F.try_to_timestamp(v), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.coalesce(shown(value), shown(otherwise), otherwise)
 
 
 def _rest(values: Column) -> Column:
@@ -51,12 +59,14 @@ def flat_rows(leads: DataFrame) -> DataFrame:
     note = lambda label, value: F.when(text_or_empty(value) != "", F.concat(F.lit(label + ": "), value))
     listed = lambda label, v: note(label, F.array_join(v, " | "))
     details = lambda c: F.filter(F.transform(c, phone_provenance), lambda x: x.isNotNull())
-    other_social = F.transform(F.filter("social_links", lambda s: (s["url"] != F.col("_primary")) & (s["url"] != used)), links.social_line)
+    other_social = F.filter(F.transform(F.filter("social_links", lambda s: (s["url"] != F.col("_primary")) & (s["url"] != used)), links.social_line), lambda x: x != "")
+    whatsapp_urls = F.transform(F.filter("social_links", lambda s: s["platform"] == "whatsapp"), lambda s: s["url"])
+    domain = urls.lead_domain(F.col("hostname"), F.col("source_url"))
     notes = F.concat_ws(
         "; ",
-        note("page title", F.col("page_title")),
-        note("captured at", iso_seconds(F.col("captured_at"))),
-        note("last updated at", iso_seconds(F.col("last_updated_at"))),
+        note("page title", utrim(F.col("page_title"))),
+        note("captured at", utrim(F.col("captured_at"))),
+        note("last updated at", utrim(F.col("last_updated_at"))),
         listed("other phones", _rest(F.col("_phones"))),
         listed("other WhatsApp", _rest(F.col("_whatsapp"))),
         listed("phone details", details("phones")),
@@ -66,14 +76,14 @@ def flat_rows(leads: DataFrame) -> DataFrame:
         listed("external links", F.transform("external_links", links.external_line)),
     )
     out = {
-        "name": urls.lead_domain(F.col("hostname"), F.col("source_url")),
-        "company_name": F.lit(""),
+        "name": domain,
+        "company_name": domain,
         "phone": text_or_empty(F.get("_phones", F.lit(0))),
         "whatsapp": whatsapp,
         "email": text_or_empty(F.get("emails", F.lit(0))),
-        "website": text_or_empty(F.col("source_url")),
+        "website": utrim(text_or_empty(F.col("source_url"))),
         "social_url": F.col("_primary"),
-        "country": phones.unanimous_country(F.concat("_phones", "_whatsapp")),
+        "country": phones.unanimous_country(F.concat("_phones", "_whatsapp", whatsapp_urls)),
         "source": F.lit(SOURCE),
         "notes": notes,
     }
@@ -96,43 +106,119 @@ def list_lines(values: Column) -> Column:
     return F.when(F.size(shown) == 0, F.lit("- None")).otherwise(F.array_join(F.transform(shown, lambda x: F.concat(F.lit("- "), x)), "\n"))
 
 
-def text_blocks(leads: DataFrame) -> DataFrame:
-    """(seq, line): a numbered block for each lead."""
-    section = lambda title, values: F.concat(F.lit(f"{title}:\n"), list_lines(values))
+def _section(title: str, values: Column) -> Column:
+    return F.concat(F.lit(f"{title}\n"), list_lines(values))
+
+
+def lead_text() -> Column:
+    """A single lead as text."""
+    shown = lambda label, c, empty: F.concat(F.lit(f"{label}: "), first_nonempty(utrim(text_or_empty(F.col(c))), F.lit(empty)))
+    head = F.concat_ws("\n", shown("Page Title", "page_title", "Untitled page"), shown("Source URL", "source_url", "None"), shown("Captured At", "captured_at", "Unknown"))
+    return F.concat_ws(
+        "\n\n",
+        head,
+        _section("Phones", F.transform("phones", phone_both)),
+        _section("WhatsApp", F.transform("whatsapp", phone_both)),
+        _section("Emails", F.col("emails")),
+        _section("Social Links", F.transform("social_links", links.plain_social_line)),
+        _section("External Links", F.transform("external_links", links.external_line)),
+    )
+
+
+def text_blocks(leads: DataFrame, exported_at: str) -> DataFrame:
+    """(seq, line): a block for each lead, numbered from 1 in the order of ``seq``."""
+    shown = lambda label, value: F.concat(F.lit(f"{label}:\n"), value)
+    plain = lambda c, empty: first_nonempty(utrim(text_or_empty(F.col(c))), F.lit(empty))
     body = F.concat_ws(
-        "\n",
-        F.concat(F.lit("Page title: "), text_or_empty(F.col("page_title"))),
-        F.concat(F.lit("Source URL: "), text_or_empty(F.col("source_url"))),
-        F.concat(F.lit("Hostname: "), text_or_empty(F.col("hostname"))),
-        F.concat(F.lit("Captured at: "), text_or_empty(F.col("captured_at"))),
-        section("Phones", F.transform("phones", phone_both)),
-        section("WhatsApp", F.transform("whatsapp", phone_both)),
-        section("Emails", F.col("emails")),
-        section("Social links", F.transform("social_links", links.social_line)),
-        section("External links", F.transform("external_links", links.external_line)),
+        "\n\n",
+        shown("Page Title", plain("page_title", "Untitled page")),
+        shown("Source URL", plain("source_url", "None")),
+        shown("Hostname", plain("hostname", "None")),
+        shown("Captured At", iso_seconds(F.col("captured_at"), F.lit(exported_at))),
+        _section("Phone Numbers:", F.transform("phones", phone_value)),
+        _section("WhatsApp:", F.transform("whatsapp", phone_value)),
+        _section("Emails:", F.col("emails")),
+        _section("Social Links:", F.transform("social_links", links.social_line)),
+        _section("External Links:", F.transform("external_links", links.external_line)),
     )
-    return leads.select(F.col("seq").cast("long").alias("seq"), F.concat(F.lit(RULE + "\nLead "), (F.col("seq") + 1).cast("string"), F.lit("\n" + RULE + "\n"), body).alias("line"))
+    framed = lambda x: F.concat(F.lit(RULE + "\n"), x, F.lit("\n" + RULE))
+    block = F.concat_ws("\n\n", framed(F.concat(F.lit("LEAD "), F.col("index").cast("string"))), body, framed(F.lit("END LEAD")))
+    return numbered(leads).select(F.col("seq").cast("long").alias("seq"), block.alias("line"))
+
+
+def text_header(n: int, exported_at: str, title: str = TITLE) -> Column:
+    return F.concat(F.lit(f"{title}\nExported At: "), iso_seconds(F.lit(exported_at), F.lit(exported_at)), F.lit(f"\nTotal Leads: {n}"))
 
 
-def text_header(n: Column, exported_at: str) -> Column:
-    return F.concat(F.lit(f"{HEADER}\nExported at: {exported_at}\nTotal leads: "), n.cast("string"))
+def _ends(leads: DataFrame) -> tuple[int, int, int]:
+    """Number of leads, and the least and greatest ``seq``."""
+    facts = leads.agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).first()
+    return facts["n"], facts["first"] or 0, facts["last"] or 0
+
+
+def text_document(leads: DataFrame, exported_at: str, title: str = TITLE) -> DataFrame:
+    """(seq, line): the header, then the blocks; ``write_lines`` puts an empty line between them."""
+    n, first, _ = _ends(leads)
+    head = leads.sparkSession.range(1).select(F.lit(first - 1).cast("long").alias("seq"), text_header(n, exported_at, title).alias("line"))
+    blocks = text_blocks(leads, exported_at).select("seq", F.concat(F.lit("\n"), "line").alias("line"))
+    return head.unionByName(blocks)
+
+
+def _json_text(value: Column) -> Column:
+    """A string as JSON; null is null."""
+    shown = F.to_json(F.array(value))
+    return F.when(value.isNull(), "null").otherwise(F.substr(shown, F.lit(2), F.length(shown) - 2))
+
+
+def _json_object(fields: dict[str, Column], indent: int, optional: tuple[str, ...] = ()) -> Column:
+    """Already written values under their names, two spaces deeper; ``optional`` ones are left out where they are null."""
+    pad = " " * (indent + 2)
+    pairs = [F.when(~F.lit(k in optional) | (v != "null"), F.concat(F.lit(f'{pad}"{k}": '), v)) for k, v in fields.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *pairs), F.lit("\n" + " " * indent + "}"))
+
+
+def _json_list(values: Column, indent: int) -> Column:
+    pad = " " * (indent + 2)
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"[\n{pad}"), F.array_join(values, f",\n{pad}"), F.lit("\n" + " " * indent + "]"))).otherwise("[]")
+
+
+def json_lead(indent: int = 4) -> Column:
+    """A lead as an indented JSON object; the time of its last update, and a number's context and source, only where there are any."""
+    each = lambda c, names, optional=(): _json_list(F.transform(F.coalesce(c, F.array().cast(_TYPES[c])), lambda x: _json_object({n: _json_text(x[n]) for n in names}, indent + 4, optional)), indent + 2)
+    number = (("raw", "normalized", "context", "source"), ("context", "source"))
+    fields = {
+        "id": _json_text(F.col("id")),
+        "pageTitle": _json_text(F.col("page_title")),
+        "sourceUrl": _json_text(F.col("source_url")),
+        "hostname": _json_text(F.col("hostname")),
+        "capturedAt": _json_text(F.col("captured_at")),
+        "phones": each("phones", *number),
+        "whatsapp": each("whatsapp", *number),
+        "emails": _json_list(F.transform(F.coalesce("emails", F.array().cast("array<string>")), _json_text), indent + 2),
+        "socialLinks": each("social_links", ("platform", "url")),
+        "externalLinks": each("external_links", ("url", "text", "type")),
+        "lastUpdatedAt": _json_text(F.col("last_updated_at")),
+    }
+    return _json_object(fields, indent, ("lastUpdatedAt",))
 
 
-def json_lines(leads: DataFrame) -> DataFrame:
-    """(seq, line): each lead as one JSON object; null fields are left out."""
-    return leads.select(F.col("seq").cast("long").alias("seq"), F.to_json(F.struct(*LEAD_FIELDS)).alias("line"))
+_TYPES = {"phones": f"array<{PHONE}>", "whatsapp": f"array<{PHONE}>", "social_links": f"array<{SOCIAL}>", "external_links": f"array<{EXTERNAL}>"}
 
 
 def json_document(leads: DataFrame, exported_at: str) -> DataFrame:
-    """(seq, line): the collection as one JSON object, a lead a line; ``write_lines`` puts the lines in order, however many they are."""
-    facts = leads.agg(F.count("*").alias("n"), F.min("seq").alias("first"), F.max("seq").alias("last")).first()
-    shown = json_lines(leads).select("seq", F.when(F.col("seq") == (facts["last"] or 0), F.col("line")).otherwise(F.concat("line", F.lit(","))).alias("line"))
-    ends = [((facts["first"] or 0) - 1, f'{{"exportedAt":"{exported_at}","totalLeads":{facts["n"]},"leads":['), ((facts["last"] or 0) + 1, "]}")]
-    return shown.unionByName(leads.sparkSession.createDataFrame(ends, "seq long, line string"))
+    """(seq, line): the collection as one indented JSON object, a lead a row; ``write_lines`` puts the rows in order, however many they are."""
+    n, first, last = _ends(leads)
+    spark = leads.sparkSession
+    shown = leads.select(F.col("seq").cast("long").alias("seq"), F.concat(F.lit("    "), json_lead(), F.when(F.col("seq") == last, "").otherwise(",")).alias("line"))
+    at = iso_seconds(F.lit(exported_at), F.lit(exported_at))
+    head = F.concat(F.lit('{\n  "exportedAt": "'), at, F.lit(f'",\n  "totalLeads": {n},\n  "leads": ' + ("[" if n else "[]")))
+    end = [(first - 1, 0), (last + 1, 1)]
+    ends = spark.createDataFrame(end, "seq long, k int").select("seq", F.when(F.col("k") == 0, head).otherwise(F.lit("  ]\n}" if n else "}")).alias("line"))
+    return shown.unionByName(ends)
 
 
-def file_name(extension: str, at: Column) -> Column:
-    return F.concat(F.lit("sitr-leads-"), F.date_format(at, "yyyy-MM-dd-HHmm"), F.lit("." + extension))
+def file_name(extension: str, at: Column, prefix: str = PREFIX) -> Column:
+    return F.concat(F.lit(prefix + "-"), F.date_format(at, "yyyy-MM-dd-HHmm"), F.lit("." + extension))
 
 
 def write_lines(lines: DataFrame, path: str, *, line_end: str = "\n", bom: bool = False) -> None:
@@ -141,6 +227,32 @@ def write_lines(lines: DataFrame, path: str, *, line_end: str = "\n", bom: bool
     lines.orderBy("seq").select(first.alias("value")).write.option("lineSep", line_end).text(path)
 
 
+#: Line ends of each kind of document, and whether its first file begins with the byte-order mark.
+KINDS = {"csv": ("\r\n", True), "txt": ("\n", True), "json": ("\n", False)}
+
+
+def exported(leads: DataFrame, kind: str, path: str, exported_at: str, *, clear: bool = False, title: str = TITLE) -> DataFrame:
+    """Writes the collection as ``csv``, ``txt`` or ``json`` and gives the store to keep: the same leads, or none (``clear``).
+
+    An empty store is no document: nothing is written and NothingToExport is raised.
+    """
+    if leads.limit(1).count() == 0:
+        raise NothingToExport("there are no stored leads to export")
+    made = {"csv": lambda: csv_lines(flat_rows(leads)), "txt": lambda: text_document(leads, exported_at, title), "json": lambda: json_document(leads, exported_at)}[kind]()
+    end, bom = KINDS[kind]
+    write_lines(made, path, line_end=end, bom=bom)
+    return cleared(leads) if clear else leads
+
+
 def copied(values: Column) -> Column:
     """Text for the clipboard: trimmed values, each once, a line each."""
     return F.array_join(nonempty_distinct(F.transform(values, utrim)), "\n")
+
+
+def copied_phones(values: Column) -> Column:
+    return copied(F.transform(values, phone_value))
+
+
+def copied_links(values: Column) -> Column:
+    """Of social or external links: their URLs."""
+    return copied(F.transform(values, lambda x: x["url"]))

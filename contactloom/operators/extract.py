@@ -8,119 +8,164 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from contactloom import dims
 from contactloom.functions import emails, html, links, phones, urls
-from contactloom.functions.text import any_word, collapse_blanks, first_nonempty, nonempty_distinct, text_or_empty, utrim
+from contactloom.functions.text import ascii_digits, collapse_blanks, first_nonempty, nonempty_distinct, text_or_empty, utrim
 from contactloom.schemas import CSV_FIELDS
 
 _WIDGET_TEXT = "WhatsApp contact button"
 _ANCHOR_TEXT = "WhatsApp contact link"
-_NUMBER_KEY = r"(?i)(?:^|[-_:])(?:telephone|phone|mobile|whatsapp|wa-number|wa_number|wanumber|number)(?:$|[-_:])"
+_NUMBER_KEY = rf"(?i)(?:^|[-_:])(?:{'|'.join(dims.NUMBER_KEYS)})(?:$|[-_:])"
+_LABELLED = rf"(?i)(?:{'|'.join(dims.NUMBER_KEYS)})[\"'\s:=\\]+(\+?[0-9](?:[\s().-]*[0-9]){{7,14}})"
+_SIGNAL = r"(?i)whats[\s_-]*app|joinchat|wa\.me|whatsapp://"
 
 
 def attribute(element: Column, name: str) -> Column:
     return text_or_empty(F.try_element_at(element["attributes"], F.lit(name)))
 
 
-def _matching(elements: Column, rule) -> Column:
-    return F.filter(elements, rule)
-
-
 def is_contact_section(e: Column) -> Column:
     return e["tag"].isin("address", "footer") | F.concat_ws(" ", attribute(e, "id"), attribute(e, "class")).rlike("(?i)contact|phone|email|whatsapp")
 
 
+def _descriptor(e: Column) -> Column:
+    return F.concat_ws(" ", attribute(e, "name"), attribute(e, "property"), attribute(e, "itemprop"))
+
+
 def is_relevant_meta(e: Column) -> Column:
-    named = F.concat_ws(" ", attribute(e, "name"), attribute(e, "property"), attribute(e, "itemprop"))
-    return (e["tag"] == "meta") & (named.rlike("(?i)contact|description|email|mobile|phone|telephone|whatsapp") | phones.phone_cue(attribute(e, "content")))
+    return (e["tag"] == "meta") & (_descriptor(e).rlike(r"(?i)contact|description|email|mobile|phone|telephone|whats[\s-]*app") | phones.phone_cue(attribute(e, "content")))
 
 
 def is_button(e: Column) -> Column:
     return (e["tag"] == "button") | (attribute(e, "role") == "button")
 
 
+def is_link(e: Column) -> Column:
+    return (e["tag"] == "a") & F.map_contains_key(e["attributes"], F.lit("href"))
+
+
 def described(e: Column) -> Column:
     return F.concat_ws(" ", attribute(e, "class"), attribute(e, "id"), attribute(e, "aria-label"), attribute(e, "title"), e["text"])
 
 
 def element_context(e: Column) -> Column:
     """The element's words without the numbers in them."""
-    words = F.array_join(nonempty_distinct(F.array(*(collapse_blanks(x) for x in (e["text"], attribute(e, "aria-label"), attribute(e, "title"))))), " ")
-    return phones.cleaned_context(F.regexp_replace(words, phones.CANDIDATE, " "))
+    words = F.array_join(nonempty_distinct(F.array(*(utrim(x) for x in (e["text"], attribute(e, "aria-label"), attribute(e, "title"))))), " ")
+    return phones.cleaned_context(F.regexp_replace(ascii_digits(words), phones.CANDIDATE, " "))
 
 
 def anchors(page: Column) -> Column:
-    """(url, href, text, described) of the page's links."""
-    return F.transform(F.filter(page["elements"], lambda e: (e["tag"] == "a") & (attribute(e, "href") != "")), lambda e: F.struct(text_or_empty(e["url"]).alias("url"), attribute(e, "href").alias("href"), e["text"].alias("text"), described(e).alias("described")))
+    """(url, href, text, described, context) of the page's links."""
+    return F.transform(F.filter(page["elements"], is_link), lambda e: F.struct(text_or_empty(e["url"]).alias("url"), utrim(attribute(e, "href")).alias("href"), e["text"].alias("text"), described(e).alias("described"), element_context(e).alias("context")))
+
+
+# A text to be searched for numbers: of which list they are, where they come from, whether the markup says that they are numbers, the
+# context that takes the place of the text's own, what stands before its own, and whether the text is a number as it is.
+def _searched(text: Column, source: str, *, explicit: bool = False, context: Column | None = None, before: Column | None = None, whatsapp: bool = False, whole: bool = False) -> Column:
+    blank = F.lit("")
+    return F.struct(text.alias("text"), F.lit(source).alias("source"), F.lit(explicit).alias("explicit"), (blank if context is None else context).alias("context"), (blank if before is None else before).alias("before"), F.lit(whatsapp).alias("whatsapp"), F.lit(whole).alias("whole"))
 
 
-def page_phones(page: Column) -> Column:
-    """Candidates of visible text, links, buttons, contact sections and meta tags, in that order."""
+def _phone_texts(page: Column) -> Column:
+    """Visible text, links, buttons, contact sections and meta tags, in that order."""
     elements = page["elements"]
 
-    def of_anchor(e: Column) -> Column:
-        href = attribute(e, "href")
-        tel = F.when(href.rlike("(?i)^\\s*tel:"), phones.candidates_in(phones.cleaned_phone(href), "tel-link", True, element_context(e))).otherwise(F.array().cast("array<struct<raw:string,context:string,source:string>>"))
-        return F.concat(tel, phones.candidates_in(e["text"], "anchor-text"))
+    def of_link(e: Column) -> Column:
+        href = utrim(attribute(e, "href"))
+        tel = F.when(href.rlike("(?i)^tel:"), F.array(_searched(F.substr(href, F.lit(5)), "tel-link", explicit=True, context=element_context(e))))
+        shown = F.array(_searched(e["text"], "anchor-text"))
+        return F.coalesce(F.concat(tel, shown), shown)
 
-    of = lambda rule, one: F.flatten(F.transform(_matching(elements, rule), one))
+    each = lambda rule, one: F.transform(F.filter(elements, rule), one)
     return F.concat(
-        phones.candidates_in(page["lines"], "visible-text"),
-        of(lambda e: e["tag"] == "a", of_anchor),
-        of(is_button, lambda e: phones.candidates_in(e["text"], "button-text")),
-        of(is_contact_section, lambda e: phones.candidates_in(e["text"], "visible-text")),
-        of(is_relevant_meta, lambda e: phones.candidates_in(attribute(e, "content"), "meta-tag")),
+        F.array(_searched(page["lines"], "visible-text")),
+        F.flatten(each(is_link, of_link)),
+        each(is_button, lambda e: _searched(e["text"], "button-text")),
+        each(is_contact_section, lambda e: _searched(e["text"], "visible-text")),
+        each(is_relevant_meta, lambda e: _searched(attribute(e, "content"), "meta-tag", before=_descriptor(e))),
     )
 
 
-def page_whatsapp(page: Column) -> Column:
-    """Candidates of WhatsApp links, of numbers near a mention, and of widgets."""
-    elements = page["elements"]
+def near_mentions(text: Column) -> Column:
+    """Each mention of WhatsApp with what stands up to NEAR characters around it."""
+    # a look behind finds its shortest match first: it is as long as there is text
+    n = phones.NEAR
+    around = rf"(?is)(?={phones.MENTION})(?<=(\A.{{0,{n - 1}}}|.{{{n}}}))({phones.MENTION})(?=(.{{0,{n}}}))"
+    before, own, after = (F.regexp_extract_all(text, F.lit(around), F.lit(k)) for k in (1, 2, 3))
+    some = F.transform(before, lambda x, k: F.concat(x, own[k], after[k]))
+    return F.when(text.rlike(f"(?i){phones.MENTION}"), some).otherwise(F.array().cast("array<string>"))
 
-    def link(e: Column) -> Column:
-        return phones.candidate(phones.whatsapp_number(e["url"]), first_nonempty(element_context(e), F.lit(_ANCHOR_TEXT)), F.lit("whatsapp-link"))
 
-    from_links = F.transform(F.filter(elements, lambda e: (e["tag"] == "a") & e["url"].isNotNull() & phones.is_whatsapp_url(e["url"]) & ~links.is_share_control(described(e))), link)
-    near = F.regexp_extract_all(page["lines"], F.lit(r"(?i)[^\n]{0,90}(?:whats[\s-]?app|وات\s?ساب)[^\n]{0,90}"), F.lit(0))
-    from_text = F.flatten(F.transform(near, lambda x: phones.candidates_in(x, "visible-text", True)))
+def is_widget(e: Column) -> Column:
+    """What may carry a WhatsApp number outside a link's target, and says so."""
+    has = lambda name: F.map_contains_key(e["attributes"], F.lit(name))
+    holds = lambda name, words: attribute(e, name).rlike(f"(?i){words}")
+    button = attribute(e, "role") == "button"
+    chosen = holds("class", "whatsapp|joinchat") | holds("id", "whatsapp|joinchat") | holds("aria-label", "whatsapp") | has("data-whatsapp") | has("data-wa-number") | button & (has("data-telephone") | has("data-phone")) | has("data-settings") | holds("onclick", r"whatsapp|wa\.me")
+    pairs = F.map_entries(e["attributes"])
+    signal = F.exists(pairs, lambda x: F.concat(x["key"], F.lit(" "), x["value"]).rlike(_SIGNAL))
+    named = F.exists(pairs, lambda x: x["key"].rlike(_NUMBER_KEY))
+    return chosen & (signal | (F.lower(attribute(e, "role")) == "button") & named)
 
-    def is_widget(e: Column) -> Column:
-        keys = F.map_keys(e["attributes"])
-        signal = F.concat_ws(" ", attribute(e, "class"), attribute(e, "id"), attribute(e, "aria-label"), attribute(e, "onclick"), attribute(e, "data-settings"), attribute(e, "data-config"), attribute(e, "data-options")).rlike(r"(?i)whatsapp|joinchat|wa\.me")
-        return (e["tag"] != "a") & (signal | F.exists(keys, lambda k: k.isin("data-whatsapp", "data-wa-number")) | is_button(e) & F.exists(keys, lambda k: k.isin("data-telephone", "data-phone")))
 
-    def widget(e: Column) -> Column:
-        named = F.map_values(F.map_filter(e["attributes"], lambda k, _: k.rlike(_NUMBER_KEY) & F.startswith(k, F.lit("data-"))))
-        settings = F.array(*(attribute(e, x) for x in ("data-settings", "data-config", "data-options", "onclick")))
-        inside = F.flatten(F.transform(settings, widget_numbers))
-        found = F.concat(F.flatten(F.transform(named, lambda v: F.regexp_extract_all(v, F.lit(phones.CANDIDATE), F.lit(0)))), inside)
-        return F.transform(found, lambda v: phones.candidate(phones.cleaned_phone(v), first_nonempty(element_context(e), F.lit(_WIDGET_TEXT)), F.lit("whatsapp-link")))
+def _widget_texts(e: Column) -> Column:
+    """A widget's texts to search, attribute by attribute: values of number-like names, settings, and links inside."""
+    context = first_nonempty(element_context(e), F.lit(_WIDGET_TEXT))
+    piece = lambda text, number, links_too: F.struct(text.alias("text"), number.alias("number"), links_too.alias("linked"))
+    yes, no = F.lit(True), F.lit(False)
 
-    from_widgets = F.flatten(F.transform(F.filter(elements, is_widget), widget))
-    return F.filter(F.concat(from_links, from_text, from_widgets), lambda c: phones.phone_key(c["raw"]).rlike("^[0-9]{8,15}$"))
+    def settings(v: Column) -> Column:
+        walked = F.transform(e["settings"], lambda s: piece(s["value"], s["key"].rlike(_NUMBER_KEY), yes))
+        return F.coalesce(walked, F.concat(F.transform(F.regexp_extract_all(v, F.lit(_LABELLED), F.lit(1)), lambda x: piece(x, yes, no)), F.array(piece(v, no, yes))))
 
+    def of(x: Column) -> Column:
+        own, rest = F.array(piece(x["value"], x["key"].rlike(_NUMBER_KEY), no)), F.array(piece(x["value"], no, yes))
+        return F.when(x["key"].isin(dims.SETTINGS_ATTRIBUTES), F.concat(own, settings(x["value"]), rest)).otherwise(F.concat(own, rest))
 
-def widget_numbers(settings: Column) -> Column:
-    """Numbers in a widget's settings, at any depth: values of phone-like keys, and WhatsApp links.
+    def searched(p: Column) -> Column:
+        number = F.filter(F.array(_searched(p["text"], "whatsapp-link", explicit=True, context=context, whatsapp=True)), lambda _: p["number"])
+        linked = F.transform(F.filter(phones.whatsapp_numbers_in(p["text"]), lambda _: p["linked"]), lambda n: _searched(n, "whatsapp-link", context=context, whatsapp=True, whole=True))
+        return F.concat(number, linked)
 
-    JSON writes each key beside its value, so keys and scalars are found in the text; lists of a key's values too.
-    """
-    plain = F.replace(F.replace(settings, F.lit("&quot;"), F.lit('"')), F.lit("\\/"), F.lit("/"))
-    key = r"(?:[A-Za-z0-9]+[-_:])*(?:telephone|phone|mobile|whatsapp|wa-number|wa_number|wanumber|number)(?:[-_:][A-Za-z0-9]+)*"
-    pairs = F.regexp_extract_all(plain, F.lit(rf'(?i)["\']?\b{key}["\']?\s*[:=]\s*(\[[^\]]*\]|"[^"]*"|\'[^\']*\'|\+?[0-9][0-9 ()-]*)'), F.lit(1))
-    values = F.flatten(F.transform(pairs, lambda v: F.regexp_extract_all(v, F.lit(phones.CANDIDATE), F.lit(0))))
-    return F.concat(F.filter(values, lambda v: phones.phone_key(v).rlike("^[0-9]{8,15}$")), phones.whatsapp_numbers_in(plain))
+    return F.flatten(F.transform(F.flatten(F.transform(F.map_entries(e["attributes"]), of)), searched))
+
+
+def _whatsapp_texts(page: Column, judged: Column) -> Column:
+    """WhatsApp links, text near a mention, and widgets, in that order; ``judged``: the page's links, judged."""
+    own = F.filter(judged, lambda a: (a["platform"] == "whatsapp") & ~a["shares"] & ~a["excluded"])
+    from_links = F.transform(own, lambda a: _searched(phones.whatsapp_number(a["href"]), "whatsapp-link", context=first_nonempty(a["context"], F.lit(_ANCHOR_TEXT)), whatsapp=True, whole=True))
+    from_text = F.transform(near_mentions(page["lines"]), lambda x: _searched(x, "visible-text", whatsapp=True))
+    return F.concat(from_links, from_text, F.flatten(F.transform(F.filter(page["elements"], is_widget), _widget_texts)))
+
+
+_FOUND = "array<struct<raw:string,context:string,source:string,whatsapp:boolean>>"
+
+
+def _numbers_of(texts: Column) -> Column:
+    """The likely numbers of texts, as candidates of one of the two lists."""
+
+    def of(t: Column) -> Column:
+        whole = F.array(phones.candidate(phones.cleaned_phone(t["text"]), phones.cleaned_context(t["context"]), t["source"]))
+        found = F.when(t["whole"], whole).otherwise(phones.candidates_of(t["text"], t["source"], t["explicit"], t["context"]))
+        context = lambda c: F.when(t["before"] != "", phones.cleaned_context(F.concat(t["before"], F.lit(" "), c["context"]))).otherwise(c["context"])
+        return F.transform(found, lambda c: F.struct(c["raw"], context(c).alias("context"), c["source"], t["whatsapp"].alias("whatsapp")))
+
+    return F.filter(F.flatten(F.transform(F.filter(texts, lambda t: text_or_empty(t["text"]) != ""), of)), lambda c: phones.phone_key(c["raw"]) != "")
+
+
+def widget_numbers(page: Column) -> Column:
+    """The numbers of a page's WhatsApp widgets, each once."""
+    texts = F.flatten(F.transform(F.filter(page["elements"], is_widget), _widget_texts))
+    return F.transform(phones.distinct_candidates(_numbers_of(texts)), lambda c: c["raw"])
 
 
 def page_emails(page: Column) -> Column:
+    """Visible text, links, buttons, contact sections and meta tags; then mailto links and ``data-email``."""
     elements = page["elements"]
-    texts = lambda rule: F.transform(_matching(elements, rule), lambda e: e["text"])
-    all_texts = F.concat(F.array(page["lines"]), texts(lambda e: e["tag"] == "a"), texts(is_button), texts(is_contact_section), F.transform(_matching(elements, is_relevant_meta), lambda e: attribute(e, "content")))
-    mailto = F.transform(F.filter(elements, lambda e: attribute(e, "href").rlike("(?i)^mailto:")), lambda e: attribute(e, "href"))
-    data = F.filter(F.transform(elements, lambda e: attribute(e, "data-email")), lambda x: x != "")
-    return emails.captured_emails(all_texts, F.concat(mailto, data))
+    each = lambda rule, one: F.transform(F.filter(elements, rule), one)
+    shown = F.concat(F.array(page["lines"]), each(is_link, lambda e: e["text"]), each(is_button, lambda e: e["text"]), each(is_contact_section, lambda e: e["text"]), each(is_relevant_meta, lambda e: attribute(e, "content")))
+    return emails.captured_emails(F.concat(shown, emails.mailto_texts(each(is_link, lambda e: attribute(e, "href"))), F.transform(elements, lambda e: attribute(e, "data-email"))))
 
 
 def parse_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -131,9 +176,12 @@ def parse_pages(pages: DataFrame, *, url_col: str = "url", html_col: str = "html
 def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """A lead for each web page, of candidates as found; ``captured_at`` is ISO text."""
     page, url = F.col("page"), F.col(url_col)
-    rows = parse_pages(pages.where(urls.is_web_url(url)), url_col=url_col, html_col=html_col)
-    whatsapp = F.col("whatsapp_found")
-    found = rows.withColumn("whatsapp_found", page_whatsapp(page)).withColumn("links", links.judged(anchors(page), url))
+    rows = parse_pages(pages.where(urls.is_web_url(url)), url_col=url_col, html_col=html_col).withColumn("links", links.judged(anchors(page), url))
+    # each text is searched once, by one expression
+    found = rows.withColumn("found", _numbers_of(F.concat(_phone_texts(page), _whatsapp_texts(page, F.col("links")))))
+    # phones are those of the first list, then the others once more
+    own = lambda wanted: F.transform(F.filter("found", lambda c: c["whatsapp"] == wanted), lambda c: c.dropFields("whatsapp"))
+    found = found.withColumn("whatsapp_found", phones.distinct_candidates(own(True)))
     return found.select(
         F.sha2(url, 256).alias("id"),
         utrim(page["title"]).alias("page_title"),
@@ -141,8 +189,8 @@ def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_c
         urls.hostname(url).alias("hostname"),
         F.lit(captured_at).alias("captured_at"),
         F.lit(None).cast("string").alias("last_updated_at"),
-        phones.distinct_candidates(F.concat(page_phones(page), whatsapp)).alias("phones"),
-        phones.distinct_candidates(whatsapp).alias("whatsapp"),
+        phones.distinct_candidates(F.concat(own(False), F.col("whatsapp_found"))).alias("phones"),
+        F.col("whatsapp_found").alias("whatsapp"),
         page_emails(page).alias("emails"),
         links.social_links(F.col("links")).alias("social_links"),
         links.external_links(F.col("links"), url).alias("external_links"),
@@ -150,13 +198,14 @@ def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_c
 
 
 def normalize_leads(leads: DataFrame) -> DataFrame:
-    """Captured leads with every list normalized; external links without the page itself and the profiles."""
+    """Captured leads with their URL and every list normalized; external links without the page itself and the profiles."""
+    leads = leads.withColumn("source_url", first_nonempty(urls.normalized_url(F.col("source_url")), utrim(text_or_empty(F.col("source_url")))))
     social = links.normalized_social(F.col("social_links"))
     cleaned = leads.select(
         "id",
         utrim(text_or_empty(F.col("page_title"))).alias("page_title"),
         "source_url",
-        urls.hostname(F.col("source_url")).alias("hostname"),
+        first_nonempty(urls.hostname(F.col("source_url")), utrim(text_or_empty(F.col("hostname")))).alias("hostname"),
         "captured_at",
         "last_updated_at",
         phones.normalized_phones(F.col("phones")).alias("phones"),
@@ -165,7 +214,7 @@ def normalize_leads(leads: DataFrame) -> DataFrame:
         social.alias("social_links"),
         links.normalized_external(F.col("external_links")).alias("external_links"),
     )
-    kept = F.filter(links.external_without_social(F.col("external_links"), F.col("social_links")), lambda e: e["url"] != urls.normalized_url(F.col("source_url")))
+    kept = F.filter(links.external_without_social(F.col("external_links"), F.col("social_links")), lambda e: e["url"] != F.col("source_url"))
     return cleaned.withColumn("external_links", kept)
 
 
@@ -174,26 +223,30 @@ def jsonld_text(page: Column) -> Column:
     return F.array_join(F.filter(F.transform(page["jsonld"], lambda x: F.to_json(F.try_parse_json(x))), lambda x: x.isNotNull()), " ")
 
 
-def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", default_country: str = "", order_col: str = "page_id", url_col: str = "url", html_col: str = "html", error_col: str | None = None) -> DataFrame:
+def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", default_country: str = "EG", order_col: str = "page_id", url_col: str = "url", html_col: str = "html", error_col: str | None = None, host_col: str | None = None, website_col: str | None = None) -> DataFrame:
     """One flat lead a host, of all its pages in the order of ``order_col``. ``as_of`` is the date's text.
 
+    A page's host and website are its URL's, or, after redirects, those of the seed, in ``host_col`` and ``website_col``.
     A value that many pages repeat, an error too, counts once, at its first place; a host's row gathers its distinct values only.
     """
-    url, page = F.col(url_col), F.col("page")
-    rows = parse_pages(pages.withColumn("_host", urls.host_for_url(url)).where("_host <> ''"), url_col=url_col, html_col=html_col)
-    hrefs = F.transform(F.filter(page["elements"], lambda e: (e["tag"] == "a") & (attribute(e, "href") != "")), lambda e: F.struct(attribute(e, "href").alias("href"), e["url"].alias("url")))
-    region = default_country or "EG"
-    valid = lambda values: F.filter(F.transform(values, lambda v: phones.valid_number(v, region)), lambda n: n.isNotNull())
+    url, page, region = F.col(url_col), F.col("page"), default_country.upper()
+    host = F.col(host_col) if host_col else urls.host_for_url(url)
+    website = F.col(website_col) if website_col else url
+    rows = parse_pages(pages.withColumn("_host", host).where("_host <> ''"), url_col=url_col, html_col=html_col)
+    hrefs = F.transform(F.filter(page["elements"], is_link), lambda e: F.struct(attribute(e, "href").alias("href"), e["url"].alias("url")))
     tel = F.transform(F.filter(hrefs, lambda h: h["href"].rlike("(?i)^tel:")), lambda h: h["href"])
-    wa = F.filter(F.transform(hrefs, lambda h: phones.whatsapp_number(h["url"])), lambda x: x != "")
+    wa = F.filter(F.transform(hrefs, lambda h: phones.whatsapp_value(h["href"])), lambda x: x != "")
     text = F.concat_ws(" ", page["text"], jsonld_text(page))
+    # WhatsApp numbers first, then those of links, then those of the text; each is judged by one expression
+    named = lambda values, part: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(part).alias("part")))
+    written = F.concat(named(wa, 0), named(F.concat(tel, phones.numbers_in(text)), 1))
+    numbers = F.filter(F.transform(written, lambda x: F.struct(phones.valid_number(x["v"], region).alias("n"), x["part"].alias("part"))), lambda x: x["n"].isNotNull())
     each = rows.select(
         "_host",
         F.col(order_col).alias("_seq"),
-        url.alias("_url"),
+        website.alias("_url"),
         (F.col(error_col) if error_col else F.lit(None).cast("string")).alias("_error"),
-        F.array_distinct(valid(F.transform(wa, lambda x: F.concat(F.lit("+"), x)))).alias("_wa"),
-        F.array_distinct(F.concat(valid(tel), valid(F.regexp_extract_all(text, F.lit(phones.CANDIDATE), F.lit(0))))).alias("_tel"),
+        numbers.alias("_numbers"),
         emails.crawled_emails(page["text"], F.transform(hrefs, lambda h: h["href"])).alias("_mail"),
         F.filter(F.transform(hrefs, lambda h: F.struct(links.crawl_kind(h["url"]).alias("kind"), links.clean_social_url(h["url"]).alias("url"))), lambda s: s["url"].isNotNull()).alias("_social"),
     )
@@ -204,12 +257,13 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
         return F.transform(values, lambda x, k: F.struct(F.lit(kind).alias("kind"), value(x).alias("value"), key(x).alias("key"), F.lit(part).alias("part"), k.alias("at"), more(x).alias("more")))
 
     nothing = lambda _: none
-    number = (lambda n: n["e164"], lambda n: n["region"], lambda n: n["region"])
+    number = (lambda x: x["n"]["e164"], lambda x: x["n"]["region"], lambda x: x["n"]["region"])
+    of_part = lambda k: F.filter("_numbers", lambda x: x["part"] == k)
     every = F.concat(
         entries("page", 0, F.array("_url"), nothing, nothing, nothing),
         entries("error", 0, F.filter(F.array("_error"), lambda x: x.isNotNull()), lambda x: x, nothing, nothing),
-        entries("number", 0, F.col("_wa"), *number),
-        entries("number", 1, F.col("_tel"), *number),
+        entries("number", 0, of_part(0), *number),
+        entries("number", 1, of_part(1), *number),
         entries("mail", 0, F.col("_mail"), lambda x: x, nothing, nothing),
         entries("social", 0, F.col("_social"), lambda s: s["url"], lambda s: s["kind"], nothing),
     )
@@ -226,15 +280,15 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
         values("mail").alias("mail"),
         F.transform(own("social"), lambda x: F.struct(x["first"]["more"].alias("kind"), x["value"].alias("url"))).alias("social"),
     )
-    first_social = F.coalesce(F.get(F.filter("social", lambda s: s["kind"] == "instagram"), F.lit(0))["url"], F.get("social", F.lit(0))["url"], F.lit(""))
+    first_social = text_or_empty(F.get(F.filter("social", lambda s: s["kind"] == "instagram"), F.lit(0))["url"])
     with_first = lists.withColumn("social_url", first_social)
     rest = lambda values: F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
     note = lambda label, values: F.when(F.size(values) > 0, F.concat(F.lit(label + ": "), F.array_join(values, " | ")))
     others = F.transform(F.filter("social", lambda s: s["url"] != F.col("social_url")), lambda s: F.concat(s["kind"], F.lit(": "), s["url"]))
     notes = F.concat_ws("; ", note("other phones", rest(F.transform("numbers", lambda n: n["e164"]))), note("other emails", rest(F.col("mail"))), note("other socials", others), F.when(F.col("error") != "", F.concat(F.lit("crawl_error: "), F.col("error"))))
     phone = text_or_empty(F.get("numbers", F.lit(0))["e164"])
-    country = first_nonempty(text_or_empty(F.get("numbers", F.lit(0))["region"]), urls.country_of_host(F.col("_host")), F.lit(default_country))
-    return with_first.select(F.col("_host").alias("name"), F.lit("").alias("company_name"), phone.alias("phone"), phone.alias("whatsapp"), text_or_empty(F.get("mail", F.lit(0))).alias("email"), F.col("url").alias("website"), "social_url", country.alias("country"), F.lit(source).alias("source"), notes.alias("notes"), F.lit(as_of).alias("date")).select(*CSV_FIELDS)
+    country = first_nonempty(text_or_empty(F.get("numbers", F.lit(0))["region"]), urls.country_of_host(F.col("_host")), F.lit(region))
+    return with_first.select(F.col("_host").alias("name"), F.col("_host").alias("company_name"), phone.alias("phone"), phone.alias("whatsapp"), text_or_empty(F.get("mail", F.lit(0))).alias("email"), F.col("url").alias("website"), "social_url", country.alias("country"), F.lit(source).alias("source"), notes.alias("notes"), F.lit(as_of).alias("date")).select(*CSV_FIELDS)
 
 
 def short_error(kind: Column, message: Column) -> Column:
@@ -255,6 +309,7 @@ def with_manual_number(leads: DataFrame, source_url: str, typed: str) -> DataFra
 
 
 def first_page_per_host(pages: DataFrame, *, order_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """The first page of each host, with ``host``."""
+    """The first page of each host, with ``host``; combined before the shuffle, however many pages a host has."""
     rows = pages.withColumn("host", urls.host_for_url(F.col(url_col)))
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy(order_col))).where("_n = 1").drop("_n")
+    first = rows.groupBy("host").agg(F.min_by(F.struct(*pages.columns), F.col(order_col)).alias("row"))
+    return first.select("row.*", "host")

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactloom.functions import emails, links, urls
+from contactloom.functions import emails, links
 from contactloom.functions.folds import backfilled, distinct_by, fold_by, nonempty_text, specific_platform
+from contactloom.functions.phones import number_identity
 from contactloom.functions.text import first_nonempty, text_or_empty, utrim
 from contactloom.schemas import LEAD, LEAD_FIELDS
 
@@ -24,12 +25,12 @@ def _time(value: Column) -> Column:
 
 
 def oldest(a: Column, b: Column) -> Column:
-    """The text of the older time; one that can't be read loses."""
-    return F.when(_time(a).isNull(), b).when(_time(b).isNull(), a).when(_time(b) < _time(a), b).otherwise(a)
+    """The text of the older time; of times that can't both be read, the first one that there is."""
+    return F.when(_time(b) < _time(a), b).when(_time(a).isNotNull() & _time(b).isNotNull(), a).otherwise(first_nonempty(a, b))
 
 
 def merged_phones(a: Column, b: Column) -> Column:
-    return fold_by(F.concat(a, b), lambda p: p["normalized"], backfilled)
+    return fold_by(F.filter(F.concat(a, b), lambda p: number_identity(p) != ""), number_identity, backfilled)
 
 
 def merged_lead(old: Column, new: Column, now: Column) -> Column:
@@ -54,8 +55,8 @@ def merged_lead(old: Column, new: Column, now: Column) -> Column:
 
 #: The lists of a lead: what tells their elements apart in ``merged_lead``'s folds. Of elements alike in all of it, later ones change nothing.
 _LISTS: dict[str, Callable[[Column], tuple[Column, ...]]] = {
-    "phones": lambda p: (p["normalized"], p["source"], (text_or_empty(p["context"]) == "").cast("string")),
-    "whatsapp": lambda p: (p["normalized"], p["source"], (text_or_empty(p["context"]) == "").cast("string")),
+    "phones": lambda p: (number_identity(p), p["source"], (text_or_empty(p["context"]) == "").cast("string")),
+    "whatsapp": lambda p: (number_identity(p), p["source"], (text_or_empty(p["context"]) == "").cast("string")),
     "emails": lambda e: (emails.email_key(e),),
     "social_links": lambda s: (s["url"], (s["platform"] == "other").cast("string")),
     "external_links": lambda e: (e["url"], (text_or_empty(e["text"]) == "").cast("string")),
@@ -63,7 +64,10 @@ _LISTS: dict[str, Callable[[Column], tuple[Column, ...]]] = {
 
 
 def _combined(batch: DataFrame, kind: str) -> DataFrame:
-    """(source_url, n, first, all) of each key: ``all`` does in one merge what its rows would do in turn; no key's rows are gathered."""
+    """(source_url, n, first, all, earliest) of each key: ``all`` does in one merge what its rows would do in turn; no key's rows are gathered.
+
+    ``earliest``: the earliest of its times that can be read; it counts for a lead whose own can be read too.
+    """
     types = dict(batch.dtypes)
     nothing = {f: F.lit(None).cast(types[f].removeprefix("array<").removesuffix(">")) for f in _LISTS}
 
@@ -79,13 +83,14 @@ def _combined(batch: DataFrame, kind: str) -> DataFrame:
     gathered = firsts.groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("list", "x"))).alias("found"))
     last = lambda c: F.max(F.when(text_or_empty(F.col(c)) != "", F.struct("seq", c)))[c]
     time = _time(F.col("captured_at"))
-    captured = F.coalesce(F.min(F.when(time.isNotNull(), F.struct(time.alias("t"), "seq", "captured_at")))["captured_at"], F.max(F.struct("seq", "captured_at"))["captured_at"])
+    earliest = F.min(F.when(time.isNotNull(), F.struct(time.alias("t"), "seq", "captured_at")))["captured_at"]
+    named = F.min(F.when(text_or_empty(F.col("captured_at")) != "", F.struct("seq", "captured_at")))["captured_at"]
     lead = F.struct(*LEAD_FIELDS).cast(kind).alias("lead")
-    whole = batch.groupBy("source_url").agg(F.count("*").alias("n"), F.min(F.struct("seq", lead)).alias("first"), last("page_title").alias("title"), last("hostname").alias("host"), captured.alias("captured"))
+    whole = batch.groupBy("source_url").agg(F.count("*").alias("n"), F.min(F.struct("seq", lead)).alias("first"), last("page_title").alias("title"), last("hostname").alias("host"), earliest.alias("earliest"), F.when(_time(named).isNull(), named).otherwise(earliest).alias("captured"))
     of = lambda f: F.coalesce(F.transform(F.filter("found", lambda x: x["list"] == f), lambda x: x["x"]["value"][f]), F.array().cast(types[f]))
     fields = {"page_title": F.col("title"), "hostname": F.col("host"), "captured_at": F.col("captured"), **{f: of(f) for f in _LISTS}}
     both = whole.join(gathered, "source_url", "left")
-    return both.select("source_url", "n", "first", F.struct(*(fields.get(f, F.col(f"first.lead.{f}")).alias(f) for f in LEAD_FIELDS)).cast(kind).alias("all"))
+    return both.select("source_url", "n", "first", "earliest", F.struct(*(fields.get(f, F.col(f"first.lead.{f}")).alias(f) for f in LEAD_FIELDS)).cast(kind).alias("all"))
 
 
 def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str) -> DataFrame:
@@ -112,7 +117,8 @@ def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str)
         start = F.col("first.lead")
         for f in _LISTS:
             start = start.withField(f, F.array().cast(dict(batch.dtypes)[f]))
-        merge = lambda kept: merged_lead(kept, F.col("all"), F.lit(now)).cast(kind)
+        time = lambda kept: F.when(_time(kept["captured_at"]).isNotNull(), F.coalesce("earliest", F.col("all.captured_at"))).otherwise(F.col("all.captured_at"))
+        merge = lambda kept: merged_lead(kept, F.col("all").withField("captured_at", time(kept)), F.lit(now)).cast(kind)
         alone, onto = F.when(F.col("n") == 1, F.col("first.lead")).otherwise(merge(start)), merge(F.col("old"))
     new = grouped.withColumnRenamed("source_url", "key").withColumn("first_seq", F.col("first.seq"))
     old = current.select(F.col("source_url").alias("old_key"), F.col("seq").alias("old_seq"), lead().cast(kind).alias("old"))
@@ -156,6 +162,12 @@ def by_source_url(leads: DataFrame, url: str) -> DataFrame:
     return leads.where((F.col("source_url") == F.lit(url.strip())) & F.lit(bool(url.strip()))).orderBy("seq").limit(1)
 
 
+def captured_flags(pages: DataFrame, leads: DataFrame, url_col: str = "url") -> DataFrame:
+    """The pages with ``captured``: whether the store has a lead of exactly this URL; a blank one has none."""
+    known = leads.select(F.col("source_url").alias("_known")).where("_known <> ''").distinct()
+    return pages.join(known, utrim(F.col(url_col)) == F.col("_known"), "left").withColumn("captured", F.col("_known").isNotNull()).drop("_known")
+
+
 def pending(seeds: DataFrame, history: DataFrame) -> DataFrame:
     """Seeds (host) whose host is not in the history (name)."""
     return seeds.join(history.select(F.col("name").alias("host")).distinct(), "host", "left_anti")
@@ -181,8 +193,22 @@ def limited(seeds: DataFrame, n: int) -> DataFrame:
 
 
 def first_per_host(seeds: DataFrame) -> DataFrame:
-    return seeds.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy("line_no"))).where("_n = 1").drop("_n")
+    """The first line of each host."""
+    first = seeds.groupBy("host").agg(F.min_by(F.struct(*seeds.columns), F.col("line_no")).alias("row"))
+    return first.select("row.*")
 
 
-def host_of(url: Column) -> Column:
-    return urls.host_for_url(url)
+#: Rows that one task numbers.
+_NUMBERED = 1 << 20
+
+
+def numbered(rows: DataFrame, order: str = "seq", to: str = "index") -> DataFrame:
+    """The rows with their place from 1 in the order of a whole number that tells them apart, gaps and jumps or not.
+
+    They are numbered within blocks of that number, so no task has more than a block; only the blocks' counts meet in one task.
+    """
+    block = F.floor(F.col(order) / _NUMBERED)
+    counts = rows.groupBy(block.alias("_block")).agg(F.count("*").alias("_n"))
+    before = counts.select("_block", F.coalesce(F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = rows.withColumn("_block", block).withColumn("_own", F.row_number().over(Window.partitionBy("_block").orderBy(order)))
+    return own.join(before, "_block").withColumn(to, F.col("_before") + F.col("_own")).drop("_block", "_own", "_before")

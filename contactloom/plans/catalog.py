@@ -17,7 +17,7 @@ from contactloom.operators import export, extract, store, views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-DATE = "2026-01-01"
+DATE, TIME = "2026-01-01", "2026-01-01T00:00:00Z"
 
 
 def query(sql: str | None = None):
@@ -36,6 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # What is synthesized, in SQL that both engines read.
 _URL = "concat('https://', CASE WHEN c_custkey % 3 = 0 THEN 'www.' ELSE '' END, 'shop', c_nationkey, '.example.com/c/', c_custkey, CASE WHEN c_custkey % 5 = 0 THEN concat('/?utm_source=x&id=', c_custkey) WHEN c_custkey % 7 = 0 THEN '/' ELSE '' END)"
+_CLEAN_URL = "concat('https://', CASE WHEN c_custkey % 3 = 0 THEN 'www.' ELSE '' END, 'shop', c_nationkey, '.example.com/c/', c_custkey, CASE WHEN c_custkey % 5 = 0 THEN concat('?id=', c_custkey) ELSE '' END)"
 _MOBILE = "concat('010', lpad(cast(c_custkey AS varchar(10)), 8, '0'))"
 _FOREIGN = "concat('+9665', lpad(cast(c_custkey AS varchar(10)), 8, '0'))"
 _SOCIAL = "CASE c_custkey % 9 WHEN 0 THEN concat('https://www.instagram.com/Shop', c_custkey, '/?hl=ar') WHEN 1 THEN concat('https://facebook.com/profile.php?id=', c_custkey, '&ref=x') WHEN 2 THEN concat('https://www.facebook.com/sharer.php?u=', c_custkey) WHEN 3 THEN concat('https://x.com/shop', c_custkey, '?s=1') WHEN 4 THEN concat('https://www.linkedin.com/company/shop', c_custkey, '/') WHEN 5 THEN concat('https://t.me/shop', c_custkey) WHEN 6 THEN concat('https://instagram.com/p/', c_custkey) WHEN 7 THEN concat('https://vimeo.com/', c_custkey) ELSE concat('https://blog.example.org/', c_custkey) END"
@@ -48,6 +49,9 @@ def _customers(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").selectExpr("c_custkey", *columns)
 
 
+_KEEP_FIRST = "list_filter({0}, lambda x, i: list_position(list_transform({0}, lambda y: lower(y)), lower(x)) = i)"
+
+
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer")
     cut = _STORE.removeprefix("SELECT ").removesuffix(" FROM customer")
@@ -121,39 +125,32 @@ def page_anchors(spark, sf_dir):
     return found.select("page_id", F.size("h").cast("long").alias("n_links"), F.sha2(F.array_join("h", "\n"), 256).alias("links"))
 
 
-_ADDRESS_SQL = emails.ADDRESS
-_REVEAL = "regexp_replace(regexp_replace(regexp_replace(text, '(?i)([a-z0-9._%+-]+)\\s*\\[\\s*at\\s*\\]\\s*([a-z0-9-]+(?:\\.[a-z0-9-]+)*)\\s*\\[\\s*dot\\s*\\]\\s*([a-z]{2,63})', '\\1@\\2.\\3', 'g'), '(?i)([a-z0-9._%+-]+)\\s*\\(\\s*at\\s*\\)\\s*([a-z0-9-]+(?:\\.[a-z0-9-]+)*)\\s*\\(\\s*dot\\s*\\)\\s*([a-z]{2,63})', '\\1@\\2.\\3', 'g'), '(?i)([a-z0-9._%+-]+)\\s+at\\s+([a-z0-9-]+(?:\\.[a-z0-9-]+)*)\\s+dot\\s+([a-z]{2,63})', '\\1@\\2.\\3', 'g')"
+_FOUND_MAIL = """list_transform(regexp_extract_all(coalesce(text, ''), '(?i)[a-z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-z0-9](?:[a-z0-9.-]{0,61}[a-z0-9])?\\.(?:[a-z]{2,63}|xn--[a-z0-9-]{2,59})'), lambda a: regexp_extract(a, '^(.*)@', 1) || '@' || lower(regexp_extract(a, '@([^@]*)$', 1)))"""
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all({_REVEAL}, '{_ADDRESS_SQL.replace(chr(39), chr(39) * 2)}'), lambda x: lower(x)))), ',') AS emails FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, array_to_string({_KEEP_FIRST.format('m')}, ',') AS emails FROM (SELECT doc_id, {_FOUND_MAIL} AS m FROM documents)")
 def emails_from_text(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    found = emails.captured_emails(F.array("text"), F.array().cast("array<string>"))
-    return docs.select("doc_id", F.array_join(F.array_sort(F.transform(found, F.lower)), ",").alias("emails"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(emails.captured_emails(F.array("text")), ",").alias("emails"))
 
 
 @query("SELECT c_custkey, concat('sales', c_custkey, '@shop.example.com,help@x.org') AS emails FROM customer")
 def emails_deobfuscated(spark, sf_dir):
     rows = _customers(spark, sf_dir, "concat('Write: Sales', c_custkey, ' [at] shop.example [dot] com or help(at)x(dot)org, HELP@x.org') AS text")
-    found = emails.captured_emails(F.array("text"), F.array().cast("array<string>"))
+    found = emails.captured_emails(F.array("text"))
     return rows.select("c_custkey", F.lower(F.array_join(found, ",")).alias("emails"))
 
 
-_CANDIDATE_SQL = phones.CANDIDATE.replace(r"\x{A0}", " ")
-
-
-@query(f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '{_CANDIDATE_SQL}'), lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^00', '')), ',') AS keys FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '(?:\\+|00)?[0-9](?:[ \\t\\x{A0}().-]*[0-9]){6,18}'), lambda x: regexp_replace(regexp_replace(x, '[^0-9]', '', 'g'), '^00', '')), ',') AS keys FROM documents""")
 def phone_candidates(spark, sf_dir):
-    found = F.regexp_extract_all(ascii_digits(F.col("text")), F.lit(phones.CANDIDATE), F.lit(0))
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.transform(found, phones.phone_key), ",").alias("keys"))
+    found = F.regexp_extract_all(ascii_digits(F.coalesce("text", F.lit(""))), F.lit(phones.CANDIDATE), F.lit(0))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(found, phones.phone_key), ",").alias("keys"))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '\\+1 \\([0-9]{3}\\) [0-9]{3}-[0-9]{4}'), lambda x: '+' || regexp_replace(x, '[^0-9]', '', 'g')), lambda x: NOT regexp_matches(x, '^\\+(0+|1+)$')), ',') AS numbers FROM documents WHERE text IS NOT NULL""".replace("\\\\", "\\"))
+@query()
 def phones_from_text(spark, sf_dir):
-    """The likely numbers of documents that are written with a country's code."""
-    found = phones.matches(F.col("text"), lambda raw, around: F.struct(raw.alias("raw"), around.alias("context")))
-    kept = F.filter(found, lambda c: F.startswith(c["raw"], F.lit("+")) & phones.is_likely_phone(c["raw"], F.lit(""), F.lit(False)))
-    return _table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.array_join(F.transform(kept, lambda c: phones.normalized_number(c["raw"])), ",").alias("numbers"))
+    """The likely numbers of documents, by the whole rule; SQL can't say it, the tests hold it against a plain loop."""
+    found = phones.candidates_in(F.col("text"), "visible-text")
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.transform(found, lambda c: phones.normalized_number(c["raw"])), ",").alias("numbers"))
 
 
 _DATES = "concat(1890 + o_orderkey % 230, '-', lpad(cast(o_orderkey % 14 AS varchar(2)), 2, '0'), '-', lpad(cast(o_orderkey % 33 AS varchar(2)), 2, '0'))"
@@ -211,12 +208,12 @@ def synthetic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", f"{_URL} AS url", f"{_PAGE} AS html")
 
 
-@query(f"""SELECT url AS source_url, concat('Shop ', c_custkey) AS page_title, concat('+2010', lpad(cast(c_custkey AS varchar), 8, '0')) AS phones, 'tel-link' AS sources,
+@query(f"""SELECT {_CLEAN_URL} AS source_url, concat('Shop ', c_custkey) AS page_title, concat('+2010', lpad(cast(c_custkey AS varchar), 8, '0')) AS phones, 'tel-link' AS sources,
   concat('Sales', c_custkey, '@shop.example.com') AS emails, CASE WHEN c_custkey % 9 IN (0, 1, 3, 4, 5, 7) THEN CASE c_custkey % 9 WHEN 0 THEN 'instagram' WHEN 1 THEN 'facebook' WHEN 3 THEN 'twitter' WHEN 4 THEN 'linkedin' WHEN 5 THEN 'telegram' ELSE 'other' END WHEN c_custkey % 9 = 6 THEN 'instagram' ELSE '' END AS platforms,
-  CASE WHEN c_custkey % 9 = 8 THEN concat('https://blog.example.org/', c_custkey) ELSE '' END AS external FROM ({_PAGE_SQL})""")
+  CASE WHEN c_custkey % 9 = 8 THEN concat('https://blog.example.org/', c_custkey) ELSE '' END AS external FROM customer""")
 def captured_contacts(spark, sf_dir):
     """Whole capture of synthetic pages: parse, extract, normalize."""
-    found = extract.normalize_leads(extract.captured(synthetic_pages(spark, sf_dir), "2026-01-01T00:00:00Z"))
+    found = extract.normalize_leads(extract.captured(synthetic_pages(spark, sf_dir), TIME))
     joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
     return found.select("source_url", "page_title", joined("phones", "normalized").alias("phones"), joined("phones", "source").alias("sources"), F.array_join("emails", ",").alias("emails"), joined("social_links", "platform").alias("platforms"), joined("external_links", "url").alias("external"))
 
@@ -292,24 +289,76 @@ def lead_latest_50(spark, sf_dir):
     return views.page(leads(spark, sf_dir)).select("seq")
 
 
-_FLAT_SQL = f"""SELECT c_custkey AS seq, hostname AS name, '' AS company_name, concat('+20', substr(mobile, 2)) AS phone, CASE WHEN c_custkey % 3 = 0 THEN foreign_number ELSE '' END AS whatsapp, CASE WHEN c_custkey % 5 <> 0 THEN email ELSE '' END AS email,
-  source_url AS website, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 3 = 0 THEN '' ELSE 'EG' END AS country, 'chrome extension' AS source FROM ({_STORE})"""
+# The rows of the store in SQL, with what exports say of them.
+_STORED = f"""SELECT c_custkey AS seq, id, page_title, {_CLEAN_URL} AS url, regexp_replace(regexp_extract({_CLEAN_URL}, '^https://([^/]*)', 1), '^www\\.', '') AS domain, regexp_extract({_CLEAN_URL}, '^https://([^/]*)', 1) AS host, captured_at, mobile, concat('+20', substr(mobile, 2)) AS own, foreign_number, c_custkey % 2 = 0 AS two, c_custkey % 3 = 0 AS wa,
+  CASE WHEN c_custkey % 5 <> 0 THEN email ELSE '' END AS email,
+  CASE c_custkey % 9 WHEN 0 THEN 'instagram' WHEN 1 THEN 'facebook' WHEN 2 THEN 'facebook' WHEN 3 THEN 'twitter' WHEN 4 THEN 'linkedin' WHEN 5 THEN 'telegram' WHEN 6 THEN 'instagram' WHEN 7 THEN 'other' ELSE '' END AS network,
+  CASE c_custkey % 9 WHEN 0 THEN 'Instagram' WHEN 1 THEN 'Facebook' WHEN 2 THEN 'Facebook' WHEN 3 THEN 'Twitter' WHEN 4 THEN 'LinkedIn' WHEN 5 THEN 'Telegram' WHEN 6 THEN 'Instagram' WHEN 7 THEN 'Other' ELSE '' END AS label,
+  CASE c_custkey % 9 WHEN 0 THEN concat('https://www.instagram.com/Shop', c_custkey, '?hl=ar') WHEN 4 THEN concat('https://www.linkedin.com/company/shop', c_custkey) WHEN 8 THEN '' ELSE social END AS profile FROM ({_STORE})"""
+_FLAT_SQL = f"""SELECT seq, domain AS name, domain AS company_name, own AS phone, CASE WHEN wa THEN foreign_number ELSE '' END AS whatsapp, email, url AS website, profile AS social_url, CASE WHEN two OR wa THEN '' ELSE 'EG' END AS country, 'chrome extension' AS source,
+  concat('page title: ', page_title, '; captured at: ', captured_at, CASE WHEN two THEN concat('; other phones: ', foreign_number) ELSE '' END, '; phone details: ', own, ' (source=tel-link, context=call)', CASE WHEN two THEN concat(' | ', foreign_number, ' (source=visible-text, context=call)') ELSE '' END, CASE WHEN wa THEN concat('; WhatsApp details: ', foreign_number, ' (source=tel-link, context=call)') ELSE '' END) AS notes FROM ({_STORED})"""
 
 
 @query(_FLAT_SQL)
 def flat_lead_row(spark, sf_dir):
-    return export.flat_rows(leads(spark, sf_dir)).drop("notes", "social_url")
+    return export.flat_rows(leads(spark, sf_dir))
 
 
-@query(f"""SELECT c_custkey AS seq, concat(hostname, ',', CASE WHEN c_custkey % 4 = 0 THEN concat('"Shop ', c_custkey, ', ""best\"""') ELSE concat('Shop ', c_custkey) END) AS line FROM ({_STORE}) UNION ALL SELECT -1, 'name,title'""")
+_CSV_FIELD = """CASE WHEN regexp_matches({0}, '[",\\r\\n]') THEN concat('"', replace({0}, '"', '""'), '"') ELSE {0} END"""
+
+
+@query(f"SELECT seq, concat_ws(',', {', '.join(_CSV_FIELD.format(c) for c in ('name', 'company_name', 'phone', 'whatsapp', 'email', 'website', 'social_url', 'country', 'source', 'notes'))}) AS line FROM ({_FLAT_SQL}) UNION ALL SELECT -1, 'name,company_name,phone,whatsapp,email,website,social_url,country,source,notes'")
 def csv_line(spark, sf_dir):
-    rows = leads(spark, sf_dir).select("seq", F.col("hostname").alias("name"), F.col("page_title").alias("title"))
-    return export.csv_lines(rows.withColumn("name", F.regexp_replace("name", r"^www\.", "")), ["name", "title"])
+    return export.csv_lines(export.flat_rows(leads(spark, sf_dir)))
 
 
 @query("SELECT c_custkey AS seq, CASE WHEN c_custkey % 2 = 0 THEN concat('+2010', lpad(cast(c_custkey AS varchar), 8, '0'), chr(10), '+9665', lpad(cast(c_custkey AS varchar), 8, '0')) ELSE concat('+2010', lpad(cast(c_custkey AS varchar), 8, '0')) END AS copied FROM customer")
 def copy_phones(spark, sf_dir):
-    return leads(spark, sf_dir).select("seq", export.copied(F.transform("phones", export.phone_value)).alias("copied"))
+    return leads(spark, sf_dir).select("seq", export.copied_phones(F.col("phones")).alias("copied"))
+
+
+@query(f"SELECT seq, profile AS copied FROM ({_STORED})")
+def copy_social_links(spark, sf_dir):
+    return leads(spark, sf_dir).select("seq", export.copied_links(F.col("social_links")).alias("copied"))
+
+
+_NL = "chr(10)"
+_RULE_SQL = f"{_NL}, repeat('=', 50), {_NL}"
+
+
+def _listed(title: str, *items: str) -> str:
+    """A titled list in SQL; an item is empty where there is none."""
+    shown = ", ".join(f"CASE WHEN {x} = '' THEN NULL ELSE concat('- ', {x}) END" for x in items)
+    return f"concat('{title}', {_NL}, coalesce(nullif(concat_ws({_NL}, {shown}), ''), '- None'))"
+
+
+_TWO, _WA_NUMBER = "CASE WHEN two THEN foreign_number ELSE '' END", "CASE WHEN wa THEN foreign_number ELSE '' END"
+_LABELLED_PROFILE = "CASE WHEN profile = '' THEN '' ELSE concat(label, ': ', profile) END"
+
+
+@query(f"""SELECT seq, concat({_RULE_SQL}, 'LEAD ', row_number() OVER (ORDER BY seq), {_RULE_SQL}, concat_ws(concat({_NL}, {_NL}), concat({_NL}, 'Page Title:', {_NL}, page_title), concat('Source URL:', {_NL}, url), concat('Hostname:', {_NL}, host), concat('Captured At:', {_NL}, captured_at),
+  {_listed('Phone Numbers:', 'own', _TWO)}, {_listed("WhatsApp:", _WA_NUMBER)}, {_listed('Emails:', 'email')}, {_listed('Social Links:', _LABELLED_PROFILE)}, concat('External Links:', {_NL}, '- None')), {_NL}, {_RULE_SQL}, 'END LEAD', {_NL}, repeat('=', 50)) AS line FROM ({_STORED})
+  UNION ALL SELECT -1, concat('LEAD COLLECTION', {_NL}, 'Exported At: {TIME}', {_NL}, 'Total Leads: ', count(*)) FROM customer""")
+def text_document(spark, sf_dir):
+    return export.text_document(leads(spark, sf_dir), TIME)
+
+
+@query(f"""SELECT seq, concat('Page Title: ', page_title, {_NL}, 'Source URL: ', url, {_NL}, 'Captured At: ', captured_at, {_NL}, {_NL}, concat_ws(concat({_NL}, {_NL}), {_listed('Phones', "concat(mobile, ' (', own, ')')", _TWO)}, {_listed("WhatsApp", _WA_NUMBER)}, {_listed('Emails', 'email')},
+  {_listed('Social Links', "CASE WHEN profile = '' THEN '' ELSE concat(network, ': ', profile) END")}, concat('External Links', {_NL}, '- None'))) AS text FROM ({_STORED})""")
+def lead_text(spark, sf_dir):
+    return leads(spark, sf_dir).select("seq", export.lead_text().alias("text"))
+
+
+def _json_number(raw: str, number: str, source: str) -> str:
+    return f"""concat('{{"raw": "', {raw}, '","normalized": "', {number}, '","context": "call","source": "{source}"}}')"""
+
+
+@query(f"""SELECT seq, concat('{{"id": "', id, '","pageTitle": "', replace(page_title, '"', '\\"'), '","sourceUrl": "', url, '","hostname": "', host, '","capturedAt": "', captured_at, '","phones": [', {_json_number('mobile', 'own', 'tel-link')}, CASE WHEN two THEN concat(',', {_json_number('foreign_number', 'foreign_number', 'visible-text')}) ELSE '' END, '],"whatsapp": [', CASE WHEN wa THEN {_json_number('foreign_number', 'foreign_number', 'tel-link')} ELSE '' END,
+  '],"emails": [', CASE WHEN email = '' THEN '' ELSE concat('"', email, '"') END, '],"socialLinks": [', CASE WHEN profile = '' THEN '' ELSE concat('{{"platform": "', network, '","url": "', profile, '"}}') END, '],"externalLinks": []}}', CASE WHEN seq = max(seq) OVER () THEN '' ELSE ',' END) AS line FROM ({_STORED})
+  UNION ALL SELECT -1, concat('{{"exportedAt": "{TIME}","totalLeads": ', count(*), ',"leads": [') FROM customer UNION ALL SELECT max(c_custkey) + 1, ']}}' FROM customer""")
+def json_document(spark, sf_dir):
+    """The document's lines, without the line ends and blanks of its layout."""
+    return export.json_document(leads(spark, sf_dir), TIME).select("seq", F.regexp_replace("line", r"(?m)(?:\n|^) *", "").alias("line"))
 
 
 def _second_batch(spark, sf_dir):
@@ -330,6 +379,23 @@ def _upsert_sql(status: str, phones_: str, titles: str, year: str) -> str:
       UNION ALL SELECT 'added', count(*), count(*), count(*), '2024', 0 FROM customer WHERE c_custkey % 2 = 0"""
 
 
+@query("""SELECT c_custkey, concat(mobile, ' ', '+20', substr(mobile, 2), ' call tel-link, ', '00', substr(foreign_number, 2), ' ', foreign_number, ' call tel-link') AS merged, concat('0020', substr(mobile, 2), ' +20', substr(mobile, 2), ' - tel-link') AS normalized FROM (""" + _STORE + ")")
+def phone_merges(spark, sf_dir):
+    """The store keeps the stronger source's number as it was written, with the other's context; a batch's fold keeps the stronger as a whole."""
+    rows = _rows(spark, sf_dir)
+    one = lambda raw, number, context, source: F.struct(raw.alias("raw"), number.alias("normalized"), F.lit(context).cast("string").alias("context"), F.lit(source).alias("source"))
+    mobile, foreign = F.col("mobile"), F.col("foreign_number")
+    national = F.substr(mobile, F.lit(2))
+    own, long = F.concat(F.lit("+20"), national), F.concat(F.lit("0020"), national)
+    old = F.array(one(mobile, own, "call", "tel-link"), one(foreign, foreign, "call", "visible-text"))
+    new = F.array(one(own, own, "later", "visible-text"), one(F.concat(F.lit("00"), F.substr(foreign, F.lit(2))), foreign, None, "tel-link"))
+    shown = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(" ", p["raw"], p["normalized"], F.coalesce(p["context"], F.lit("-")), p["source"])), ", ")
+    candidate = lambda raw, context, source: F.struct(raw.alias("raw"), F.lit(context).alias("context"), F.lit(source).alias("source"))
+    found = F.array(candidate(mobile, "seen", "visible-text"), candidate(long, "", "tel-link"), candidate(own, "seen", "anchor-text"))
+    # the last has a context where the kept one has none, and takes its place though it is weaker
+    return rows.select("c_custkey", shown(store.merged_phones(old, new)).alias("merged"), shown(phones.normalized_phones(F.slice(found, 1, 2))).alias("normalized"))
+
+
 @query(_upsert_sql("duplicate", "2", "0", "2025"))
 def lead_upsert_reject(spark, sf_dir):
     return _upserted(store.upsert(leads(spark, sf_dir), _second_batch(spark, sf_dir), "reject", DATE))
@@ -357,10 +423,27 @@ def lead_per_host(spark, sf_dir):
     return extract.crawled(_table(spark, sf_dir, "pages"), as_of=DATE)
 
 
+# Two pages a site, with links and numbers of several countries.
+_SITE = "concat('www.site', c_custkey // 2, CASE c_custkey // 2 % 3 WHEN 0 THEN '.example.ae' ELSE '.example.org' END)"
+_SITE_HTML = """CASE c_custkey % 2 WHEN 0 THEN concat('<title>Site</title><a href="tel:+1 202 555 ', lpad(cast(c_custkey // 2 % 10000 AS varchar(10)), 4, '0'), '">Call</a>', CASE WHEN c_custkey // 2 % 4 = 1 THEN '' ELSE concat('<a href="https://wa.me/010', lpad(cast(c_custkey // 2 AS varchar(10)), 8, '0'), '">WhatsApp</a>') END, '<a href="mailto:Info', c_custkey // 2, '@Shop.example.com?subject=x">m</a><a href="mailto:not-an-address">n</a>',
+  CASE WHEN c_custkey // 2 % 2 = 0 THEN concat('<a href="https://www.instagram.com/Shop', c_custkey // 2, '/?hl=ar">i</a>') ELSE '' END, '<a href="https://www.facebook.com/shop', c_custkey // 2, '/?ref=x">f</a><p>Moscow +7 495 ', lpad(cast(c_custkey // 2 AS varchar(10)), 7, '0'), '</p><p>Order 90000000', c_custkey, '</p>')
+  ELSE concat('<a href="https://t.me/shop', c_custkey // 2, '">t</a><p>Moscow +7 495 ', lpad(cast(c_custkey // 2 AS varchar(10)), 7, '0'), ' or 02 2345 6789, Sales', c_custkey // 2, '@x.org.</p><a href="mailto:a', c_custkey // 2, '@b.com,c@d.com">two</a>') END"""
+
+
+@query("""SELECT concat('site', j, tld) AS name, concat('site', j, tld) AS company_name, phone, phone AS whatsapp, concat('info', j, '@shop.example.com') AS email, concat('https://www.site', j, tld, '/p', 2 * j) AS website, CASE WHEN j % 2 = 0 THEN concat('https://www.instagram.com/shop', j) ELSE '' END AS social_url, CASE WHEN j % 4 = 1 THEN 'US' ELSE 'EG' END AS country, 'google dorks' AS source,
+  concat('other phones: ', CASE WHEN j % 4 = 1 THEN '' ELSE concat(us, ' | ') END, '+7495', lpad(cast(j AS varchar), 7, '0'), ' | +20223456789; other emails: a', j, '@b.com | c@d.com | sales', j, '@x.org; other socials: facebook: https://www.facebook.com/shop', j, ' | telegram: https://t.me/shop', j) AS notes, '2026-01-01' AS date
+  FROM (SELECT j, tld, us, CASE WHEN j % 4 = 1 THEN us ELSE concat('+2010', lpad(cast(j AS varchar), 8, '0')) END AS phone FROM (SELECT c_custkey // 2 AS j, CASE WHEN c_custkey // 2 % 3 = 0 THEN '.example.ae' ELSE '.example.org' END AS tld, concat('+1202555', lpad(cast(c_custkey // 2 % 10000 AS varchar), 4, '0')) AS us FROM customer WHERE c_custkey % 2 = 0))""")
+def crawled_leads(spark, sf_dir):
+    """Sites of two pages, one flat lead each."""
+    in_spark = lambda x: x.replace("c_custkey // 2", "(c_custkey div 2)")
+    pages = _table(spark, sf_dir, "customer").selectExpr("c_custkey AS page_id", in_spark(f"concat('https://', {_SITE}, '/p', c_custkey) AS url"), in_spark(f"{_SITE_HTML} AS html"))
+    return extract.crawled(pages, as_of=DATE)
+
+
 @query()
 def captured_leads(spark, sf_dir):
     """A normalized lead for each of the pages."""
-    return extract.normalize_leads(extract.captured(_table(spark, sf_dir, "pages"), "2026-01-01T00:00:00Z"))
+    return extract.normalize_leads(extract.captured(_table(spark, sf_dir, "pages"), TIME))
 
 
 @query()
@@ -369,20 +452,12 @@ def html_text(spark, sf_dir):
     return pages.select("page_id", F.length("page.text").alias("n_chars"), F.sha2("page.lines", 256).alias("lines_sha256"))
 
 
-@query()
-def json_document(spark, sf_dir):
-    return export.json_document(leads(spark, sf_dir), "2026-01-01T00:00:00Z")
-
-
-@query()
-def text_document(spark, sf_dir):
-    return export.text_blocks(leads(spark, sf_dir))
-
-
 @query("SELECT c_custkey, concat('20', 1000000000 + c_custkey, ',966', 500000000 + c_custkey) AS numbers FROM customer")
 def widget_numbers(spark, sf_dir):
     settings = """concat('{"widget":{"telephone":"20', 1000000000 + c_custkey, '","color":"#25d366","links":["https:\\\\/\\\\/wa.me\\\\/966', 500000000 + c_custkey, '"]},"id":123456789}')"""
-    return _customers(spark, sf_dir, f"{settings} AS s").select("c_custkey", F.array_join(extract.widget_numbers(F.col("s")), ",").alias("numbers"))
+    pages = _customers(spark, sf_dir, f"""concat('<div class="WhatsApp-box" data-settings="', replace({settings}, '"', '&quot;'), '"></div>') AS html""")
+    rows = pages.withColumn("page", html.parsed(F.col("html"), F.lit("https://x.com/")))
+    return rows.select("c_custkey", F.array_join(extract.widget_numbers(F.col("page")), ",").alias("numbers"))
 
 
 def queries() -> dict:

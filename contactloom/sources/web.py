@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from contactloom import dims
 
-_PAGES = "host string, page_no int, page_url string, html string, error string"
+_PAGES = "host string, seed_url string, page_no int, page_url string, html string, error string"
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,8 @@ class _Robots:
         return self.rules[origin].can_fetch(self.config.user_agent, url)
 
 
-def contact_urls(page: str, url: str, config: CrawlConfig) -> list[str]:
-    """The next pages of the same host that speak of contact."""
+def contact_urls(page: str, url: str, config: CrawlConfig, own: str | None = None) -> list[str]:
+    """The next pages that speak of contact, of the seed's host ``own``; by default, of the page's."""
     from contactloom.functions.html import read_page
 
     host = lambda u: (urlsplit(u).hostname or "").rstrip(".").removeprefix("www.")
@@ -91,7 +91,7 @@ def contact_urls(page: str, url: str, config: CrawlConfig) -> list[str]:
     found: dict[str, None] = {}
     for e in read_page(page, url)["elements"]:
         target = e["url"] if e["tag"] == "a" else None
-        if not target or urlsplit(target).scheme not in ("http", "https") or host(target) != host(url):
+        if not target or urlsplit(target).scheme not in ("http", "https") or host(target) != (host(url) if own is None else own):
             continue
         shown = f"{urlsplit(target).path.lower()} {e['text'].lower()}"
         plain = target.split("#")[0].split("?")[0]
@@ -110,7 +110,7 @@ def crawl_host(host: str, url: str, config: CrawlConfig, transport: Callable, ro
         yield host, 0, url, None, " ".join(f"{type(e).__name__}: {e}".split())[:300]
         return
     yield host, 0, final, page, None
-    for k, more in enumerate(contact_urls(page, final, config), 1):
+    for k, more in enumerate(contact_urls(page, final, config, host), 1):
         try:
             if robots.allow(more):
                 time.sleep(config.delay)
@@ -124,12 +124,12 @@ def _crawl(config: CrawlConfig, transport: Callable):
         robots = _Robots(config, transport)
         for batch in batches:
             for host, url in zip(batch.column("host").to_pylist(), batch.column("url").to_pylist()):
-                rows = list(crawl_host(host, url, config, transport, robots))
-                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], ["host", "page_no", "page_url", "html", "error"])
+                rows = [(host, url, *more) for host, *more in crawl_host(host, url, config, transport, robots)]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))], [x.split()[0] for x in _PAGES.split(", ")])
 
     return run
 
 
 def crawl(targets: DataFrame, config: CrawlConfig = CrawlConfig(), transport: Callable = fetch) -> DataFrame:
-    """(host, page_no, page_url, html, error) of targets (host, url). A host is asked by one task; write the result before using it twice."""
+    """(host, seed_url, page_no, page_url, html, error) of targets (host, url). A host is asked by one task; write the result before using it twice."""
     return targets.select("host", "url").repartition(config.partitions, F.col("host")).mapInArrow(_crawl(config, transport), _PAGES)

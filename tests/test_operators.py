@@ -27,6 +27,15 @@ def test_seeds(spark, tmp_path):
     blank.write_text("\n \n")
     with pytest.raises(SeedError, match="contains no URLs"):
         read_seeds(spark, str(blank))
+    many = tmp_path / "d.txt"
+    many.write_text("nope\n" * 1500)
+    with pytest.raises(SeedError, match="line 1500 "):
+        read_seeds(spark, str(many))
+    (tmp_path / "e.txt").write_bytes(b"https://a.com\n\xff\n")
+    with pytest.raises(SeedError, match="UTF-8"):
+        read_seeds(spark, str(tmp_path / "e.txt"))
+    with pytest.raises(SeedError, match="no such"):
+        read_seeds(spark, str(tmp_path / "gone.txt"))
     with pytest.raises(SeedError, match=".txt"):
         read_seeds(spark, str(tmp_path / "c.md"))
 
@@ -48,7 +57,7 @@ def test_captured_lead(spark):
     found = leads["shop.com"]
     assert [p["normalized"] for p in found["phones"]] == ["+201000000002", "+201001234567"]
     assert found["phones"][1]["source"] == "tel-link"
-    assert [p["normalized"] for p in found["whatsapp"]] == ["+201001234567"]
+    assert [p["normalized"] for p in found["whatsapp"]] == ["+201001234567", "+201000000002"]  # the second stands near a mention
     assert found["emails"] == ["Info@shop.com", "b@shop.com"]
     assert [s["platform"] for s in found["social_links"]] == ["whatsapp", "instagram", "facebook"]
     assert leads["empty.com"]["phones"] == []
@@ -70,11 +79,7 @@ def test_views_and_exports(spark, sf_dir):
     assert views.page(leads, 10, 1).count() == 10
     assert views.search(leads, "").count() == leads.count()
     assert store.delete(leads, "id1").count() == leads.count() - 1
-    assert "- None" in export.text_blocks(leads.where("seq = 1")).first()["line"]
-    import json
-
-    lines = export.json_document(leads.where("seq < 9"), "t").orderBy("seq").collect()
-    assert json.loads("".join(r["line"] for r in lines))["totalLeads"] == len(lines) - 2
+    assert "- None" in export.text_blocks(leads.where("seq = 1"), "2026-01-01T00:00:00Z").first()["line"]
 
 
 def test_crawl_and_resume(spark, tmp_path):
@@ -97,10 +102,48 @@ def test_crawl_and_resume(spark, tmp_path):
     assert {r["name"]: r["email"] for r in cli.read_history(spark, out).collect()} == {"a.com": "info@a.com", "broken.com": ""}
     assert cli.run(spark, args("--retry-errors"), transport=lambda u, c: (u, 200, "text/html", b"now@broken.com")) == 0
     assert {r["name"]: r["email"] for r in cli.read_history(spark, out).collect()} == {"a.com": "info@a.com", "broken.com": "now@broken.com"}
-    assert cli.run(spark, args(), transport=transport) == 0
+    assert cli.run(spark, args(), transport=None) == 0  # nothing is asked
     assert cli.read_history(spark, out).count() == 2
 
 
+def test_redirect_and_a_run_that_is_stopped(spark, tmp_path):
+    """A lead is the seed's, wherever its site redirects to; rounds that are done are never asked again."""
+
+    def transport(url, config):
+        if url.endswith("robots.txt"):
+            return url, 404, "", b""
+        return ("https://other.org/home" if "moved" in url else url), 200, "text/html", b"<title>x</title><a href='https://moved2.com/contact'>Contact</a><p>i@x.org <a href='tel:+1 202 555 0143'>t</a>"
+
+    seeds = tmp_path / "s.txt"
+    seeds.write_text("https://moved1.com/a\nhttps://www.moved2.com/b\nhttps://c.com/\n")
+    out = str(tmp_path / "out")
+    args = cli.parser().parse_args([str(seeds), "-o", out, "--delay", "0", "--date", "2026-01-01", "--round", "1", "--concurrency", "2"])
+    real = extract.crawled
+    done = []
+
+    def stops(pages, **options):
+        if len(done) == 2:
+            raise KeyboardInterrupt
+        done.append(1)
+        return real(pages, **options)
+
+    extract.crawled = stops
+    try:
+        with pytest.raises(KeyboardInterrupt):
+            cli.run(spark, args, transport=transport)
+    finally:
+        extract.crawled = real
+    saved = {r["name"]: r for r in cli.read_history(spark, out).collect()}
+    assert {(n, r["website"], r["phone"], r["country"]) for n, r in saved.items()} == {("moved1.com", "https://moved1.com/a", "+12025550143", "US"), ("moved2.com", "https://www.moved2.com/b", "+12025550143", "US")}
+
+    def rest(url, config):
+        assert "moved" not in url, url
+        return transport(url, config)
+
+    assert cli.run(spark, args, transport=rest) == 0
+    assert cli.read_history(spark, out).count() == 3
+
+
 def test_stream(spark, tmp_path):
     source, base = str(tmp_path / "in"), str(tmp_path / "store")
     pages = lambda n, title: spark.createDataFrame([(n, f"https://s{n}.com/", f"<title>{title}</title><p>info@s{n}.com")], "page_id long, url string, html string")

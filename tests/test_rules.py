@@ -45,13 +45,13 @@ def test_weaker_source_with_context_replaces_stronger_without(spark):
 
 
 def test_store_fold_fills_what_is_missing(spark):
-    one = lambda c, s: F.struct(F.lit("+1").alias("normalized"), F.lit(c).alias("context"), F.lit(s).alias("source"))
+    one = lambda c, s: F.struct(F.lit("1").alias("raw"), F.lit("+1").alias("normalized"), F.lit(c).alias("context"), F.lit(s).alias("source"))
     found = spark.range(1).select(folds.fold_by(F.array(one("here", "visible-text"), one(None, "tel-link")), lambda p: p["normalized"], folds.backfilled).alias("v")).first()["v"]
     assert [(x["context"], x["source"]) for x in found] == [("here", "tel-link")]
 
 
 def test_emails(spark):
-    assert values(spark, ["a.B@X.Com, <c@d.org>. e [at] f.co [dot] uk A.b@x.com"], lambda x: emails.captured_emails(F.array(x), F.array(F.lit("mailto:q@r.io;s@t.io?subject=1"))))[0] == ["a.B@x.com", "c@d.org", "e@f.co.uk", "q@r.io", "s@t.io"]
+    assert values(spark, ["a.B@X.Com, <c@d.org>. e [at] f.co [dot] uk A.b@x.com"], lambda x: emails.captured_emails(F.concat(F.array(x), emails.mailto_texts(F.array(F.lit("mailto:q@r.io;s@t.io?subject=1"), F.lit("mailto:not-an-address"))))))[0] == ["a.B@x.com", "c@d.org", "e@f.co.uk", "q@r.io", "s@t.io"]
     assert values(spark, [" A@B.Com ", "a@b", "a..b@c.de", None], emails.normalized_email) == ["A@b.com", "", "", None]
 
 
