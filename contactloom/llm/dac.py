@@ -7,8 +7,9 @@ before every 512th) finds its place there. Any id is read by one look at each of
 levels, without decoding its neighbours.
 
 ``write`` deals documents into ranges of doc_id, encodes each range in order, and writes
-blocks as rows of a Parquet table (bytes in a column), so that any store that Spark
-writes to will do and a lost task is simply run again. ``read`` gives the documents back.
+blocks as rows of a Parquet table (bytes in a column, the block's doc_ids in another), so that
+any store that Spark writes to will do and a lost task is simply run again. ``read`` gives the
+documents back, ``look_up`` single tokens.
 
 Defined cases: a null or empty text has only the end id; a null doc_id comes first;
 repeated doc_ids stand one after the other; other columns are left out; an empty table
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.shared import folder
+from contactloom.llm.shared import folder, temporary
 from contactloom.llm.textblocks import slices
 from contactloom.llm.tokens import END_ID, encoder
 
@@ -61,10 +62,10 @@ def encode_block(doc_ids: list[int | None], offsets: np.ndarray, ids: np.ndarray
 
 
 class Block:
-    """One block's bytes, opened for reading."""
+    """One block's bytes, opened for reading; ``whole``: their checksum is verified first, which reads all of them."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+    def __init__(self, data: bytes, whole: bool = True):
+        if data[:8] != MAGIC or whole and zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError("not a whole block of this format")
         _, self.n_docs, self.n_ids, n_levels = _HEAD.unpack_from(data)
         at = _HEAD.size
@@ -130,7 +131,7 @@ def _encode(path: str | None, end_id: int, block_ids: int):
         def flush() -> pa.RecordBatch:
             nonlocal docs, held, sizes, block, before, n
             data = encode_block(docs, np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(held))
-            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([n]), pa.array([data], pa.binary())], ["part", "block", "ids_before", "n_ids", "data"])
+            row = pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([before]), pa.array([n]), pa.array([docs], pa.list_(pa.int64())), pa.array([data], pa.binary())], ["part", "block", "ids_before", "n_ids", "docs", "data"])
             docs, held, sizes, block, before, n = [], [], [], block + 1, before + n, 0
             return row
 
@@ -156,7 +157,7 @@ def write(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: i
     """Write the table of blocks, in the order of doc_id from one part to the next."""
     texts = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = texts.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(_encode(tokenizer, end_id, block_ids), "part int, block int, ids_before long, n_ids long, data binary").write.parquet(path)
+    ordered.mapInArrow(_encode(tokenizer, end_id, block_ids), "part int, block int, ids_before long, n_ids long, docs array<long>, data binary").write.parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,10 +197,46 @@ def read(spark, path: str) -> DataFrame:
     return _blocks(spark, path).mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, block, places = None, None, {}
+    for batch in batches:
+        out: list[tuple] = []
+        for part, number, doc, at, data in zip(*(batch.column(c).to_pylist() for c in ("part", "block", "doc_id", "position", "data"))):
+            if data is not None:
+                now, block, places = (part, number), Block(data, whole=False), {}
+                for k, d in enumerate(block.doc_ids):
+                    places.setdefault(d, []).append(k)
+                continue
+            if (part, number) != now:
+                raise ValueError(f"no block {number} of part {part}")
+            for k in places.get(doc, ()):
+                start, size = int(block.offsets[k]), int(block.offsets[k + 1] - block.offsets[k])
+                if 0 <= at < size:
+                    out.append((doc, at, block[start + at]))
+        if out:
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "position", "id"])
+
+
+def look_up(spark, path: str, wanted: DataFrame, *, doc_col: str = "doc_id", position_col: str = "position") -> DataFrame:
+    """(doc_id, position, id) of single tokens (doc_id, position from 0), without decoding what stands around them.
+
+    A place that no document has gives no row; a doc_id that several documents share gives one row each. A task holds one block at a
+    time and takes the requests for it one after the other.
+    """
+    blocks = spark.read.parquet(path)
+    asked = wanted.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(position_col).cast("long").alias("position"))
+    of = blocks.select("part", "block", F.explode("docs").alias("doc_id")).distinct().join(asked, "doc_id")
+    requests = of.select("part", "block", "doc_id", "position", F.lit(None).cast("binary").alias("data"))
+    held = blocks.join(of.select("part", "block").distinct(), ["part", "block"], "left_semi").select("part", "block", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("position"), "data")
+    both = held.unionByName(requests).repartition("part", "block").sortWithinPartitions("part", "block", F.col("data").isNull())
+    return both.mapInArrow(_look_up, "doc_id long, position long, id long")
+
+
 QUERY = "op6_token_files"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = folder(spark, "tokens")
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
+    temporary(spark, path)
     return _blocks(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,8 +3,8 @@
 Vectors become integers, floor(``SCALE`` * x). Queries go to all tasks in rounds of at most
 ``max_query_bytes``; a task goes over its shard of the candidates in tiles, multiplies each
 block of queries with each tile, selects each query's best of the tile by a partial sort, and
-merges them into its running lists. The tasks' lists then meet in groups of ``FAN`` tasks, and
-those in one list a query: no step holds more than ``FAN`` lists of a query together.
+merges them into its running lists. The tasks' lists then meet in a tree, ``FAN`` at a time,
+until each query has one.
 
 Scores equal the exact integers: products run in 32-bit floats where their sums stay under
 2 ** 24, in 64-bit floats under 2 ** 53, else in Python integers, and a score beyond 64 bits
@@ -33,6 +33,8 @@ MAX_QUERY_BYTES = 16 << 20
 QUERY_BLOCK, TILE = 512, 2048
 #: Lists of one query that are merged at a time.
 FAN = 64
+#: Levels of the tree; with as many tasks as FAN ** LEVELS, 262,144, no step holds more than FAN lists of a query.
+LEVELS = 3
 
 
 def integers(vectors: pa.Array, scale: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -146,8 +148,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, *, k: int = K, scale: int =
         ids = block.column("vec_id").to_numpy()
         groups = {m.shape[1]: (ids[rows], m) for rows, m in integers(block.column("vector").combine_chunks(), scale)} if block.num_rows else {}
         found = shards.mapInArrow(_search(spark.sparkContext.broadcast(groups), k, scale), "query_id long, vec_id long, score long, branch int")
-        branches = _merged(found, ["query_id", "branch"], k).select("query_id", F.inline("best"))
-        merged = _merged(branches, ["query_id"], k).select("query_id", F.posexplode("best").alias("at", "one"))
+        for _ in range(LEVELS - 1):
+            found = _merged(found, ["query_id", "branch"], k).select("query_id", F.floor(F.col("branch") / FAN).cast("int").alias("branch"), F.inline("best"))
+        merged = _merged(found, ["query_id"], k).select("query_id", F.posexplode("best").alias("at", "one"))
         result = merged.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "one.vec_id", "one.score")
         done.append(result if rounds == 1 else materialized(result, "topk"))
     out = done[0]

@@ -18,8 +18,18 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/contactloom/{name}-{uuid.uuid4().hex}"
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """What lies there is removed when the driver ends."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read from a table in the shared folder: later uses don't compute them again, and lost executors lose none."""
+    """The same rows, read from a table in the shared folder: later uses don't compute them again, and lost executors lose none.
+
+    The table is removed when the driver ends.
+    """
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,6 +21,10 @@ _MARK = "\x01"
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
+#: Texts in which a tokenizer of another kind betrays itself.
+_PROBES = ["Hello, World!  The\tquick (brown) FOX-jumps over 12,345.67 dogs?!", "a\n\nb \u00e9t\u00e9 \u0130\u00df stra\u00dfe don't x_y", "under_score http://x.com/a?b=c#d  ...", " lead and trail ", "", "e.g. U.S.A. \u4e2d\u6587 \u0645\u0631\u062d\u0628\u0627"]
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -43,8 +47,17 @@ class Encoder:
         self.letters = Tokenizer.from_file(path or default_path())
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids[0]
+        marked = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = marked[0] if marked else -1
         self._forget()
+        # the ways around work for a tokenizer that drops case and white space and never looks across it; any other encodes whole texts
+        self.plain = False
+        self.plain = not all(len(x) == len(y) and (x == y).all() for x, y in zip(self.encode(pa.array(_PROBES)), self._encode_plainly(pa.array(_PROBES))))
+        self._forget()
+
+    def _encode_plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        coded = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+        return np.asarray([i for x in coded for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in coded])]).astype(np.int64)
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
@@ -91,6 +104,8 @@ class Encoder:
         return np.asarray([i for x in coded for i in x], np.int32), np.asarray([len(x) for x in coded], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.plain:
+            return self._encode_plainly(texts)
         if len(self.words) > self.most_words or self.bytes > self.most_bytes:
             self._forget()
         split = pc.ascii_split_whitespace(self._simpler(texts))

@@ -281,10 +281,28 @@ def test_token_files(spark, docs, tmp_path):
             ids = plain_ids(text)
             assert (r["start"], r["n_tokens"]) == (at, len(ids)) and list(np.frombuffer(r["ids"], "<u4")) == ids
             at += len(ids)
+        texts = [r["text"] for r in docs.where("doc_id = 3").collect()]
+        wanted = spark.createDataFrame([(3, 0), (3, 2), (3, 999), (13, 3999), (77, 0), (None, 0)], "doc_id long, position long").withColumn("data", F.lit(1))
+        found = sorted(tuple(r) for r in dac.look_up(spark, path, wanted).collect())
+        want = [(3, k, plain_ids(t)[k]) for t in texts for k in (0, 2)] + [(13, 3999, plain_ids(TEXTS[13])[3999])]
+        assert found == sorted(want)
     dac.write(empty(docs), str(tmp_path / "none"))
     assert dac.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_other_tokenizers(tmp_path):
+    """A tokenizer that keeps case and white space is told by probes, and encodes whole texts."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({x: k for k, x in enumerate(["<unk>", "A", "a", "\u0120a", "\u0120A", "b"])}, unk_token="<unk>"))
+    own.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    own.save(path := str(tmp_path / "t.json"))
+    coder = tokens.Encoder(path, 9)
+    assert coder.plain and not tokens.Encoder().plain
+    ids, ends = coder.encode(pa.array(["A a", None, "a A b"]))
+    assert ids.tolist() == [1, 3, 9, 9, 2, 4, 0, 9] and ends.tolist() == [0, 3, 4, 8]
+
+
 def test_random_access():
     ids = np.random.default_rng(3).choice([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1], 3000).astype(np.uint32)
     block = dac.Block(dac.encode_block([5], np.array([0, len(ids)]), ids))
