@@ -104,7 +104,7 @@ def run(spark: SparkSession, args: argparse.Namespace, **options) -> int:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("contactloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.appName("contactloom").config("spark.sql.session.timeZone", "UTC").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     try:
         return run(spark, args)
     except SeedError as e:

@@ -321,12 +321,22 @@ def valid_number(value: Column, region: str) -> Column:
     return let(F.struct(written.alias("v"), digits(written).alias("d")), lambda x: let(full(x), checked))
 
 
-# A number in running text: no letter, digit, percent or currency sign touches it; it isn't cut short for that.
+# Numbers in running text: no letter, digit, percent or currency sign touches them. Neighbours may have run into one, which a plus sign, a
+# slash, a full stop, a lone dash or a wide gap parts, and any blank where that is not enough.
 _EDGE = r"[A-Za-z\x{C0}-\x{24F}0-9%$€£¥]"
-IN_TEXT = rf"(?:(?<!{_EDGE})|(?=\+))(?>(?:\+{_BETWEEN}*)?[0-9](?:{_BETWEEN}*[0-9]){{6,18}})(?!{_EDGE})"
+IN_TEXT = rf"(?:(?<!{_EDGE})|(?=\+))(?>(?:\+{_BETWEEN}*)?[0-9](?:[/+]?{_BETWEEN}*[/+]?[0-9]){{6,60}})(?!{_EDGE})"
+_APART = r"(?=\+)|/|\.[ \t\x{A0}]+|[ \t\x{A0}]+-[ \t\x{A0}]+|[ \t\x{A0}]{2,}"
 
 
 def numbers_in(text: Column) -> Column:
-    """What may be a number in running text, but for dates and years; ``valid_number`` judges it."""
+    """What may be a number in running text: groups of texts, the first group the whole, the others its pieces, each with its parts.
+
+    The first of a group is to be tried before the rest of it, and the whole before all pieces. Dates are empty.
+    """
     plain = ascii_digits(text_or_empty(text))
-    return F.filter(F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0)), lambda v: ~looks_like_date(v))
+    long = lambda v: F.regexp_count(v, F.lit("[0-9]")) >= 7
+    parted = lambda v, at: F.filter(F.split(v, at, -1), lambda x: long(x) & (x != v))
+    pieces = lambda v: let(parted(v, _APART), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(v)))
+    groups = lambda v: F.concat(F.array(F.array(v)), F.transform(pieces(v), lambda p: F.concat(F.array(p), parted(p, r"[ \t\x{A0}]+"))))
+    each = F.transform(F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0)), groups)
+    return F.transform(each, lambda gs: F.transform(gs, lambda g: F.transform(g, lambda x: F.when(looks_like_date(x), "").otherwise(x))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from contactloom import dims
 from contactloom.functions import emails, html, links, phones, urls
-from contactloom.functions.text import ascii_digits, collapse_blanks, first_nonempty, nonempty_distinct, text_or_empty, utrim
+from contactloom.functions.text import ascii_digits, collapse_blanks, first_nonempty, let, nonempty_distinct, text_or_empty, utrim
 from contactloom.schemas import CSV_FIELDS
 
 _WIDGET_TEXT = "WhatsApp contact button"
@@ -239,8 +239,16 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
     text = F.concat_ws(" ", page["text"], jsonld_text(page))
     # WhatsApp numbers first, then those of links, then those of the text; each is judged by one expression
     named = lambda values, part: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(part).alias("part")))
-    written = F.concat(named(wa, 0), named(F.concat(tel, phones.numbers_in(text)), 1))
-    numbers = F.filter(F.transform(written, lambda x: F.struct(phones.valid_number(x["v"], region).alias("n"), x["part"].alias("part"))), lambda x: x["n"].isNotNull())
+    alone = lambda values: F.transform(values, lambda v: F.array(F.array(v)))
+    written = F.concat(named(alone(wa), 0), named(F.concat(alone(tel), phones.numbers_in(text)), 1))
+    best = lambda ns: F.when(ns[0].isNotNull(), F.slice(ns, 1, 1)).otherwise(F.filter(ns, lambda n: n.isNotNull()))
+
+    def judged(x: Column) -> Column:
+        found = F.transform(x["v"], lambda group: F.transform(group, lambda v: phones.valid_number(v, region)))
+        kept = let(found, lambda gs: F.when(gs[0][0].isNotNull(), gs[0]).otherwise(F.flatten(F.transform(F.slice(gs, F.lit(2), F.size(gs)), best))))
+        return F.transform(kept, lambda n: F.struct(n.alias("n"), x["part"].alias("part")))
+
+    numbers = F.flatten(F.transform(written, judged))
     each = rows.select(
         "_host",
         F.col(order_col).alias("_seq"),

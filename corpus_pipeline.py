@@ -3,6 +3,12 @@
 Each stage is (name, function of (spark, docs, sf_dir)): it works on all that its predecessor
 kept and returns a DataFrame, which ``run`` writes as Parquet in the shared folder and reads
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
+
+Defined cases, of every stage: a null or empty text is a document without words, which is not
+contaminated, has no secret and packs as its end id; the classifier judges it like any other, and it is
+nobody's near duplicate, but of rows that repeat both id and text one stays. Nulls in other columns are kept as they
+are; rows with a null id are rows like others. Further columns, whatever their names, are kept by all
+stages but the last. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from contactloom.llm.shared import materialized
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
-    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=quality.METADATA)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
