@@ -328,15 +328,22 @@ IN_TEXT = rf"(?:(?<!{_EDGE})|(?=\+))(?>(?:\+{_BETWEEN}*)?[0-9](?:[/+]?{_BETWEEN}
 _APART = r"(?=\+)|/|\.[ \t\x{A0}]+|[ \t\x{A0}]+-[ \t\x{A0}]+|[ \t\x{A0}]{2,}"
 
 
-def numbers_in(text: Column) -> Column:
+#: Countries whose own numbers begin with a 0 wherever they are written without their country's code.
+_TRUNK_ZERO = ["EG", "SA", "AE", "JO", "LB", "IQ", "MA", "DZ", "LY", "SD", "SY", "YE", "PS", "IL", "TR", "IR", "IN", "PK", "CN", "JP", "KR", "GB", "FR", "DE", "NL", "BE", "CH", "AU"]
+
+
+def numbers_in(text: Column, region: str) -> Column:
     """What may be a number in running text: groups of texts, the first group the whole, the others its pieces, each with its parts.
 
-    The first of a group is to be tried before the rest of it, and the whole before all pieces. Dates are empty.
+    The first of a group is to be tried before the rest of it, and the whole before all pieces. Dates are empty, and so is what lacks
+    the 0 that the region's own numbers begin with.
     """
+    own = {v: k for k, v in _ALL_CODES.items()}.get(region, "")
+    bare = f"^(?!0|{own})[1-9]" if region in _TRUNK_ZERO else r"\A\z"
     plain = ascii_digits(text_or_empty(text))
     long = lambda v: F.regexp_count(v, F.lit("[0-9]")) >= 7
     parted = lambda v, at: F.filter(F.split(v, at, -1), lambda x: long(x) & (x != v))
     pieces = lambda v: let(parted(v, _APART), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(v)))
     groups = lambda v: F.concat(F.array(F.array(v)), F.transform(pieces(v), lambda p: F.concat(F.array(p), parted(p, r"[ \t\x{A0}]+"))))
     each = F.transform(F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0)), groups)
-    return F.transform(each, lambda gs: F.transform(gs, lambda g: F.transform(g, lambda x: F.when(looks_like_date(x), "").otherwise(x))))
+    return F.transform(each, lambda gs: F.transform(gs, lambda g: F.transform(g, lambda x: F.when(x.rlike(bare) | looks_like_date(x), "").otherwise(x))))

@@ -240,7 +240,7 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
     # WhatsApp numbers first, then those of links, then those of the text; each is judged by one expression
     named = lambda values, part: F.transform(values, lambda v: F.struct(v.alias("v"), F.lit(part).alias("part")))
     alone = lambda values: F.transform(values, lambda v: F.array(F.array(v)))
-    written = F.concat(named(alone(wa), 0), named(F.concat(alone(tel), phones.numbers_in(text)), 1))
+    written = F.concat(named(alone(wa), 0), named(F.concat(alone(tel), phones.numbers_in(text, region)), 1))
     best = lambda ns: F.when(ns[0].isNotNull(), F.slice(ns, 1, 1)).otherwise(F.filter(ns, lambda n: n.isNotNull()))
 
     def judged(x: Column) -> Column:

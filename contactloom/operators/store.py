@@ -117,13 +117,18 @@ def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str)
         start = F.col("first.lead")
         for f in _LISTS:
             start = start.withField(f, F.array().cast(dict(batch.dtypes)[f]))
-        time = lambda kept: F.when(_time(kept["captured_at"]).isNotNull(), F.coalesce("earliest", F.col("all.captured_at"))).otherwise(F.col("all.captured_at"))
-        merge = lambda kept: merged_lead(kept, F.col("all").withField("captured_at", time(kept)), F.lit(now)).cast(kind)
-        alone, onto = F.when(F.col("n") == 1, F.col("first.lead")).otherwise(merge(start)), merge(F.col("old"))
     new = grouped.withColumnRenamed("source_url", "key").withColumn("first_seq", F.col("first.seq"))
     old = current.select(F.col("source_url").alias("old_key"), F.col("seq").alias("old_seq"), lead().cast(kind).alias("old"))
     both = old.join(new, F.col("old_key") == F.col("key"), "full_outer")
-    result = F.when(F.col("key").isNull(), F.col("old")).when(F.col("old").isNull(), alone).otherwise(onto)
+    if on_duplicate == "merge":
+        # one merge for both: onto the stored lead, or onto the batch's first with empty lists
+        both = both.withColumn("base", F.coalesce("old", start))
+        named = F.col("all.captured_at")
+        time = F.when(_time(F.col("base.captured_at")).isNotNull(), F.coalesce("earliest", named)).otherwise(named)
+        merged = merged_lead(F.col("base"), F.col("all").withField("captured_at", time), F.lit(now)).cast(kind)
+        result = F.when(F.col("key").isNull(), F.col("old")).when(F.col("old").isNull() & (F.col("n") == 1), F.col("first.lead")).otherwise(merged)
+    else:
+        result = F.when(F.col("key").isNull(), F.col("old")).when(F.col("old").isNull(), alone).otherwise(onto)
     status = F.when(F.col("key").isNull(), "kept").when(F.col("old").isNull(), "added").otherwise({"reject": "duplicate", "replace": "replaced", "merge": "merged"}[on_duplicate])
     top = current.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))  # one number
     placed = both.crossJoin(F.broadcast(top)).select(result.alias("lead"), F.coalesce("old_seq", F.col("top") + F.col("first_seq")).alias("seq"), status.alias("status"))

@@ -178,7 +178,7 @@ def calling_country(spark, sf_dir):
 _WA = "CASE c_custkey % 5 WHEN 0 THEN concat('https://wa.me/20', 1000000000 + c_custkey) WHEN 1 THEN concat('https://api.whatsapp.com/send?phone=%2B966', 500000000 + c_custkey, '&text=x') WHEN 2 THEN concat('whatsapp://send?phone=0020', 1000000000 + c_custkey) WHEN 3 THEN 'https://wa.me/message/ABC' ELSE concat('https://example.com/?phone=', 1000000000 + c_custkey) END"
 
 
-@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN concat('20', 1000000000 + c_custkey) WHEN 1 THEN concat('966', 500000000 + c_custkey) WHEN 2 THEN concat('20', 1000000000 + c_custkey) ELSE '' END AS number, c_custkey % 5 < 3 AS has_recipient FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN concat('20', 1000000000 + c_custkey) WHEN 1 THEN concat('966', 500000000 + c_custkey) WHEN 2 THEN concat('20', 1000000000 + c_custkey) ELSE '' END AS number, c_custkey % 5 <> 3 AS has_recipient FROM customer")
 def whatsapp_numbers(spark, sf_dir):
     return _customers(spark, sf_dir, f"{_WA} AS v").select("c_custkey", phones.whatsapp_number(F.col("v")).alias("number"), phones.has_whatsapp_recipient(F.col("v")).alias("has_recipient"))
 
@@ -411,10 +411,18 @@ def lead_upsert_merge(spark, sf_dir):
     return _upserted(store.upsert(leads(spark, sf_dir), _second_batch(spark, sf_dir), "merge", DATE))
 
 
-@query(f"SELECT host AS name, url AS website FROM (SELECT url, {_HOST_SQL} AS host, row_number() OVER (PARTITION BY {_HOST_SQL} ORDER BY page_id) AS n FROM pages) WHERE n = 1")
+_FIRST_OF_HOST = "coalesce(first({0} ORDER BY page_id) FILTER ({0} IS NOT NULL AND {0} <> ''), '')"
+_PAGE_MAIL = """lower(regexp_extract(html, '[\\w.!#$%*+/=?^`{|}~-]+@[\\w-]+(?:\\.[\\w-]+)+'))"""
+_PAGE_PHONE = """regexp_replace(regexp_extract(html, '(\\+1 \\([2-9][0-8][0-9]\\) [2-9][0-9]{2}-[0-9]{4})(?:[^A-Za-z0-9%$]|$)', 1), '[^+0-9]', '', 'g')"""
+
+
+@query(f"""SELECT host AS name, host AS company_name, first(url ORDER BY page_id) AS website, {_FIRST_OF_HOST.format('mail')} AS email, 'google dorks' AS source, '{DATE}' AS date, {_FIRST_OF_HOST.format('number')} AS international
+  FROM (SELECT page_id, url, {_HOST_SQL} AS host, {_PAGE_MAIL} AS mail, {_PAGE_PHONE} AS number FROM pages) GROUP BY host""")
 def crawled_hosts(spark, sf_dir):
-    """One row a host, of all its pages."""
-    return lead_per_host(spark, sf_dir).select("name", "website")
+    """One row a host, of all its pages, with the first of its numbers that is written with calling code 1."""
+    leads = lead_per_host(spark, sf_dir)
+    numbers = F.concat_ws(" | ", F.nullif("phone", F.lit("")), F.nullif(F.regexp_extract("notes", r"other phones: ([^;]*)", 1), F.lit("")))
+    return leads.select("name", "company_name", "website", "email", "source", "date", F.regexp_extract(numbers, r"\+1[0-9]{10}", 0).alias("international"))
 
 
 @query()
