@@ -164,8 +164,8 @@ def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> D
     table = share(bit_table(shared.select(F.col("token").alias("key")), bits_for(shared.count())))
     again = texts.mapInArrow(_distinct(size, met, _probe(percent, table)), kind).select("sid", "n", F.explode("tokens").alias("token"))
     partner = F.greatest(F.lit(1), F.floor(F.ceil(percent * F.col("n") / 100) / 10))  # _first_shared of the smallest partner
-    # tasks may have met the same set: count its shingles once
-    alive = again.join(shared, "token").groupBy("sid", "token").agg(F.max("n").alias("n")).groupBy("sid").agg(F.count("*").alias("found"), F.max("n").alias("n")).where(F.col("found") >= partner).select("sid")
+    # tasks may have met the same set: count its shingles once. Dealt by set first, so that a token in very many sets is a join that can be split
+    alive = again.join(shared, "token").repartition("sid").groupBy("sid", "token").agg(F.max("n").alias("n")).groupBy("sid").agg(F.count("*").alias("found"), F.max("n").alias("n")).where(F.col("found") >= partner).select("sid")
     alive = materialized(alive, "alive")
     near = share(bit_table(alive.select(F.col("sid").alias("key")), bits_for(alive.count())))
     sets = texts.mapInArrow(_distinct(size, met, _alive(near)), kind).join(alive, "sid", "left_semi")
