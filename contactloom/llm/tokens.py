@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 from contactloom.llm.textblocks import LOWER, text_bytes
 
 END_ID = 1
-#: A task forgets its words when their number or their bytes pass this.
-MOST_WORDS, MOST_BYTES = 150_000, 16 << 20
+#: When the number of its words or their bytes pass this, a task forgets those that came back least: half of them or more.
+MOST_WORDS, MOST_BYTES = 300_000, 16 << 20
 _MARK = "\x01"
 _LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
@@ -44,8 +44,7 @@ class Encoder:
         self.most_words, self.most_bytes = most_words, most_bytes
         self.count = np.arange(1 << 20)
         # words of these letters are what the normalizer makes of them, and one piece for the splitter: both can be left out
-        self.letters = Tokenizer.from_file(path or default_path())
-        self.letters.normalizer = None
+        self.letters = Tokenizer(self.tokenizer.model)  # the model is shared, not loaded again
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         marked = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = marked[0] if marked else -1
@@ -62,6 +61,23 @@ class Encoder:
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
         self.ids, self.first, self.size, self.bytes = np.array([self.end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64), 0
+        self.uses = np.zeros(1, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Keep the words that were met in more than one slice, the more frequent half at the most; their counts age."""
+        uses = self.uses[1:]
+        kept = np.argsort(-uses, kind="stable")[: len(uses) // 2]
+        kept = np.sort(kept[uses[kept] > 1])
+        names = list(self.words)  # word k has number k + 1
+        some = [names[k] for k in kept.tolist()]
+        number = np.concatenate([[0], kept + 1])
+        size, first = self.size[number], self.first[number]
+        ids = self.ids[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.words = dict(zip(some, range(1, len(some) + 1)))
+        self.ids, self.size, self.first = ids, size, np.cumsum(size) - size
+        self.uses, self.bytes = self.uses[number] // 2, sum(map(len, some))
+        if self.bytes > self.most_bytes // 2:
+            self._forget()
 
     @staticmethod
     def _simpler(texts: pa.Array) -> pa.Array:
@@ -107,7 +123,7 @@ class Encoder:
         if self.plain:
             return self._encode_plainly(texts)
         if len(self.words) > self.most_words or self.bytes > self.most_bytes:
-            self._forget()
+            self._forget_rare()
         split = pc.ascii_split_whitespace(self._simpler(texts))
         ends = split.offsets.to_numpy()
         named = split.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
@@ -121,7 +137,9 @@ class Encoder:
             self.size = np.concatenate([self.size, sizes])
             self.ids = np.concatenate([self.ids, ids])
             self.bytes += sum(map(len, new))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
         number = np.fromiter(map(self.words.__getitem__, names), np.int32, len(names))
+        self.uses[number] += 1
         # word 0 is the end id: one after each text's last word
         word = np.zeros(int(ends[-1]) + len(ends) - 1, np.int32)
         last = ends[1:] + np.arange(len(ends) - 1)

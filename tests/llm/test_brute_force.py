@@ -290,6 +290,21 @@ def test_token_files(spark, docs, tmp_path):
     assert dac.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_words_are_forgotten_by_use():
+    """Ids stay right however few words a task remembers, and words that come back stay longest."""
+    rng = np.random.default_rng(4)
+    coder = tokens.Encoder(most_words=40)
+    plain = tokens.Encoder()
+    often = [f"often{k}" for k in range(10)]
+    for n in range(30):
+        texts = [" ".join([*often, *(f"rare{rng.integers(5000)}!" for _ in range(30))]), None, "Mixed CASE " + often[n % 10]]
+        ids, ends = coder.encode(pa.array(texts))
+        want, want_ends = plain._encode_plainly(pa.array(texts))
+        assert ids.tolist() == want.tolist() and ends.tolist() == want_ends.tolist()
+        assert len(coder.words) <= 40 + 80
+    assert set(often) <= set(coder.words)
+
+
 def test_other_tokenizers(tmp_path):
     """A tokenizer that keeps case and white space is told by probes, and encodes whole texts."""
     from tokenizers import Tokenizer, models, pre_tokenizers
