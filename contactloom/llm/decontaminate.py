@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.bits import bit_table, bits_for, passes
-from contactloom.llm.shared import materialized
+from contactloom.llm.shared import materialized, unused
 from contactloom.llm.textblocks import ALNUM, Words, slices
 
 WINDOW = 13
@@ -155,7 +155,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, doc_col:
     kind = f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, {_REPORT}"
     if shared:
         return texts.mapInArrow(_scan(shared), kind)
-    tagged = _tagged(texts)
+    tagged = _tagged(texts, "_row")
     found = tagged.select(F.col("_row").alias("row"), "doc_id").join(_joined(tagged.select(F.col("_row").alias("row"), "text"), grams), "row")
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), _contaminated().alias("contaminated"))
 
@@ -214,9 +214,9 @@ def _contaminated() -> Column:
     return (F.col("n_hit") > 0) & (ONE_IN * F.col("n_hit") >= F.col("n_words"))
 
 
-def _tagged(docs: DataFrame) -> DataFrame:
-    """The rows with ``_row``, written: a task that runs again reads the same numbers."""
-    return materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
+def _tagged(docs: DataFrame, tag: str) -> DataFrame:
+    """The rows with a number, written: a task that runs again reads the same numbers."""
+    return materialized(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", size: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -226,10 +226,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", si
     grams, shared = _window_set(benchmark, size, item_col, item_text_col, max_broadcast_bytes)
     text = F.col(f"`{text_col}`")
     if shared is None:
-        tagged = _tagged(docs)
-        found = _joined(tagged.select(F.col("_row").alias("row"), text.alias("text")), grams)
+        tag, own = unused(docs, "_row"), unused(docs, "_hits")
+        tagged = _tagged(docs, tag)
+        found = _joined(tagged.select(F.col(tag).alias("row"), text.alias("text")), grams)
         if mode == "documents":
-            return tagged.join(found.where(_contaminated()).select(F.col("row").alias("_row")), "_row", "left_anti").select(*docs.columns)
+            return tagged.join(found.where(_contaminated()).select(F.col("row").alias(tag)), tag, "left_anti").select(*docs.columns)
 
         @F.arrow_udf("string")
         def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -244,10 +245,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, *, mode: str = "documents", si
                 yield pa.array(out, pa.string())
 
         # only texts with hits go to Python
-        hits = found.where("n_hit > 0").select(F.col("row").alias("_row"), F.col("hits").alias("_hits"))
-        both = tagged.join(hits, "_row", "left")
-        bare = both.where("_hits IS NULL").select(*docs.columns)
-        return bare.unionByName(both.where("_hits IS NOT NULL").withColumn(text_col, cut(text, F.col("_hits"))).select(*docs.columns))
+        hits = found.where("n_hit > 0").select(F.col("row").alias(tag), F.col("hits").alias(own))
+        both = tagged.join(hits, tag, "left")
+        bare = both.where(F.col(own).isNull()).select(*docs.columns)
+        return bare.unionByName(both.where(F.col(own).isNotNull()).withColumn(text_col, cut(text, F.col(own))).select(*docs.columns))
 
     def judged(texts: Iterator[pa.Array], give) -> Iterator[pa.Array]:
         lookup = _Lookup(shared.value)

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.bits import bit_table, bits_for, passes
 from contactloom.llm.components import components
-from contactloom.llm.shared import materialized
+from contactloom.llm.shared import materialized, unused
 from contactloom.llm.textblocks import NONSPACE, Words, mix, slices
 
 SHINGLE = 5
@@ -236,15 +236,16 @@ def one_of_each(docs: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT,
     Of rows with that id in one component, any texts, one stays. Rows without shingles link with
     nothing and stay, but of those that repeat both id (null too) and text one stays.
     """
-    tagged = materialized(docs.withColumn("_row", F.monotonically_increasing_id()), "tagged")
-    texts = tagged.select(F.col(doc_col).cast("long").alias("doc_id"), F.col("_row").alias("row"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
+    tag = unused(docs, "_row")
+    tagged = materialized(docs.withColumn(tag, F.monotonically_increasing_id()), "tagged")
+    texts = tagged.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(tag).alias("row"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
     slim = materialized(texts.mapInArrow(_slim(size, ("doc_id", "row", "digest")), "doc_id long, row long, digest long, n long, sid long"), "slim")
     roots = components(links(texts.where("text IS NOT NULL").select("text"), size=size, percent=percent))
     least = slim.where("n > 0").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "digest", "row")).alias("first"))
     chosen = least.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").groupBy(F.coalesce("root", "sid").alias("root")).agg(F.min("first").alias("first"))
-    none = slim.where("n = 0").groupBy("doc_id", "digest").agg(F.min("row").alias("_row"))
-    kept = chosen.select(F.col("first.row").alias("_row")).unionByName(none.select("_row"))
-    return tagged.join(kept, "_row", "left_semi").select(*docs.columns)
+    none = slim.where("n = 0").groupBy("doc_id", "digest").agg(F.min("row").alias(tag))
+    kept = chosen.select(F.col("first.row").alias(tag)).unionByName(none.select(tag))
+    return tagged.join(kept, tag, "left_semi").select(*docs.columns)
 
 
 QUERY = "op4_jaccard_join"

@@ -18,6 +18,14 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/contactloom/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores more as it takes to be no column's."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def temporary(spark: SparkSession, path: str) -> None:
     """What lies there is removed when the driver ends."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
