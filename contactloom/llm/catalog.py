@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contactloom.llm import chat, dac, decontaminate, exact_topk, fill_middle, jaccard, lang_id, packing, quality, secret_scan, toxicity, warc
+from contactloom.llm import chat, collocations, dac, decontaminate, exact_topk, fill_middle, jaccard, lang_id, packing, quality, secret_scan, toxicity, warc
 
-_MODULES = [quality, decontaminate, chat, jaccard, warc, dac, toxicity, exact_topk, packing, secret_scan, fill_middle, lang_id]
+_MODULES = [quality, decontaminate, chat, jaccard, warc, dac, toxicity, exact_topk, packing, secret_scan, fill_middle, lang_id, collocations]
 
 
 def queries() -> dict:
