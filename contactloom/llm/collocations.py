@@ -41,9 +41,11 @@ FEWEST_BITS, MOST_BITS = 16, 25
 #: Keys of one hash, and of the parts that it is built in.
 SHARD_KEYS, PART_KEYS = 4_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
-FAN, BLOCK, SLICE = 16, 1 << 18, 8 << 20
+FAN, BLOCK, SLICE = 16, 1 << 18, 2 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
+#: Keys of candidates that a task remembers as given.
+GIVEN_KEYS = 1_000_000
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -64,7 +66,7 @@ class Phrases:
         codes = np.array([_lang_key(x) for x in named.dictionary.to_pylist()] or [0], np.uint64)
         self.lang_row = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         self.lang = codes[self.lang_row][words.doc] if len(words.doc) else np.zeros(0, np.uint64)
-        ends = np.cumsum(_ENDS[words.raw], dtype=np.int64)
+        ends = np.cumsum(_ENDS[words.raw], dtype=np.int32)
         # no piece goes on into another text
         self.piece = ends[words.start] + words.doc if len(words.start) else np.zeros(0, np.int64)
         self.next = np.zeros(0, np.uint64)
@@ -179,18 +181,23 @@ def _part() -> int:
 # --- candidates ---
 
 
+def _bits(size: int, bits: int) -> int:
+    """There are fewer different words than phrases."""
+    return bits - 2 if size == 1 else bits
+
+
 def _buckets(sizes: list[int], bits: int, least: int):
     """Hashed counts of all phrases that stop at ``least``, and each language's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {size: np.zeros(1 << bits, np.uint8) for size in sizes}
+        counts = {size: np.zeros(1 << _bits(size, bits), np.uint8) for size in sizes}
         words: dict[str, int] = {}
         for part, found in _phrases(batches):
             named = part.column("lang").dictionary_encode()
             for lang, n in zip(named.dictionary.to_pylist(), np.bincount(found.lang_row, found.words.counts(), len(named.dictionary)).astype(np.int64).tolist()):
                 words[lang] = words.get(lang, 0) + n
             for size in sizes:
-                key = (found.keys(size)[found.stand(size)] & np.uint64((1 << bits) - 1)).astype(np.uint32)
+                key = (found.keys(size)[found.stand(size)] & np.uint64((1 << _bits(size, bits)) - 1)).astype(np.uint32)
                 key.sort()
                 first = np.flatnonzero(np.diff(key, prepend=key[:1] + 1)) if len(key) else np.zeros(0, np.int64)
                 times, at = np.diff(first, append=len(key)), key[first]
@@ -223,13 +230,12 @@ class _Passing:
     def __init__(self, found: Phrases, tables: dict[int, np.ndarray], bits: int):
         self.at: dict[int, np.ndarray] = {}
         ok = np.ones(0, bool)
-        mask = np.uint64((1 << bits) - 1)
         for size, table in sorted(tables.items()):
             stand = found.stand(size)
             good = stand & (ok[:-1] & ok[1:])[: len(stand)] if size > 1 else stand
             at = np.flatnonzero(good)
             key = found.keys(size)[at]
-            place = key & mask
+            place = key & np.uint64((1 << _bits(size, bits)) - 1)
             some = (table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
             ok = np.zeros(len(stand), bool)
             self.at[size] = at[some]
@@ -238,14 +244,20 @@ class _Passing:
 
 
 def _candidates(shared, bits: int):
-    """(lang, phrase) of the candidates, each once a slice."""
+    """(lang, phrase) of the candidates; a task gives few of them twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = np.zeros(0, np.uint64)
         for part, found in _phrases(batches):
             passing = _Passing(found, shared.value, bits)
             for size, at in passing.at.items():
-                _, first = np.unique(getattr(passing, f"key{size}"), return_index=True)
+                once, first = np.unique(getattr(passing, f"key{size}"), return_index=True)
+                if len(given):
+                    new = given[np.minimum(np.searchsorted(given, once), len(given) - 1)] != once
+                    once, first = once[new], first[new]
                 at = at[first]
+                given = once if len(given) > GIVEN_KEYS else np.concatenate([given, once])
+                given.sort(kind="stable")
                 langs = part.column("lang").take(pa.array(found.words.doc[at]))
                 yield pa.record_batch([langs, found.texts(size, at)], ["lang", "phrase"])
 
@@ -405,7 +417,7 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     first = materialized(texts.mapInArrow(_buckets(sizes, bits, least), f"{_BLOCKS}, lang string, n long"), "buckets")
     totals = first.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     blocks = first.where("lang IS NULL").drop("lang", "n")
-    tables = {size: np.zeros((1 << bits) // 8, np.uint8) for size in sizes}
+    tables = {size: np.zeros((1 << _bits(size, bits)) // 8, np.uint8) for size in sizes}
     for row in _tree_sum(blocks, "u1", least).mapInArrow(_packed(least), "kind int, block long, bits binary").collect():
         # len(sizes) * 2 ** most_bits bits at the most, whatever the texts' size
         at = row["block"] * BLOCK // 8
