@@ -41,11 +41,11 @@ FEWEST_BITS, MOST_BITS = 16, 25
 #: Keys of one hash, and of the parts that it is built in.
 SHARD_KEYS, PART_KEYS = 4_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
-FAN, BLOCK, SLICE = 16, 1 << 18, 2 << 20
+FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
-GIVEN_KEYS = 1_000_000
+GIVEN_KEYS = 500_000
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -424,7 +424,8 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
         some = np.frombuffer(bytes(row["bits"]), np.uint8)
         tables[row["kind"]][at : at + len(some)] = some
     passing = spark.sparkContext.broadcast(tables)
-    candidates = materialized(texts.mapInArrow(_candidates(passing, bits), "lang string, phrase string").distinct(), "candidates")
+    # tasks give candidates once already: rows are dealt first and made distinct where no Python worker needs memory as well
+    candidates = materialized(texts.mapInArrow(_candidates(passing, bits), "lang string, phrase string").repartition("lang", "phrase").distinct(), "candidates")
     n = candidates.count()
     shards = max(1, -(-n // shard_keys))
     parts = max(1, -(-n // (shards * part_keys)))
