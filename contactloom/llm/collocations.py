@@ -8,14 +8,14 @@
    stored key, and ``bincount`` the slots; the arrays are summed as a tree again.
 4. A phrase's count and those of both sides of each of its cuts are read by slot.
 
-One hash holds ``shard_keys`` candidates at the most, and is then broadcast (24 bytes a key). More candidates are dealt to several hashes by their
+One hash holds ``shard_keys`` candidates at the most, and is then broadcast (9 bytes a key, and 8 for its count). More candidates are dealt to several hashes by their
 key, and the mappers' phrases, counted in their task first, go to the tasks of their key's hash. The number of buckets follows the texts' size up
 to 2 ** ``MOST_BITS``; beyond it, more candidates pass than need be, and the counts stay exact.
 A language's words are never gathered in one task: all keys hold the language, and ranking keeps a report's worth of rows of each part of a language.
 
 Defined cases: a null text has no words, a null language is ``und``; null ids, repeated rows (counted each time) and further columns don't matter; an
-empty table gives no rows. Keys are 128 bits of hash with the first eight bytes of every word among them: different phrases under one key would
-be told apart when the hash is built, by failing.
+empty table gives no rows. Keys are two hashes of 64 bits, the second of each word's first eight bytes and length: what is no candidate counts as one with a
+chance of 2 ** -64. A task that gives candidates tells them apart by the first: n different phrases of one language and size lose one with a chance of about n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -39,13 +39,13 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 FEWEST_BITS, MOST_BITS = 16, 25
 #: Keys of one hash, and of the parts that it is built in.
-SHARD_KEYS, PART_KEYS = 4_000_000, 1 << 16
+SHARD_KEYS, PART_KEYS = 8_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
 FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
-GIVEN_KEYS = 500_000
+GIVEN_KEYS = 3_000_000
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -309,7 +309,7 @@ class _Counter:
     def add(self, slots: np.ndarray) -> None:
         self.held.append(slots)
         self.n += len(slots)
-        if self.n > max(1 << 20, len(self.total)):
+        if self.n > max(1 << 20, len(self.total) // 2):
             self.flush()
 
     def flush(self) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Keys are dealt to parts by a hash, and parts are built apart from each other. In a part, a key takes the first level at which no
 other key left shares its place; its slot is the number of places taken before it, all earlier parts' keys included. What is no key may get
-a slot too, so ``slots`` compares the key stored there.
+a slot too, so ``slots`` compares the second half of the key, stored there; the first half chose the slot.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ def part_of(first: np.ndarray, parts: int) -> np.ndarray:
 
 
 def build(first: np.ndarray, second: np.ndarray) -> bytes:
-    """A part's levels and its keys in the order of their slots. The pairs must be distinct."""
+    """A part's levels and the second halves of its keys in the order of their slots. The pairs must be distinct."""
     levels, left = {}, np.arange(len(first))
     order = []
     while len(left):
@@ -41,7 +41,7 @@ def build(first: np.ndarray, second: np.ndarray) -> bytes:
         left = left[~taken]
     order = np.concatenate(order) if order else np.zeros(0, np.int64)
     raw = io.BytesIO()
-    np.savez(raw, first=first[order], second=second[order], **levels)
+    np.savez(raw, second=second[order], **levels)
     return raw.getvalue()
 
 
@@ -52,9 +52,8 @@ class PerfectHash:
         self.parts = max(1, parts)
         found = [dict(np.load(io.BytesIO(built[k]))) if k in built else {} for k in range(self.parts)]
         none = np.zeros(0, np.uint64)
-        self.first = np.concatenate([none, *(x.get("first", none) for x in found)])
         self.second = np.concatenate([none, *(x.get("second", none) for x in found)])
-        before = np.concatenate([[0], np.cumsum([len(x.get("first", none)) for x in found])[:-1]]).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum([len(x.get("second", none)) for x in found])[:-1]]).astype(np.int64)
         #: of each level: size and first word of each part, all words, keys before each word
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         while any(f"level{len(self.levels)}" in x for x in found):
@@ -66,7 +65,7 @@ class PerfectHash:
             self.levels.append((sizes.astype(np.uint64) * np.uint64(64), np.cumsum(sizes) - sizes, np.concatenate(words), ranks))
 
     def __len__(self) -> int:
-        return len(self.first)
+        return len(self.second)
 
     def slots(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         out = np.full(len(first), -1, np.int64)
@@ -83,6 +82,5 @@ class PerfectHash:
             if not len(left):
                 break
         own = np.flatnonzero(out >= 0)
-        false = (self.first[out[own]] != first[own]) | (self.second[out[own]] != second[own])
-        out[own[false]] = -1
+        out[own[self.second[out[own]] != second[own]]] = -1
         return out
