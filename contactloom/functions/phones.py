@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from contactloom import dims
 from contactloom.functions import urls
 from contactloom.functions.folds import fold_by, stronger_or_fuller
-from contactloom.functions.text import BLANK, ascii_digits, collapse_blanks, constants, digits, ellipsized, first_fields, first_nonempty, let, percent_decoded, spaced, text_or_empty, utrim, whole_words
+from contactloom.functions.text import BLANK, WORD_ENDS, WORD_STARTS, ascii_digits, collapse_blanks, constants, digits, ellipsized, first_fields, first_nonempty, let, percent_decoded, spaced, text_or_empty, utrim, whole_words
 
 _BETWEEN = r"[ \t\x{A0}().-]"
 CANDIDATE = rf"(?:\+|00)?[0-9](?:{_BETWEEN}*[0-9]){{6,18}}"
+#: Digits of the shortest candidate.
+FEWEST_DIGITS = 7
 #: Characters of the line on each side of a number that are its context; its most characters; those of a stored one.
 NEAR, CONTEXT, STORED_CONTEXT = 90, 180, 200
 _CANDIDATES = "array<struct<raw:string,context:string,source:string>>"
@@ -74,13 +76,18 @@ def looks_like_date(value: Column) -> Column:
 
 
 def _suffixed(things: list[str], suffixes: list[str], needed: bool) -> str:
-    return rf"(?:{'|'.join(things)}){BLANK}*(?:{'|'.join(suffixes)}){'' if needed else '?'}"
+    """Things with a suffix, whole words: behind a suffix that is a sign, a word must follow, behind any other none may."""
+    words, signs = [x for x in suffixes if x.isalnum()], [x for x in suffixes if not x.isalnum()]
+    ends = [rf"(?:{'|'.join(words)}){WORD_ENDS}", *([rf"[{''.join(signs)}](?=[A-Za-z0-9_])"] if signs else []), *([] if needed else [WORD_ENDS])]
+    return rf"(?:{'|'.join(things)})(?:{BLANK}*(?:{'|'.join(ends[: len(ends) - (not needed)])}){'' if needed else '|' + WORD_ENDS})"
 
 
 _WHATSAPP = r"whats(?:[\s-]|\x{A0})*app"
 _PHONE_CUE = [whole_words([_WHATSAPP if x == "whatsapp" else x for x in dims.PHONE_CUES]), "|".join(map(spaced, dims.PHONE_CUES_AR))]
 _NON_PHONE_CUE = [
-    whole_words([_suffixed(dims.NUMBERED_THINGS, dims.NUMBERED_SUFFIXES, False), _suffixed(dims.NUMBERED_PAGES, dims.NUMBERED_PAGE_SUFFIXES, True), _suffixed(dims.COUNTED_THINGS, dims.COUNTED_SUFFIXES, False), *map(spaced, dims.OTHER_NON_PHONES)]),
+    f"(?i){WORD_STARTS}(?:"
+    + "|".join([_suffixed(dims.NUMBERED_THINGS, dims.NUMBERED_SUFFIXES, False), _suffixed(dims.NUMBERED_PAGES, dims.NUMBERED_PAGE_SUFFIXES, True), _suffixed(dims.COUNTED_THINGS, dims.COUNTED_SUFFIXES, False), f"(?:{'|'.join(map(spaced, dims.OTHER_NON_PHONES))}){WORD_ENDS}"])
+    + ")",
     "|".join([*(spaced(f"{word} (?:{'|'.join(of)})") for word, of in dims.NUMBERED_THINGS_AR.items()), *map(spaced, dims.OTHER_NON_PHONES_AR)]),
 ]
 _PRICE_CUE = [f"[{dims.PRICE_SIGNS}]|{'|'.join(dims.PRICE_CUES_AR)}", whole_words(dims.PRICE_CUES)]

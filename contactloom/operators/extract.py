@@ -45,44 +45,50 @@ def is_link(e: Column) -> Column:
     return (e["tag"] == "a") & F.map_contains_key(e["attributes"], F.lit("href"))
 
 
-def described(e: Column) -> Column:
-    return F.concat_ws(" ", attribute(e, "class"), attribute(e, "id"), attribute(e, "aria-label"), attribute(e, "title"), e["text"])
+def described(e: Column, text: Column) -> Column:
+    return F.concat_ws(" ", attribute(e, "class"), attribute(e, "id"), attribute(e, "aria-label"), attribute(e, "title"), text)
 
 
-def element_context(e: Column) -> Column:
+def element_context(e: Column, text: Column) -> Column:
     """The element's words without the numbers in them."""
-    words = F.array_join(nonempty_distinct(F.array(*(utrim(x) for x in (e["text"], attribute(e, "aria-label"), attribute(e, "title"))))), " ")
+    words = F.array_join(nonempty_distinct(F.array(*(utrim(x) for x in (text, attribute(e, "aria-label"), attribute(e, "title"))))), " ")
     return phones.cleaned_context(F.regexp_replace(ascii_digits(words), phones.CANDIDATE, " "))
 
 
 def anchors(page: Column) -> Column:
     """(url, href, text, described, context) of the page's links."""
-    return F.transform(F.filter(page["elements"], is_link), lambda e: F.struct(text_or_empty(e["url"]).alias("url"), utrim(attribute(e, "href")).alias("href"), e["text"].alias("text"), described(e).alias("described"), element_context(e).alias("context")))
 
+    def of(e: Column) -> Column:
+        return let(html.element_text(page, e), lambda text: F.struct(text_or_empty(e["url"]).alias("url"), utrim(attribute(e, "href")).alias("href"), text.alias("text"), described(e, text).alias("described"), element_context(e, text).alias("context")))
 
-# A text to be searched for numbers: of which list they are, where they come from, whether the markup says that they are numbers, the
+    return F.transform(F.filter(page["elements"], is_link), of)
+
+
+# A text to be searched for numbers, or the element that has it: of which list they are, where they come from, whether the markup says that they are numbers, the
 # context that takes the place of the text's own, what stands before its own, and whether the text is a number as it is.
-def _searched(text: Column, source: str, *, explicit: bool = False, context: Column | None = None, before: Column | None = None, whatsapp: bool = False, whole: bool = False) -> Column:
+def _searched(text: Column | None, source: str, *, element: Column | None = None, explicit: bool = False, context: Column | None = None, before: Column | None = None, whatsapp: bool = False, whole: bool = False) -> Column:
     blank = F.lit("")
-    return F.struct(text.alias("text"), F.lit(source).alias("source"), F.lit(explicit).alias("explicit"), (blank if context is None else context).alias("context"), (blank if before is None else before).alias("before"), F.lit(whatsapp).alias("whatsapp"), F.lit(whole).alias("whole"))
+    where = F.lit(None).cast("struct<start:int,end:int>") if element is None else F.struct(element["start"].alias("start"), element["end"].alias("end"))
+    return F.struct((F.lit(None).cast("string") if text is None else text).alias("text"), where.alias("where"), F.lit(source).alias("source"), F.lit(explicit).alias("explicit"), (blank if context is None else context).alias("context"), (blank if before is None else before).alias("before"), F.lit(whatsapp).alias("whatsapp"), F.lit(whole).alias("whole"))
 
 
 def _phone_texts(page: Column) -> Column:
     """Visible text, links, buttons, contact sections and meta tags, in that order."""
     elements = page["elements"]
+    many = lambda e: e["digits"] >= phones.FEWEST_DIGITS
 
     def of_link(e: Column) -> Column:
         href = utrim(attribute(e, "href"))
-        tel = F.when(href.rlike("(?i)^tel:"), F.array(_searched(F.substr(href, F.lit(5)), "tel-link", explicit=True, context=element_context(e))))
-        shown = F.array(_searched(e["text"], "anchor-text"))
+        tel = F.when(href.rlike("(?i)^tel:"), F.array(_searched(F.substr(href, F.lit(5)), "tel-link", explicit=True, context=element_context(e, html.element_text(page, e)))))
+        shown = F.filter(F.array(_searched(None, "anchor-text", element=e)), lambda _: many(e))
         return F.coalesce(F.concat(tel, shown), shown)
 
     each = lambda rule, one: F.transform(F.filter(elements, rule), one)
     return F.concat(
         F.array(_searched(page["lines"], "visible-text")),
         F.flatten(each(is_link, of_link)),
-        each(is_button, lambda e: _searched(e["text"], "button-text")),
-        each(is_contact_section, lambda e: _searched(e["text"], "visible-text")),
+        each(lambda e: is_button(e) & many(e), lambda e: _searched(None, "button-text", element=e)),
+        each(lambda e: is_contact_section(e) & many(e), lambda e: _searched(None, "visible-text", element=e)),
         each(is_relevant_meta, lambda e: _searched(attribute(e, "content"), "meta-tag", before=_descriptor(e))),
     )
 
@@ -109,9 +115,9 @@ def is_widget(e: Column) -> Column:
     return chosen & (signal | (F.lower(attribute(e, "role")) == "button") & named)
 
 
-def _widget_texts(e: Column) -> Column:
+def _widget_texts(page: Column, e: Column) -> Column:
     """A widget's texts to search, attribute by attribute: values of number-like names, settings, and links inside."""
-    context = first_nonempty(element_context(e), F.lit(_WIDGET_TEXT))
+    context = first_nonempty(element_context(e, html.element_text(page, e)), F.lit(_WIDGET_TEXT))
     piece = lambda text, number, links_too: F.struct(text.alias("text"), number.alias("number"), links_too.alias("linked"))
     yes, no = F.lit(True), F.lit(False)
 
@@ -136,35 +142,37 @@ def _whatsapp_texts(page: Column, judged: Column) -> Column:
     own = F.filter(judged, lambda a: (a["platform"] == "whatsapp") & ~a["shares"] & ~a["excluded"])
     from_links = F.transform(own, lambda a: _searched(phones.whatsapp_number(a["href"]), "whatsapp-link", context=first_nonempty(a["context"], F.lit(_ANCHOR_TEXT)), whatsapp=True, whole=True))
     from_text = F.transform(near_mentions(page["lines"]), lambda x: _searched(x, "visible-text", whatsapp=True))
-    return F.concat(from_links, from_text, F.flatten(F.transform(F.filter(page["elements"], is_widget), _widget_texts)))
+    return F.concat(from_links, from_text, F.flatten(F.transform(F.filter(page["elements"], is_widget), lambda e: _widget_texts(page, e))))
 
 
 _FOUND = "array<struct<raw:string,context:string,source:string,whatsapp:boolean>>"
 
 
-def _numbers_of(texts: Column) -> Column:
-    """The likely numbers of texts, as candidates of one of the two lists."""
+def _numbers_of(page: Column, texts: Column) -> Column:
+    """The likely numbers of texts, as candidates of one of the two lists. An element's text is cut here, one at a time."""
 
     def of(t: Column) -> Column:
         whole = F.array(phones.candidate(phones.cleaned_phone(t["text"]), phones.cleaned_context(t["context"]), t["source"]))
-        found = F.when(t["whole"], whole).otherwise(phones.candidates_of(t["text"], t["source"], t["explicit"], t["context"]))
+        text = F.coalesce(t["text"], html.element_text(page, t["where"]))
+        found = F.when(t["whole"], whole).otherwise(let(text, lambda x: phones.candidates_of(x, t["source"], t["explicit"], t["context"])))
         context = lambda c: F.when(t["before"] != "", phones.cleaned_context(F.concat(t["before"], F.lit(" "), c["context"]))).otherwise(c["context"])
         return F.transform(found, lambda c: F.struct(c["raw"], context(c).alias("context"), c["source"], t["whatsapp"].alias("whatsapp")))
 
-    return F.filter(F.flatten(F.transform(F.filter(texts, lambda t: text_or_empty(t["text"]) != ""), of)), lambda c: phones.phone_key(c["raw"]) != "")
+    return F.filter(F.flatten(F.transform(F.filter(texts, lambda t: (text_or_empty(t["text"]) != "") | t["where"].isNotNull()), of)), lambda c: phones.phone_key(c["raw"]) != "")
 
 
 def widget_numbers(page: Column) -> Column:
     """The numbers of a page's WhatsApp widgets, each once."""
-    texts = F.flatten(F.transform(F.filter(page["elements"], is_widget), _widget_texts))
-    return F.transform(phones.distinct_candidates(_numbers_of(texts)), lambda c: c["raw"])
+    texts = F.flatten(F.transform(F.filter(page["elements"], is_widget), lambda e: _widget_texts(page, e)))
+    return F.transform(phones.distinct_candidates(_numbers_of(page, texts)), lambda c: c["raw"])
 
 
 def page_emails(page: Column) -> Column:
     """Visible text, links, buttons, contact sections and meta tags; then mailto links and ``data-email``."""
     elements = page["elements"]
     each = lambda rule, one: F.transform(F.filter(elements, rule), one)
-    shown = F.concat(F.array(page["lines"]), each(is_link, lambda e: e["text"]), each(is_button, lambda e: e["text"]), each(is_contact_section, lambda e: e["text"]), each(is_relevant_meta, lambda e: attribute(e, "content")))
+    shown_text = lambda e: html.element_text(page, e)
+    shown = F.concat(F.array(page["lines"]), each(is_link, shown_text), each(is_button, shown_text), each(is_contact_section, shown_text), each(is_relevant_meta, lambda e: attribute(e, "content")))
     return emails.captured_emails(F.concat(shown, emails.mailto_texts(each(is_link, lambda e: attribute(e, "href"))), F.transform(elements, lambda e: attribute(e, "data-email"))))
 
 
@@ -178,7 +186,7 @@ def captured(pages: DataFrame, captured_at: str, *, url_col: str = "url", html_c
     page, url = F.col("page"), F.col(url_col)
     rows = parse_pages(pages.where(urls.is_web_url(url)), url_col=url_col, html_col=html_col).withColumn("links", links.judged(anchors(page), url))
     # each text is searched once, by one expression
-    found = rows.withColumn("found", _numbers_of(F.concat(_phone_texts(page), _whatsapp_texts(page, F.col("links")))))
+    found = rows.withColumn("found", _numbers_of(page, F.concat(_phone_texts(page), _whatsapp_texts(page, F.col("links")))))
     # phones are those of the first list, then the others once more
     own = lambda wanted: F.transform(F.filter("found", lambda c: c["whatsapp"] == wanted), lambda c: c.dropFields("whatsapp"))
     found = found.withColumn("whatsapp_found", phones.distinct_candidates(own(True)))

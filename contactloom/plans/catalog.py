@@ -468,6 +468,21 @@ def widget_numbers(spark, sf_dir):
     return rows.select("c_custkey", F.array_join(extract.widget_numbers(F.col("page")), ",").alias("numbers"))
 
 
+_OPEN_TAGS = f"""concat('<html><body><ul><li class="phone">Call ', {_MOBILE}, '<li>Order ', 90000000 + c_custkey, '<li class="Phone2">Fax ', {_FOREIGN}, '</ul><p class="contact">Write to <i>sales', c_custkey, '@shop.example.com<p>Order number ', 80000000 + c_custkey,
+  '<table><tr><td id="contact-cell">Desk ', c_custkey, '<td>Other<tr><td>Last</table><b class="email">Mail ', c_custkey, '<div>in</b> out</div><dl><dt id="whatsapp">Chat<dd>', c_custkey, '</dl><footer>Foot ', c_custkey, '<div>line</div><address>Street ', c_custkey, '</body></html>')"""
+
+
+@query(f"""SELECT c_custkey, place, tag, text FROM (SELECT c_custkey, unnest([
+  {{'place': 0, 'tag': 'li', 'text': concat('Call ', {_MOBILE})}}, {{'place': 1, 'tag': 'li', 'text': concat('Fax ', {_FOREIGN})}}, {{'place': 2, 'tag': 'p', 'text': concat('Write to sales', c_custkey, '@shop.example.com')}},
+  {{'place': 3, 'tag': 'td', 'text': concat('Desk ', c_custkey)}}, {{'place': 4, 'tag': 'b', 'text': concat('Mail ', c_custkey, '/in')}}, {{'place': 5, 'tag': 'dt', 'text': 'Chat'}},
+  {{'place': 6, 'tag': 'footer', 'text': concat('Foot ', c_custkey, '/line/Street ', c_custkey)}}, {{'place': 7, 'tag': 'address', 'text': concat('Street ', c_custkey)}}], recursive := true) FROM customer)""")
+def contact_sections(spark, sf_dir):
+    """The contact sections of pages whose tags stay open, with a slash for each line's end."""
+    pages = _customers(spark, sf_dir, f"{_OPEN_TAGS} AS html").withColumn("page", html.parsed(F.col("html"), F.lit("https://x.com/")))
+    sections = pages.select("c_custkey", "page", F.posexplode(F.filter("page.elements", extract.is_contact_section)).alias("place", "e"))
+    return sections.select("c_custkey", "place", "e.tag", F.replace(html.element_text(F.col("page"), F.col("e")), F.lit("\n"), F.lit("/")).alias("text"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
