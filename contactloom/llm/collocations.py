@@ -39,7 +39,7 @@ SCALE = 1_000_000
 UNKNOWN = "und"
 FEWEST_BITS, MOST_BITS = 16, 25
 #: Keys of one hash, and of the parts that it is built in.
-SHARD_KEYS, PART_KEYS = 8_000_000, 1 << 16
+SHARD_KEYS, PART_KEYS = 6_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
 FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
@@ -127,6 +127,7 @@ def _blocks(array: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]
     for k in range(0, len(array), BLOCK):
         some = array[k : k + BLOCK]
         if some.any():
+            some = some if array.dtype == np.uint8 else some.astype("<i8")
             yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([k // BLOCK]), pa.array([part]), pa.array([coder.compress(some.tobytes())], pa.binary())], ["kind", "block", "part", "counts"])
 
 
@@ -301,20 +302,28 @@ def _assembled(rows, parts: int) -> PerfectHash:
 
 
 class _Counter:
-    """Adds slots up in one array."""
+    """Adds slots up in one array, a block at a time: little more memory than the array itself."""
 
     def __init__(self, size: int):
-        self.total, self.held, self.n = np.zeros(size, np.int64), [], 0
+        # a task's counts; the tree sums them in 64 bits
+        self.total, self.held, self.n = np.zeros(size, np.uint32), [], 0
 
     def add(self, slots: np.ndarray) -> None:
         self.held.append(slots)
         self.n += len(slots)
-        if self.n > max(1 << 20, len(self.total) // 2):
+        if self.n > 1 << 20:
             self.flush()
 
     def flush(self) -> np.ndarray:
         if self.held:
-            self.total += np.bincount(np.concatenate(self.held), minlength=len(self.total))
+            slots = np.concatenate(self.held)
+            slots.sort()
+            edges = np.arange(0, len(self.total) + BLOCK, BLOCK)
+            at = np.searchsorted(slots, edges)
+            for begin, a, b in zip(edges.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                if b > a:
+                    own = self.total[begin : begin + BLOCK]
+                    own += np.bincount(slots[a:b] - begin, minlength=len(own)).astype(np.uint32)
         self.held, self.n = [], 0
         return self.total
 
@@ -329,7 +338,7 @@ def _counted(tables, bits: int, hashed):
             passing = _Passing(found, tables.value, bits)
             for size, at in passing.at.items():
                 slot = known.slots(getattr(passing, f"key{size}"), found.second(size, at))
-                counter.add(slot[slot >= 0])
+                counter.add(slot[slot >= 0].astype(np.int32))
         yield from _blocks(counter.flush(), 0, _part())
 
     return run
