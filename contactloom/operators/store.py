@@ -93,10 +93,10 @@ def _combined(batch: DataFrame, kind: str) -> DataFrame:
     return both.select("source_url", "n", "first", "earliest", F.struct(*(fields.get(f, F.col(f"first.lead.{f}")).alias(f) for f in LEAD_FIELDS)).cast(kind).alias("all"))
 
 
-def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str, top: int | None = None) -> DataFrame:
     """The store after a batch (both with ``seq``), with ``status``: kept, added, duplicate, replaced or merged.
 
-    Keys that a batch repeats are folded in its order by the same rule.
+    Keys that a batch repeats are folded in its order by the same rule. ``top``: the highest number so far, if ``current`` is a part of the store.
     """
     if on_duplicate not in ON_DUPLICATE:
         raise ValueError(f"on_duplicate is one of {ON_DUPLICATE}, not {on_duplicate!r}")
@@ -130,8 +130,11 @@ def upsert(current: DataFrame, incoming: DataFrame, on_duplicate: str, now: str)
     else:
         result = F.when(F.col("key").isNull(), F.col("old")).when(F.col("old").isNull(), alone).otherwise(onto)
     status = F.when(F.col("key").isNull(), "kept").when(F.col("old").isNull(), "added").otherwise({"reject": "duplicate", "replace": "replaced", "merge": "merged"}[on_duplicate])
-    top = current.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top"))  # one number
-    placed = both.crossJoin(F.broadcast(top)).select(result.alias("lead"), F.coalesce("old_seq", F.col("top") + F.col("first_seq")).alias("seq"), status.alias("status"))
+    if top is None:
+        both = both.crossJoin(F.broadcast(current.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top"))))  # one number
+    else:
+        both = both.withColumn("top", F.lit(top))
+    placed = both.select(result.alias("lead"), F.coalesce("old_seq", F.col("top") + 1 + F.col("first_seq")).alias("seq"), status.alias("status"))
     return placed.select("lead.*", "seq", "status")
 
 

@@ -89,11 +89,12 @@ def contact_urls(page: str, url: str, config: CrawlConfig, own: str | None = Non
     host = lambda u: (urlsplit(u).hostname or "").rstrip(".").removeprefix("www.")
     most = config.max_pages - 1 if config.strict_limit else max(config.max_pages - 1, 1)
     found: dict[str, None] = {}
-    for e in read_page(page, url)["elements"]:
+    read = read_page(page, url)
+    for e in read["elements"]:
         target = e["url"] if e["tag"] == "a" else None
         if not target or urlsplit(target).scheme not in ("http", "https") or host(target) != (host(url) if own is None else own):
             continue
-        shown = f"{urlsplit(target).path.lower()} {e['text'].lower()}"
+        shown = f"{urlsplit(target).path.lower()} {read['buffer'][e['start'] : e['end']].lower()}"
         plain = target.split("#")[0].split("?")[0]
         if any(t in shown for t in dims.CONTACT_TERMS) and plain != url:
             found[plain] = None

@@ -1,7 +1,7 @@
 """Incremental runs: new pages are captured and merged into the store, batch by batch.
 
-Each batch makes a new snapshot, named by its number: a batch that runs again after a failure
-writes the same one, so nothing is counted twice.
+Each batch makes a new version of a bucketed store, named by its number: a batch that runs again after a failure
+finds its version or makes it, so nothing is counted twice, and only the buckets that it touches are rewritten.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.operators import extract, store
-from contactloom.schemas import LEAD
+from contactloom.operators import extract
+from contactloom.operators.bucketed import BucketedStore
 
 PAGES = "page_id long, url string, html string"
 
@@ -19,15 +19,9 @@ def pages_stream(spark: SparkSession, folder: str, files_at_once: int = 100) ->
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_at_once).parquet(folder)
 
 
-def _snapshot(base: str, batch: int) -> str:
-    return f"{base}/snapshot={batch:012d}"
-
-
 def current(spark: SparkSession, base: str, batch: int) -> DataFrame:
     """The store before a batch."""
-    if batch == 0:
-        return spark.createDataFrame([], f"{LEAD}, seq long")
-    return spark.read.schema(f"{LEAD}, seq long").parquet(_snapshot(base, batch - 1))
+    return BucketedStore(spark, base).read(batch)
 
 
 def capture_stream(pages: DataFrame, base: str, checkpoint: str, *, captured_at: str, on_duplicate: str = "merge"):
@@ -38,12 +32,6 @@ def capture_stream(pages: DataFrame, base: str, checkpoint: str, *, captured_at:
         leads = extract.normalize_leads(extract.captured(rows, captured_at))
         leads = leads.where(extract.useful_values(leads) > 0)
         numbered = leads.withColumn("seq", F.monotonically_increasing_id())
-        merged = store.upsert(current(spark, base, number), numbered, on_duplicate, captured_at)
-        merged.drop("status").write.mode("overwrite").parquet(_snapshot(base, number))
+        BucketedStore(spark, base).upsert(numbered, on_duplicate, captured_at, version=number + 1)
 
     return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def kpis_of_events(events: DataFrame, watermark: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """Events a window and type, for a change feed; late rows within the watermark count."""
-    return events.withWatermark("ts", watermark).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
