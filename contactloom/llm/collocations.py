@@ -45,7 +45,7 @@ FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
-GIVEN_KEYS = 3_000_000
+GIVEN_KEYS = 2_000_000
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -135,27 +135,37 @@ _BLOCKS = "kind int, block long, part long, counts binary"
 _NO_BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
 
 
-def _tree_sum(blocks: DataFrame, dtype: str, most: int | None) -> DataFrame:
-    """(kind, block, part, counts) with one row a block: sums of at most ``FAN`` arrays, level by level; sums stop at ``most``."""
+def _compressed(total: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(total.tobytes())
+
 
-    def add(table: pa.Table) -> pa.Table:
-        import zstandard
+def _tree_sum(blocks: DataFrame, dtype: str, most: int | None, finish: Callable[[np.ndarray], bytes] = _compressed) -> DataFrame:
+    """(kind, block, part, counts) with one row a block: sums of at most ``FAN`` arrays, level by level; sums stop at ``most``, the last level's are ``finish``ed."""
 
-        total = None
-        for raw in table.column("counts"):
-            some = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py(), max_output_size=BLOCK * 8), dtype)
-            total = some.copy() if total is None else total + some
-            if most is not None:
-                total = np.minimum(total, most).astype(dtype)
-        one = table.slice(0, 1)
-        return pa.table([one.column("kind"), one.column("block"), one.column("part"), pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())], ["kind", "block", "part", "counts"])
+    def add(give: Callable[[np.ndarray], bytes]):
+        def run(table: pa.Table) -> pa.Table:
+            import zstandard
+
+            total = None
+            for raw in table.column("counts"):
+                some = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py(), max_output_size=BLOCK * 8), dtype)
+                total = some.copy() if total is None else total + some
+                if most is not None:
+                    total = np.minimum(total, most).astype(dtype)
+            one = table.slice(0, 1)
+            return pa.table([one.column("kind"), one.column("block"), one.column("part"), pa.array([give(total)], pa.binary())], ["kind", "block", "part", "counts"])
+
+        return run
 
     now = blocks
     parts = (now.agg(F.max("part")).first()[0] or 0) + 1
-    while parts > 1:
-        now = now.withColumn("part", F.expr(f"part div {FAN}")).groupBy("kind", "block", "part").applyInArrow(add, _BLOCKS)
+    while True:
         parts = -(-parts // FAN)
-    return now
+        now = now.withColumn("part", F.expr(f"part div {FAN}")).groupBy("kind", "block", "part").applyInArrow(add(_compressed if parts > 1 else finish), _BLOCKS)
+        if parts == 1:
+            return now
 
 
 def _put(totals: np.ndarray, block: int, counts: bytes) -> None:
@@ -212,19 +222,6 @@ def _buckets(sizes: list[int], bits: int, least: int):
     return run
 
 
-def _packed(least: int):
-    """The tree's last arrays as bits: which buckets reach the least count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        for batch in batches:
-            raw = [np.packbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py(), max_output_size=BLOCK * 8), np.uint8) >= least, bitorder="little").tobytes() for x in batch.column("counts")]
-            yield pa.record_batch([batch.column("kind"), batch.column("block"), pa.array(raw, pa.binary())], ["kind", "block", "bits"])
-
-    return run
-
-
 class _Passing:
     """Where phrases begin whose own bucket and those of all phrases within them pass."""
 
@@ -427,10 +424,11 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     totals = first.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     blocks = first.where("lang IS NULL").drop("lang", "n")
     tables = {size: np.zeros((1 << _bits(size, bits)) // 8, np.uint8) for size in sizes}
-    for row in _tree_sum(blocks, "u1", least).mapInArrow(_packed(least), "kind int, block long, bits binary").collect():
+    # which buckets reach the least count, as bits
+    for row in _tree_sum(blocks, "u1", least, lambda total: np.packbits(total >= least, bitorder="little").tobytes()).collect():
         # len(sizes) * 2 ** most_bits bits at the most, whatever the texts' size
         at = row["block"] * BLOCK // 8
-        some = np.frombuffer(bytes(row["bits"]), np.uint8)
+        some = np.frombuffer(bytes(row["counts"]), np.uint8)
         tables[row["kind"]][at : at + len(some)] = some
     passing = spark.sparkContext.broadcast(tables)
     # tasks give candidates once already: rows are dealt first and made distinct where no Python worker needs memory as well
