@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from contactloom.operators import extract, store
 from contactloom.schemas import FLAT_LEAD
 from contactloom.sources.seeds import SeedError, read_seeds
-from contactloom.sources.web import CrawlConfig, crawl
+from contactloom.sources.robots import RobotsTable
+from contactloom.sources.web import CrawlConfig, crawl, fetch
 
 
 def _positive(value: str) -> int:
@@ -88,8 +89,11 @@ def run(spark: SparkSession, args: argparse.Namespace, **options) -> int:
     # leads that replace others go to a folder of their own until all are there; the old ones stay as they are until then
     replaces = args.refresh or args.retry_errors
     out = f"{plan}/leads" if replaces else args.output
+    robots = RobotsTable(spark, f"{base}.robots")
     for k in range(rounds):
-        crawl(targets.where(F.col("round") == k), config, **options).write.parquet(f"{plan}/pages-{k:06d}")
+        own = targets.where(F.col("round") == k)
+        rules = robots.refresh(own, config, options.get("transport") or fetch) if config.obey_robots else None
+        crawl(own, config, rules=rules, **options).write.parquet(f"{plan}/pages-{k:06d}")
         pages = spark.read.parquet(f"{plan}/pages-{k:06d}")
         leads = extract.crawled(pages, as_of=args.date or datetime.date.today().isoformat(), source=args.source, default_country=args.default_country, order_col="page_no", url_col="page_url", host_col="host", website_col="seed_url", error_col="error")
         _csv(leads, out, "append")

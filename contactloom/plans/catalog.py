@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.functions import emails, folds, html, links, phones, urls
 from contactloom.functions.text import ascii_digits
 from contactloom.operators import export, extract, store, views
+from contactloom.operators.bucketed import BucketedStore
+from contactloom.sources import folders, robots
+from contactloom.streaming import feed
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -483,6 +487,74 @@ def contact_sections(spark, sf_dir):
     return sections.select("c_custkey", "place", "e.tag", F.replace(html.element_text(F.col("page"), F.col("e")), F.lit("\n"), F.lit("/")).alias("text"))
 
 
+_ROBOTS_TXT = "concat('# rules', chr(10), 'User-agent: other', chr(10), 'Disallow: /', chr(10), chr(10), 'User-agent: *', chr(10), CASE WHEN c_custkey % 3 = 0 THEN concat('Allow: /p', c_custkey, '/open', chr(10)) ELSE '' END, 'Disallow: /p', c_custkey, chr(10), CASE WHEN c_custkey % 2 = 0 THEN concat('Disallow: /q', chr(10)) ELSE '' END)"
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS n_rules, c_custkey % 3 = 0 AS open_page, false AS own_page, c_custkey % 2 <> 0 AS other_page, true AS start_page FROM customer")
+def robots_rules(spark, sf_dir):
+    """Whether the rules of a site's robots file allow four of its pages."""
+
+    @F.arrow_udf(robots.RULES)
+    def parsed(texts: pa.Array) -> pa.Array:
+        return pa.array([[{"path": p, "allow": a} for p, a in robots.parsed(x, "contactloom/1.0")] for x in texts.to_pylist()], pa.list_(pa.struct([("path", pa.string()), ("allow", pa.bool_())])))
+
+    sites = _customers(spark, sf_dir, f"{_ROBOTS_TXT} AS text").withColumn("rules", parsed("text"))
+    allows = lambda path: robots.allows(F.col("rules"), path)
+    own = F.concat(F.lit("/p"), "c_custkey")
+    return sites.select("c_custkey", F.size("rules").alias("n_rules"), allows(F.concat(own, F.lit("/open/x"))).alias("open_page"), allows(F.concat(own, F.lit("/x"))).alias("own_page"), allows(F.lit("/q?a=1")).alias("other_page"), allows(F.lit("/")).alias("start_page"))
+
+
+@query("""SELECT step, leads, phones, whatsapp, emails, social_links FROM (
+  SELECT 1 AS step, count(*) AS leads, CAST(sum(CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS phones, count(*) FILTER (c_custkey % 3 = 0) AS whatsapp, count(*) FILTER (c_custkey % 5 <> 0) AS emails, count(*) FILTER (c_custkey % 9 <> 8) AS social_links FROM customer
+  UNION ALL SELECT 2, count(*) + count(*) FILTER (c_custkey % 2 = 0), CAST(sum(CASE WHEN c_custkey % 2 = 0 THEN 4 ELSE 1 END) AS BIGINT), count(*) FILTER (c_custkey % 3 = 0) + count(*) FILTER (c_custkey % 6 = 0), count(*) FILTER (c_custkey % 5 <> 0) + count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 5 <> 0), count(*) FILTER (c_custkey % 9 <> 8) + count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 9 <> 8) FROM customer
+  UNION ALL SELECT 3, 2 * count(*) FILTER (c_custkey % 2 = 0), 4 * count(*) FILTER (c_custkey % 2 = 0), 2 * count(*) FILTER (c_custkey % 6 = 0), 2 * count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 5 <> 0), 2 * count(*) FILTER (c_custkey % 2 = 0 AND c_custkey % 9 <> 8) FROM customer)""")
+def store_change_counts(spark, sf_dir):
+    """The counts that the change feed of a bucketed store keeps up: of a first batch, after a merge, and after deletes."""
+    base = folders.shared(spark, "store")
+    kept = BucketedStore(spark, f"{base}/store", buckets=64)
+    all_leads = leads(spark, sf_dir)
+    found = []
+    for step, change in enumerate((lambda: kept.upsert(all_leads, "reject", DATE), lambda: kept.upsert(_second_batch(spark, sf_dir), "merge", DATE), lambda: kept.delete(all_leads.where("seq % 2 = 1").select("source_url"))), 1):
+        change()
+        feed.publish(kept, f"{base}/feed")
+        feed.counts(spark, f"{base}/feed", f"{base}/counts", f"{base}/checkpoint").awaitTermination()
+        found.append(feed.totals(spark, f"{base}/counts").select(F.lit(step).alias("step"), *feed.COUNTS))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def _stored(spark, sf_dir, rule: str) -> DataFrame:
+    """Every lead of a bucketed store after a second batch."""
+    kept = BucketedStore(spark, folders.shared(spark, "store"), buckets=64)
+    kept.upsert(leads(spark, sf_dir), "reject", DATE)
+    kept.upsert(_second_batch(spark, sf_dir), rule, DATE)
+    numbers = F.array_join(F.transform("phones", lambda p: F.concat_ws(" ", p["raw"], p["normalized"], F.coalesce(p["context"], F.lit("-")), p["source"])), ", ")
+    return kept.read().select("source_url", "id", "page_title", "captured_at", F.coalesce("last_updated_at", F.lit("-")).alias("updated"), numbers.alias("phones"), F.array_join("emails", ",").alias("emails"), F.array_join(F.transform("social_links", lambda s: F.concat_ws(" ", s["platform"], s["url"])), ",").alias("social"))
+
+
+def _stored_sql(id_: str, title: str, time: str, updated: str, phones_: str) -> str:
+    """The same of the rows in SQL; the arguments are of a lead that the second batch holds as well."""
+    first = "concat(mobile, ' ', own, ' call tel-link', CASE WHEN two THEN concat(', ', foreign_number, ' ', foreign_number, ' call visible-text') ELSE '' END)"
+    rest = "email AS emails, CASE WHEN network = '' THEN '' ELSE concat(network, ' ', profile) END AS social"
+    return f"""WITH s AS ({_STORED})
+      SELECT url AS source_url, CASE WHEN two THEN {id_} ELSE id END AS id, CASE WHEN two THEN {title} ELSE page_title END AS page_title, CASE WHEN two THEN {time} ELSE captured_at END AS captured_at, CASE WHEN two THEN {updated} ELSE '-' END AS updated, CASE WHEN two THEN {phones_.format(first=first)} ELSE {first} END AS phones, {rest} FROM s
+      UNION ALL SELECT concat(url, '#new'), concat('n', id), concat('New ', page_title), '2024-01-01T00:00:00Z', '-', '01099999999 +201099999999 new tel-link', {rest} FROM s WHERE two"""
+
+
+@query(_stored_sql("id", "page_title", "captured_at", "'-'", "{first}"))
+def store_rows_reject(spark, sf_dir):
+    return _stored(spark, sf_dir, "reject")
+
+
+@query(_stored_sql("id", "concat('New ', page_title)", "'2024-01-01T00:00:00Z'", "'-'", "'01099999999 +201099999999 new tel-link'"))
+def store_rows_replace(spark, sf_dir):
+    return _stored(spark, sf_dir, "replace")
+
+
+@query(_stored_sql("id", "concat('New ', page_title)", "'2024-01-01T00:00:00Z'", f"'{DATE}'", "concat({first}, ', 01099999999 +201099999999 new tel-link')"))
+def store_rows_merge(spark, sf_dir):
+    return _stored(spark, sf_dir, "merge")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
