@@ -37,7 +37,7 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 COVERS_PERCENT = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
-FEWEST_BITS, MOST_BITS = 16, 25
+FEWEST_BITS, MOST_BITS = 16, 26
 #: Keys of one hash, and of the parts that it is built in.
 SHARD_KEYS, PART_KEYS = 6_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
@@ -257,7 +257,9 @@ def _candidates(shared, bits: int):
                 given = once if len(given) > GIVEN_KEYS else np.concatenate([given, once])
                 given.sort(kind="stable")
                 langs = part.column("lang").take(pa.array(found.words.doc[at]))
-                yield pa.record_batch([langs, found.texts(size, at)], ["lang", "phrase"])
+                rows = pa.record_batch([langs, found.texts(size, at)], ["lang", "phrase"])
+                # neighbours that begin alike make the shuffle's blocks smaller
+                yield rows.sort_by([("lang", "ascending"), ("phrase", "ascending")])
 
     return run
 
