@@ -43,16 +43,22 @@ BLOCK_IDS = 1 << 19
 def places(total: int, documents: np.ndarray, sentences: np.ndarray, window: int = WINDOW, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Where a block of ``total`` ids may be cut, ascending, and what each cut costs; 0 and ``total`` are among them."""
     near_end = total - (1 << np.arange(max(1, (window - 1).bit_length())))
-    marks = np.unique(np.concatenate([[0, total], documents, sentences, near_end[near_end > 0]]))
-    gaps = np.diff(marks)
-    long = np.flatnonzero(gaps > grid)
-    extra = [np.arange(marks[k] + grid, marks[k + 1], grid) for k in long.tolist()]
-    at = np.unique(np.concatenate([marks, *extra])) if extra else marks
-    cost = np.full(len(at), WITHIN, np.int64)
-    cost[np.isin(at, sentences)] = SENTENCE
-    cost[np.isin(at, documents)] = 0
-    cost[[0, -1]] = 0
-    return at, cost
+    # what each place costs; a byte a place, and none where no cut may be
+    none = np.int8(-1)
+    mark = np.full(total + 1, none, np.int8)
+    mark[near_end[near_end > 0]] = WITHIN
+    mark[sentences] = SENTENCE
+    mark[documents] = 0
+    mark[[0, total]] = 0
+    at = np.flatnonzero(mark != none)
+    more = (np.diff(at) - 1) // grid
+    if more.any():
+        long = np.flatnonzero(more)
+        n = more[long]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + 1
+        mark[np.repeat(at[long], n) + grid * step] = WITHIN
+        at = np.flatnonzero(mark != none)
+    return at, mark[at].astype(np.int64)
 
 
 def cuts(at: np.ndarray, cost: np.ndarray, window: int = WINDOW) -> list[int]:

@@ -128,7 +128,7 @@ class Encoder:
         ends = split.offsets.to_numpy()
         named = split.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
         ends = ends - ends[0]
-        names = named.dictionary.to_pylist()
+        names = named.dictionary.to_numpy(zero_copy_only=False).tolist()  # strings of a whole column at a time
         new = [x for x in names if x not in self.words]
         if new:
             ids, sizes = self._encode_words(new)
