@@ -5,10 +5,10 @@ words, and their beginnings of ``STEMS`` bytes, in ``BUCKETS`` hash buckets. A d
 the noisy-or of its sentences, 1 - product of (1 - p), and the weights follow from the
 documents' labels alone:
 
-* a bucket counts if at least ``LEAST`` documents of label 1 hold it, ``LIFT`` times as often
+* a bucket counts if at least ``LEAST`` documents of label 1 hold it, one of ``LIFTS`` times as often
   as chance would have it, so that a model doesn't learn its training texts by heart;
 * a share ``DOUBT`` of the labels may be wrong, so that no label is explained at any price;
-* the shrinkage, and the probability from which on a document counts as toxic, are those of
+* the lift, the shrinkage, and the probability from which on a document counts as toxic, are those of
   the best F1 over folds within the training rows. Scores are shifted (as log odds) so that
   this probability becomes ``THRESHOLD``.
 
@@ -26,6 +26,7 @@ gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SAMPLE, ROW_BYTES = 4000, 1 << 14
 THRESHOLD = 0.5
 #: Bytes of a word's beginnings that are features besides the word.
 STEMS = (4, 5, 6, 7)
-LEAST, LIFT, DOUBT = 3, 1.5, 0.02
+LEAST, LIFTS, DOUBT = 3, (1.5, 3.0, 5.0), 0.02
 #: Shrinkages that are tried, over so many folds.
 SHRINK, INNER = (3e-5, 1e-4), 3
 #: How much F1 a lower threshold, which finds more, may cost.
@@ -133,14 +134,14 @@ class NoisyOr:
         return self
 
 
-def telling(of: np.ndarray, bucket: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def telling(of: np.ndarray, bucket: np.ndarray, label: np.ndarray, weight: np.ndarray, lift: float = LIFTS[0]) -> np.ndarray:
     """The buckets that count; (``of``, ``bucket``): the distinct buckets of documents. Documents of weight 0 take no part."""
     used = weight[of] > 0
     of, bucket = of[used], bucket[used]
     good = label[of] == 1
     seen = np.bincount(bucket, weight[of], minlength=BUCKETS)
     hits, weighed = np.bincount(bucket[good], minlength=BUCKETS), np.bincount(bucket[good], weight[of[good]], minlength=BUCKETS)
-    return (hits >= LEAST) & (weighed > LIFT * (weight * label).sum() / weight.sum() * (seen + 1))
+    return (hits >= LEAST) & (weighed > lift * (weight * label).sum() / weight.sum() * (seen + 1))
 
 
 def best_limit(label: np.ndarray, weight: np.ndarray, p: np.ndarray) -> tuple[float, float]:
@@ -159,8 +160,8 @@ def learnt(n: int, doc, row, bucket, label, weight) -> NoisyOr:
     pairs = np.unique(doc[row] * BUCKETS + bucket)
     of, found = pairs // BUCKETS, pairs % BUCKETS
 
-    def fitted(used: np.ndarray, shrink: float) -> tuple[NoisyOr, np.ndarray]:
-        kept = telling(of, found, label, used)[bucket]
+    def fitted(used: np.ndarray, lift: float, shrink: float) -> tuple[NoisyOr, np.ndarray]:
+        kept = telling(of, found, label, used, lift)[bucket]
         model = NoisyOr().fit(n, doc, row[kept], bucket[kept], label, used, shrink)
         return model, model.documents(n, doc, model.sentences(len(doc), row[kept], bucket[kept]))
 
@@ -169,16 +170,16 @@ def learnt(n: int, doc, row, bucket, label, weight) -> NoisyOr:
     for c in (0, 1):
         own = np.flatnonzero(label == c)
         fold[own] = np.arange(len(own)) % INNER
-    chosen = (-1.0, 0.5, SHRINK[-1])
-    for shrink in SHRINK:
+    chosen = (-1.0, 0.5, LIFTS[0], SHRINK[-1])
+    for lift, shrink in product(LIFTS, SHRINK):
         p = np.zeros(n)
         for k in range(INNER):
             out = fold == k
             if (label[~out] == 1).any() and (label[~out] == 0).any():
-                p[out] = fitted(np.where(out, 0.0, weight), shrink)[1][out]
+                p[out] = fitted(np.where(out, 0.0, weight), lift, shrink)[1][out]
         f1, limit = best_limit(label, weight, p)
-        chosen = max(chosen, (f1, limit, shrink))
-    model = fitted(weight, chosen[2])[0]
+        chosen = max(chosen, (f1, limit, lift, shrink))
+    model = fitted(weight, *chosen[2:])[0]
     model.limit = chosen[1]
     return model
 
