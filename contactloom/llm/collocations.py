@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.perfect_hash import PerfectHash, build, part_of
 from contactloom.llm.shared import materialized
-from contactloom.llm.textblocks import LOWER, Words, byte_class, mix, slices
+from contactloom.llm.textblocks import LOWER, Words, byte_class, mix, slices, text_bytes
 
 MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A longer phrase with this percentage of a phrase's count stands for it.
@@ -46,6 +46,8 @@ FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
 GIVEN_KEYS = 2_000_000
+#: Phrases that a task holds before it gives them, and bytes of text for each group in which they are made distinct.
+HELD_PHRASES, GROUP_BYTES = 1 << 18, 4 << 20
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -241,11 +243,27 @@ class _Passing:
             setattr(self, f"key{size}", key[some])
 
 
-def _candidates(shared, bits: int):
-    """(lang, phrase) of the candidates; a task gives few of them twice."""
+def _sorted_blobs(lang: str, phrases: pa.Array, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(group, lang, blob): each group's phrases, sorted, a line each, compressed."""
+    import pyarrow.compute as pc
+    import zstandard
+
+    coder = zstandard.ZstdCompressor(level=1)
+    order = pc.sort_indices(phrases).to_numpy()
+    order = order[np.argsort(group[order], kind="stable")]
+    group = group[order]
+    raw, offsets = text_bytes(pc.binary_join_element_wise(phrases.take(pa.array(order)), "", "\n"))
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    edges = offsets[np.append(first, len(group))].tolist()
+    blobs = [coder.compress(raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
+    yield pa.record_batch([pa.array(group[first]), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary())], ["group", "lang", "blob"])
+
+
+def _candidates(shared, bits: int, groups: int):
+    """The candidates, in blobs of each of a number of groups by their key; a task gives few of them twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = np.zeros(0, np.uint64)
+        given, held, n = np.zeros(0, np.uint64), {}, 0
         for part, found in _phrases(batches):
             passing = _Passing(found, shared.value, bits)
             for size, at in passing.at.items():
@@ -256,14 +274,34 @@ def _candidates(shared, bits: int):
                 at = at[first]
                 given = once if len(given) > GIVEN_KEYS else np.concatenate([given, once])
                 given.sort(kind="stable")
-                langs = part.column("lang").take(pa.array(found.words.doc[at]))
-                rows = pa.record_batch([langs, found.texts(size, at)], ["lang", "phrase"])
-                # neighbours that begin alike make the shuffle's blocks smaller
-                yield rows.sort_by([("lang", "ascending"), ("phrase", "ascending")])
+                named = part.column("lang").dictionary_encode()
+                code = found.lang_row[found.words.doc[at]]
+                for k, lang in enumerate(named.dictionary.to_pylist()):
+                    own = np.flatnonzero(code == k)
+                    if len(own):
+                        held.setdefault(lang, []).append((found.texts(size, at[own]), part_of(once[own], groups)))
+                        n += len(own)
+            if n >= HELD_PHRASES:
+                for lang, some in held.items():
+                    yield from _sorted_blobs(lang, pa.concat_arrays([x for x, _ in some]), np.concatenate([x for _, x in some]))
+                held, n = {}, 0
+        for lang, some in held.items():
+            yield from _sorted_blobs(lang, pa.concat_arrays([x for x, _ in some]), np.concatenate([x for _, x in some]))
 
     return run
 
 
+def _merged(table: pa.Table) -> pa.Table:
+    """The distinct phrases of a group's blobs, which are of one language."""
+    import zstandard
+
+    found: set[bytes] = set()
+    for raw in table.column("blob"):
+        found.update(zstandard.ZstdDecompressor().decompress(raw.as_py()).split(b"\n")[:-1])
+    phrases = pa.array(sorted(found), pa.binary()).cast(pa.string())
+    return pa.table([pa.array([table.column("lang")[0].as_py()] * len(phrases), pa.string()), phrases], ["lang", "phrase"])
+
+
 # --- counts ---
 
 
@@ -433,8 +471,9 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
         some = np.frombuffer(bytes(row["counts"]), np.uint8)
         tables[row["kind"]][at : at + len(some)] = some
     passing = spark.sparkContext.broadcast(tables)
-    # tasks give candidates once already: rows are dealt first and made distinct where no Python worker needs memory as well
-    candidates = materialized(texts.mapInArrow(_candidates(passing, bits), "lang string, phrase string").repartition("lang", "phrase").distinct(), "candidates")
+    # a group's candidates come from some GROUP_BYTES of text, however much there is
+    blobs = texts.mapInArrow(_candidates(passing, bits, max(16, n_bytes // GROUP_BYTES)), "group long, lang string, blob binary")
+    candidates = materialized(blobs.groupBy("group", "lang").applyInArrow(_merged, "lang string, phrase string"), "candidates")
     n = candidates.count()
     shards = max(1, -(-n // shard_keys))
     parts = max(1, -(-n // (shards * part_keys)))
