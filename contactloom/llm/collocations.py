@@ -41,7 +41,7 @@ FEWEST_BITS, MOST_BITS = 16, 26
 #: Keys of one hash, and of the parts that it is built in.
 SHARD_KEYS, PART_KEYS = 6_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
-FAN, BLOCK, SLICE = 16, 1 << 18, 1 << 20
+FAN, BLOCK, SLICE = 64, 1 << 18, 1 << 20
 #: Phrases of one group where several hashes are needed, and parts of a language when it is ranked.
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
@@ -121,39 +121,47 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 # --- arrays: sparse blocks, summed as a tree ---
 
 
-def _blocks(array: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of an array that hold anything, compressed."""
+def _coded(block: np.ndarray) -> bytes:
+    """Which slots hold anything, as bits, and what they hold; compressed."""
     import zstandard
 
-    coder = zstandard.ZstdCompressor(level=1)
+    held = block != 0
+    return zstandard.ZstdCompressor(level=1).compress(np.int32(len(block)).tobytes() + np.packbits(held).tobytes() + block[held].tobytes())
+
+
+def _decoded(raw: bytes, dtype: str) -> np.ndarray:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    held = np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), 4), count=n).view(bool)
+    block = np.zeros(n, dtype)
+    block[held] = np.frombuffer(raw, dtype, offset=4 + -(-n // 8))
+    return block
+
+
+def _blocks(array: np.ndarray, kind: int, part: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of an array that hold anything."""
     for k in range(0, len(array), BLOCK):
         some = array[k : k + BLOCK]
         if some.any():
             some = some if array.dtype == np.uint8 else some.astype("<i8")
-            yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([k // BLOCK]), pa.array([part]), pa.array([coder.compress(some.tobytes())], pa.binary())], ["kind", "block", "part", "counts"])
+            yield pa.record_batch([pa.array([kind], pa.int32()), pa.array([k // BLOCK]), pa.array([part]), pa.array([_coded(some)], pa.binary())], ["kind", "block", "part", "counts"])
 
 
 _BLOCKS = "kind int, block long, part long, counts binary"
 _NO_BLOCKS = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary())])
 
 
-def _compressed(total: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(total.tobytes())
-
-
-def _tree_sum(blocks: DataFrame, dtype: str, most: int | None, finish: Callable[[np.ndarray], bytes] = _compressed) -> DataFrame:
+def _tree_sum(blocks: DataFrame, dtype: str, most: int | None, finish: Callable[[np.ndarray], bytes] = _coded) -> DataFrame:
     """(kind, block, part, counts) with one row a block: sums of at most ``FAN`` arrays, level by level; sums stop at ``most``, the last level's are ``finish``ed."""
 
     def add(give: Callable[[np.ndarray], bytes]):
         def run(table: pa.Table) -> pa.Table:
-            import zstandard
-
             total = None
             for raw in table.column("counts"):
-                some = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_py(), max_output_size=BLOCK * 8), dtype)
-                total = some.copy() if total is None else total + some
+                some = _decoded(raw.as_py(), dtype)
+                total = some if total is None else total + some
                 if most is not None:
                     total = np.minimum(total, most).astype(dtype)
             one = table.slice(0, 1)
@@ -165,15 +173,13 @@ def _tree_sum(blocks: DataFrame, dtype: str, most: int | None, finish: Callable[
     parts = (now.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = -(-parts // FAN)
-        now = now.withColumn("part", F.expr(f"part div {FAN}")).groupBy("kind", "block", "part").applyInArrow(add(_compressed if parts > 1 else finish), _BLOCKS)
+        now = now.withColumn("part", F.expr(f"part div {FAN}")).groupBy("kind", "block", "part").applyInArrow(add(_coded if parts > 1 else finish), _BLOCKS)
         if parts == 1:
             return now
 
 
 def _put(totals: np.ndarray, block: int, counts: bytes) -> None:
-    import zstandard
-
-    some = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(counts), max_output_size=BLOCK * 8), totals.dtype)
+    some = _decoded(bytes(counts), totals.dtype)
     totals[block * BLOCK : block * BLOCK + len(some)] = some
 
 
