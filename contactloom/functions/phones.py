@@ -293,7 +293,7 @@ _ALL_CODES = dims.CALLING_CODES | dims.MORE_CALLING_CODES
 def valid_number(value: Column, region: str) -> Column:
     """(e164, region) of a number as written in a region, or null; ``region`` may be empty, for numbers with their country's code alone.
 
-    Approximate where a plan is known by its lengths alone; a number whose code is not in the tables is kept, with an empty region.
+    Approximate where a plan is known by its lengths alone; a number whose calling code is not assigned is none.
     """
     own = {v: k for k, v in _ALL_CODES.items()}.get(region, "")
     table = constants(_ALL_CODES)
@@ -321,7 +321,7 @@ def valid_number(value: Column, region: str) -> Column:
             least, most = (F.try_element_at(constants({k: x[j] for k, x in NATIONAL_LENGTHS.items()}), text_or_empty(c["iso"])) for j in (0, 1))
             fits = F.length(n).between(7, 15) & F.length(c["rest"]).between(F.coalesce(least, F.lit(0)), F.coalesce(most, F.lit(15)))
             fits = F.when(c["iso"] == "EG", c["rest"].rlike(f"^{_EGYPT_PLAN}$")).when(c["iso"] == "US", c["rest"].rlike(f"^{_NANP}$")).otherwise(fits)
-            return F.when(fits & n.rlike("^[1-9]"), F.struct(F.concat(F.lit("+"), n).alias("e164"), iso.alias("region")))
+            return F.when(fits & n.rlike("^[1-9]") & c["iso"].isNotNull(), F.struct(F.concat(F.lit("+"), n).alias("e164"), iso.alias("region")))
 
         return let(one, judged)
 

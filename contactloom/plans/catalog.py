@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from contactloom.functions import emails, folds, html, links, phones, urls
 from contactloom.functions.text import ascii_digits
-from contactloom.operators import export, extract, store, views
+from contactloom.operators import export, extract, lookup, serving, store, views
 from contactloom.operators.bucketed import BucketedStore
 from contactloom.sources import folders, robots
 from contactloom.streaming import feed
@@ -555,6 +555,48 @@ def store_rows_merge(spark, sf_dir):
     return _stored(spark, sf_dir, "merge")
 
 
+@query("SELECT c_custkey AS seq FROM customer WHERE contains(concat('shop ', c_custkey, ' ', c_nationkey, ' +2010', lpad(cast(c_custkey AS varchar), 8, '0')), '77') AND c_custkey % 9 = 0")
+def served_search(spark, sf_dir):
+    """``lead_search`` by posting lists."""
+    path = folders.shared(spark, "served")
+    serving.build(leads(spark, sf_dir), path)
+    return serving.Served(spark, path).search("77 INSTAGRAM.com/shop").select("seq")
+
+
+@query("SELECT c_custkey AS seq FROM customer ORDER BY concat('2025-0', 1 + c_custkey % 9, '-1', c_custkey % 10, 'T08:0', c_custkey % 7, ':00Z') DESC, c_custkey LIMIT 50 OFFSET 100")
+def served_page(spark, sf_dir):
+    """The third page, from the parts that hold it."""
+    path = folders.shared(spark, "served")
+    serving.build(leads(spark, sf_dir), path, part_rows=500)
+    return serving.Served(spark, path).page(50, 2).select("seq")
+
+
+_DIALLED = "CASE c_custkey % 7 WHEN 0 THEN concat('20', 1000000000 + c_custkey) WHEN 1 THEN concat('966', 500000000 + c_custkey) WHEN 2 THEN concat('999', 1000000 + c_custkey) WHEN 3 THEN concat('1416', 5550000 + c_custkey % 10000) WHEN 4 THEN concat('1202', 5550000 + c_custkey % 10000) WHEN 5 THEN concat('965', 100 + c_custkey % 900) ELSE concat('1876', 5550000 + c_custkey % 10000) END"
+
+
+@query("SELECT c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'EG' WHEN 1 THEN 'SA' WHEN 3 THEN 'CA' WHEN 4 THEN 'US' WHEN 5 THEN 'KW' WHEN 6 THEN 'JM' END AS region, c_custkey % 7 NOT IN (2, 5) AS valid FROM customer")
+def numbers_by_plan(spark, sf_dir):
+    """Region and validity of numbers, by the longest prefix in a table of plans."""
+    numbers = _customers(spark, sf_dir, f"{_DIALLED} AS digits")
+    return lookup.planned(numbers, "digits", lookup.plans(spark)).select("c_custkey", "region", "valid")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'instagram' WHEN 1 THEN 'facebook' WHEN 2 THEN 'facebook' WHEN 3 THEN 'twitter' WHEN 4 THEN 'linkedin' WHEN 5 THEN 'telegram' WHEN 6 THEN 'instagram' WHEN 7 THEN 'other' END AS platform FROM customer")
+def networks_by_domain(spark, sf_dir):
+    """The network of each link, by a table of domains."""
+    hosts = _customers(spark, sf_dir, f"{_SOCIAL} AS url").withColumn("host", urls.hostname(F.col("url")))
+    return lookup.by_suffix(hosts, "host", lookup.networks(spark)).select("c_custkey", F.col("owner.platform").alias("platform"))
+
+
+@query("SELECT c_custkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'any' END AS owner FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def hosts_by_domain(spark, sf_dir):
+    """The owner of each page's host, by the longest domain of a table that it lies in."""
+    domains = _table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").selectExpr("concat('shop', n_nationkey, '.example.com') AS domain", "n_name AS name")
+    other = domains.sparkSession.createDataFrame([("example.com", "any"), ("com", "wrong"), ("op1.example.com", "wrong")], "domain string, name string")
+    hosts = _customers(spark, sf_dir, f"{_URL} AS url").withColumn("host", urls.hostname(F.col("url")))
+    return lookup.by_suffix(hosts, "host", domains.unionByName(other)).select("c_custkey", F.col("owner.name").alias("owner"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
