@@ -32,7 +32,20 @@ def apply(df, name: str, column: str, to: str):
     return df.withColumn(to, RULES[name](F.col(column)))
 
 
+class _Elements:
+    """The elements of a page that rules ask about, a row each."""
+
+    def eval(self, page: str, url: str):
+        read = html.read_page(page, url)
+        for k, e in enumerate(read["elements"]):
+            yield k, e["tag"], dict(e["attributes"]), read["buffer"][e["start"] : e["end"]], e["url"]
+
+
+html_elements = F.udtf(_Elements, returnType="place int, tag string, attributes map<string,string>, text string, link string")
+
+
 def register(spark: SparkSession) -> list[str]:
-    """Registers the page reader as ``html_page(html, url)`` and gives the names of the rules for ``apply``."""
+    """Registers ``html_page(html, url)`` and the table function ``html_elements(html, url)``; gives their names and those of the rules for ``apply``."""
     spark.udf.register("html_page", html.parsed)
-    return ["html_page", *RULES]
+    spark.udtf.register("html_elements", html_elements)
+    return ["html_page", "html_elements", *RULES]
