@@ -15,8 +15,8 @@ connected component. The steps, none of which makes all pairs of a group:
    (set, size, position).
 4. *Answers of a list's pivot.* Each list's most shared set is its pivot, and all sets of
    the list are compared with it. The links found make first components.
-5. *Skipping.* A list falls into blocks by component, size and position. Pairs of blocks
-   are skipped as a whole if they are of one component, if their sizes differ too much, or
+5. *Skipping.* A list falls into blocks by component, size and position. Pairs of sizes, and then of
+   blocks, are skipped as a whole if they are of one component, if their sizes differ too much, or
    if what stands after their positions cannot reach the overlap. What remains gets its
    answers from the pivot's: with |x & p| and |y & p| known, |x & y| is at most the lesser
    of both plus the lesser of what x and y share outside p, which skips most pairs. Of those
@@ -45,6 +45,8 @@ from contactloom.llm.textblocks import NONSPACE, Words, mix, slices
 SHINGLE = 5
 #: Two sets are similar from so many hundredths of their union on.
 PERCENT = 80
+#: Blocks of a list by size, between one size and the largest that can be similar to it.
+FINE = 8
 
 
 def _sets(part: pa.RecordBatch, size: int) -> Iterator[np.ndarray]:
@@ -190,21 +192,25 @@ def links(texts: DataFrame, *, size: int = SHINGLE, percent: int = PERCENT) -> D
     seen = known.select(F.col("x").alias("pivot"), F.col("y").alias("sid"), "overlap", linked.alias("near"))
     entries = index.join(pivots.select("token", "pivot"), "token").where("sid <> pivot").join(seen, ["pivot", "sid"], "left")
     entries = entries.join(found.select(F.col("node").alias("sid"), "root"), "sid", "left").select("token", "sid", "n", "s", (F.col("n") - F.col("pos")).alias("rest"), "pivot", "overlap", F.coalesce("near", F.lit(False)).alias("near"), F.coalesce("root", "sid").alias("comp"))
-    entries = entries.withColumn("size_block", F.floor(F.log("n") / F.log(F.lit(100 / percent)))).withColumn("rest_block", F.floor(F.log2(F.col("rest") + 1)))
+    entries = entries.withColumn("fine", F.floor(F.log("n") / F.log(F.lit(100 / percent)) * FINE)).withColumn("rest_block", F.floor(F.log2(F.col("rest") + 1)))
     mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     entries = materialized(entries.join(mixed, "token", "left_semi"), "entries")
-    blocks = entries.groupBy("token", "comp", "size_block", "rest_block").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.min("n").alias("n"))
+    blocks = entries.groupBy("token", "comp", "fine", "rest_block").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.min("n").alias("n"))
     l, r = ({c: F.col(f"{side}.{c}") for c in entries.columns} for side in "lr")
 
     def reach(most: Column) -> Column:
         return (100 + percent) * most >= percent * (l["n"] + r["n"])
 
     possible = reach(1 + F.least(l["rest"], r["rest"])) & reach(F.least(l["s"], r["s"]))
-    kept = blocks.alias("l").join(blocks.alias("r"), (l["token"] == r["token"]) & (l["comp"] < r["comp"]) & (F.abs(l["size_block"] - r["size_block"]) <= 1) & possible)
-    kept = kept.select(l["token"].alias("token"), *(x[c].alias(f"{c}_{side}") for side, x in (("l", l), ("r", r)) for c in ("comp", "size_block", "rest_block")))
-    ours = entries.join(kept.withColumnsRenamed({f"{c}_l": c for c in ("comp", "size_block", "rest_block")}), ["token", "comp", "size_block", "rest_block"])
+    # first whole sizes of a list are skipped, a few dozen of them however many sets there are; then blocks meet by token and both sizes, keys that a join can split on
+    whole = blocks.groupBy("token", "fine").agg(F.max("rest").alias("rest"), F.max("s").alias("s"), F.min("n").alias("n"))
+    sizes = whole.alias("l").join(whole.alias("r"), (l["token"] == r["token"]) & (F.abs(l["fine"] - r["fine"]) <= FINE + 1) & possible).select(l["token"].alias("token"), l["fine"].alias("fine"), r["fine"].alias("fine_r"))
+    left, right = blocks.join(sizes, ["token", "fine"]).alias("l"), blocks.alias("r")
+    kept = left.join(right, (l["token"] == r["token"]) & (F.col("l.fine_r") == r["fine"]) & (l["comp"] < r["comp"]) & possible)
+    kept = kept.select(l["token"].alias("token"), *(x[c].alias(f"{c}_{side}") for side, x in (("l", l), ("r", r)) for c in ("comp", "fine", "rest_block")))
+    ours = entries.join(kept.withColumnsRenamed({f"{c}_l": c for c in ("comp", "fine", "rest_block")}), ["token", "comp", "fine", "rest_block"])
     through = F.coalesce(F.least(l["overlap"], r["overlap"]) + F.least(l["s"] - l["overlap"], r["s"] - r["overlap"]), l["s"])
-    meets = (l["token"] == r["token"]) & (F.col("l.comp_r") == r["comp"]) & (F.col("l.size_block_r") == r["size_block"]) & (F.col("l.rest_block_r") == r["rest_block"])
+    meets = (l["token"] == r["token"]) & (F.col("l.comp_r") == r["comp"]) & (F.col("l.fine_r") == r["fine"]) & (F.col("l.rest_block_r") == r["rest_block"])
     # of each pair, x is the one that is similar to the pivot, if one is: its answers then follow from the pivot's
     turned = F.when(l["near"], F.struct(l["sid"].alias("x"), r["sid"].alias("y"), r["overlap"].alias("o_y"))).otherwise(F.struct(r["sid"].alias("x"), l["sid"].alias("y"), l["overlap"].alias("o_y")))
     met_pairs = ours.alias("l").join(entries.alias("r"), meets & _sizes_fit(l["n"], r["n"], percent) & possible & reach(through)).select((l["near"] | r["near"]).alias("near"), l["pivot"].alias("pivot"), turned.alias("p")).select((F.col("near") & F.col("p.o_y").isNotNull()).alias("derived"), "pivot", "p.*")
