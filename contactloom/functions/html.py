@@ -33,6 +33,9 @@ _MARKS = ("data-", "aria-label", "role", "onclick", "id", "class")
 #: Elements whose texts rules read, by tag, role, or a name or value among their attributes. Theirs are whole; other kept elements have none.
 _READ_TAGS = {"a", "button", "address", "footer"}
 _READ = re.compile("contact|phone|mobile|number|email|whats|joinchat|wa\\.me|wa-number|data-settings", re.I)
+#: Tags, and words in ids and classes, of contact sections.
+SECTION_TAGS, SECTION_WORDS = ("address", "footer"), "(?i)contact|phone|email|whatsapp"
+_SECTION = re.compile(SECTION_WORDS)
 _DIGIT = re.compile(f"[0-9{EASTERN_DIGITS}]")
 
 # Fixed values of the HTML standard: how open elements end. Tags before which an open paragraph ends;
@@ -55,10 +58,11 @@ _TABLE_STARTS = {"td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"
 _STRING = T.StringType()
 SETTING = T.StructType().add("key", _STRING).add("value", _STRING)
 #: ``start`` and ``end``: an element's text in the page's ``buffer``, in characters; ``digits``: how many are in it.
-ELEMENT = T.StructType().add("tag", _STRING).add("attributes", T.MapType(_STRING, _STRING)).add("start", T.IntegerType()).add("end", T.IntegerType()).add("digits", T.IntegerType()).add("url", _STRING).add("settings", T.ArrayType(SETTING))
+#: ``within``: it is a contact section in another one, and its text is whole lines of that one's.
+ELEMENT = T.StructType().add("tag", _STRING).add("attributes", T.MapType(_STRING, _STRING)).add("start", T.IntegerType()).add("end", T.IntegerType()).add("digits", T.IntegerType()).add("within", T.BooleanType()).add("url", _STRING).add("settings", T.ArrayType(SETTING))
 PAGE = T.StructType().add("title", _STRING).add("text", _STRING).add("lines", _STRING).add("buffer", _STRING).add("elements", T.ArrayType(ELEMENT)).add("jsonld", T.ArrayType(_STRING))
 _SETTINGS = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
-_ELEMENT = pa.struct([("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("end", pa.int32()), ("digits", pa.int32()), ("url", pa.string()), ("settings", _SETTINGS)])
+_ELEMENT = pa.struct([("tag", pa.string()), ("attributes", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("end", pa.int32()), ("digits", pa.int32()), ("within", pa.bool_()), ("url", pa.string()), ("settings", _SETTINGS)])
 _ARROW = pa.struct([("title", pa.string()), ("text", pa.string()), ("lines", pa.string()), ("buffer", pa.string()), ("elements", pa.list_(_ELEMENT)), ("jsonld", pa.list_(pa.string()))])
 
 
@@ -202,7 +206,7 @@ class _Reader(HTMLParser):
         if tag in _TAGS or any(k.startswith(_MARKS[0]) or k in _MARKS[1:] for k in found):
             url = canonical(self.base, found["href"]) if found.get("href") else None
             settings = [settings_of(found[k]) for k in SETTINGS_ATTRIBUTES if found.get(k)]
-            element = {"tag": tag, "attributes": list(found.items()), "start": self.at, "end": self.at, "digits": 0, "url": url, "settings": sum(filter(None, settings), []) if any(x is not None for x in settings) else None}
+            element = {"tag": tag, "attributes": list(found.items()), "start": self.at, "end": self.at, "digits": 0, "within": False, "url": url, "settings": sum(filter(None, settings), []) if any(x is not None for x in settings) else None}
             self.elements.append(element)
             if tag in _READ_TAGS or any(_READ.search(x) or (k, x.lower()) == ("role", "button") for k, v in found.items() for x in (k, v)):
                 self.spans.append(element)
@@ -220,14 +224,14 @@ class _Reader(HTMLParser):
         k, wall = self._last(tag), self._top("wall")
         if self._foreign() and tag not in ("svg", "math"):
             self._end_within(k, self._last("svg", "math") + 1)
+        elif tag in _HEADINGS:
+            self._end_within(self._last(*_HEADINGS), wall)
         elif tag in ("html", "body") or k < 0:
             pass
         elif tag == "p":
             self._end_within(k, max(wall, self._last(*_P_WALLS)))
         elif tag == "li":
             self._end_within(k, max(wall, self._top("list")))
-        elif tag in _HEADINGS:
-            self._end_within(self._last(*_HEADINGS), wall)
         elif tag in _FORMATTING:
             self._end_formatting(tag)
         elif tag == "table":
@@ -270,11 +274,29 @@ class _Reader(HTMLParser):
                 element["digits"] = bisect_left(digits, element["end"]) - bisect_left(digits, element["start"])
             else:
                 element["end"] = element["start"]
+        self._nested(buffer)
         whole = "".join(self.words)
         lines = "\n".join(x for x in (" ".join(y.split()) for y in whole.split("\n")) if x)
         return {"title": " ".join("".join(self.title).split()), "text": " ".join(whole.split()), "lines": lines, "buffer": buffer, "elements": self.elements, "jsonld": self.jsonld}
 
 
+    def _nested(self, buffer: str) -> None:
+        """Marks the sections whose lines an enclosing one has as well."""
+        ends = lambda k: k == len(buffer) or buffer[k] == "\n"
+        around: list[dict] = []
+        for e in self.elements:
+            found = dict(e["attributes"])
+            if e["tag"] not in SECTION_TAGS and not _SECTION.search(f"{found.get('id', '')} {found.get('class', '')}"):
+                continue
+            while around and not around[-1]["start"] <= e["start"] <= e["end"] <= around[-1]["end"]:
+                around.pop()
+            begins = e["start"] == 0 or buffer[e["start"] - 1] == "\n"
+            if around and begins and ends(e["end"]):
+                e["within"] = True
+            else:
+                around.append(e)
+
+
 def element_text(page: Column, element: Column) -> Column:
     """An element's text, cut out of its page's buffer where a rule reads it."""
     return F.substring(page["buffer"], element["start"] + 1, element["end"] - element["start"])

@@ -26,7 +26,7 @@ def attribute(element: Column, name: str) -> Column:
 
 
 def is_contact_section(e: Column) -> Column:
-    return e["tag"].isin("address", "footer") | F.concat_ws(" ", attribute(e, "id"), attribute(e, "class")).rlike("(?i)contact|phone|email|whatsapp")
+    return e["tag"].isin(*html.SECTION_TAGS) | F.concat_ws(" ", attribute(e, "id"), attribute(e, "class")).rlike(html.SECTION_WORDS)
 
 
 def _descriptor(e: Column) -> Column:
@@ -88,7 +88,8 @@ def _phone_texts(page: Column) -> Column:
         F.array(_searched(page["lines"], "visible-text")),
         F.flatten(each(is_link, of_link)),
         each(lambda e: is_button(e) & many(e), lambda e: _searched(None, "button-text", element=e)),
-        each(lambda e: is_contact_section(e) & many(e), lambda e: _searched(None, "visible-text", element=e)),
+        # a number and its context lie in one line, so lines that an enclosing section has give nothing new
+        each(lambda e: is_contact_section(e) & ~e["within"] & many(e), lambda e: _searched(None, "visible-text", element=e)),
         each(is_relevant_meta, lambda e: _searched(attribute(e, "content"), "meta-tag", before=_descriptor(e))),
     )
 
@@ -172,7 +173,14 @@ def page_emails(page: Column) -> Column:
     elements = page["elements"]
     each = lambda rule, one: F.transform(F.filter(elements, rule), one)
     shown_text = lambda e: html.element_text(page, e)
-    shown = F.concat(F.array(page["lines"]), each(is_link, shown_text), each(is_button, shown_text), each(is_contact_section, shown_text), each(is_relevant_meta, lambda e: attribute(e, "content")))
+    # no element's text is cut on a page that holds no address, however it may be written
+    low = F.lower(page["buffer"])
+    spelt = F.contains(low, F.lit("dot")) & F.contains(low, F.lit("at"))
+    some = F.contains(low, F.lit("@")) | spelt
+    # only an address in words may go over several lines
+    sections = lambda e: is_contact_section(e) & (~e["within"] | spelt)
+    parts = F.when(some, F.concat(each(is_link, shown_text), each(is_button, shown_text), each(sections, shown_text))).otherwise(F.array().cast("array<string>"))
+    shown = F.concat(F.array(page["lines"]), parts, each(is_relevant_meta, lambda e: attribute(e, "content")))
     return emails.captured_emails(F.concat(shown, emails.mailto_texts(each(is_link, lambda e: attribute(e, "href"))), F.transform(elements, lambda e: attribute(e, "data-email"))))
 
 

@@ -29,7 +29,7 @@ def sections(markup):
         ("<div class=contact><table><tr><td class=phone>1</div>2</table>3</div>4", [("div", "1\n2\n3"), ("td", "1\n2")]),
         ("<b class=contact>1<p class=phone>2</b>3</p>4", [("b", "1\n2"), ("p", "2 3")]),
         ("<a href=x>1<a href=y>2</a>3", [("a", "1"), ("a", "2")]),
-        ("<h1 class=contact>1<h2 class=phone>2</h1>3", [("h1", "1"), ("h2", "2\n3")]), ("<h2 class=phone>2</h1>3", [("h2", "2")]),
+        ("<h1 class=contact>1<h2 class=phone>2</h1>3", [("h1", "1"), ("h2", "2")]), ("<h2 class=phone>2</h1>3", [("h2", "2")]),
         ("<select><option class=phone>1<option class=email>2</select>3", [("option", "1"), ("option", "2")]),
         ("<footer>1</section></p></b>2</footer>3", [("footer", "1\n2")]),
         ("<div class=contact/>1<br/>2</div>3", [("div", "1\n2")]),
