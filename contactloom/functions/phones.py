@@ -333,6 +333,8 @@ def valid_number(value: Column, region: str) -> Column:
 _EDGE = r"[A-Za-z\x{C0}-\x{24F}0-9%$€£¥]"
 IN_TEXT = rf"(?:(?<!{_EDGE})|(?=\+))(?>(?:\+{_BETWEEN}*)?[0-9](?:[/+]?{_BETWEEN}*[/+]?[0-9]){{6,60}})(?!{_EDGE})"
 _APART = r"(?=\+)|/|\.[ \t\x{A0}]+|[ \t\x{A0}]+-[ \t\x{A0}]+|[ \t\x{A0}]{2,}"
+#: A number with a plus sign, up to the first later word of eight digits or more, and up to its last word.
+_LED = [r"^(\+.*?)[ \t\x{A0}]+(?=(?:[^0-9 \t\x{A0}]*[0-9]){8})", r"^(\+.*[^ \t\x{A0}])[ \t\x{A0}]"]
 
 
 #: Countries whose own numbers begin with a 0 wherever they are written without their country's code.
@@ -351,6 +353,6 @@ def numbers_in(text: Column, region: str) -> Column:
     long = lambda v: F.regexp_count(v, F.lit("[0-9]")) >= 7
     parted = lambda v, at: F.filter(F.split(v, at, -1), lambda x: long(x) & (x != v))
     pieces = lambda v: let(parted(v, _APART), lambda ps: F.when(F.size(ps) > 0, ps).otherwise(F.array(v)))
-    groups = lambda v: F.concat(F.array(F.array(v)), F.transform(pieces(v), lambda p: F.concat(F.array(p), parted(p, r"[ \t\x{A0}]+"))))
+    groups = lambda v: F.concat(F.array(F.array(v)), F.transform(pieces(v), lambda p: F.concat(F.array(p), F.filter(F.array(*(F.regexp_extract(p, x, 1) for x in _LED)), long), parted(p, r"[ \t\x{A0}]+"))))
     each = F.transform(F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0)), groups)
     return F.transform(each, lambda gs: F.transform(gs, lambda g: F.transform(g, lambda x: F.when(x.rlike(bare) | looks_like_date(x), "").otherwise(x))))

@@ -34,3 +34,10 @@ def test_title_as_it_is_written(spark, tmp_path):
     found = {r["page_id"]: r["title"] for r in catalog.page_title(spark, str(tmp_path)).collect()}
     assert found == {0: "a & b &quot;c", 1: "cut &amp", 2: "x  y\nz", 3: "T&uuml;r", 9: "", 10: ""}
     assert html.read_page(pages[3][2], "https://a.com/")["title"].startswith("T\u00fcr")
+
+
+def test_number_before_one_without_a_sign(spark):
+    texts = ["Call +1 (683) 555-5442 55.95.145.182 now", "+1 (689) 555-1019 4472194062177086 12", "+1 (689) 555-1019"]
+    pages = spark.createDataFrame([(k, f"https://h{k}.example.com/", f"<p>{t}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
+    found = {r["name"]: r["phone"] for r in extract.crawled(pages, as_of="2026-01-01").collect()}
+    assert found == {"h0.example.com": "+16835555442", "h1.example.com": "+16895551019", "h2.example.com": "+16895551019"}
