@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,9 +39,15 @@ def revealed(text: Column) -> Column:
     return F.when(F.contains(low, F.lit("dot")) & F.contains(low, F.lit("at")), F.regexp_replace(text, _SPELT, "$1@$2.$3")).otherwise(text)
 
 
-def _split(value: Column) -> tuple[Column, Column]:
-    """What stands before and after the last @."""
-    return F.regexp_extract(value, "(?s)^(.*)@([^@]*)$", 1), F.regexp_extract(value, "(?s)^(.*)@([^@]*)$", 2)
+def _split(value: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then(local, domain)``: what stands before and after the last @."""
+    domain = F.when(F.contains(value, F.lit("@")), F.substring_index(value, "@", -1)).otherwise("")
+    local = lambda d: F.left(value, F.greatest(F.length(value) - F.length(d) - 1, F.lit(0)))
+    return F.when(value.isNotNull(), let(domain, lambda d: let(F.when(F.contains(value, F.lit("@")), local(d)).otherwise(""), lambda x: then(x, d))))
+
+
+def _badly_dotted(value: Column, local: Column) -> Column:
+    return F.contains(value, F.lit("..")) | F.contains(local, F.lit(".")) & local.rlike(r"^\.|\.$")
 
 
 def extracted_email(value: Column) -> Column:
@@ -47,9 +55,8 @@ def extracted_email(value: Column) -> Column:
     bare = F.regexp_replace(utrim(value), r"^[<(\"'\[]+|[>)\"',.;:\]]+$", "")
 
     def checked(v: Column) -> Column:
-        local, domain = _split(v)
-        bad = (local == "") | (F.length(v) > 254) | (F.length(local) > 64) | v.rlike(r"\.\.") | local.rlike(r"^\.|\.$")
-        return F.when(bad, F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain)))
+        bad = lambda local: (local == "") | (F.length(v) > 254) | (F.length(local) > 64) | _badly_dotted(v, local)
+        return _split(v, lambda local, domain: F.when(bad(local), F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain))))
 
     return let(bare, checked)
 
@@ -86,9 +93,8 @@ def normalized_email(value: Column) -> Column:
     """A stored address: trimmed, domain in lower case and with a dot; else empty."""
 
     def checked(v: Column) -> Column:
-        local, domain = _split(v)
-        bad = (local == "") | ~F.contains(domain, F.lit(".")) | v.rlike(r"\.\.") | local.rlike(r"^\.|\.$")
-        return F.when(bad, F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain)))
+        bad = lambda local, domain: (local == "") | ~F.contains(domain, F.lit(".")) | _badly_dotted(v, local)
+        return _split(v, lambda local, domain: F.when(bad(local, domain), F.lit("")).otherwise(F.concat(local, F.lit("@"), F.lower(domain))))
 
     return let(utrim(value), checked)
 

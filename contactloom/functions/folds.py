@@ -28,12 +28,12 @@ def fold_by(values: Column, key: Callable[[Column], Column], step: Callable[[Col
     def of_sorted(s: Column) -> Column:
         begins = F.filter(F.transform(s, lambda _, k: k), lambda k: (k == 0) | (s[k]["k"] != s[F.greatest(k - 1, F.lit(0))]["k"]))
         runs = let(begins, lambda b: F.transform(b, lambda k, j: folded(F.slice(s, k + 1, F.coalesce(F.get(b, j + 1), F.size(s)) - k))))
-        return F.transform(F.array_sort(runs), lambda x: x["v"])
+        return F.transform(F.sort_array(runs), lambda x: x["v"])
 
     def of(own: Column) -> Column:
         keyed = F.transform(own, lambda x, k: F.struct(F.coalesce(key(x), F.lit("")).alias("k"), k.alias("at"), x.alias("v")))
         # most lists have no two elements
-        return F.when(F.size(own) <= 1, own).otherwise(let(F.array_sort(keyed), of_sorted))
+        return F.when(F.size(own) <= 1, own).otherwise(let(F.sort_array(keyed), of_sorted))
 
     return let(values, of)
 

@@ -88,9 +88,18 @@ def _is_empty(p: Column, kind: Column, path: Column) -> Column:
     return (kind != "") & F.when((kind == "whatsapp") & asks, empty | ~phones.recipient_of(p)).otherwise(empty)
 
 
+def _seen(p: Column) -> Column:
+    """What the rules for links ask of one."""
+    return F.struct(p["hostname"].alias("host"), F.lower(p["path"]).alias("path"), _platform(p).alias("platform"), urls.key_of(p).alias("key"), urls.is_web(p).alias("web"))
+
+
+def _left_out(p: Column, k: Column, page_key: Column) -> Column:
+    kind = text_or_empty(k["platform"])
+    return ~(k["web"] | (p["scheme"] == "whatsapp")) | (k["key"] != "") & (k["key"] == page_key) | _is_redirect(p, k["host"], k["path"]) | _is_login(p, k["path"]) | _is_share(kind, k["path"]) | _is_empty(p, kind, k["path"])
+
+
 def _excluded(p: Column, page_key: Column) -> Column:
-    seen = F.struct(p["hostname"].alias("host"), F.lower(p["path"]).alias("path"), text_or_empty(_platform(p)).alias("kind"), urls.key_of(p).alias("key"))
-    return let(seen, lambda k: ~(urls.is_web(p) | (p["scheme"] == "whatsapp")) | (k["key"] != "") & (k["key"] == page_key) | _is_redirect(p, k["host"], k["path"]) | _is_login(p, k["path"]) | _is_share(k["kind"], k["path"]) | _is_empty(p, k["kind"], k["path"]))
+    return let(_seen(p), lambda k: _left_out(p, k, page_key))
 
 
 def is_excluded(url: Column, page: Column) -> Column:
@@ -102,16 +111,15 @@ def judged(anchors: Column, page: Column) -> Column:
     """Anchors (url, href, text, described, context) with their platform, whether they are left out, and how they are shown and told apart."""
 
     def of(a: Column, key: Column) -> Column:
-        def seen(p: Column) -> Column:
-            web = urls.is_web(p)
+        def shown(p: Column, k: Column) -> Column:
             return F.struct(
                 a["context"].alias("context"),
-                a["href"].alias("href"), a["text"].alias("text"), _platform(p).alias("platform"), p["hostname"].alias("hostname"),
-                (_excluded(p, key) | (text_or_empty(a["url"]) == "")).alias("excluded"), is_share_control(a["described"]).alias("shares"), web.alias("web"),
-                F.when(web, urls.http_of(p)).otherwise(a["url"]).alias("url"), F.when(web, urls.key_of(p)).otherwise(a["url"]).alias("key"),
+                a["href"].alias("href"), a["text"].alias("text"), k["platform"].alias("platform"), p["hostname"].alias("hostname"),
+                (_left_out(p, k, key) | (text_or_empty(a["url"]) == "")).alias("excluded"), is_share_control(a["described"]).alias("shares"), k["web"].alias("web"),
+                F.when(k["web"], urls.http_of(p)).otherwise(a["url"]).alias("url"), F.when(k["web"], k["key"]).otherwise(a["url"]).alias("key"),
             )
 
-        return urls.with_parts(a["url"], seen)
+        return urls.with_parts(a["url"], lambda p: let(_seen(p), lambda k: shown(p, k)))
 
     return let(urls.comparable_url(page), lambda key: F.transform(anchors, lambda a: of(a, key)))
 

@@ -204,7 +204,7 @@ def number_identity(phone: Column) -> Column:
 def normalized_phones(values: Column) -> Column:
     """Stored phones (raw, normalized, context, source) of candidates, one a number; empty context and source are null."""
     context = lambda c: F.left(collapse_blanks(text_or_empty(c["context"])), F.lit(STORED_CONTEXT))
-    each = F.transform(values, lambda c: F.struct(utrim(text_or_empty(c["raw"])).alias("raw"), normalized_number(c["raw"], c["source"]).alias("normalized"), F.nullif(context(c), F.lit("")).alias("context"), F.nullif(utrim(text_or_empty(c["source"])), F.lit("")).alias("source")))
+    each = F.transform(values, lambda c: F.struct(utrim(text_or_empty(c["raw"])).alias("raw"), normalized_number(c["raw"], c["source"]).alias("normalized"), let(context(c), lambda x: F.nullif(x, F.lit(""))).alias("context"), let(utrim(text_or_empty(c["source"])), lambda x: F.nullif(x, F.lit(""))).alias("source")))
     return fold_by(F.filter(each, lambda p: p["normalized"] != ""), lambda p: p["normalized"], stronger_or_fuller)
 
 

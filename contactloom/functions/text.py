@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Blanks, as one class of a pattern, and the ends of whole ASCII words.
 BLANK = r"[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+#: What Unicode calls white space, one by one.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 WORD_STARTS, WORD_ENDS = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
 EASTERN_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
@@ -23,7 +25,8 @@ def text_or_empty(value: Column) -> Column:
 
 
 def utrim(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    # each end is held against every sign of the list, of which ASCII texts need but six
+    return let(value, lambda v: F.when(F.octet_length(v) == F.length(v), F.btrim(v, F.lit(WHITE_SPACE[:6]))).otherwise(F.btrim(v, F.lit(WHITE_SPACE + "\ufeff"))))
 
 
 def constants(pairs: dict[str, str | int]) -> Column:
@@ -38,12 +41,13 @@ def first_fields(text: Column, cut: str) -> Column:
 
 
 def collapse_blanks(value: Column) -> Column:
-    return utrim(F.regexp_replace(value, r"(?U)\s+", " "))
+    # single blanks stay as they are
+    return utrim(F.regexp_replace(value, f"(?:[{WHITE_SPACE.replace(' ', '')}]| (?=[{WHITE_SPACE}]))[{WHITE_SPACE}]*", " "))
 
 
 def ascii_digits(value: Column) -> Column:
-    """Arabic-Indic and Persian digits as 0 to 9."""
-    return F.translate(value, EASTERN_DIGITS, "0123456789" * 2)
+    """Arabic-Indic and Persian digits as 0 to 9; an ASCII text is not looked through."""
+    return let(value, lambda v: F.when(F.octet_length(v) == F.length(v), v).otherwise(F.translate(v, EASTERN_DIGITS, "0123456789" * 2)))
 
 
 def digits(value: Column) -> Column:
@@ -60,7 +64,7 @@ def first_nonempty(*values: Column) -> Column:
 
 def percent_decoded(value: Column) -> Column:
     """Percent-decoding that keeps plus signs, and malformed text as it is."""
-    return F.coalesce(F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B"))), value)
+    return let(value, lambda v: F.when(F.contains(v, F.lit("%")), F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)).otherwise(v))
 
 
 def nonempty_distinct(values: Column) -> Column:

@@ -21,10 +21,13 @@ def with_parts(url: Column, then: Callable[[Column], Column]) -> Column:
     """``then(parts)``: scheme, authority, path and query of a URL, its host name and port, taken apart once."""
 
     def of_split(s: Column) -> Column:
-        bare = F.regexp_replace(s[1], "^.*@", "")
+        # most authorities are a host alone
+        has = lambda sign: F.contains(s[1], F.lit(sign))
+        bare = F.when(has("@"), F.regexp_replace(s[1], "^.*@", "")).otherwise(s[1])
+        name = F.when(has("["), F.when(bare.rlike(r"^\[[^\]]*$"), "").otherwise(F.lower(F.regexp_replace(bare, ":[0-9]*$", "")))).when(has(":"), F.lower(F.regexp_replace(bare, ":[0-9]*$", ""))).otherwise(F.lower(bare))
         return F.struct(
             F.lower(s[0]).alias("scheme"), s[1].alias("authority"), s[2].alias("path"), s[3].alias("query"),
-            F.when(bare.rlike(r"^\[[^\]]*$"), "").otherwise(F.lower(F.regexp_replace(bare, ":[0-9]*$", ""))).alias("hostname"), F.regexp_extract(bare, r":([^\]:]*)$", 1).alias("port"),
+            name.alias("hostname"), F.when(has(":"), F.regexp_extract(bare, r":([^\]:]*)$", 1)).otherwise("").alias("port"),
         )
 
     cut = F.split(F.regexp_replace(F.replace(text_or_empty(url), F.lit(_CUT), F.lit("")), _SPLIT, _CUT.join(("$1", "$2", "$3", "$4"))), _CUT, -1)
@@ -130,7 +133,7 @@ def normalized_urls(urls: Column) -> Column:
 
 
 def key_of(p: Column) -> Column:
-    by_name = F.transform(F.array_sort(F.transform(_kept(p), lambda x, k: F.struct(F.substring_index(x, "=", 1), k, x.alias("x")))), lambda y: y["x"])
+    by_name = F.transform(F.sort_array(F.transform(_kept(p), lambda x, k: F.struct(F.substring_index(x, "=", 1), k, x.alias("x")))), lambda y: y["x"])
     path = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/+$", "")).otherwise("/")
     return _shown(p, path, by_name)
 

@@ -78,10 +78,9 @@ def _phone_texts(page: Column) -> Column:
     many = lambda e: e["digits"] >= phones.FEWEST_DIGITS
 
     def of_link(e: Column) -> Column:
-        href = utrim(attribute(e, "href"))
-        tel = F.when(href.rlike("(?i)^tel:"), F.array(_searched(F.substr(href, F.lit(5)), "tel-link", explicit=True, context=element_context(e, html.element_text(page, e)))))
         shown = F.filter(F.array(_searched(None, "anchor-text", element=e)), lambda _: many(e))
-        return F.coalesce(F.concat(tel, shown), shown)
+        tel = lambda href: F.array(_searched(F.substr(href, F.lit(5)), "tel-link", explicit=True, context=element_context(e, html.element_text(page, e))))
+        return let(utrim(attribute(e, "href")), lambda href: F.when(href.rlike("(?i)^tel:"), F.concat(tel(href), shown)).otherwise(shown))
 
     each = lambda rule, one: F.transform(F.filter(elements, rule), one)
     return F.concat(
@@ -293,7 +292,7 @@ def crawled(pages: DataFrame, *, as_of: str, source: str = "google dorks", defau
     )
     exploded = each.select("_host", "_seq", "_url", F.explode(every).alias("v")).select("_host", "_seq", "_url", "v.*")
     first = exploded.groupBy("_host", "kind", "value", "key").agg(F.min(F.struct("part", "_seq", "_url", "at", "more")).alias("first"))
-    hosts = first.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct("kind", "first", "value"))).alias("p"))
+    hosts = first.groupBy("_host").agg(F.sort_array(F.collect_list(F.struct("kind", "first", "value"))).alias("p"))
     own = lambda kind: F.filter("p", lambda x: x["kind"] == kind)
     values = lambda kind: F.transform(own(kind), lambda x: x["value"])
     lists = hosts.select(

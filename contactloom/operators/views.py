@@ -38,6 +38,12 @@ def search_text() -> Column:
 
 
 def search(leads: DataFrame, terms: str) -> DataFrame:
-    """Leads that hold every term somewhere; no terms: all leads."""
+    """Leads that hold every term somewhere; no terms: all leads.
+
+    A lead's text comes out of a generator: it is made once, whatever the terms, and no filter on it is written into the rules that the lead comes from.
+    """
     words = [F.lit(w) for w in terms.lower().split()]
-    return leads.where(F.forall(F.array(*words), lambda t: F.contains(search_text(), t))) if words else leads
+    if not words:
+        return leads
+    shown = leads.select("*", F.explode(F.array(search_text())).alias("_shown"))
+    return shown.where(F.forall(F.array(*words), lambda t: F.contains("_shown", t))).drop("_shown")
