@@ -15,35 +15,80 @@ be read counts as the oldest, as in ``views``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.operators import views
 from contactloom.schemas import LEAD, LEAD_FIELDS
+from contactloom.sources import folders
 
 PART_ROWS = 100_000
 #: Trigrams of a search that are looked up.
 LOOKED_UP = 8
 _KEPT = f"{LEAD}, seq long, ms long"
+#: Characters of a part's texts whose trigrams are listed at once.
+LISTED = 1 << 19
+_LISTS = "gram string, part int, seqs array<long>"
+
+
+def _listed(part: int, texts: list[str], seqs: list[int]) -> pa.RecordBatch:
+    """Each trigram of the texts, once, with the numbers of those that hold it."""
+    signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    codes = signs[:-2] << 42 | signs[1:-1] << 21 | signs[2:]
+    whole = owner[:-2] == owner[2:]
+    codes, owner = codes[whole], owner[:-2][whole]
+    order = np.argsort(codes, kind="stable")  # a trigram's texts stay in order, so those alike are neighbours
+    codes, owner = codes[order], owner[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = codes[1:] != codes[:-1]
+    once = new.copy()
+    once[1:] |= owner[1:] != owner[:-1]
+    codes, owner, starts = codes[once], owner[once], np.flatnonzero(new[once])
+    shown = np.stack([codes[starts] >> 42, codes[starts] >> 21 & 0x1FFFFF, codes[starts] & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(codes)), pa.int32()), pa.array(np.array(seqs, np.int64)[owner]))
+    return pa.record_batch([pa.array([shown[k : k + 3] for k in range(0, len(shown), 3)], pa.string()), pa.array([part] * len(starts), pa.int32()), lists], ["gram", "part", "seqs"])
+
+
+def _posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, seq, text) to lists of neighbouring leads; those of one part and trigram are put together afterwards."""
+    for batch in batches:
+        own, texts, seqs, size = None, [], [], 0
+        for part, seq, text in zip(*(batch.column(c).to_pylist() for c in ("part", "seq", "text"))):
+            if texts and (part != own or size >= LISTED):
+                yield _listed(own, texts, seqs)
+                texts, seqs, size = [], [], 0
+            own = part
+            if len(text) >= 3:
+                texts.append(text), seqs.append(seq)
+                size += len(text)
+        if texts:
+            yield _listed(own, texts, seqs)
 
 
 def build(leads: DataFrame, path: str, part_rows: int = PART_ROWS) -> None:
     """Writes the copy of leads (with ``seq``)."""
     spark = leads.sparkSession
-    parts = max(1, -(-leads.count() // part_rows))
-    rows = leads.select(*LEAD_FIELDS, "seq", views.captured_ms(F.col("captured_at")).alias("ms"))
+    # written once before they are ordered: finding the ranges reads all rows as well
+    leads.select(*LEAD_FIELDS, "seq", views.captured_ms(F.col("captured_at")).alias("ms")).write.parquet(f"{path}/staged")
+    rows = spark.read.schema(_KEPT).parquet(f"{path}/staged")
+    parts = max(1, -(-rows.count() // part_rows))
     order = [F.desc("ms"), F.asc("seq")]
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     dealt.write.partitionBy("part").parquet(f"{path}/leads")
     kept = spark.read.schema(f"{_KEPT}, part int").parquet(f"{path}/leads")
     first = F.min(F.struct((-F.col("ms")).alias("older"), "seq"))
     kept.groupBy("part").agg(F.count("*").alias("n"), first.alias("first")).select("part", "n", (-F.col("first.older")).alias("ms"), F.col("first.seq").alias("seq")).coalesce(1).write.parquet(f"{path}/parts")
-    # each place of a text looks three characters ahead: linear, however long it is
-    grams = F.array_distinct(F.regexp_extract_all(views.search_text(), F.lit("(?s)(?=(.{3}))"), F.lit(1)))
-    held = kept.select("part", "seq", F.explode(grams).alias("gram"))
-    lists = held.groupBy("gram", "part").agg(F.sort_array(F.collect_list("seq")).alias("seqs"))  # at most part_rows numbers
+    # a part's leads are neighbours, so lists are shuffled, not trigrams
+    held = kept.select("part", "seq", views.search_text().alias("text")).mapInArrow(_posting_lists, _LISTS)
+    lists = held.groupBy("gram", "part").agg(F.sort_array(F.flatten(F.collect_list("seqs"))).alias("seqs"))  # at most part_rows numbers
     lists.repartitionByRange("gram", "part").sortWithinPartitions("gram", "part").write.parquet(f"{path}/postings")
     spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("seqs")).alias("n")).sort("gram").write.parquet(f"{path}/grams")
+    folders.remove(spark, f"{path}/staged")
 
 
 class Served:
