@@ -100,10 +100,11 @@ class BucketedStore:
     # --- writing ---
 
     def _staged(self, rows: DataFrame) -> tuple[DataFrame, set[int]]:
-        """The batch's rows, written once, and the buckets that they touch: as many numbers as there are buckets, at the most."""
+        """The batch's rows that have a URL, written once, and the buckets that they touch: as many numbers as there are buckets, at the most."""
         path = f"{self.base}/staged/{uuid.uuid4().hex}"
         rows.withColumn("_bucket", self.bucket_of(F.col("source_url"))).write.parquet(path)
-        staged = self.spark.read.parquet(path)
+        # a filter before the writing would evaluate the rules that give a URL once more
+        staged = self.spark.read.parquet(path).where("source_url <> ''")
         return staged.drop("_bucket"), {r["_bucket"] for r in staged.select("_bucket").distinct().collect()}
 
     def _rewritten(self, old: Manifest, touched: set[int], rows: DataFrame, version: int) -> int:
@@ -126,7 +127,7 @@ class BucketedStore:
         old = self.manifest()
         if version is not None and version <= old.version:
             return version
-        batch, touched = self._staged(incoming.where(utrim("source_url") != "").withColumn("source_url", utrim("source_url")).select(*LEAD_FIELDS, "seq"))
+        batch, touched = self._staged(incoming.withColumn("source_url", utrim("source_url")).select(*LEAD_FIELDS, "seq"))
         rows = store.upsert(self._load(old, touched), batch, on_duplicate, now, top=old.top)
         return self._rewritten(old, touched, rows, old.version + 1 if version is None else version)
 

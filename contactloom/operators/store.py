@@ -80,7 +80,7 @@ def _combined(batch: DataFrame, kind: str) -> DataFrame:
 
     exploded = batch.select("source_url", "seq", F.explode(F.concat(*map(entries, _LISTS))).alias("v")).select("source_url", "seq", "v.*")
     firsts = exploded.groupBy("source_url", "list", "k0", "k1", "k2").agg(F.min(F.struct("seq", "at", "value")).alias("x"))
-    gathered = firsts.groupBy("source_url").agg(F.array_sort(F.collect_list(F.struct("list", "x"))).alias("found"))
+    gathered = firsts.groupBy("source_url").agg(F.sort_array(F.collect_list(F.struct("list", "x"))).alias("found"))
     last = lambda c: F.max(F.when(text_or_empty(F.col(c)) != "", F.struct("seq", c)))[c]
     time = _time(F.col("captured_at"))
     earliest = F.min(F.when(time.isNotNull(), F.struct(time.alias("t"), "seq", "captured_at")))["captured_at"]

@@ -41,3 +41,64 @@ def test_number_before_one_without_a_sign(spark):
     pages = spark.createDataFrame([(k, f"https://h{k}.example.com/", f"<p>{t}</p>") for k, t in enumerate(texts)], "page_id long, url string, html string")
     found = {r["name"]: r["phone"] for r in extract.crawled(pages, as_of="2026-01-01").collect()}
     assert found == {"h0.example.com": "+16835555442", "h1.example.com": "+16895551019", "h2.example.com": "+16895551019"}
+
+
+def test_a_second_batch_evaluates_its_leads_once(spark, sf_dir):
+    plan = catalog._second_batch(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    found = catalog._second_batch(spark, sf_dir).selectExpr("count(*) AS n", "count_if(id LIKE 'nid%') AS fresh", "count_if(source_url LIKE '%#new') AS marked").first()
+    assert found["n"] == 2 * found["fresh"] == 2 * found["marked"] > 0
+
+
+def test_a_search_makes_its_text_once(spark, sf_dir):
+    plan = catalog.lead_search(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("concat_ws" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_served_copy_evaluates_its_leads_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from contactloom.operators import serving
+
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(title):
+        met.add(1)
+        return title
+
+    rows = catalog.leads(spark, "/root/testdata/sf0.001")
+    n = rows.count()
+    serving.build(rows.withColumn("page_title", counted("page_title")), str(tmp_path), part_rows=40)
+    assert met.value == n
+
+
+def test_posting_lists_in_numpy():
+    from contactloom.operators import serving
+
+    batch = pa.record_batch([pa.array([0, 0, 0, 1], pa.int32()), pa.array([5, 3, 9, 5], pa.int64()), pa.array(["abab\U0001f600", "ab", "xaba", "aba"])], ["part", "seq", "text"])
+    found = {(g, p): s for x in serving._posting_lists(iter([batch])) for g, p, s in zip(*(x.column(k).to_pylist() for k in range(3)))}
+    assert found == {("aba", 0): [5, 9], ("bab", 0): [5], ("ab\U0001f600", 0): [5], ("xab", 0): [9], ("aba", 1): [5]}
+
+
+def test_blanks_and_addresses_as_the_patterns_have_them(spark):
+    from pyspark.sql import functions as F
+
+    from contactloom.functions import emails, text
+
+    odd = ["", " ", "a", " a ", "﻿ x y　\n", "a  b\t\tc d", "x   y", "᠎a᠎", "\x1ca\x1f", "a@b@c.d", "@b.c", "a@", ".a@b.c", "a.@b.c", "a..b@c.d", "A.b@C.D", None, "٣۴x", "a+b%20c", "%zz+"]
+    rows = spark.createDataFrame([(x,) for x in odd], "v string")
+    trimmed = lambda c: F.regexp_replace(c, r"(?U)^[\s\x{FEFF}]+|[\s\x{FEFF}]+$", "")
+    part = lambda k: F.regexp_extract(trimmed(F.col("v")), "(?s)^(.*)@([^@]*)$", k)
+    split = emails._split(trimmed(F.col("v")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    both = {
+        "trim": (text.utrim("v"), trimmed("v")),
+        "blanks": (text.collapse_blanks(F.col("v")), trimmed(F.regexp_replace("v", r"(?U)\s+", " "))),
+        "digits": (text.ascii_digits(F.col("v")), F.translate("v", text.EASTERN_DIGITS, "0123456789" * 2)),
+        "decoded": (text.percent_decoded(F.col("v")), F.coalesce(F.try_url_decode(F.replace("v", F.lit("+"), F.lit("%2B"))), F.col("v"))),
+        "local": (split["a"], part(1)),
+        "domain": (split["b"], part(2)),
+    }
+    for name, (now, pattern) in both.items():
+        for r in rows.select("v", now.alias("a"), pattern.alias("b")).collect():
+            assert r["a"] == r["b"], (name, r)
