@@ -117,7 +117,7 @@ def is_widget(e: Column) -> Column:
 
 def _widget_texts(page: Column, e: Column) -> Column:
     """A widget's texts to search, attribute by attribute: values of number-like names, settings, and links inside."""
-    context = first_nonempty(element_context(e, html.element_text(page, e)), F.lit(_WIDGET_TEXT))
+    own_context = let(element_context(e, html.element_text(page, e)), lambda c: first_nonempty(c, F.lit(_WIDGET_TEXT)))
     piece = lambda text, number, links_too: F.struct(text.alias("text"), number.alias("number"), links_too.alias("linked"))
     yes, no = F.lit(True), F.lit(False)
 
@@ -129,12 +129,14 @@ def _widget_texts(page: Column, e: Column) -> Column:
         own, rest = F.array(piece(x["value"], x["key"].rlike(_NUMBER_KEY), no)), F.array(piece(x["value"], no, yes))
         return F.when(x["key"].isin(dims.SETTINGS_ATTRIBUTES), F.concat(own, settings(x["value"]), rest)).otherwise(F.concat(own, rest))
 
-    def searched(p: Column) -> Column:
+    def searched(p: Column, context: Column) -> Column:
         number = F.filter(F.array(_searched(p["text"], "whatsapp-link", explicit=True, context=context, whatsapp=True)), lambda _: p["number"])
         linked = F.transform(F.filter(phones.whatsapp_numbers_in(p["text"]), lambda _: p["linked"]), lambda n: _searched(n, "whatsapp-link", context=context, whatsapp=True, whole=True))
         return F.concat(number, linked)
 
-    return F.flatten(F.transform(F.flatten(F.transform(F.map_entries(e["attributes"]), of)), searched))
+    pieces = F.flatten(F.transform(F.map_entries(e["attributes"]), of))
+    # one context for all pieces
+    return let(own_context, lambda context: F.flatten(F.transform(pieces, lambda p: searched(p, context))))
 
 
 def _whatsapp_texts(page: Column, judged: Column) -> Column:
