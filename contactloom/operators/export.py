@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.functions import links, phones, urls
-from contactloom.functions.text import first_nonempty, nonempty_distinct, text_or_empty, utrim
+from contactloom.functions.text import first_nonempty, let, nonempty_distinct, text_or_empty, utrim
 from contactloom.operators.store import cleared, numbered
-from contactloom.schemas import EXPORT_FIELDS, EXTERNAL, PHONE, SOCIAL
+from contactloom.schemas import EXPORT_FIELDS
 
 SOURCE = "chrome extension"
 BOM = "\ufeff"
@@ -164,46 +166,50 @@ def text_document(leads: DataFrame, exported_at: str, title: str = TITLE) -> Dat
     return head.unionByName(blocks)
 
 
-def _json_text(value: Column) -> Column:
-    """A string as JSON; null is null."""
-    shown = F.to_json(F.array(value))
-    return F.when(value.isNull(), "null").otherwise(F.substr(shown, F.lit(2), F.length(shown) - 2))
+#: Texts that are their own JSON but for the quotes.
+_JSON_PLAIN = r"\A[ !#-\[\]-~]*\z"
+
+
+def _json_quoted(value: Column) -> Column:
+    """A string as JSON, null for null; only one that has something to escape, or is not ASCII, goes through a JSON writer."""
+    written = let(F.to_json(F.array(value)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    return F.when(value.isNotNull(), F.when(value.rlike(_JSON_PLAIN), F.concat(F.lit('"'), value, F.lit('"'))).otherwise(written))
 
 
 def _json_object(fields: dict[str, Column], indent: int, optional: tuple[str, ...] = ()) -> Column:
     """Already written values under their names, two spaces deeper; ``optional`` ones are left out where they are null."""
     pad = " " * (indent + 2)
-    pairs = [F.when(~F.lit(k in optional) | (v != "null"), F.concat(F.lit(f'{pad}"{k}": '), v)) for k, v in fields.items()]
+    # a null pair is left out
+    pairs = [F.concat(F.lit(f'{pad}"{k}": '), v if k in optional else F.coalesce(v, F.lit("null"))) for k, v in fields.items()]
     return F.concat(F.lit("{\n"), F.concat_ws(",\n", *pairs), F.lit("\n" + " " * indent + "}"))
 
 
-def _json_list(values: Column, indent: int) -> Column:
+def _json_list(values: Column, written: Callable[[Column], Column], indent: int) -> Column:
+    """The values, each written once; null is an empty list."""
     pad = " " * (indent + 2)
-    return F.when(F.size(values) > 0, F.concat(F.lit(f"[\n{pad}"), F.array_join(values, f",\n{pad}"), F.lit("\n" + " " * indent + "]"))).otherwise("[]")
+    return F.when(F.size(values) > 0, F.concat(F.lit(f"[\n{pad}"), F.array_join(F.transform(values, written), f",\n{pad}"), F.lit("\n" + " " * indent + "]"))).otherwise("[]")
 
 
 def json_lead(indent: int = 4) -> Column:
     """A lead as an indented JSON object; the time of its last update, and a number's context and source, only where there are any."""
-    each = lambda c, names, optional=(): _json_list(F.transform(F.coalesce(c, F.array().cast(_TYPES[c])), lambda x: _json_object({n: _json_text(x[n]) for n in names}, indent + 4, optional)), indent + 2)
+    each = lambda c, names, optional=(): _json_list(F.col(c), lambda x: _json_object({n: _json_quoted(x[n]) for n in names}, indent + 4, optional), indent + 2)
     number = (("raw", "normalized", "context", "source"), ("context", "source"))
     fields = {
-        "id": _json_text(F.col("id")),
-        "pageTitle": _json_text(F.col("page_title")),
-        "sourceUrl": _json_text(F.col("source_url")),
-        "hostname": _json_text(F.col("hostname")),
-        "capturedAt": _json_text(F.col("captured_at")),
+        "id": _json_quoted(F.col("id")),
+        "pageTitle": _json_quoted(F.col("page_title")),
+        "sourceUrl": _json_quoted(F.col("source_url")),
+        "hostname": _json_quoted(F.col("hostname")),
+        "capturedAt": _json_quoted(F.col("captured_at")),
         "phones": each("phones", *number),
         "whatsapp": each("whatsapp", *number),
-        "emails": _json_list(F.transform(F.coalesce("emails", F.array().cast("array<string>")), _json_text), indent + 2),
+        "emails": _json_list(F.col("emails"), lambda x: F.coalesce(_json_quoted(x), F.lit("null")), indent + 2),
         "socialLinks": each("social_links", ("platform", "url")),
         "externalLinks": each("external_links", ("url", "text", "type")),
-        "lastUpdatedAt": _json_text(F.col("last_updated_at")),
+        "lastUpdatedAt": _json_quoted(F.col("last_updated_at")),
     }
     return _json_object(fields, indent, ("lastUpdatedAt",))
 
 
-_TYPES = {"phones": f"array<{PHONE}>", "whatsapp": f"array<{PHONE}>", "social_links": f"array<{SOCIAL}>", "external_links": f"array<{EXTERNAL}>"}
-
 
 def json_document(leads: DataFrame, exported_at: str) -> DataFrame:
     """(seq, line): the collection as one indented JSON object, a lead a row; ``write_lines`` puts the rows in order, however many they are."""
