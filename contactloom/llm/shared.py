@@ -41,3 +41,18 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session's Arrow batches end at ``BATCH_BYTES``, or earlier if it is set so.
+
+    Each running task holds a batch in the JVM, more while its buffers grow, and one in its Python worker; Spark's own bound is 64 MiB.
+    """
+    bound = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH))
+    if not 0 < bound <= BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)

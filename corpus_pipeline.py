@@ -16,21 +16,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from contactloom.llm import decontaminate, jaccard, packing, quality, secret_scan
-from contactloom.llm.shared import materialized
+from contactloom.llm.shared import materialized, small_batches
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject."""
+    small_batches(spark)
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), metadata=quality.METADATA)
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
+    small_batches(spark)
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -41,6 +44,7 @@ def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
