@@ -1,8 +1,11 @@
 """The change feed of a bucketed store, and its five counts kept up by keyed streaming state.
 
-``publish`` writes what changed between versions as files, a folder a version. ``counts`` reads them as a stream: the state of each page's key is what its
-lead counted last, so a changed version of a lead becomes the difference to it. A row of a version that the state has seen already changes nothing, and the
+``publish`` writes what changed between versions as files, a folder a version. ``counts`` reads them as a stream: the state knows what each page's lead
+counted last, so a changed version of a lead becomes the difference to it. A row of a version that the state has seen already changes nothing, and the
 sums are numbered by the stream's batches, so that batches and publications that run again count once.
+
+The state's keys are ``GROUPS`` groups of pages, by a hash of their URL: a call of Python and its round trips to the state cost milliseconds, and are made for a
+group instead of a page. As in the store, what a batch reads and writes grows with the groups that it touches. A checkpoint holds for one number of groups.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -20,6 +24,8 @@ from contactloom.sources import folders
 COUNTS = ["leads", "phones", "whatsapp", "emails", "social_links"]
 _EVENT = "source_url string, version long, " + ", ".join(f"{c} long" for c in COUNTS)
 _TOTALS = ", ".join(f"{c} long" for c in COUNTS)
+#: Keys of the state, each with the pages of one hash.
+GROUPS = 1024
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,19 +46,41 @@ def publish(store: BucketedStore, folder: str) -> list[int]:
     return new
 
 
+def _packed(known: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(known.reset_index(), preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(raw: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(bytes(raw)).read_all().to_pandas().set_index("source_url")
+
+
 class _Differences(StatefulProcessor):
+    """The state of a group: the last version of each of its pages, and what it counted."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", f"version long, {_TOTALS}")
+        self.last = handle.getValueState("last", "pages binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        version, *counts = self.last.get() if self.last.exists() else (-1, *[0] * len(COUNTS))
-        # a lead has one row a version, so few of one key are in a batch
-        latest = max((tuple(map(int, r)) for some in rows for r in some[["version", *COUNTS]].itertuples(index=False)), default=None)
-        if latest and latest[0] > version:
-            self.last.update(latest)
-            changed = [new - old for new, old in zip(latest[1:], counts)]
-            if any(changed):
-                yield pd.DataFrame([changed], columns=COUNTS)
+        held = self.last.get()
+        known = None if held is None else _unpacked(held[0])
+        changed, fresh = pd.Series(0, COUNTS), False
+        for some in rows:
+            latest = some.sort_values(["version", *COUNTS]).drop_duplicates("source_url", keep="last").set_index("source_url")[["version", *COUNTS]]
+            known = latest[:0] if known is None else known
+            old = known.reindex(latest.index, fill_value=0)
+            newer = ~latest.index.isin(known.index) | (latest["version"] > old["version"]).to_numpy()
+            if newer.any():
+                fresh = True
+                changed += (latest[newer] - old[newer])[COUNTS].sum()
+                known = pd.concat([known[~known.index.isin(latest.index[newer])], latest[newer]])
+        if fresh:
+            self.last.update((_packed(known),))
+        if changed.any():
+            yield pd.DataFrame([changed.tolist()], columns=COUNTS)
 
     def close(self) -> None:
         pass
@@ -73,7 +101,8 @@ def counts(spark: SparkSession, folder: str, base: str, checkpoint: str, files_a
     spark.conf.set(name, _ROCKS)
     try:
         read = spark.readStream.schema(_EVENT).option("maxFilesPerTrigger", files_at_once).option("recursiveFileLookup", "true").parquet(folder)
-        changed = read.groupBy("source_url").transformWithStateInPandas(_Differences(), _TOTALS, "Append", "None")
+        grouped = read.withColumn("group", F.pmod(F.xxhash64("source_url"), F.lit(GROUPS))).groupBy("group")
+        changed = grouped.transformWithStateInPandas(_Differences(), _TOTALS, "Append", "None")
 
         def add(rows: DataFrame, number: int) -> None:
             path = f"{base}/batch={number:012d}"
