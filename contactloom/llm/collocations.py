@@ -1,21 +1,22 @@
 """Phrase collocations of each language, counted in arrays behind a minimal perfect hash.
 
-1. Mappers count all phrases of up to ``max_words`` words into hashed buckets, numpy arrays that stop at the least count wanted. The arrays
-   are summed as a tree, and what is left of them is a bit a bucket: whether it can hold a frequent phrase.
+1. Mappers count all phrases of up to ``max_words`` words into hashed buckets, arrays that stop at the least count wanted. A block of buckets is summed
+   in one task, and what is left of it is a bit a bucket: whether it can hold a frequent phrase.
 2. A phrase is a candidate if its own bucket and those of all phrases within it pass. No frequent phrase can be missed, as all that lies
    in it is at least as frequent. Candidates are made distinct by their text.
 3. A minimal perfect hash gives each candidate a slot and keeps its 128-bit key there. Mappers look up the phrases of whole texts, verify the
-   stored key, and ``bincount`` the slots; the arrays are summed as a tree again.
+   stored key, and ``bincount`` the slots; the arrays are summed as a tree.
 4. A phrase's count and those of both sides of each of its cuts are read by slot.
 
-One hash holds ``shard_keys`` candidates at the most, and is then broadcast (9 bytes a key, and 8 for its count). More candidates are dealt to several hashes by their
-key, and the mappers' phrases, counted in their task first, go to the tasks of their key's hash. The number of buckets follows the texts' size up
+One hash holds ``shard_keys`` candidates at the most, and is then broadcast (9 bytes a key, and 8 for its count). If more buckets than that pass, candidates travel
+with what they count in their task and are summed where they are made distinct; the frequent ones are dealt to several hashes by their key, which keep a count a slot, and
+cuts go to the tasks of their key's hash. So a phrase is shuffled once a task in either case, never once an occurrence. The number of buckets follows the texts' size up
 to 2 ** ``MOST_BITS``; beyond it, more candidates pass than need be, and the counts stay exact.
 A language's words are never gathered in one task: all keys hold the language, and ranking keeps a report's worth of rows of each part of a language.
 
 Defined cases: a null text has no words, a null language is ``und``; null ids, repeated rows (counted each time) and further columns don't matter; an
 empty table gives no rows. Keys are two hashes of 64 bits, the second of each word's first eight bytes and length: what is no candidate counts as one with a
-chance of 2 ** -64. A task that gives candidates tells them apart by the first: n different phrases of one language and size lose one with a chance of about n * n / 2 ** 65.
+chance of 2 ** -64. A task that gives candidates tells them apart by the first: n different phrases of a task lose one with a chance of about n * n / 2 ** 65.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ MAX_WORDS, LEAST, TOP = 3, 10, 2000
 COVERS_PERCENT = 50
 SCALE = 1_000_000
 UNKNOWN = "und"
-FEWEST_BITS, MOST_BITS = 16, 26
+FEWEST_BITS, MOST_BITS = 16, 28
 #: Keys of one hash, and of the parts that it is built in.
 SHARD_KEYS, PART_KEYS = 6_000_000, 1 << 16
 #: Arrays summed by one task of the tree, slots of a block, and bytes of text that a mapper looks at together.
@@ -46,8 +47,10 @@ FAN, BLOCK, SLICE = 64, 1 << 18, 1 << 20
 GROUP_ROWS, RANK_PARTS = 2_000_000, 64
 #: Keys of candidates that a task remembers as given.
 GIVEN_KEYS = 2_000_000
-#: Phrases that a task holds before it gives them, and bytes of text for each group in which they are made distinct.
-HELD_PHRASES, GROUP_BYTES = 1 << 18, 4 << 20
+#: Phrases that a task holds before it gives them, also if it counts them, and bytes of text for each group in which they are made distinct.
+HELD_PHRASES, HELD_COUNTED, GROUP_BYTES = 1 << 18, 1 << 21, 4 << 20
+#: Occurrences that a task holds before it gives their buckets.
+HELD_KEYS = 1 << 23
 
 _ENDS = byte_class(lambda b: b in b".,;:!?" or 0x0A <= b <= 0x0D)
 _INSIDE = byte_class(lambda b: b not in (0x20, 0x09) and not _ENDS[b])
@@ -205,27 +208,61 @@ def _bits(size: int, bits: int) -> int:
     return bits - 2 if size == 1 else bits
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 32 bits, most of them small: their first bytes, then their second ones, and so on; compressed."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _buckets(sizes: list[int], bits: int, least: int):
-    """Hashed counts of all phrases that stop at ``least``, and each language's number of words."""
+    """(kind, block, gaps, times): of each block of a size's buckets, the gaps between those that hold phrases, and how many up to ``least``."""
+
+    def given(size: int, key: np.ndarray) -> pa.RecordBatch:
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=key[:1] + 1)) if len(key) else np.zeros(0, np.int64)
+        times = np.minimum(np.diff(first, append=len(key)), least)
+        at = key[first].astype(np.int64)
+        begin = np.flatnonzero(np.diff(at // BLOCK, prepend=-1))
+        gaps = np.diff(at, prepend=0)
+        gaps[begin] = at[begin] % BLOCK
+        edges = np.append(begin, len(at)).tolist()
+        parts = list(zip(edges[:-1], edges[1:]))
+        return pa.record_batch([pa.array(np.full(len(begin), size, np.int32)), pa.array(at[begin] // BLOCK), pa.array([_planes(gaps[a:b]) for a, b in parts], pa.binary()), pa.array([_planes(times[a:b]) for a, b in parts], pa.binary())], ["kind", "block", "gaps", "times"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {size: np.zeros(1 << _bits(size, bits), np.uint8) for size in sizes}
-        words: dict[str, int] = {}
-        for part, found in _phrases(batches):
-            named = part.column("lang").dictionary_encode()
-            for lang, n in zip(named.dictionary.to_pylist(), np.bincount(found.lang_row, found.words.counts(), len(named.dictionary)).astype(np.int64).tolist()):
-                words[lang] = words.get(lang, 0) + n
+        held, n = {size: [] for size in sizes}, 0
+        for _, found in _phrases(batches):
             for size in sizes:
-                key = (found.keys(size)[found.stand(size)] & np.uint64((1 << _bits(size, bits)) - 1)).astype(np.uint32)
-                key.sort()
-                first = np.flatnonzero(np.diff(key, prepend=key[:1] + 1)) if len(key) else np.zeros(0, np.int64)
-                times, at = np.diff(first, append=len(key)), key[first]
-                counts[size][at] = np.minimum(counts[size][at] + np.minimum(times, least), least)
-        for size in sizes:
-            for batch in _blocks(counts[size], size, _part()):
-                yield pa.record_batch([*batch.columns, pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], [*batch.schema.names, "lang", "n"])
-        none = [pa.nulls(len(words), t) for t in _NO_BLOCKS.types]
-        yield pa.record_batch([*none, pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], [*_NO_BLOCKS.names, "lang", "n"])
+                held[size].append((found.keys(size)[found.stand(size)] & np.uint64((1 << _bits(size, bits)) - 1)).astype(np.uint32))
+                n += len(held[size][-1])
+            if n >= HELD_KEYS:
+                for size in sizes:
+                    yield given(size, np.concatenate(held.pop(size)))
+                held, n = {size: [] for size in sizes}, 0
+        for size, some in held.items():
+            if some:
+                yield given(size, np.concatenate(some))
+
+    return run
+
+
+def _passing_bits(least: int):
+    """A bit a bucket of a block, from what its tasks held: whether it reaches ``least``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.uint32)
+        for gaps, times in zip(table.column("gaps"), table.column("times")):
+            at = np.cumsum(_numbers(gaps.as_py()), dtype=np.int64)
+            total[at] = np.minimum(total[at] + _numbers(times.as_py()), least)
+        return pa.table([table.column("kind").slice(0, 1), table.column("block").slice(0, 1), pa.array([np.packbits(total >= least, bitorder="little").tobytes()], pa.binary())], ["kind", "block", "bits"])
 
     return run
 
@@ -249,8 +286,8 @@ class _Passing:
             setattr(self, f"key{size}", key[some])
 
 
-def _sorted_blobs(lang: str, phrases: pa.Array, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(group, lang, blob): each group's phrases, sorted, a line each, compressed."""
+def _sorted_blobs(lang: str, phrases: pa.Array, group: np.ndarray, times: np.ndarray | None) -> pa.RecordBatch:
+    """(group, lang, blob, times): each group's phrases, sorted, a line each, compressed; and how often each of them occurs, by planes of bytes."""
     import pyarrow.compute as pc
     import zstandard
 
@@ -260,52 +297,112 @@ def _sorted_blobs(lang: str, phrases: pa.Array, group: np.ndarray) -> Iterator[p
     group = group[order]
     raw, offsets = text_bytes(pc.binary_join_element_wise(phrases.take(pa.array(order)), "", "\n"))
     first = np.flatnonzero(np.diff(group, prepend=-1))
-    edges = offsets[np.append(first, len(group))].tolist()
+    rows = np.append(first, len(group)).tolist()
+    edges = offsets[rows].tolist()
     blobs = [coder.compress(raw[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:])]
-    yield pa.record_batch([pa.array(group[first]), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary())], ["group", "lang", "blob"])
-
-
-def _candidates(shared, bits: int, groups: int):
-    """The candidates, in blobs of each of a number of groups by their key; a task gives few of them twice."""
+    counts = [None] * len(blobs)
+    if times is not None:
+        ordered = times[order]
+        counts = [_planes(ordered[a:b]) for a, b in zip(rows[:-1], rows[1:])]
+    return pa.record_batch([pa.array(group[first]), pa.array([lang] * len(blobs), pa.string()), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], ["group", "lang", "blob", "times"])
+
+
+class _Given:
+    """The candidates of a task, each as often as it must be: once for all that is held, or once a task if they aren't counted."""
+
+    def __init__(self, groups: int, counted: bool):
+        self.groups, self.counted = groups, counted
+        self.known, self.texts, self.times, self.n = np.zeros(0, np.uint64), {}, [], 0
+
+    def add(self, keys: np.ndarray, at: np.ndarray, size: int, found: Phrases, langs: list[str]) -> None:
+        once, first, times = np.unique(keys, return_index=True, return_counts=True)
+        if self.counted:
+            self.times.append((once, times))
+            # keys of a slice are held again with their times
+            self.n += len(once) // 4
+        if len(self.known):
+            new = self.known[np.minimum(np.searchsorted(self.known, once), len(self.known) - 1)] != once
+            once, first = once[new], first[new]
+        at = at[first]
+        self.known = once if len(self.known) > GIVEN_KEYS and not self.counted else np.concatenate([self.known, once])
+        self.known.sort(kind="stable")
+        code = found.lang_row[found.words.doc[at]]
+        for k, lang in enumerate(langs):
+            own = np.flatnonzero(code == k)
+            if len(own):
+                self.texts.setdefault(lang, []).append((found.texts(size, at[own]), once[own]))
+                self.n += len(own)
+
+    def give(self, all_of: bool = False) -> Iterator[pa.RecordBatch]:
+        """What is held, if that is enough or the last."""
+        if self.n < (HELD_COUNTED if self.counted else HELD_PHRASES) and not all_of:
+            return
+        totals = None
+        if self.counted and self.times:
+            keys = np.concatenate([k for k, _ in self.times])
+            order = np.argsort(keys, kind="stable")
+            first = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(np.concatenate([t for _, t in self.times])[order], first) if len(first) else np.zeros(0, np.int64)
+            totals = keys[order[first]], sums
+        for lang, some in self.texts.items():
+            keys = np.concatenate([k for _, k in some])
+            times = totals[1][np.searchsorted(totals[0], keys)] if totals else None
+            yield _sorted_blobs(lang, pa.concat_arrays([x for x, _ in some]), part_of(keys, self.groups), times)
+        self.texts, self.times, self.n = {}, [], 0
+        if self.counted:
+            self.known = np.zeros(0, np.uint64)
+
+
+def _candidates(shared, bits: int, groups: int, counted: bool):
+    """The candidates, in blobs of each of a number of groups by their key, with their counts in the task if ``counted``; and, as group -1, each language's number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given, held, n = np.zeros(0, np.uint64), {}, 0
+        held, words = _Given(groups, counted), {}
         for part, found in _phrases(batches):
+            named = part.column("lang").dictionary_encode()
+            langs = named.dictionary.to_pylist()
+            for lang, n in zip(langs, np.bincount(found.lang_row, found.words.counts(), len(langs)).astype(np.int64).tolist()):
+                words[lang] = words.get(lang, 0) + n
             passing = _Passing(found, shared.value, bits)
             for size, at in passing.at.items():
-                once, first = np.unique(getattr(passing, f"key{size}"), return_index=True)
-                if len(given):
-                    new = given[np.minimum(np.searchsorted(given, once), len(given) - 1)] != once
-                    once, first = once[new], first[new]
-                at = at[first]
-                given = once if len(given) > GIVEN_KEYS else np.concatenate([given, once])
-                given.sort(kind="stable")
-                named = part.column("lang").dictionary_encode()
-                code = found.lang_row[found.words.doc[at]]
-                for k, lang in enumerate(named.dictionary.to_pylist()):
-                    own = np.flatnonzero(code == k)
-                    if len(own):
-                        held.setdefault(lang, []).append((found.texts(size, at[own]), part_of(once[own], groups)))
-                        n += len(own)
-            if n >= HELD_PHRASES:
-                for lang, some in held.items():
-                    yield from _sorted_blobs(lang, pa.concat_arrays([x for x, _ in some]), np.concatenate([x for _, x in some]))
-                held, n = {}, 0
-        for lang, some in held.items():
-            yield from _sorted_blobs(lang, pa.concat_arrays([x for x, _ in some]), np.concatenate([x for _, x in some]))
+                held.add(getattr(passing, f"key{size}"), at, size, found, langs)
+            yield from held.give()
+        yield from held.give(all_of=True)
+        totals = [n.to_bytes(8, "little") for n in words.values()]
+        yield pa.record_batch([pa.array(np.full(len(words), -1)), pa.array(list(words), pa.string()), pa.nulls(len(words), pa.binary()), pa.array(totals, pa.binary())], ["group", "lang", "blob", "times"])
 
     return run
 
 
+_MERGED = "lang string, phrase string, n long"
+
+
 def _merged(table: pa.Table) -> pa.Table:
-    """The distinct phrases of a group's blobs, which are of one language."""
+    """The distinct phrases of a group's blobs, which are of one language, with their counts if they have some; of group -1, a row with the number of words."""
     import zstandard
 
-    found: set[bytes] = set()
-    for raw in table.column("blob"):
-        found.update(zstandard.ZstdDecompressor().decompress(raw.as_py()).split(b"\n")[:-1])
-    phrases = pa.array(sorted(found), pa.binary()).cast(pa.string())
-    return pa.table([pa.array([table.column("lang")[0].as_py()] * len(phrases), pa.string()), phrases], ["lang", "phrase"])
+    lang = table.column("lang")[0].as_py()
+    rows = lambda phrases, counts: pa.table([pa.array([lang] * len(counts), pa.string()), phrases, counts], ["lang", "phrase", "n"])
+    if table.column("group")[0].as_py() < 0:
+        return rows(pa.nulls(1, pa.string()), pa.array([sum(int.from_bytes(x.as_py(), "little") for x in table.column("times"))], pa.int64()))
+    coder = zstandard.ZstdDecompressor()
+    held = []
+    for blob, times in zip(table.column("blob"), table.column("times")):
+        raw = coder.decompress(blob.as_py())
+        ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A) + 1
+        lines = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(0, ends)), pa.py_buffer(raw)])
+        counts = pa.nulls(len(ends), pa.int64())
+        if times.is_valid:
+            counts = pa.array(_numbers(times.as_py()).astype(np.int64))
+        held.append(pa.table([lines, counts], ["line", "n"]))
+    found = pa.concat_tables(held).group_by("line", use_threads=False).aggregate([("n", "sum")]).sort_by("line")
+    # a line ends with a line feed, which no phrase has
+    raw, offsets = text_bytes(found.column("line"))
+    lengths = np.diff(offsets)
+    keep = np.ones(len(raw), bool)
+    keep[offsets[1:] - 1] = False
+    phrases = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths - 1)).astype(np.int32)), pa.py_buffer(raw[keep])])
+    return rows(phrases.cast(pa.string()), found.column("n_sum").combine_chunks())
 
 
 # --- counts ---
@@ -330,14 +427,15 @@ def _keyed(shards: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "phrase", SLICE):
             _, _, first, second = _own_keys(part)
-            yield pa.record_batch([pa.array(_shard(first, shards)), pa.array(part_of(first, parts)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64))], ["shard", "part", "first", "second"])
+            yield pa.record_batch([pa.array(_shard(first, shards)), pa.array(part_of(first, parts)), pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), part.column("n")], ["shard", "part", "first", "second", "n"])
 
     return run
 
 
 def _built(table: pa.Table) -> pa.Table:
     keys = [table.column(c).to_numpy().view(np.uint64) for c in ("first", "second")]
-    return pa.table([table.column("shard").slice(0, 1), table.column("part").slice(0, 1), pa.array([build(*keys)], pa.binary())], ["shard", "part", "hash"])
+    counts = None if table.column("n").null_count else table.column("n").to_numpy()
+    return pa.table([table.column("shard").slice(0, 1), table.column("part").slice(0, 1), pa.array([build(*keys, counts)], pa.binary())], ["shard", "part", "hash"])
 
 
 def _assembled(rows, parts: int) -> PerfectHash:
@@ -387,24 +485,8 @@ def _counted(tables, bits: int, hashed):
     return run
 
 
-def _occurrences(tables, bits: int, shards: int):
-    """(shard, first, second, n, task) of the phrases that pass, counted in slices."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _phrases(batches):
-            passing = _Passing(found, tables.value, bits)
-            for size, at in passing.at.items():
-                pairs = np.empty(len(at), [("first", "<u8"), ("second", "<u8")])
-                pairs["first"], pairs["second"] = getattr(passing, f"key{size}"), found.second(size, at)
-                once, times = np.unique(pairs, return_counts=True)
-                yield pa.record_batch([pa.array(_shard(once["first"], shards)), pa.array(once["first"].copy().view(np.int64)), pa.array(once["second"].copy().view(np.int64)), pa.array(times), pa.array(np.full(len(times), _part()))], ["shard", "first", "second", "n", "task"])
-
-    return run
-
-
 def _with_hashes(rows: DataFrame, hashes: DataFrame, give: Callable, schema: str, salted_by: str) -> DataFrame:
     """``give(rows, hash parts)`` for groups of about ``GROUP_ROWS`` rows of one shard; rows of one key that differ in ``salted_by`` may go to several."""
-    rows = materialized(rows, "dealt")
     most = rows.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
     salts = -(-most // GROUP_ROWS) or 1
     left = rows.withColumn("salt", F.pmod(F.xxhash64("first", salted_by), F.lit(salts)).cast("long"))
@@ -418,19 +500,19 @@ def _read(known: PerfectHash, counts: np.ndarray, first: np.ndarray, second: np.
 
 
 def _parts(max_words: int, shards: int):
-    """For each candidate of two words or more: the keys of itself (part 0) and of both sides of each cut k (parts 2k - 1 and 2k)."""
+    """For each phrase of two words or more, with its count ``a``: the keys of both sides of each cut k (parts 2k - 1 and 2k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "phrase", SLICE):
-            found, sizes, first, second = _own_keys(part)
+            found, sizes, _, _ = _own_keys(part)
             at = found.words.first[:-1]
-            whole = {s: found.keys(s) for s in range(1, max_words + 1)}
+            whole = {s: found.keys(s) for s in range(1, max_words)}
             for size in range(2, max_words + 1):
                 rows = np.flatnonzero(sizes == size)
-                sides = [(0, at[rows], size)] + [x for k in range(1, size) for x in ((2 * k - 1, at[rows], k), (2 * k, at[rows] + k, size - k))]
-                for number, begin, n in sides:
+                own = [part.column(c).take(pa.array(rows)) for c in ("lang", "phrase", "n")]
+                for number, begin, n in (x for k in range(1, size) for x in ((2 * k - 1, at[rows], k), (2 * k, at[rows] + k, size - k))):
                     one, two = whole[n][begin], found.second(n, begin)
-                    yield pa.record_batch([part.column("lang").take(pa.array(rows)), part.column("phrase").take(pa.array(rows)), pa.array(np.full(len(rows), size, np.int32)), pa.array(np.full(len(rows), number, np.int32)), pa.array(_shard(one, shards)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["lang", "phrase", "size", "part", "shard", "first", "second"])
+                    yield pa.record_batch([*own, pa.array(np.full(len(rows), size, np.int32)), pa.array(np.full(len(rows), number, np.int32)), pa.array(_shard(one, shards)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["lang", "phrase", "a", "size", "part", "shard", "first", "second"])
 
     return run
 
@@ -466,64 +548,54 @@ def phrase_counts(docs: DataFrame, *, text_col: str = "text", lang_col: str = "l
     sizes = list(range(1, max_words + 1))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(most_bits, max(FEWEST_BITS, (n_bytes // 12).bit_length()))
-    first = materialized(texts.mapInArrow(_buckets(sizes, bits, least), f"{_BLOCKS}, lang string, n long"), "buckets")
-    totals = first.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-    blocks = first.where("lang IS NULL").drop("lang", "n")
     tables = {size: np.zeros((1 << _bits(size, bits)) // 8, np.uint8) for size in sizes}
-    # which buckets reach the least count, as bits
-    for row in _tree_sum(blocks, "u1", least, lambda total: np.packbits(total >= least, bitorder="little").tobytes()).collect():
+    # which buckets reach the least count; what the tasks hold of a block is some KB each
+    blocks = texts.mapInArrow(_buckets(sizes, bits, least), "kind int, block long, gaps binary, times binary").groupBy("kind", "block")
+    for row in blocks.applyInArrow(_passing_bits(least), "kind int, block long, bits binary").collect():
         # len(sizes) * 2 ** most_bits bits at the most, whatever the texts' size
-        at = row["block"] * BLOCK // 8
-        some = np.frombuffer(bytes(row["counts"]), np.uint8)
-        tables[row["kind"]][at : at + len(some)] = some
+        own = tables[row["kind"]][row["block"] * BLOCK // 8 :][: BLOCK // 8]
+        own[:] = np.frombuffer(bytes(row["bits"]), np.uint8)[: len(own)]
     passing = spark.sparkContext.broadcast(tables)
-    # a group's candidates come from some GROUP_BYTES of text, however much there is
-    blobs = texts.mapInArrow(_candidates(passing, bits, max(16, n_bytes // GROUP_BYTES)), "group long, lang string, blob binary")
-    candidates = materialized(blobs.groupBy("group", "lang").applyInArrow(_merged, "lang string, phrase string"), "candidates")
-    n = candidates.count()
+
+    def candidates_of(counted: bool) -> DataFrame:
+        # a group's candidates come from some GROUP_BYTES of text, however much there is
+        blobs = texts.mapInArrow(_candidates(passing, bits, max(16, n_bytes // GROUP_BYTES), counted), "group long, lang string, blob binary, times binary")
+        return materialized(blobs.groupBy("group", "lang").applyInArrow(_merged, _MERGED), "candidates")
+
+    # more passing buckets than one hash holds: the candidates bring their counts
+    counted = sum(int(np.bitwise_count(x).sum()) for x in tables.values()) > shard_keys
+    given = candidates_of(counted)
+    n = given.where("phrase IS NOT NULL").count()
+    if n > shard_keys and not counted:
+        counted, given = True, candidates_of(True)
+    totals = given.where("phrase IS NULL").select("lang", "n")
+    candidates = given.where("phrase IS NOT NULL")
+    if counted:
+        candidates = candidates.where(F.col("n") >= least)
+        n = candidates.count()
     shards = max(1, -(-n // shard_keys))
     parts = max(1, -(-n // (shards * part_keys)))
     # a shard's or part's keys are a hash's share of all: hardly more than wanted
-    hashes = candidates.mapInArrow(_keyed(shards, parts), "shard long, part long, first long, second long").groupBy("shard", "part").applyInArrow(_built, "shard long, part long, hash binary")
-    if shards == 1:
+    hashes = candidates.mapInArrow(_keyed(shards, parts), "shard long, part long, first long, second long, n long").groupBy("shard", "part").applyInArrow(_built, "shard long, part long, hash binary")
+    if not counted:
         known = _assembled(((r["part"], r["hash"]) for r in hashes.collect()), parts)
         hashed = spark.sparkContext.broadcast(known)
         sums = _tree_sum(materialized(texts.mapInArrow(_counted(passing, bits, hashed), _BLOCKS), "counts"), "<i8", None)
         counts = spark.sparkContext.broadcast(_gathered(sums, len(known)))
         found = candidates.mapInArrow(_read_rows(max_words, hashed, counts), "lang string, phrase string, size int, f array<long>")
         return found.where(F.col("f")[0] >= least), totals
-    hashes = materialized(hashes, "hashes")
-
-    def table_of(known: pa.Table) -> PerfectHash:
-        return _assembled(zip(known.column("part").to_pylist(), known.column("hash").to_pylist()), parts)
-
-    def count(mine: pa.Table, known: pa.Table) -> pa.Table:
-        if not known.num_rows or not mine.num_rows:
-            return _NO_BLOCKS.empty_table()
-        table = table_of(known)
-        slot = table.slots(*(mine.column(c).to_numpy().view(np.uint64) for c in ("first", "second")))
-        some = slot >= 0
-        # a group's sums stay far below 2 ** 53, where the weights' arithmetic is exact
-        total = np.bincount(slot[some], mine.column("n").to_numpy()[some], len(table)).astype(np.int64)
-        return pa.Table.from_batches(list(_blocks(total, known.column("shard")[0].as_py(), known.column("salt")[0].as_py())), _NO_BLOCKS)
-
-    dealt = texts.mapInArrow(_occurrences(passing, bits, shards), "shard long, first long, second long, n long, task long")
-    sums = _tree_sum(materialized(_with_hashes(dealt, hashes, count, _BLOCKS, "task"), "counts"), "<i8", None)
-    counted = hashes.join(sums.select(F.col("kind").cast("long").alias("shard"), F.struct("block", "counts").alias("one")).groupBy("shard").agg(F.collect_list("one").alias("blocks")), "shard", "left")
+    answer = "lang string, phrase string, a long, size int, part int, f long"
 
     def read(mine: pa.Table, known: pa.Table) -> pa.Table:
-        if not known.num_rows or not mine.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64())], ["lang", "phrase", "size", "part", "f"])
-        table = table_of(known)
-        totals = np.zeros(len(table), np.int64)
-        for one in known.column("blocks")[0].as_py() or []:
-            _put(totals, one["block"], one["counts"])
-        return mine.select(["lang", "phrase", "size", "part"]).append_column("f", pa.array(_read(table, totals, *(mine.column(c).to_numpy().view(np.uint64) for c in ("first", "second")))))
-
-    asked = candidates.mapInArrow(_parts(max_words, shards), "lang string, phrase string, size int, part int, shard long, first long, second long")
-    answers = _with_hashes(asked, counted, read, "lang string, phrase string, size int, part int, f long", "phrase")
-    rows = answers.groupBy("lang", "phrase", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "f"))), lambda x: x["f"]).alias("f"))
-    return rows.where(F.col("f")[0] >= least), totals
+        mine = mine if known.num_rows else mine.slice(0, 0)
+        table = _assembled(zip(known.column("part").to_pylist(), known.column("hash").to_pylist()), parts)
+        found = _read(table, table.values, *(mine.column(c).to_numpy().view(np.uint64) for c in ("first", "second")))
+        return mine.select(["lang", "phrase", "a", "size", "part"]).append_column("f", pa.array(found, pa.int64()))
+
+    asked = candidates.mapInArrow(_parts(max_words, shards), "lang string, phrase string, a long, size int, part int, shard long, first long, second long")
+    answers = _with_hashes(asked, materialized(hashes, "hashes"), read, answer, "phrase")
+    rows = answers.groupBy("lang", "phrase", "size", "a").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "f"))), lambda x: x["f"]).alias("f"))
+    return rows.select("lang", "phrase", "size", F.concat(F.array("a"), "f").alias("f")), totals
 
 
 #: The cut with the lowest score, then the smallest k. Whole numbers of 38 digits: counts of up to 10 ** 15 keep every product exact.

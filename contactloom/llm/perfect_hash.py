@@ -25,8 +25,8 @@ def part_of(first: np.ndarray, parts: int) -> np.ndarray:
     return (mix(first + np.uint64(99)) % np.uint64(parts)).astype(np.int64)
 
 
-def build(first: np.ndarray, second: np.ndarray) -> bytes:
-    """A part's levels and the second halves of its keys in the order of their slots. The pairs must be distinct."""
+def build(first: np.ndarray, second: np.ndarray, values: np.ndarray | None = None) -> bytes:
+    """A part's levels and the second halves of its keys in the order of their slots, with a whole number each if ``values`` are given. The pairs must be distinct."""
     levels, left = {}, np.arange(len(first))
     order = []
     while len(left):
@@ -41,18 +41,21 @@ def build(first: np.ndarray, second: np.ndarray) -> bytes:
         left = left[~taken]
     order = np.concatenate(order) if order else np.zeros(0, np.int64)
     raw = io.BytesIO()
+    if values is not None:
+        levels["values"] = values[order].astype(np.min_scalar_type(int(values.max(initial=0))))
     np.savez(raw, second=second[order], **levels)
     return raw.getvalue()
 
 
 class PerfectHash:
-    """``slots(first, second)``: the slot of each key, -1 for what is none. Made of the bytes of its parts, by number."""
+    """``slots(first, second)``: the slot of each key, -1 for what is none; ``values`` by slot, if it was built with some. Made of the bytes of its parts, by number."""
 
     def __init__(self, built: dict[int, bytes], parts: int):
         self.parts = max(1, parts)
         found = [dict(np.load(io.BytesIO(built[k]))) if k in built else {} for k in range(self.parts)]
         none = np.zeros(0, np.uint64)
         self.second = np.concatenate([none, *(x.get("second", none) for x in found)])
+        self.values = np.concatenate([np.zeros(0, np.int64), *(x["values"].astype(np.int64) for x in found if "values" in x)])
         before = np.concatenate([[0], np.cumsum([len(x.get("second", none)) for x in found])[:-1]]).astype(np.int64)
         #: of each level: size and first word of each part, all words, keys before each word
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
